@@ -75,7 +75,7 @@ def codewords(k: int) -> np.ndarray:
 
 def fit_language_model(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = PER_LANGUAGE) -> LanguageModel:
     """Trains on about `most` rows of each language at most, of those with a text and a language; whole texts."""
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +88,7 @@ def fit_language_model(rows: DataFrame, text_col: str = "text", lang_col: str =
                     n.append(m.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["lang", "at", "n"])
 
-    got = bounded(rows, "lang", "id", most).select("lang", "text").mapInArrow(count, "lang string, at binary, n binary").collect()
+    got = bounded(rows, "lang", "id", most).select("lang", "text").where("text is not null").mapInArrow(count, "lang string, at binary, n binary").collect()
     languages = sorted({r.lang for r in got})
     k = len(languages)
     if k < 2:

@@ -132,7 +132,7 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray,
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity_model(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", most: int = PER_CLASS) -> ToxicityModel:
+def fit_toxicity_model(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", most: int = PER_CLASS) -> ToxicityModel:
     """Trains on about `most` rows with label 1 and three times as many with label 0 at most, whole texts, split into words.
 
     A row's label holds for it as a bag of words: each toxic row has a toxic word, no other has one. The first witnesses are the toxic rows'
@@ -140,8 +140,10 @@ def fit_toxicity_model(rows: DataFrame, text_col: str = "text", label_col: str =
     scores highest, for three rounds. Words of either class also train with gaps and with a letter put in. Landmarks are spread over the witnesses and over clean words. The features' maps of all landmarks and
     the machine's weights add up to one table, so that a word's sum costs as much for a thousand landmarks as for one.
     """
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("text is not null and y in (0, 1)")
-    got = bounded(rows.where("y = 1"), "y", "id", most).unionByName(bounded(rows.where("y = 0"), "y", "id", 3 * most)).select("id", "text", "y").collect()
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
+    marked = bounded(marked.where("y = 1"), "y", "id", most).unionByName(bounded(marked.where("y = 0"), "y", "id", 3 * most))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")  # about 4 * most ids
+    got = rows.where("text is not null").select("id", "text", "y").collect()
     got.sort(key=lambda r: (r.id is None, r.id, r.text))
     y = np.array([r.y for r in got], np.int8)
     none = ToxicityModel(np.zeros(_CODES, np.complex64), 0.0, 1.0, -3.0 if not (y == 1).any() else 3.0, [])
