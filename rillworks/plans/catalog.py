@@ -1,4 +1,7 @@
 """All queries of the library by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import finance
+
+MODULES = (finance,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
