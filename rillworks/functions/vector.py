@@ -1,5 +1,7 @@
 """Vector arithmetic as column expressions over arrays; sums are in double."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,13 +31,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(l2_norm(a) * l2_norm(b), F.lit(0.0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once for all the places that use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalize(v: Column) -> Column:
     """Null for a zero vector."""
-    n = l2_norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+    return let(F.struct(v.alias("v"), l2_norm(v).alias("n")), lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x.cast("double") / s["n"])))
 
 
 def hashed_vector(tokens: Column, width: int = 64) -> Column:
-    """Counts of tokens by hash, of unit norm: the embedding that needs no model. Null for no tokens."""
+    """Counts of tokens by hash, of unit norm. Null for no tokens."""
     at = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
-    return l2_normalize(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double")))
+    counts = let(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))
+    return l2_normalize(counts)

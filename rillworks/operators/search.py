@@ -1,5 +1,7 @@
 """Dense, sparse and fused retrieval, reranking and context assembly, for many queries at once."""
 
+import re
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +15,7 @@ from ..functions.vector import cosine, dot, l2_norm
 
 #: Queries up to which a set of them is sent to all tasks.
 QUERIES = 10_000
+TOKENS = re.compile(r"\w+|[^\w\s]")
 
 
 def small(rows: DataFrame, most: int = QUERIES) -> DataFrame:
@@ -40,6 +43,29 @@ def dense_topk(queries: DataFrame, points: DataFrame, k: int, where: Column | No
     return top(scored, k)
 
 
+def hashed_counts(texts: list[str], width: int = 64) -> np.ndarray:
+    """Unit vectors of token counts by hash: the embedding that needs no model."""
+    out = np.zeros((len(texts), width), np.float32)
+    for i, x in enumerate(texts):
+        out[i] = np.bincount([zlib.crc32(w.encode()) % width for w in TOKENS.findall(x.lower())], minlength=width)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def embed_dense(rows: DataFrame, text: str = "text", into: str = "vector", fn: Callable[[list[str]], np.ndarray] = hashed_counts) -> DataFrame:
+    """The rows with a vector of each text by a user's model, called on Arrow batches; null for null."""
+
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in parts:
+            known = x.notna().to_numpy()
+            out = pd.Series([None] * len(x), dtype=object)
+            if known.any():
+                out[known] = list(fn(x[known].tolist()))
+            yield out
+
+    return rows.withColumn(into, run(text))
+
+
 def encode_sparse(rows: DataFrame, id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, mean: float | None = None) -> DataFrame:
     """id, term, weight: each token's count saturated by length, as in BM25. `mean` is the mean length; by default that of these rows."""
     own = rows.select(id, t.tokens(F.lower(F.col(text))).alias("t")).withColumn("n", F.size("t"))
