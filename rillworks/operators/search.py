@@ -58,10 +58,8 @@ def embed_dense(rows: DataFrame, text: str = "text", into: str = "vector", fn: C
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in parts:
             known = x.notna().to_numpy()
-            out = pd.Series([None] * len(x), dtype=object)
-            if known.any():
-                out[known] = list(fn(x[known].tolist()))
-            yield out
+            vectors = iter(fn(x[known].tolist()) if known.any() else ())
+            yield pd.Series([next(vectors) if k else None for k in known], dtype=object)
 
     return rows.withColumn(into, run(text))
 
