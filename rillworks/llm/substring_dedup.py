@@ -163,18 +163,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
         doc, at = doc[new], at[new]
-        begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-        end = np.append(begin[1:], len(doc))
-        return pa.Table.from_arrays([pa.array(doc[begin], pa.int64()), pa.array([at[i:j].tobytes() for i, j in zip(begin.tolist(), end.tolist())], pa.binary())], names=["doc_id", "at"])
+        out = [(k, doc[i].tobytes() + at[i].tobytes()) for k, i in blobs((mix(doc.view(_U)) >> _U(64 - parts)).astype(np.int64), 1 << parts)]
+        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["part", "data"])
 
     def spans(key: tuple, t: pa.Table) -> pa.Table:
-        at = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t["at"]]).astype(np.int64))
-        far = np.flatnonzero(np.diff(at) > width)
-        lo, hi = at[np.append(0, far + 1)], at[np.append(far, len(at) - 1)] + width
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.stack([lo, hi], axis=1).ravel()], pa.list_(pa.int64()))], names=["doc_id", "spans"])
-
-    lost = docs.where("doc_id is not null").mapInArrow(send_windows, "block int, n int, data binary").groupBy("block").applyInArrow(owned, "doc_id long, at binary")
-    lost = lost.groupBy("doc_id").applyInArrow(spans, "doc_id long, spans array<long>")
+        """For each text of a part: the runs of its lost windows, first word and word after the last of each."""
+        doc, at = [], []
+        for x in t["data"]:
+            data = x.as_buffer()
+            doc.append(np.frombuffer(data, np.int64, data.size // 12))
+            at.append(np.frombuffer(data, np.uint32, data.size // 12, data.size // 12 * 8))
+        doc, at = np.concatenate(doc), np.concatenate(at).astype(np.int64)
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > width))
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(doc)) - 1
+        own = doc[begin]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        runs = np.stack([at[begin], at[end] + width], axis=1).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.append(2 * first, len(runs)), pa.int32()), pa.array(runs, pa.int64()))
+        return pa.Table.from_arrays([pa.array(own[first], pa.int64()), lists], names=["doc_id", "spans"])
+
+    lost = docs.where("doc_id is not null").mapInArrow(send_windows, "block int, n int, data binary").groupBy("block").applyInArrow(owned, "part int, data binary")
+    lost = lost.groupBy("part").applyInArrow(spans, "doc_id long, spans array<long>")
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
