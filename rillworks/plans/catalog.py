@@ -1,7 +1,7 @@
 """All queries of the library by name, with the SQL that gives the same rows."""
 
-from . import finance, search, text
+from . import detect, finance, search, text
 
-MODULES = (finance, text, search)
+MODULES = (finance, text, search, detect)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
