@@ -31,10 +31,10 @@ def _groups(frames: Iterator[pd.DataFrame], key: Sequence[str]) -> Iterator[pd.D
             yield pd.concat([*held, frame.iloc[:begins]], ignore_index=True)
             held = [frame.iloc[begins:]]
         else:
+            if held and not (held[0][list(key)].iloc[0] == last).all():
+                yield pd.concat(held, ignore_index=True)
+                held = []
             held.append(frame)
-            first = held[0][list(key)].iloc[0]
-            if not (first == last).all():
-                yield held.pop(0)
     if held:
         yield pd.concat(held, ignore_index=True)
 
