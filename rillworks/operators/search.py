@@ -245,6 +245,9 @@ def cluster_tree(points: DataFrame, k: int = 4, levels: int = 2, seed: int = 3)
         parts = []
         for (node,) in rows.select("node").distinct().sort("node").collect():  # k ** (level - 1) of them
             own = rows.where(F.col("node") == node)
+            if own.limit(k + 1).count() <= k:  # too few to part: one cluster, all alike
+                parts.append(own.withColumn("likeness", F.lit(1.0)).withColumn("node", F.concat_ws("/", F.nullif("node", F.lit("")), F.lit("0"))))
+                continue
             model = KMeans(k=k, seed=seed, maxIter=10).fit(own)
             centres = F.create_map(*(x for i, c in enumerate(model.clusterCenters()) for x in (F.lit(i), F.array(*map(F.lit, map(float, c))))))
             part = model.transform(own).withColumn("likeness", cosine(vector_to_array("features"), centres[F.col("prediction")]))

@@ -231,7 +231,7 @@ ORACLES = {
     "d6_pr_curve": f"WITH {_CURVE} SELECT box_id, CAST(t AS BIGINT) AS cum_tp, CAST(k - t AS BIGINT) AS cum_fp, ROUND(precision, 10) AS precision, ROUND(recall, 10) AS recall FROM curve",
     "d7_average_precision": f"WITH {_CURVE}, e AS (SELECT class_id, MAX(precision) OVER (PARTITION BY class_id ORDER BY score DESC, image_id, box_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env, recall - COALESCE(lag(recall) OVER (PARTITION BY class_id ORDER BY score DESC, image_id, box_id), 0) AS step FROM curve) SELECT class_id, ROUND(SUM(env * step), 6) AS ap FROM e GROUP BY 1",
     "d8_size_bands": f"WITH {_BOXES} SELECT CASE WHEN (x2 - x1) * (y2 - y1) < 1024 THEN 'S' WHEN (x2 - x1) * (y2 - y1) < 9216 THEN 'M' ELSE 'L' END AS band, COUNT(*) AS n FROM boxes GROUP BY 1",
-    "d9_roc_auc": f"WITH {_SCORED} SELECT lang, ROUND(AVG(CASE WHEN p.score > n.score THEN 1e0 WHEN p.score = n.score THEN 0.5e0 ELSE 0e0 END), 6) AS auc FROM (SELECT * FROM scored WHERE y = 1) p JOIN (SELECT * FROM scored WHERE y = 0) n USING (lang) GROUP BY 1",
+    "d9_roc_auc": f"WITH {_SCORED}, a AS (SELECT lang, ROUND(AVG(CASE WHEN p.score > n.score THEN 1e0 WHEN p.score = n.score THEN 0.5e0 ELSE 0e0 END), 6) AS auc FROM (SELECT * FROM scored WHERE y = 1) p JOIN (SELECT * FROM scored WHERE y = 0) n USING (lang) GROUP BY 1) SELECT lang, auc FROM (SELECT DISTINCT lang FROM scored) LEFT JOIN a USING (lang)",
     "d10_pr_auc": f"WITH {_SCORED}, g AS (SELECT score, SUM(y) AS p, COUNT(*) AS m FROM scored GROUP BY 1), w AS (SELECT p, SUM(p) OVER (ORDER BY score DESC) / SUM(m) OVER (ORDER BY score DESC) AS pr, m FROM g) SELECT ROUND(SUM(p * pr) / SUM(p), 6) AS ap, ROUND(SUM(p) / SUM(m), 6) AS baseline FROM w",
     "d11_threshold_sweep": f"WITH {_SWEEP} SELECT threshold, tp, fp, fn, tn, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(f1, 6) AS f1 FROM f",
     "d12_cost": f"WITH {_COST} SELECT threshold, tp, fn, fp, cost FROM k",

@@ -121,7 +121,7 @@ def f25_cross_source_check(spark: SparkSession, d: str) -> DataFrame:
 
 def f26_convert_currency(spark: SparkSession, d: str) -> DataFrame:
     src = "CASE company % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'VND' ELSE 'EUR' END"
-    rows = companies(spark, d).selectExpr("company", "revenue", f"{src} AS a", "CASE company % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'XXX' ELSE 'USD' END AS b")
+    rows = companies(spark, d).selectExpr("company", "floor(revenue) AS revenue", f"{src} AS a", "CASE company % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'XXX' ELSE 'USD' END AS b")
     return rows.select("company", f.convert_currency(F.col("revenue"), F.col("a"), F.col("b")).alias("s")).select("company", "s.amount", "s.error")
 
 
@@ -191,6 +191,6 @@ ORACLES = {
     "f23_data_gaps": f"WITH {_FACTS} SELECT s.company, s.period, r.concept FROM (SELECT DISTINCT company, period FROM facts) s, (VALUES ('REVENUE'), ('EBIT'), ('CFO')) r(concept) WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.company = s.company AND f.period = s.period AND f.concept = r.concept)",
     "f24_period_compare": f"WITH {_FACTS}, p AS (SELECT company, period, value, lag(value) OVER (PARTITION BY company ORDER BY period) AS prior FROM facts WHERE label = 'Total Debt') SELECT company, period, ROUND(prior, 2) AS prior, ROUND(value - prior, 2) AS change, CASE WHEN prior <> 0 THEN ROUND((value - prior) / abs(prior), 4) END AS change_share FROM p",
     "f25_cross_source_check": f"WITH {_FACTS}, base AS (SELECT * FROM facts WHERE label IN ('Total Debt', 'EBIT')), a AS (SELECT * FROM base WHERE fact_id % 13 <> 0), b AS (SELECT company, concept, period, value * (1e0 + (company % 7) * 0.02e0) AS value FROM base WHERE fact_id % 11 <> 0) SELECT * FROM (SELECT COALESCE(a.company, b.company) AS company, COALESCE(a.concept, b.concept) AS concept, COALESCE(a.period, b.period) AS period, CASE WHEN a.value IS NULL THEN 'MISSING_A' WHEN b.value IS NULL THEN 'MISSING_B' WHEN CASE WHEN a.value <> 0 THEN abs(a.value - b.value) / abs(a.value) ELSE abs(b.value) END > 0.05e0 THEN 'MISMATCH' END AS signal FROM a FULL JOIN b ON a.company = b.company AND a.concept = b.concept AND a.period = b.period) WHERE signal IS NOT NULL",
-    "f26_convert_currency": f"WITH {_BASE}, x AS (SELECT company, revenue, CASE company % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 25000e0 ELSE 0.9e0 END AS a, CASE company % 4 WHEN 0 THEN 0.9e0 WHEN 1 THEN NULL ELSE 1e0 END AS b FROM companies) SELECT company, ROUND(revenue / a * b, 2) AS amount, CASE WHEN b IS NULL THEN 'unknown currency' END AS error FROM x",
+    "f26_convert_currency": f"WITH {_BASE}, x AS (SELECT company, floor(revenue) AS revenue, CASE company % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 25000e0 ELSE 0.9e0 END AS a, CASE company % 4 WHEN 0 THEN 0.9e0 WHEN 1 THEN NULL ELSE 1e0 END AS b FROM companies) SELECT company, ROUND(revenue / a * b, 2) AS amount, CASE WHEN b IS NULL THEN 'unknown currency' END AS error FROM x",
     "g9_related_parties": "WITH e AS (SELECT c_custkey AS a, c_custkey * 7 % 1000 + 1 AS b FROM customer), pairs AS (SELECT a AS src, b AS dst FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b) SELECT src, COUNT(*) AS n_related, ROUND(SUM(c_acctbal), 2) AS exposure FROM pairs JOIN customer ON c_custkey = dst GROUP BY 1",
 }

@@ -40,7 +40,7 @@ def q1_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q2_sparse_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _sparse(spark, d).select("query_id", "doc_id", F.round("score", 4).alias("score"))
+    return _sparse(spark, d).select("query_id", "doc_id", F.round("score", 3).alias("score"))
 
 
 def q3_rrf(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +206,7 @@ _EN = "doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
 
 ORACLES = {
     "q1_dense_topk": f"WITH {_dense_sql(10, where='p.label < 5')} SELECT * FROM dense",
-    "q2_sparse_topk": f"WITH {_sparse_sql(20)} SELECT query_id, doc_id, ROUND(score, 4) AS score FROM sparse",
+    "q2_sparse_topk": f"WITH {_sparse_sql(20)} SELECT query_id, doc_id, ROUND(score, 3) AS score FROM sparse",
     "q3_rrf": f"WITH {_dense_sql(20)}, {_sparse_sql(20)}, f AS (SELECT query_id, doc_id, ROUND(SUM(1e0 / (60 + rank)), 10) AS score FROM (SELECT query_id, doc_id, rank FROM dense UNION ALL SELECT query_id, doc_id, rank FROM sparse) GROUP BY 1, 2) SELECT query_id, doc_id, ROUND(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, doc_id) <= 20",
     "q4_hybrid_search": f"WITH {_dense_sql(10, where='p.vec_id IN (SELECT doc_id FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')')}, {_sparse_sql(10, 'p.' + _EN)}, f AS (SELECT query_id, doc_id, ROUND(SUM(1e0 / (60 + rank)), 10) AS score FROM (SELECT query_id, doc_id, rank FROM dense UNION ALL SELECT query_id, doc_id, rank FROM sparse) GROUP BY 1, 2) SELECT query_id, doc_id, ROUND(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, doc_id) <= 10",
     "q5_rerank": f"WITH {_CAND}, sc AS (SELECT query_id, doc_id, {_COVER} AS score FROM cand) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score >= 0.3 QUALIFY rank <= 4",
