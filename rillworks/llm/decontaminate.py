@@ -60,13 +60,13 @@ def _term_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
     return seen, int(got["n"].sum())
 
 
-def _gram(items: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A times basis, for the TF-IDF rows A of all items: each partition's part, summed by block of terms."""
-    sent = items.sparkSession.sparkContext.broadcast((idf, basis))
+def _gram(items: DataFrame, idf: np.ndarray, row: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A times basis, for the TF-IDF rows A of all items and a basis with a row for each term that they have: each partition's part, summed by block of terms."""
+    sent = items.sparkSession.sparkContext.broadcast((idf, row, basis))
     size = 1024
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis = sent.value
+        idf, row, basis = sent.value
         out = np.zeros_like(basis)
         for batch in batches:
             for c in chunks(batch["text"]):
@@ -75,8 +75,8 @@ def _gram(items: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
                     term, tf = np.unique((w.h[lo:hi] & _MASK).astype(np.int64), return_counts=True)
                     x = (tf * idf[term]).astype(np.float32)
                     x /= max(1e-9, float(np.sqrt((x**2).sum())))
-                    out[term] += x[:, None] * (x @ basis[term])
-        for k in range(0, TERMS, size):
+                    out[row[term]] += x[:, None] * (x @ basis[row[term]])
+        for k in range(0, len(basis), size):
             if out[k : k + size].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // size], pa.int32()), pa.array([out[k : k + size].tobytes()], pa.binary())], names=["block", "data"])
 
@@ -86,7 +86,8 @@ def _gram(items: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
 
     out = np.zeros_like(basis)
     for r in items.mapInArrow(part, "block int, data binary").groupBy("block").applyInArrow(add, "block int, data binary").collect():
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.data, np.float32).reshape(size, -1)
+        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.data, np.float32).reshape(-1, basis.shape[1])
+    sent.unpersist()
     return out
 
 
@@ -109,17 +110,17 @@ def build_index(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
                 words.append(w.h)
     if not ids:
         return None
-    k = min(DIMENSIONS + EXTRA, len(ids))
-    basis = np.random.default_rng(11).standard_normal((TERMS, k)).astype(np.float32)
-    for _ in range(ROUNDS):
-        basis = np.linalg.qr(_gram(items, idf, basis))[0].astype(np.float32)
-    inside = basis.T @ _gram(items, idf, basis)
-    values, turn = np.linalg.eigh((inside + inside.T) / 2)
-    basis = basis @ turn[:, ::-1][:, :DIMENSIONS].astype(np.float32)
     used = np.unique(np.concatenate(words) & _MASK).astype(np.int64)
     row = np.full(TERMS, len(used), np.int32)
     row[used] = np.arange(len(used))
-    small = np.vstack([basis[used] * idf[used, None], np.zeros((1, basis.shape[1]), np.float32)])
+    k = min(DIMENSIONS + EXTRA, len(ids), len(used))
+    basis = np.random.default_rng(11).standard_normal((len(used), k)).astype(np.float32)
+    for _ in range(ROUNDS):
+        basis = np.linalg.qr(_gram(items, idf, row, basis))[0].astype(np.float32)
+    inside = basis.T @ _gram(items, idf, row, basis)
+    _, turn = np.linalg.eigh((inside + inside.T) / 2)
+    basis = basis @ turn[:, ::-1][:, :DIMENSIONS].astype(np.float32)
+    small = np.vstack([basis * idf[used, None], np.zeros((1, basis.shape[1]), np.float32)])
     vectors = np.stack([small[row[(h & _MASK).astype(np.int64)]].sum(axis=0) for h in words])
     vectors /= np.maximum(1e-9, np.sqrt((vectors**2).sum(axis=1, keepdims=True)))
     return Index(idf, small, row, vectors, ids, words)
