@@ -15,7 +15,7 @@ TERMS, DIMENSIONS, EXTRA, ROUNDS = 1 << 16, 96, 16, 2
 #: Words of a step and steps of a passage, short and long.
 STEP, SHORT, LONG = 8, 3, 7
 #: The least cosine of a candidate; the least share of an item's words in order; the least share with nearly all of the answer.
-COSINE, COMMON, PARAPHRASE, ANSWER = 0.3, 0.8, 0.55, 0.9
+COSINE, COMMON, PARAPHRASE, ANSWER = 0.3, 0.65, 0.5, 0.8
 #: Letters and digits count, A to Z in lower case; other ASCII characters part words.
 _FOLD = np.where(np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(128, 256)]), np.arange(256), 32).astype(np.uint8)[LOWER]
 _MASK = np.uint64(TERMS - 1)
