@@ -16,7 +16,7 @@ TERMS, DIMENSIONS, EXTRA, ROUNDS = 1 << 16, 96, 16, 2
 STEP, SHORT, LONG = 8, 3, 7
 #: The least cosine of a candidate; the least share of an item's words in order; the least share with nearly all of the answer.
 COSINE, COMMON, PARAPHRASE, ANSWER = 0.3, 0.65, 0.5, 0.8
-#: Letters and digits count, A to Z in lower case; other ASCII characters part words.
+#: Letters and digits count; other ASCII characters part words.
 _FOLD = np.where(np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(128, 256)]), np.arange(256), 32).astype(np.uint8)[LOWER]
 _MASK = np.uint64(TERMS - 1)
 
@@ -97,8 +97,8 @@ def build_index(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
     Null and empty items are left out; None if no item is left. The index holds all items' words and is sent to all tasks: its size is
     the benchmark's, not the corpus's.
     """
-    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
-    seen, n = _term_counts(docs.select(F.col(text_col).alias("text")))
+    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.lower(F.col(item_text)).alias("text")).where("item_id is not null and text is not null")
+    seen, n = _term_counts(docs.select(F.lower(F.col(text_col)).alias("text")))
     idf = np.log((n + 1) / (seen + 1)).astype(np.float32) + np.float32(0.01)
     rows = items.collect()
     ids, words = [], []
@@ -143,12 +143,12 @@ def common(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 def find_leaks(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, common (share of the item's words in order), answer (share of its last sentence's or quarter's words present) for each document and benchmark item that it holds.
 
-    Words are runs of letters and digits. Every text is cut into overlapping passages of 24 and 56 words, a step of 8 apart, without an end left out. A passage is a candidate for
+    Words are runs of letters and digits in lower case. Every text is cut into overlapping passages of 24 and 56 words, a step of 8 apart, without an end left out. A passage is a candidate for
     the items whose cosine with it in latent space is at least COSINE. The longest common subsequence of an item's words with those of the
     passage and as many around it as the item has must hold COMMON of the item, or PARAPHRASE of it and ANSWER of the answer's words. Null and
     empty texts hold nothing; nor does anything without an index. Repeated rows give repeated rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
     schema = "doc_id long, item_id long, cosine double, common double, answer double"
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
