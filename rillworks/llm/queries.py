@@ -79,4 +79,45 @@ QUERIES = {
     for f in (op1_decontaminate, op2_toxicity, op3_html_render, op4_jaccard_join, op5_mix_sources, op6_shards, op7_quality_rules, op8_url_filter, op9_language_id, op10_substring_dedup)
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FITS = "('.' || host) LIKE '%.{0}' AND starts_with(path, '{1}')"
+
+ORACLES = {
+    "op4_jaccard_join": (
+        f"WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents), "
+        "s AS (SELECT DISTINCT doc_id, hash(w[i:i + 4]) AS g FROM w, UNNEST(range(1, greatest(2, len(w) - 3))) u(i) WHERE len(w) > 0), n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1), "
+        "o AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2), "
+        "l AS MATERIALIZED (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both_have >= 80 * (p.n + q.n - both_have)), "
+        "r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.x, r.c FROM r JOIN l ON l.y = r.doc_id) "
+        "SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, m.c AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, MIN(c) AS c FROM r GROUP BY 1) m USING (doc_id)"
+    ),
+    "op5_mix_sources": (
+        f"WITH d AS (SELECT doc_id, source, len({_WORDS.format("COALESCE(text, '')")}) AS size, -ln((CAST('0x' || substr(md5('mix' || doc_id), 1, 13) AS BIGINT) + 1) / 4503599627370498e0) / COALESCE(greatest(0.05e0, length(translate(text, '#*$%&|<>', '')) / NULLIF(length(text), 0)), 0.05e0) AS k FROM documents), "
+        "z AS (SELECT source, SUM(size) AS ss FROM d GROUP BY 1), w AS (SELECT *, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM z), a AS (SELECT *, 3e0 * ss AS stop, 3e0 * ss / w AS reach FROM w), "
+        "v AS (SELECT *, (SUM(ss) OVER () - COALESCE(SUM(stop) OVER (ORDER BY reach, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / SUM(w) OVER (ORDER BY reach, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM a), "
+        "t AS (SELECT source, ss, least(stop, (SELECT arg_min(level, reach) FROM v WHERE level <= reach) * w) AS target FROM v), e AS (SELECT *, CAST(floor(target / NULLIF(ss, 0)) AS BIGINT) AS epochs FROM t), f AS (SELECT *, CAST(round(target) AS BIGINT) - epochs * ss AS rest FROM e), "
+        "x AS (SELECT d.*, f.ss, f.target, f.epochs, f.rest, SUM(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source) "
+        "SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(ss AS BIGINT) AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - (upto - size))) AS BIGINT) AS taken FROM x"
+    ),
+    "op7_quality_rules": (
+        f"WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, {_WORDS.format("COALESCE(text, '')")} AS w FROM documents), k AS (SELECT doc_id, i, hash(w[i:i + 7]) AS g FROM d, UNNEST(range(1, greatest(1, len(w) - 6))) u(i)), "
+        "c AS (SELECT doc_id, COUNT(DISTINCT i + j) AS n FROM (SELECT *, COUNT(*) OVER (PARTITION BY doc_id, g) AS m FROM k), UNNEST(range(0, 8)) u(j) WHERE m > 1 GROUP BY 1), "
+        r"l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d), "
+        "s AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, COALESCE(c.n, 0) AS n_repeat_words, length(t) - length(translate(t, '!', '')) AS bangs, "
+        r"length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s) "
+        "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols > n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines) OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR bangs > n_words OR 2 * letters < word_chars) AS kept FROM b"
+    ),
+    "op8_url_filter": (
+        "WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages), "
+        f"h AS (SELECT page_id, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r), "
+        f"w AS (SELECT *, CASE WHEN {_FITS.format('example.com', '/en/7')} THEN 'example.com/en/7' WHEN {_FITS.format('example.net', '/de/8')} THEN 'example.net/de/8' WHEN {_FITS.format('com', '/en/')} THEN 'com/en/' WHEN {_FITS.format('net', '/de/')} THEN 'net/de/' WHEN {_FITS.format('org', '/es/')} THEN 'org/es/' END AS rule FROM h) "
+        "SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN contains(host, 'spam-farm') THEN 'block' ELSE 'allow' END AS verdict FROM w"
+    ),
+    "op10_substring_dedup": (
+        f"WITH d AS (SELECT doc_id, {_WORDS.format("COALESCE(text, '')")} AS w FROM documents), k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM d, UNNEST(range(1, greatest(1, len(w) - 48))) u(i)), "
+        "o AS (SELECT doc_id, i, MIN(doc_id) OVER (PARTITION BY g) AS first FROM k), c AS (SELECT DISTINCT doc_id, i + j AS p FROM o, UNNEST(range(0, 50)) u(j) WHERE first < doc_id), "
+        "x AS (SELECT d.doc_id, p, w[p] AS word FROM d, UNNEST(range(1, len(w) + 1)) u(p)), y AS (SELECT x.doc_id, COUNT(c.p) AS gone, COALESCE(string_agg(word, ' ' ORDER BY x.p) FILTER (c.p IS NULL), '') AS kept FROM x LEFT JOIN c USING (doc_id, p) GROUP BY 1) "
+        "SELECT d.doc_id, len(w) AS n_words, COALESCE(gone, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)"
+    ),
+}
