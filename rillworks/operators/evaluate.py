@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.vector import cosine
+
 
 def _mean(c: Column, name: str) -> Column:
     return F.round(F.avg(c), 6).alias(name)
@@ -44,6 +46,12 @@ def supported_share(claims: DataFrame, by: str, verdict: str = "supported") -> D
     return claims.groupBy(by).agg(_mean(F.col(verdict).cast("double"), "share"))
 
 
+def answer_relevancy(questions: DataFrame, generated: DataFrame) -> DataFrame:
+    """query_id, relevancy: the mean cosine of a question's vector with those of the questions that its answer would fit."""
+    rows = generated.select("query_id", F.col("vector").alias("_g")).join(questions.select("query_id", "vector"), "query_id")
+    return rows.groupBy("query_id").agg(_mean(cosine(F.col("vector"), F.col("_g")), "relevancy"))
+
+
 def expected_score(rows: DataFrame, key: str, score: str = "score", logprob: str = "logprob") -> DataFrame:
     """The mean score under the softmax of log-probabilities."""
     top = F.max(logprob).over(W.partitionBy(key))

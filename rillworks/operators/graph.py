@@ -48,8 +48,9 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """id, community by label propagation: each round a vertex takes the label that its neighbours' weights favour, the smallest among equals."""
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    """id, community by label propagation: each round a vertex takes the label that its neighbours' weights and, with half of their sum, its own favour, the smallest among equals."""
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
+    both = both.unionByName(both.groupBy("src").agg((F.sum("weight") / 2).alias("weight")).select("src", F.col("src").alias("dst"), "weight"))
     labels = both.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct()
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("v"))

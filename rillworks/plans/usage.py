@@ -33,6 +33,11 @@ def e5_supported_share(spark: SparkSession, d: str) -> DataFrame:
     return e.supported_share(table(spark, d, "events").select("event_type", (F.col("value") > 30).alias("supported")), "event_type")
 
 
+def e6_answer_relevancy(spark: SparkSession, d: str) -> DataFrame:
+    p = points(spark, d)
+    return e.answer_relevancy(dense_queries(spark, d, 50), p.where("doc_id >= 50").select((F.col("doc_id") % 50).alias("query_id"), "vector"))
+
+
 def e7_expected_score(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").selectExpr("l_orderkey AS id", "l_linenumber AS score", "-l_discount * 10 AS logprob")
     return e.expected_score(rows, "id")
@@ -205,7 +210,7 @@ def g8_fact_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    e1_e3_e4_retrieval, e2_answer_recall, e5_supported_share, e7_expected_score, e8_diagnose, e9_field_scores, e10_compare_configs, t1_token_cost, t2_cached_cost, t3_stage_latency, t4_trace_rollup, t5_hard_failures, t6_ab_report, t7_sample_traces, t8_loop_tokens, t9_api_metrics, t10_usage_stats,
+    e1_e3_e4_retrieval, e2_answer_recall, e5_supported_share, e6_answer_relevancy, e7_expected_score, e8_diagnose, e9_field_scores, e10_compare_configs, t1_token_cost, t2_cached_cost, t3_stage_latency, t4_trace_rollup, t5_hard_failures, t6_ab_report, t7_sample_traces, t8_loop_tokens, t9_api_metrics, t10_usage_stats,
     t11_status_mix, t12_rate_violations, t13_escalation_context, t14_conversation_window, t15_last_human_message, t16_merge_messages, t17_save_memory, t18_retrieve_memory, t19_distinct_in_order, t20_collect_tool_outputs, g1_build_graph, g2_check_schema, g3_k_hop, g4_match_count, g5_communities, g6_community_report, g7_global_answer, g8_fact_check,
 )}
 
@@ -225,6 +230,7 @@ ORACLES = {
     "e1_e3_e4_retrieval": f"WITH {_HITS} {_measures(10)}",
     "e2_answer_recall": "WITH a AS (SELECT doc_id AS q, substring(CASE WHEN doc_id % 3 = 0 THEN 'x' || text ELSE text END, 1, 50) AS a FROM documents WHERE doc_id < 50), f AS (SELECT q, MAX(CASE WHEN contains(text, a) THEN 1 ELSE 0 END) AS v FROM a JOIN documents ON doc_id % 50 = q AND doc_id // 50 + 1 <= 3 GROUP BY 1) SELECT ROUND(AVG(v), 6) AS recall FROM f",
     "e5_supported_share": "SELECT event_type, ROUND(AVG(CASE WHEN value > 30 THEN 1e0 ELSE 0e0 END), 6) AS share FROM events GROUP BY 1",
+    "e6_answer_relevancy": "SELECT q.vec_id AS query_id, ROUND(AVG(list_cosine_similarity(q.embedding::DOUBLE[], g.embedding::DOUBLE[])), 6) AS relevancy FROM embeddings q JOIN embeddings g ON g.vec_id % 50 = q.vec_id WHERE q.vec_id < 50 AND g.vec_id >= 50 GROUP BY 1",
     "e7_expected_score": "SELECT l_orderkey AS id, ROUND(SUM(l_linenumber * exp(-l_discount * 10)) / SUM(exp(-l_discount * 10)), 6) AS expected FROM lineitem GROUP BY 1",
     "e8_diagnose": "WITH m AS (SELECT (l_orderkey + l_linenumber) % 10 >= 7 AS r, (l_orderkey * 3 + l_linenumber) % 10 >= 7 AS p, (l_orderkey * 7 + l_linenumber) % 10 >= 7 AS f, (l_orderkey * 11 + l_linenumber) % 10 >= 7 AS a FROM lineitem) SELECT CASE WHEN NOT r AND NOT p AND NOT f THEN 'retriever_broken' WHEN NOT r AND p THEN 'retrieves_too_little' WHEN r AND NOT p THEN 'too_much_noise' WHEN NOT r THEN 'mixed' WHEN NOT f AND a THEN 'hallucination' WHEN f AND NOT a THEN 'off_topic' WHEN NOT f THEN 'weak_model' ELSE 'healthy' END AS \"case\", COUNT(*) AS n FROM m GROUP BY 1",
     "e9_field_scores": "WITH f AS (SELECT p_partkey, p_retailprice * (1 + (p_partkey % 4) * 0.005e0) AS a FROM part WHERE p_partkey % 7 <> 0), g AS (SELECT p_partkey, p_retailprice AS b FROM part WHERE p_partkey % 11 <> 0), j AS (SELECT a, b FROM f FULL JOIN g USING (p_partkey)) SELECT ROUND(COUNT(*) FILTER (abs(a - b) <= 0.01e0 * abs(b)) / COUNT(b), 6) AS numeric_accuracy, ROUND(COUNT(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / COUNT(a), 6) AS precision, ROUND(COUNT(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / COUNT(b), 6) AS recall, ROUND(2 * COUNT(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / (COUNT(a) + COUNT(b)), 6) AS f1 FROM j",
