@@ -18,6 +18,39 @@ def rows(cells: np.ndarray, part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out) if out else ([], [], []), _ARROW)], schema=_ARROW)
 
 
+class Sparse:
+    """A partition's counts by cell, kept sorted: its memory follows the partition's distinct cells, not the sketch's width."""
+
+    def __init__(self, held: int = 1 << 21) -> None:
+        self.at, self.n, self.new, self.size, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0, held
+
+    def add(self, cells: np.ndarray) -> None:
+        self.new.append(cells.astype(np.int64))
+        self.size += len(cells)
+        if self.size >= self.held:
+            self._fold()
+
+    def _fold(self) -> None:
+        at, own = np.unique(np.concatenate([self.at, *self.new]), return_inverse=True)
+        self.n = np.minimum(255, np.bincount(own, np.concatenate([self.n, np.ones(self.size)]), minlength=len(at))).astype(np.int64)
+        self.at, self.new, self.size = at, [], 0
+
+    def rows(self, part: int) -> pa.RecordBatch:
+        self._fold()
+        block = self.at // BLOCK
+        begin = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+        out = []
+        for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(block)).tolist()):
+            off, n = (self.at[lo:hi] % BLOCK).astype(np.uint16), self.n[lo:hi].astype(np.uint8)
+            if 3 * (hi - lo) >= BLOCK:
+                dense = np.zeros(BLOCK, np.uint8)
+                dense[off] = n
+                out.append((int(block[lo]), part, dense.tobytes()))
+            else:
+                out.append((int(block[lo]), part, off.tobytes() + n.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out) if out else ([], [], []), _ARROW)], schema=_ARROW)
+
+
 def _pack(x: np.ndarray) -> bytes:
     at = np.flatnonzero(x)
     if len(at) * 3 >= BLOCK:

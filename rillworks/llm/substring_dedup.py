@@ -77,14 +77,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = max(4, int(np.ceil(np.log2(1 + size / 6 / 2 / (1 << 20)))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.uint8)
-        seen: set[bytes] = set()
+        cells = _sketch.Sparse()
         for batch in batches:
             for c in chunks(batch["text"]):
-                a = Anchored(c, width)
-                at, k = np.unique(a.per_row() >> _U(64 - bits), return_counts=True)
-                cells[at] = np.minimum(cells[at] + k, 2)
-        yield _sketch.rows(cells, TaskContext.get().partitionId())
+                cells.add(Anchored(c, width).per_row() >> _U(64 - bits))
+        yield cells.rows(TaskContext.get().partitionId())
 
     repeated = spark.sparkContext.broadcast(_sketch.merged(docs.where("doc_id is not null").mapInArrow(count, _sketch.SCHEMA), 1 << bits, "repeated"))
 
