@@ -115,9 +115,10 @@ def pr_curve(matched: DataFrame, truths: DataFrame, by: Sequence[str] = ("class_
 
 def average_precision(curve: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
     """by, ap: the area under the highest precision at each recall or above."""
-    w = W.partitionBy(*by).orderBy(F.desc("score"), "image_id", "box_id")
+    place = F.col("cum_tp") + F.col("cum_fp")
+    w = W.partitionBy(*by).orderBy(place)
     # a running maximum from the other end: a frame that follows would be computed anew for each row
-    back = W.partitionBy(*by).orderBy("score", F.desc("image_id"), F.desc("box_id")).rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy(*by).orderBy(place.desc()).rowsBetween(W.unboundedPreceding, 0)
     rows = curve.withColumn("envelope", F.max("precision").over(back)).withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
     return rows.groupBy(*by).agg(F.sum(F.col("envelope") * F.col("step")).alias("ap"))
 
