@@ -96,9 +96,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             doc = np.array([ids[x[0]] for x in held], np.int64)
             out = []
             for k, i in blobs((h >> _U(64 - parts)).astype(np.int64), 1 << parts):
-                own, pos = np.unique(text[i], return_inverse=True)
+                own, own_n = np.unique(text[i], return_counts=True)  # rows are in order of their text
                 name = np.frombuffer(b"".join(held[j][0] for j in own.tolist()), np.uint64)
-                out.append((k, len(own), name.tobytes() + doc[own].tobytes() + h[i].tobytes() + at[i].tobytes() + pos.astype(np.uint32).tobytes()))
+                out.append((k, len(own), name.tobytes() + doc[own].tobytes() + h[i].tobytes() + at[i].tobytes() + own_n.astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["block", "n", "data"])
 
         # a text's smallest id in this partition must be known before it is sent: texts are held until the flush, ids of sent ones go on as new texts
@@ -138,10 +138,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         name, doc, h, at = [], [], [], []
         for k, data in zip(t["n"].to_pylist(), t["data"]):
             data = data.as_buffer()
-            m = (data.size - 16 * k) // 16
-            pos = np.frombuffer(data, np.uint32, m, 16 * k + 12 * m)
-            name.append(np.frombuffer(data, _U, k)[pos])
-            doc.append(np.frombuffer(data, np.int64, k, 8 * k)[pos])
+            m = (data.size - 20 * k) // 12
+            own_n = np.frombuffer(data, np.uint32, k, 16 * k + 12 * m)
+            name.append(np.repeat(np.frombuffer(data, _U, k), own_n))
+            doc.append(np.repeat(np.frombuffer(data, np.int64, k, 8 * k), own_n))
             h.append(np.frombuffer(data, _U, m, 16 * k))
             at.append(np.frombuffer(data, np.uint32, m, 16 * k + 8 * m))
         name, doc, h, at = map(np.concatenate, (name, doc, h, at))
