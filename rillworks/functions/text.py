@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vector import let
+
 #: The default tokenizer: runs of letters, digits and underscores, or one other visible character.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -31,9 +33,12 @@ def count_tokens(text: Column) -> Column:
 
 def split_by_tokens(text: Column, most: int) -> Column:
     """Pieces of `most` tokens, joined by a space; none for a text without tokens."""
-    own = tokens(text)
-    starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(most))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(own, i, most), " "))
+
+    def cut(own: Column) -> Column:
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(most))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, most), " "))
+
+    return let(tokens(text), cut)
 
 
 def split_sentences(text: Column, least: int = 21) -> Column:
