@@ -16,6 +16,8 @@ TERMS, DIMENSIONS, EXTRA, ROUNDS = 1 << 16, 96, 16, 2
 STEP, SHORT, LONG = 8, 3, 7
 #: The least cosine of a candidate; the least share of an item's words in order; the least share with nearly all of the answer.
 COSINE, COMMON, PARAPHRASE, ANSWER = 0.3, 0.65, 0.5, 0.8
+#: The share of its norm that an item must keep in latent space to be sought there only.
+KEPT = 1 - 1e-4
 #: Letters and digits count; other ASCII characters part words.
 _FOLD = np.where(np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(128, 256)]), np.arange(256), 32).astype(np.uint8)[LOWER]
 _MASK = np.uint64(TERMS - 1)
@@ -36,6 +38,45 @@ class Index:
     vectors: np.ndarray
     items: list[int]
     words: list[np.ndarray]
+    rare: "Rare"
+
+
+@dataclass
+class Rare:
+    """Exact search for the items that latent space doesn't hold whole: their rarest words, by hash, with the items of each, and all their terms' weights.
+
+    A passage that shares `need` = PARAPHRASE of an item's n words, in order, has all but n - need of them, hence `hits` of any n - need + hits.
+    """
+
+    seen: np.ndarray  # of each hashed term: a rare word may have it
+    word: np.ndarray
+    first: np.ndarray  # of each word in item; one more at the end
+    item: np.ndarray
+    hits: np.ndarray  # of each item of the index
+    size: np.ndarray  # words of each item
+    key: np.ndarray  # item * TERMS + term, in order
+    weight: np.ndarray  # of each key, of a unit vector
+
+
+def _rare(words: list[np.ndarray], idf: np.ndarray, sought: np.ndarray) -> Rare:
+    size = np.array([len(h) for h in words], np.int64)
+    hits = np.maximum(1, np.ceil(PARAPHRASE * size).astype(np.int64) // 3)
+    pairs, key, weight = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    for j in sought.tolist():
+        h = words[j]
+        some = h[np.argsort(-idf[(h & _MASK).astype(np.int64)], kind="stable")][: len(h) - int(np.ceil(PARAPHRASE * len(h))) + int(hits[j])]
+        some = np.unique(some)
+        pairs.append(np.stack([some, np.full(len(some), j, np.uint64)], axis=1))
+        term, tf = np.unique((h & _MASK).astype(np.int64), return_counts=True)
+        x = tf * idf[term]
+        key.append(j * TERMS + term)
+        weight.append((x / np.sqrt((x**2).sum())).astype(np.float32))
+    pairs = np.concatenate(pairs)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    word, first = np.unique(pairs[:, 0], return_index=True)
+    seen = np.zeros(TERMS, bool)
+    seen[(word & _MASK).astype(np.int64)] = True
+    return Rare(seen, word, np.append(first, len(pairs)), pairs[:, 1].astype(np.int32), hits, size, np.concatenate(key), np.concatenate(weight))
 
 
 def _term_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -94,7 +135,7 @@ def _gram(items: DataFrame, idf: np.ndarray, row: np.ndarray, basis: np.ndarray)
 def build_index(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Index | None:
     """TF-IDF over hashed terms, idf from all documents; a randomised SVD of the items' rows: a random start, power iterations on A'A, each a Spark job that sums partitions' products.
 
-    Null and empty items are left out; None if no item is left. The index holds all items' words and is sent to all tasks: its size is
+    Items that don't keep KEPT of their norm in it are sought by their rarest words besides. Null and empty items are left out; None if no item is left. The index holds all items' words and is sent to all tasks: its size is
     the benchmark's, not the corpus's.
     """
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.lower(F.col(item_text)).alias("text")).where("item_id is not null and text is not null")
@@ -122,8 +163,10 @@ def build_index(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
     basis = basis @ turn[:, ::-1][:, :DIMENSIONS].astype(np.float32)
     small = np.vstack([basis * idf[used, None], np.zeros((1, basis.shape[1]), np.float32)])
     vectors = np.stack([small[row[(h & _MASK).astype(np.int64)]].sum(axis=0) for h in words])
-    vectors /= np.maximum(1e-9, np.sqrt((vectors**2).sum(axis=1, keepdims=True)))
-    return Index(idf, small, row, vectors, ids, words)
+    norm = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    vectors /= np.maximum(1e-9, norm)
+    whole = np.array([np.sqrt(((n * idf[t]) ** 2).sum()) for t, n in (np.unique((h & _MASK).astype(np.int64), return_counts=True) for h in words)])
+    return Index(idf, small, row, vectors, ids, words, _rare(words, idf, np.flatnonzero(norm[:, 0] < KEPT * whole)))
 
 
 def common(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -144,7 +187,7 @@ def find_leaks(docs: DataFrame, index: Index | None, id_col: str = "doc_id", tex
     """doc_id, item_id, cosine, common (share of the item's words in order), answer (share of its last sentence's or quarter's words present) for each document and benchmark item that it holds.
 
     Words are runs of letters and digits in lower case. Every text is cut into overlapping passages of 24 and 56 words, a step of 8 apart, without an end left out. A passage is a candidate for
-    the items whose cosine with it in latent space is at least COSINE. The longest common subsequence of an item's words with those of the
+    the items whose cosine with it is at least COSINE in latent space or, for items that latent space doesn't hold whole, among all terms. The longest common subsequence of an item's words with those of the
     passage and as many around it as the item has must hold COMMON of the item, or PARAPHRASE of it and ANSWER of the answer's words. Null and
     empty texts hold nothing; nor does anything without an index. Repeated rows give repeated rows; other columns are ignored.
     """
@@ -181,17 +224,23 @@ def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
         begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         vec[owner[begin]] = np.add.reduceat(ix.basis[ix.row[term[known]]], begin, axis=0)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    norms = {}
     for wide in (SHORT, LONG):
         v, norm = vec.copy(), weight.copy()
         for k in range(1, wide):
             same = np.flatnonzero(row[k:] == row[:-k])
             v[same] += vec[same + k]
             norm[same] += weight[same + k]
-        cosine = (v @ ix.vectors.T) / np.sqrt(np.maximum(norm, 1e-9))[:, None]
+        norms[wide] = np.sqrt(np.maximum(norm, 1e-9))
+        cosine = (v @ ix.vectors.T) / norms[wide][:, None]
         for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
             key = (int(row[i]), j)
             if key not in best or best[key][0] < cosine[i, j]:
                 best[key] = (float(cosine[i, j]), int(at[i]), wide)
+    for i, j, wide, cos in _exact(ix, w, term, row, first, at, norms):
+        key = (int(row[i]), j)
+        if key not in best or best[key][0] < cos:
+            best[key] = (cos, int(at[i]), wide)
     for (r, j), (cos, start, wide) in best.items():
         item = ix.words[j]
         lo, hi = max(int(w.first[r]), start - len(item)), min(int(w.first[r + 1]), start + wide * STEP + len(item))
@@ -204,3 +253,44 @@ def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
         told = float(np.isin(answer, passage).mean())
         if share >= COMMON or told >= ANSWER:
             yield r, (ix.items[j], cos, share, told)
+
+
+def _exact(ix: Index, w: Words, term: np.ndarray, row: np.ndarray, first: np.ndarray, at: np.ndarray, norms: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
+    """Step, item, width and cosine of the passages with enough of an item's rarest words around them and a cosine of COSINE among all terms."""
+    rare = ix.rare
+    pos = np.flatnonzero(rare.seen[term])
+    if not len(pos):
+        return
+    k = np.minimum(np.searchsorted(rare.word, w.h[pos]), len(rare.word) - 1)
+    ok = rare.word[k] == w.h[pos]
+    pos, k = pos[ok], k[ok]
+    n = rare.first[k + 1] - rare.first[k]
+    item = rare.item[np.repeat(rare.first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+    pos = np.repeat(pos, n)
+    order = np.argsort(item, kind="stable")
+    item, pos = item[order].astype(np.int64), pos[order]
+    # the last of as many hits of an item as it needs, if there are so many
+    own = np.searchsorted(w.first, pos, side="right") - 1
+    last = np.arange(len(item)) + rare.hits[item] - 1
+    ok = np.flatnonzero(last < len(item))
+    end = last[ok]
+    ok = ok[(item[end] == item[ok]) & (own[end] == own[ok]) & (pos[end] - pos[ok] < LONG * STEP + 2 * rare.size[item[ok]])]
+    j, r, lo, hi = item[ok], own[ok], pos[ok], pos[last[ok]]
+    # all steps whose passage, with the item's length around it, holds those hits
+    low = np.maximum(0, -(-(hi - LONG * STEP - rare.size[j] + 1 - w.first[r]) // STEP))
+    high = np.minimum(first[r + 1] - first[r] - 1, (lo + rare.size[j] - w.first[r]) // STEP)
+    n = np.maximum(0, high - low + 1)
+    step = np.repeat(first[r] + low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+    pair = np.unique(np.repeat(j, n) * len(at) + step)
+    for some in np.split(pair, np.arange(4096, len(pair), 4096)):
+        j, step = some // len(at), some % len(at)
+        there = at[step][:, None] + np.arange(LONG * STEP)
+        inside = there < w.first[row[step] + 1][:, None]
+        t = term[np.minimum(there, len(term) - 1)]
+        key = j[:, None] * TERMS + t
+        k = np.minimum(np.searchsorted(rare.key, key), len(rare.key) - 1)
+        x = np.where(inside & (rare.key[k] == key), rare.weight[k] * ix.idf[t], 0)
+        for wide in (SHORT, LONG):
+            cosine = x[:, : wide * STEP].sum(axis=1) / norms[wide][step]
+            for i in np.flatnonzero(cosine >= COSINE).tolist():
+                yield int(step[i]), int(j[i]), wide, float(cosine[i])
