@@ -188,7 +188,8 @@ def find_leaks(docs: DataFrame, index: Index | None, id_col: str = "doc_id", tex
 
     Words are runs of letters and digits in lower case. Every text is cut into overlapping passages of 24 and 56 words, a step of 8 apart, without an end left out. A passage is a candidate for
     the items whose cosine with it is at least COSINE in latent space or, for items that latent space doesn't hold whole, among all terms. The longest common subsequence of an item's words with those of the
-    passage and as many around it as the item has must hold COMMON of the item, or PARAPHRASE of it and ANSWER of the answer's words. Null and
+    passage and as many around it as the item has must hold COMMON of the item, or PARAPHRASE of it and ANSWER of the answer's words. All
+    candidates are held against that; the figures are those of the one with the most in common that meets it. Null and
     empty texts hold nothing; nor does anything without an index. Repeated rows give repeated rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
@@ -223,7 +224,7 @@ def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
         owner = np.searchsorted(at, known, side="right") - 1
         begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         vec[owner[begin]] = np.add.reduceat(ix.basis[ix.row[term[known]]], begin, axis=0)
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    near: dict[tuple[int, int, int], tuple[float, int]] = {}  # of each row, item and step: cosine, and the wider passage, which holds the other
     norms = {}
     for wide in (SHORT, LONG):
         v, norm = vec.copy(), weight.copy()
@@ -234,17 +235,19 @@ def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
         norms[wide] = np.sqrt(np.maximum(norm, 1e-9))
         cosine = (v @ ix.vectors.T) / norms[wide][:, None]
         for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
-            key = (int(row[i]), j)
-            if key not in best or best[key][0] < cosine[i, j]:
-                best[key] = (float(cosine[i, j]), int(at[i]), wide)
+            key = (int(row[i]), j, i)
+            near[key] = (max(float(cosine[i, j]), near.get(key, (0.0, 0))[0]), wide)
     for i, j, wide, cos in _exact(ix, w, term, row, first, at, norms):
-        key = (int(row[i]), j)
-        if key not in best or best[key][0] < cos:
-            best[key] = (cos, int(at[i]), wide)
-    for (r, j), (cos, start, wide) in best.items():
+        key = (int(row[i]), j, i)
+        before = near.get(key, (0.0, 0))
+        near[key] = (max(cos, before[0]), max(wide, before[1]))
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for (r, j, i), (cos, wide) in near.items():
         item = ix.words[j]
-        lo, hi = max(int(w.first[r]), start - len(item)), min(int(w.first[r + 1]), start + wide * STEP + len(item))
+        lo, hi = max(int(w.first[r]), int(at[i]) - len(item)), min(int(w.first[r + 1]), int(at[i]) + wide * STEP + len(item))
         passage = w.h[lo:hi]
+        if np.count_nonzero(np.isin(item, passage)) < PARAPHRASE * len(item):
+            continue  # fewer of the item's words in any order
         size, _ = common(item, passage)
         share = size / len(item)
         if share < PARAPHRASE:
@@ -252,7 +255,9 @@ def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
         answer = item[-max(3, len(item) // 4) :]
         told = float(np.isin(answer, passage).mean())
         if share >= COMMON or told >= ANSWER:
-            yield r, (ix.items[j], cos, share, told)
+            best[r, j] = max(best.get((r, j), (0.0, 0.0, 0.0)), (share, told, cos))
+    for (r, j), (share, told, cos) in best.items():
+        yield r, (ix.items[j], cos, share, told)
 
 
 def _exact(ix: Index, w: Words, term: np.ndarray, row: np.ndarray, first: np.ndarray, at: np.ndarray, norms: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int, float]]:

@@ -22,3 +22,15 @@ def test_thousands_of_items(spark):
     found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, index).collect()}
     lost = want - found
     assert not {x for x in lost if x[0] % 2 == 0} and len(lost) <= 3
+
+
+def test_every_passage_is_checked(spark):
+    item = [f"rare{i}" for i in range(12)]
+    filler = [f"word{i}" for i in range(400)]
+    mixed = " ".join([*filler[:80], *reversed(item), *item[::-1][:6], *filler[80:200]])
+    copy = " ".join(x for k, w in enumerate(item) for x in (w, filler[200 + k], filler[300 + k]))
+    rows = [(1, f"{mixed} {copy} {' '.join(filler[200:300])}"), (2, mixed), *((10 + i, " ".join(filler[i : i + 200])) for i in range(20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = decontaminate.build_index(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    found = decontaminate.find_leaks(docs, index).collect()
+    assert [(r.doc_id, r.item_id, r.common) for r in found] == [(1, 7, 1.0)]
