@@ -230,7 +230,7 @@ def kept(c: Chunk, spans: list[list[int] | None], copy: list[bool | None]) -> It
     np.add.at(take, w.end[~drop], -1)
     take = np.cumsum(take, dtype=np.int8).astype(bool)[:-1]
     after = w.end[~drop]
-    after = after[after < len(c.buf)]
+    after = np.setdiff1d(after[after < len(c.buf)], c.off)  # a row's first byte is not after a word of its own
     after = after[SPACE[c.buf[after]]]
     take[after] = True
     buf = np.where(SPACE[c.buf], np.uint8(0x20), c.buf)
