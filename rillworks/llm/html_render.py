@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas svg math datalist meta link base param source track col colgroup".split())
+HIDDEN = frozenset("script style head title template noscript iframe noembed noframes object audio video canvas datalist meta link base param source track col colgroup".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr caption thead tbody tfoot option optgroup select".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr caption thead tbody tfoot option optgroup select text".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr menu dir".split())
-CLOSES_P = BLOCK - frozenset("body html tr caption thead tbody tfoot li dd dt option optgroup select legend".split())
+CLOSES_P = BLOCK - frozenset("body html tr caption thead tbody tfoot li dd dt option optgroup select legend text".split())
+#: What may stand in <head>; what is not drawn in drawings and formulas.
+HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+UNDRAWN = {"svg": frozenset("defs desc metadata symbol clippath mask marker pattern".split()), "math": frozenset({"annotation", "annotation-xml"})}
 CLOSED_BY = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}),
     "thead": frozenset({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}), "tbody": frozenset({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}),
@@ -58,12 +61,19 @@ def parse(html: str) -> Node:
             if stack[k].tag in wall:
                 return
 
+    def body(text: str) -> None:
+        """Text that isn't blank ends an open head."""
+        while stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            stack.pop()
+
     while at < end:
         m = TOKEN.search(html, at)
         if not m:
+            body(html[at:])
             stack[-1].items.append(html[at:])
             break
         if m.start() > at:
+            body(html[at : m.start()])
             stack[-1].items.append(html[at : m.start()])
         at = m.end()
         tag = m[2]
@@ -78,6 +88,8 @@ def parse(html: str) -> Node:
             else:
                 close(frozenset({tag}), SCOPE - {tag} if tag not in ("table", "body", "html", "tr", "tbody", "thead", "tfoot") else frozenset({"html"}) if tag != "tr" else IN_TABLE)
             continue
+        while tag not in HEAD and stack[-1].tag == "head":
+            stack.pop()
         if tag in CLOSED_BY:
             close_all = CLOSED_BY[tag]
             wall = WALL.get(tag, IN_TABLE)
@@ -91,13 +103,17 @@ def parse(html: str) -> Node:
             stack.append(row)
         elif tag == "body":
             close(frozenset({"head"}), frozenset())
-        node = Node(tag, m[3])
+        drawn = next((x.tag for x in reversed(stack) if x.tag in UNDRAWN), "")
+        node = Node(tag, m[3] + " hidden" if drawn and tag in UNDRAWN[drawn] else m[3])
         stack[-1].items.append(node)
+        ended = m[3].rstrip().endswith("/")
+        if drawn and ended:
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if tag != "plaintext" else None
             node.items.append(html[at : stop.start() if stop else end])
             at = stop.end() if stop else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/") or tag not in VOID and tag in BLOCK:
+        elif tag not in VOID and (not ended or tag in BLOCK):
             stack.append(node)
     return root
 
@@ -115,7 +131,7 @@ def hidden(node: Node) -> bool:
     if "hidden" not in low and "display" not in low and "visibility" not in low and node.tag not in ("input", "dialog", "details"):
         return False
     a = _attributes(node.attrs)
-    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(INVISIBLE.search(a.get("style", ""))) or node.tag == "dialog" and "open" not in a
+    return "hidden" in a or bool(INVISIBLE.search(a.get("style", ""))) or node.tag == "dialog" and "open" not in a
 
 
 class Page:
@@ -160,17 +176,68 @@ def _inline(node: Node) -> str:
     return BLANK.sub(" ", "".join(page.out)).strip()
 
 
+def _holders(table: Node) -> set[int]:
+    """Elements that hold rows or cells of this table besides its own parts, such as forms."""
+    found: set[int] = set()
+    work: list[tuple[Node, tuple | None]] = [(table, None)]
+    while work:
+        x, path = work.pop()
+        for c in x.items:
+            if isinstance(c, str) or c.tag == "table":
+                continue
+            if c.tag in ("tr", "td", "th"):
+                up = path
+                while up and id(up[0]) not in found:
+                    found.add(id(up[0]))
+                    up = up[1]
+            if c.tag not in ("td", "th", "caption"):
+                work.append((c, (c, path)))
+    return found
+
+
 def _rows(table: Node) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    for x in table.items:
-        if isinstance(x, str) or hidden(x):
+    """The table's rows, and as text what stands in it outside of cells."""
+    holders = _holders(table)
+    loose, cells = Node("span", ""), []
+
+    def text() -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+        if loose.items:
+            yield "text", [(_inline(loose), 1, 1)]
+            loose.items = []
+
+    def row() -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+        if cells:
+            yield "row", cells[:]
+            cells.clear()
+
+    work: list = [("one", x) for x in reversed(table.items)]
+    while work:
+        step, x = work.pop()
+        if step == "end":
+            yield from text()
+            yield from row()
+        elif isinstance(x, str):
+            loose.items.append(x)
+        elif hidden(x):
             continue
-        if x.tag in ("thead", "tbody", "tfoot"):
-            yield from _rows(x)
-        elif x.tag == "tr":
-            cells = [c for c in x.items if not isinstance(c, str) and c.tag in ("td", "th") and not hidden(c)]
-            yield "row", [(_inline(c), *(_span(c, k) for k in ("colspan", "rowspan"))) for c in cells]
-        else:
+        elif x.tag in ("td", "th"):
+            yield from text()
+            cells.append((_inline(x), *(_span(x, k) for k in ("colspan", "rowspan"))))
+        elif x.tag in ("tr", "thead", "tbody", "tfoot") or id(x) in holders:
+            yield from text()
+            if x.tag in ("tr", "thead", "tbody", "tfoot"):
+                yield from row()
+                if x.tag == "tr" and id(x) not in holders:  # an empty row still counts for cells over several rows
+                    yield "row", []
+                work.append(("end", x))
+            work += [("one", c) for c in reversed(x.items)]
+        elif x.tag in BLOCK:
+            yield from text()
             yield "text", [(_inline(x), 1, 1)]
+        else:
+            loose.items.append(x)
+    yield from text()
+    yield from row()
 
 
 def _span(cell: Node, name: str) -> int:
@@ -305,7 +372,8 @@ def render_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
     Blocks stand on lines of their own, paragraphs and the like behind a blank one; items have a dash or a number and are indented by
     depth; table cells are aligned in columns; white space is one space but in <pre>. Scripts, styles, the head, hidden and invisible
-    elements and comments are left out. Broken html never fails: open tags end with the page. Null gives an empty text. Repeated rows
+    elements and comments are left out; the head ends at the first text or tag that can't stand in it. What a table holds outside of cells
+    stands before it. Broken html never fails: open tags end with the page. Null gives an empty text. Repeated rows
     stay; other columns are ignored.
     """
 
