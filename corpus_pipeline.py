@@ -11,30 +11,41 @@ from rillworks.llm.mix_sources import mix_sources
 from rillworks.llm.shards import shard
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a key for each row, written so that it stays: ids may be null or repeat."""
+    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language and those that lie between two go; the model learns from three quarters of the rows with a language."""
+    """Documents without a language and those that lie between two go; the model learns from three quarters of the rows with a language. Rows are judged one by one, also those without an id or with the same."""
     model = fit_language_model(docs.where(~fold("doc_id", 4, 2)))
-    found = identify_language(docs, model, gap=0.05)
-    return docs.join(found.where("lang_pred = 'und' or ambiguous").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    found = identify_language(rows, model, id_col="row", gap=0.05).withColumnRenamed("doc_id", "row")
+    return rows.join(found.where("lang_pred = 'und' or ambiguous").select("row"), "row", "left_anti").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the smallest doc_id stays, once; so do all texts without words."""
-    found = jaccard_components(docs)
-    gone = found.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    """Of each component of linked documents the smallest doc_id stays, once, a null one only if there is no other; so do all texts without words. Equal ids with texts that don't link stay."""
+    rows = keyed(docs)
+    found = jaccard_components(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    least = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = found.join(least, "component_id").where("row != first").select("row")
+    return rows.join(gone, "row", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = find_leaks(docs, build_index(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item go, row by row, also those without an id or with the same."""
+    rows = keyed(docs)
+    leaks = find_leaks(rows, build_index(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), id_col="row").withColumnRenamed("doc_id", "row")
+    return rows.join(leaks.select("row").distinct(), "row", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands as often as the mix takes it whole; the one that crosses its source's end stands once more if at least half of it is taken."""
-    mix = mix_sources(docs).select("doc_id", F.round(F.col("taken") / F.greatest(F.lit(1), "size")).cast("int").alias("copies")).dropDuplicates(["doc_id"])
-    return docs.join(mix.where("copies > 0"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """A row stands as often as the mix takes it whole; the one that crosses its source's end stands once more if at least half of it is taken. Null ids and rows that repeat one are taken each by itself."""
+    rows = keyed(docs)
+    mix = mix_sources(rows, row_col="row").select("row", F.round(F.col("taken") / F.greatest(F.lit(1), "size")).cast("int").alias("copies"))
+    return rows.join(mix.where("copies > 0"), "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,20 +34,21 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float
     return rows.withColumn("target", F.least(F.col("stop"), F.coalesce(level, F.lit(float("inf"))) * F.col("w"))).select("source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3, weight: Column | None = None, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3, weight: Column | None = None, seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, taken for each row: the words that the mix takes of it, repeats counted.
 
     A row's size is its number of words, 0 for null and empty texts. Its source's whole epochs take all of it each time; what is left of the
     target goes to rows by the key -ln(u) / weight, u from a hash of the id, the least first, and the row that crosses the end gives the words
     still wanted. So a source's taken words are its target, rounded. A null source is a source; null ids share one u. Rows that repeat
-    an id count one by one; reruns agree. Other columns are ignored.
+    an id count one by one; reruns agree. A column that tells rows apart (row_col, as `row`) is handed through; others are ignored.
 
     A source's rows are never sorted in one task: sums over 4096 ranges of the key find the range that holds the end, and only that is sorted.
     """
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1) / float((1 << 52) + 2)
     key = -F.log(u) / (quality(F.col(text_col)) if weight is None else F.greatest(weight, F.lit(1e-6)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), key.alias("key"))
+    own = [] if row_col is None else [F.col(row_col).alias("row")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), *own, F.size(words(F.col(text_col))).cast("long").alias("size"), key.alias("key"))
     rows = stored(rows.withColumn("range", F.least(F.lit(RANGES - 1), F.floor(RANGES * (1 - F.exp(-F.col("key"))))).cast("int")), "sizes")
     ranges = stored(rows.groupBy("source", "range").agg(F.sum("size").alias("n")), "ranges")
     goal = targets(ranges.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
@@ -63,6 +64,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("s")))
     at_end = F.coalesce(F.col("range") == F.col("end"), F.lit(False))
     plain = rows.where(~at_end).withColumn("part", F.when(F.col("end").isNull() | (F.col("range") < F.col("end")), F.least("size", "left")).otherwise(F.lit(0)))
-    upto = F.sum("size").over(W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    upto = F.sum("size").over(W.partitionBy("source").orderBy("key", "doc_id", "size", *(["row"] if own else [])).rowsBetween(W.unboundedPreceding, 0))
     last = rows.where(at_end).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before") - (upto - F.col("size")))))
-    return plain.unionByName(last).select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    return plain.unionByName(last).select("doc_id", "source", "size", "source_size", "target", "epochs", *(["row"] if own else []), (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
