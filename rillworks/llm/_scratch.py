@@ -7,16 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, one machine) a new temporary folder."""
+    """spark.checkpoint.dir; where it is unset, on one machine only, as in tests, a new temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.rillworks.scratch", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-rillworks-")
         spark.conf.set("spark.rillworks.scratch", at)
     return at
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once and read back: a cut in the lineage that outlives executors."""
+    """The rows, written once and read back: a cut in the lineage that outlives executors. The tables stay until the folder is cleared."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

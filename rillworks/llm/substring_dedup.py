@@ -1,20 +1,17 @@
 """Removal of passages that an earlier document holds, with a count-min prefilter."""
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _sketch
-from ._scratch import stored
-from ._text import SPACE, Chunk, Words, blobs, chunks, long_windows, mix, table, windows
+from ._hot import later_in_group
+from ._text import SPACE, Chunk, Words, blobs, chunks, long_windows, mix, windows
 
-#: Words of the anchors by which windows are counted; cells of the sketch, least and most; windows gathered before they are sent.
-ANCHOR, LEAST, MOST, FLUSH = 8, 20, 29, 1 << 19
+#: Words of the anchors by which windows are counted; cells for each anchor expected; anchors of a block of cells; entries gathered before they are sent.
+ANCHOR, CELLS, BLOCK, FLUSH = 8, 32, 1 << 19, 1 << 19
 _U = np.uint64
 
 
@@ -37,22 +34,41 @@ class Anchored:
             done += step
         self.anchor = low[self.at]
 
-    def per_row(self) -> np.ndarray:
-        """The rows' distinct anchors, once for each row."""
-        if not len(self.at):
-            return self.anchor
+    def per_row(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' distinct anchors, and their rows; runs of one anchor count once."""
         new = np.ones(len(self.at), bool)
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1])
-        a, r = self.anchor[new], self.row[new]
-        order = np.lexsort((a, r))
-        a, r = a[order], r[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
-        return a[new]
+        return self.anchor[new], self.row[new]
 
 
-def _entity(w: Words, lo: int, hi: int) -> bytes:
-    return hashlib.blake2b(w.h[lo:hi].tobytes(), digest_size=8).digest()
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows begin that are alike in all keys."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _packed(key: np.ndarray, n_keys: int, *columns: np.ndarray) -> list[tuple[int, bytes]]:
+    """(key, the columns' values one after the other) for each key."""
+    return [(k, b"".join(x[i].tobytes() for x in columns)) for k, i in blobs(key.astype(np.int64), n_keys)]
+
+
+def _unpacked(data: pa.ChunkedArray, *types: type) -> list[np.ndarray]:
+    """The columns of packed rows, put together again."""
+    size = sum(np.dtype(t).itemsize for t in types)
+    out: list[list[np.ndarray]] = [[] for _ in types]
+    for x in data:
+        buf = x.as_buffer()
+        n, at = buf.size // size, 0
+        for column, t in zip(out, types):
+            column.append(np.frombuffer(buf, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, types)]
+
+
+def _table(rows: list[tuple[int, bytes]], key: str) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], names=[key, "data"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
@@ -60,170 +76,175 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of other characters than space and 9 to 13, unchanged. A word is removed if a window of `width` words of its text covers
     it whose words also start, in a row with a smaller id, a window. All windows are judged on the input. Null, empty and shorter texts
-    lose nothing; of equal texts the smallest id stays as it is judged; rows that repeat an id lose nothing to each other. A row with a null
-    id has no order: it loses nothing and takes nothing. Other columns are ignored.
-
-    1. Each partition counts, in a sketch, its texts' anchors: of a window, the least hash of eight consecutive words inside. Equal windows
-       have equal anchors, so the merged sketch never estimates a window's count too low. The sketch's size follows the input's, between
-       2**20 and 2**29 bits; past that it lets more windows through, and results stay the same.
-    2. Windows whose anchor is estimated to be in two texts or more are grouped by their hash, exactly; the smallest id of each owns it.
-       Texts of equal words are sent once from each partition, with their smallest id.
-    3. Runs of windows with another owner are joined to their texts by id.
+    lose nothing; of equal texts the smallest id stays as it is judged; rows that repeat an id, with whatever texts, are judged one by one and
+    lose nothing to each other. A row with a null id has no order: it loses nothing and takes nothing. Other columns are ignored.
+
+    1. Of rows with equal texts all but those of the smallest id go whole; nothing else is asked of them.
+    2. Each partition sketches its texts' anchors: of a window, the least hash of eight consecutive words inside. Equal windows have equal
+       anchors. The sketch has one row of CELLS cells for each anchor expected, so its load is the same at every size, and a cell counts different
+       texts. It is kept sparse and merged by block of cells, on the executors; a merged cell never holds too few texts. A text that shares
+       a cell with another one in its own partition needs no merging, so a cell has few entries a partition, however common its passage.
+    3. Windows whose cell is estimated to hold two texts or more are grouped by their hash, exactly; the smallest id of each owns it. Of
+       the texts of a partition only the one with the smallest id is held against other partitions'.
+    4. Runs of windows with another owner are joined to their rows by id and text.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(1 + size / 6 * 2 / 43 * 8)), LEAST, MOST))
-    parts = max(4, int(np.ceil(np.log2(1 + size / 6 / 2 / (1 << 20)))))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _sketch.Sparse()
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("name"), F.col(text_col).alias("text"))
+    known = docs.where("doc_id is not null")
+    size, n_rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    anchors = 1 + (size or 0) / 6 * 2 / 43
+    bits = int(np.ceil(np.log2(anchors * CELLS))) + 4
+    blocks = max(4, int(np.ceil(np.log2(1 + anchors / BLOCK))))
+    parts = max(4, int(np.ceil(np.log2(1 + (size or 0) / 12 / (1 << 20)))))
+
+    def part_of(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(mix(doc.view(_U)) + name.view(_U)) >> _U(64 - parts)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def send() -> pa.RecordBatch:
+            cell, name, doc = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, name, cell))
+            order = order[_firsts(cell[order], name[order])]  # a text once a cell, with its smallest id
+            cell, name, doc = cell[order], name[order], doc[order]
+            first = _firsts(cell)
+            many = np.diff(np.append(np.flatnonzero(first), len(cell))) > 1
+            sure = many[np.cumsum(first) - 1]
+            out = _packed(cell[first] >> _U(bits - blocks), 1 << blocks, cell[first], name[first], doc[first], many)
+            out += [(-1 - k, x) for k, x in _packed(part_of(doc[sure], name[sure]), 1 << parts, cell[sure], name[sure], doc[sure])]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["block", "data"])
+
         for batch in batches:
+            doc, name = (batch[k].to_numpy(zero_copy_only=False) for k in ("doc_id", "name"))
             for c in chunks(batch["text"]):
-                cells.add(Anchored(c, width).per_row() >> _U(64 - bits))
-        yield cells.rows(TaskContext.get().partitionId())
+                anchor, row = Anchored(c, width).per_row()
+                if len(anchor):
+                    held.append((anchor >> _U(64 - bits), name[c.lo + row], doc[c.lo + row]))
+                    size += len(anchor)
+                if size >= FLUSH:
+                    yield send()
+                    held, size = [], 0
+        if held:
+            yield send()
+
+    def merge(key: tuple, t: pa.Table) -> pa.Table:
+        """For each part: the texts, with their smallest ids, of the block's cells that hold two or more."""
+        block = key[0].as_py()
+        if block < 0:
+            return _table([(-1 - block, x.as_py()) for x in t["data"]], "part")
+        cell, name, doc, many = _unpacked(t["data"], np.uint64, np.int64, np.int64, np.bool_)
+        order = np.lexsort((doc, name, cell))
+        cell, name, doc, many = cell[order], name[order], doc[order], many[order]
+        own = np.cumsum(_firsts(cell)) - 1
+        several = np.bincount(own, many, minlength=1) > 0
+        keep = _firsts(cell, name)
+        several |= np.bincount(own, keep, minlength=1) > 1
+        keep &= several[own]
+        cell, name, doc = cell[keep], name[keep], doc[keep]
+        return _table(_packed(part_of(doc, name), 1 << parts, cell, name, doc), "part")
 
-    repeated = spark.sparkContext.broadcast(_sketch.merged(docs.where("doc_id is not null").mapInArrow(count, _sketch.SCHEMA), 1 << bits, "repeated"))
+    def gather(key: tuple, t: pa.Table) -> pa.Table:
+        cell, name, doc = _unpacked(t["data"], np.uint64, np.int64, np.int64)
+        order = np.lexsort((cell, name, doc))
+        cell, name, doc = cell[order], name[order], doc[order]
+        at = np.flatnonzero(_firsts(doc, name))
+        ends = np.append(at[1:], len(doc))
+        return pa.Table.from_arrays([pa.array(doc[at], pa.int64()), pa.array(name[at], pa.int64()), pa.array([np.unique(cell[i:j]).tobytes() for i, j in zip(at.tolist(), ends.tolist())], pa.binary())], names=["doc_id", "name", "cells"])
+
+    copies = later_in_group(known.select("doc_id", "name"), "name", "doc_id", n_rows)
+    shared = known.mapInArrow(sketch, "block int, data binary").groupBy("block").applyInArrow(merge, "part int, data binary").groupBy("part").applyInArrow(gather, "doc_id long, name long, cells binary")
+    shared = shared.join(copies, ["doc_id", "name"], "left_anti")
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, int] = {}
-        held: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def send() -> pa.RecordBatch:
-            h, at = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-            text = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x[1]) for x in held])
-            doc = np.array([ids[x[0]] for x in held], np.int64)
-            out = []
-            for k, i in blobs((h >> _U(64 - parts)).astype(np.int64), 1 << parts):
-                own, own_n = np.unique(text[i], return_counts=True)  # rows are in order of their text
-                name = np.frombuffer(b"".join(held[j][0] for j in own.tolist()), np.uint64)
-                out.append((k, len(own), name.tobytes() + doc[own].tobytes() + h[i].tobytes() + at[i].tobytes() + own_n.astype(np.uint32).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["block", "n", "data"])
-
-        # a text's smallest id in this partition must be known before it is sent: texts are held until the flush, ids of sent ones go on as new texts
-        sent: dict[bytes, int] = {}
+            h, at, doc, name = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, h))
+            h, at, doc, name = h[order], at[order], doc[order], name[order]
+            first = _firsts(h)
+            lost = doc > doc[first][np.cumsum(first) - 1]
+            out = _packed(h[~lost] >> _U(64 - parts), 1 << parts, h[~lost], doc[~lost], name[~lost], at[~lost])
+            out += [(-1 - k, x) for k, x in _packed(part_of(doc[lost], name[lost]), 1 << parts, doc[lost], name[lost], at[lost])]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["block", "data"])
+
         for batch in batches:
-            doc = batch["doc_id"].to_numpy(zero_copy_only=False)
+            doc, name, cells = (batch[k].to_numpy(zero_copy_only=False) for k in ("doc_id", "name", "cells"))
             for c in chunks(batch["text"]):
                 a = Anchored(c, width)
-                cell = a.anchor >> _U(64 - bits)
-                hit = (repeated.value[(cell >> _U(3)).astype(np.int64)] >> (_U(7) - (cell & _U(7))).astype(np.uint8)) & 1 == 1
-                at, row = a.at[hit], a.row[hit]
-                if not len(at):
-                    continue
-                h = long_windows(a.w.h, width, 23)[at]
-                cut = np.searchsorted(row, np.arange(c.n + 1))
-                for r in np.flatnonzero(np.diff(cut)).tolist():
+                cell, h = a.anchor >> _U(64 - bits), long_windows(a.w.h, width, 23)
+                cut = np.searchsorted(a.row, np.arange(c.n + 1))
+                for r in range(c.n):
                     lo, hi = int(cut[r]), int(cut[r + 1])
-                    first = int(a.w.first[r])
-                    key, i = _entity(a.w, first, int(a.w.first[r + 1])), int(doc[c.lo + r])
-                    if key in ids:
-                        ids[key] = min(ids[key], i)
-                    elif sent.get(key, i + 1) > i:
-                        ids[key] = i
-                        held.append((key, h[lo:hi], (at[lo:hi] - first).astype(np.uint32)))
-                        size += hi - lo
+                    at = a.at[lo:hi][np.isin(cell[lo:hi], np.frombuffer(cells[c.lo + r], _U))]
+                    n = len(at)
+                    held.append((h[at], (at - int(a.w.first[r])).astype(np.uint32), np.full(n, doc[c.lo + r]), np.full(n, name[c.lo + r])))
+                    size += n
                 if size >= FLUSH:
                     yield send()
-                    sent |= ids
-                    if len(sent) > 1 << 18:
-                        sent = {}
-                    held, size, ids = [], 0, {}
+                    held, size = [], 0
         if held:
             yield send()
 
     def owned(key: tuple, t: pa.Table) -> pa.Table:
-        """For each text of a block of windows: the windows that a smaller id owns."""
-        name, doc, h, at = [], [], [], []
-        for k, data in zip(t["n"].to_pylist(), t["data"]):
-            data = data.as_buffer()
-            m = (data.size - 20 * k) // 12
-            own_n = np.frombuffer(data, np.uint32, k, 16 * k + 12 * m)
-            name.append(np.repeat(np.frombuffer(data, _U, k), own_n))
-            doc.append(np.repeat(np.frombuffer(data, np.int64, k, 8 * k), own_n))
-            h.append(np.frombuffer(data, _U, m, 16 * k))
-            at.append(np.frombuffer(data, np.uint32, m, 16 * k + 8 * m))
-        name, doc, h, at = map(np.concatenate, (name, doc, h, at))
-        order = np.lexsort((doc, name))  # a text's smallest id, of all partitions that hold it
-        new = np.ones(len(name), bool)
-        new[1:] = name[order][1:] != name[order][:-1]
-        doc[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        """For each part: the windows of a block that a smaller id owns."""
+        block = key[0].as_py()
+        if block < 0:
+            return _table([(-1 - block, x.as_py()) for x in t["data"]], "part")
+        h, doc, name, at = _unpacked(t["data"], np.uint64, np.int64, np.int64, np.uint32)
         order = np.lexsort((doc, h))
-        doc, h, at = doc[order], h[order], at[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        lost = doc[np.flatnonzero(new)][np.cumsum(new) - 1] < doc
-        doc, at = doc[lost], at[lost]
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
-        doc, at = doc[new], at[new]
-        out = [(k, doc[i].tobytes() + at[i].tobytes()) for k, i in blobs((mix(doc.view(_U)) >> _U(64 - parts)).astype(np.int64), 1 << parts)]
-        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["part", "data"])
+        h, doc, name, at = h[order], doc[order], name[order], at[order]
+        first = _firsts(h)
+        lost = doc > doc[first][np.cumsum(first) - 1]
+        doc, name, at = doc[lost], name[lost], at[lost]
+        return _table(_packed(part_of(doc, name), 1 << parts, doc, name, at), "part")
 
     def spans(key: tuple, t: pa.Table) -> pa.Table:
         """For each text of a part: the runs of its lost windows, first word and word after the last of each."""
-        doc, at = [], []
-        for x in t["data"]:
-            data = x.as_buffer()
-            doc.append(np.frombuffer(data, np.int64, data.size // 12))
-            at.append(np.frombuffer(data, np.uint32, data.size // 12, data.size // 12 * 8))
-        doc, at = np.concatenate(doc), np.concatenate(at).astype(np.int64)
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > width))
+        doc, name, at = _unpacked(t["data"], np.int64, np.int64, np.uint32)
+        at = at.astype(np.int64)
+        order = np.lexsort((at, name, doc))
+        doc, name, at = doc[order], name[order], at[order]
+        new = _firsts(doc, name)
+        new[1:] |= at[1:] - at[:-1] > width
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(doc)) - 1
-        own = doc[begin]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        first = np.flatnonzero(_firsts(doc[begin], name[begin]))
         runs = np.stack([at[begin], at[end] + width], axis=1).ravel()
         lists = pa.ListArray.from_arrays(pa.array(np.append(2 * first, len(runs)), pa.int32()), pa.array(runs, pa.int64()))
-        return pa.Table.from_arrays([pa.array(own[first], pa.int64()), lists], names=["doc_id", "spans"])
-
-    lost = docs.where("doc_id is not null").mapInArrow(send_windows, "block int, n int, data binary").groupBy("block").applyInArrow(owned, "part int, data binary")
-    lost = lost.groupBy("part").applyInArrow(spans, "doc_id long, spans array<long>")
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for c in chunks(batch["text"]):
-                w = Words(c)
-                for lo, hi in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-                    out.append(_entity(w, lo, hi) if hi - lo >= width else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x and int.from_bytes(x, "little", signed=True) for x in out], pa.int64())], names=["doc_id", "name"])
+        return pa.Table.from_arrays([pa.array(doc[begin][first], pa.int64()), pa.array(name[begin][first], pa.int64()), lists], names=["doc_id", "name", "spans"])
 
-    # of equal texts all but the smallest id go whole
-    named = stored(docs.where("doc_id is not null").mapInArrow(names, "doc_id long, name long").where("name is not null"), "texts")
-    least = named.groupBy("name").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = named.join(least, "name").where("doc_id > least").select("doc_id").distinct().withColumn("copy", F.lit(True))
+    lost = known.join(shared, ["doc_id", "name"]).mapInArrow(send_windows, "block int, data binary").groupBy("block").applyInArrow(owned, "part int, data binary")
+    lost = lost.groupBy("part").applyInArrow(spans, "doc_id long, name long, spans array<long>")
+    marks = lost.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "name", F.lit(None).cast("array<long>").alias("spans"), F.lit(True).alias("copy")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = {k: [] for k in ("n_words", "n_removed", "kept_text", "spans")}
             spans, copy = batch["spans"], batch["copy"].to_pylist()
             for c in chunks(batch["text"]):
-                for n, removed, text, cut in kept(c, [spans[c.lo + i].as_py() for i in range(c.n)], copy[c.lo : c.lo + c.n]):
-                    for k, x in zip(cols, (n, removed, text, cut)):
+                for row in kept(c, [spans[c.lo + i].as_py() for i in range(c.n)], copy[c.lo : c.lo + c.n], width):
+                    for k, x in zip(cols, row):
                         cols[k].append(x)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(cols["n_words"], pa.int64()), pa.array(cols["n_removed"], pa.int64()), pa.array(cols["kept_text"], pa.string()), pa.array(cols["spans"], pa.list_(pa.int64()))], names=["doc_id", *cols])
 
-    judged = docs.join(lost, "doc_id", "left").join(copies, "doc_id", "left")
-    return judged.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string, spans array<long>")
+    judged = known.join(marks, ["doc_id", "name"], "left").unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
+    return judged.select("doc_id", "text", "spans", "copy").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string, spans array<long>")
 
 
-def kept(c: Chunk, spans: list[list[int] | None], copy: list[bool | None]) -> Iterator[tuple[int, int, str, list[int]]]:
-    """Of each row: words, words removed, the kept words joined by a space, the spans."""
+def kept(c: Chunk, spans: list[list[int] | None], copy: list[bool | None], width: int = 50) -> Iterator[tuple[int, int, str, list[int]]]:
+    """Of each row: words, words removed, the kept words joined by a space, the spans. A copy of at least `width` words goes whole."""
     w = Words(c, hashes=False)
     drop = np.zeros(len(w.start), bool)
     for i in range(c.n):
-        lo = int(w.first[i])
-        if copy[i]:
-            drop[lo : w.first[i + 1]] = True
-            spans[i] = [0, int(w.count[i])]
+        lo, hi = int(w.first[i]), int(w.first[i + 1])
+        if copy[i] and hi - lo >= width:
+            spans[i] = [0, hi - lo]
         for a, b in zip((spans[i] or [])[::2], (spans[i] or [])[1::2]):
-            drop[lo + a : lo + b] = True
+            drop[lo + a : min(hi, lo + b)] = True
     # a kept word's bytes, and a space after it
     take = np.zeros(len(c.buf) + 1, np.int8)
     np.add.at(take, w.start[~drop], 1)
