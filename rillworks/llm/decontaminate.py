@@ -1,19 +1,24 @@
 """Benchmark decontamination by latent semantic retrieval, longest common subsequences and answer checks."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._send import received, sent
 from ._text import LOWER, Chunk, Words, chunks
 
 #: Hashed terms, latent dimensions, dimensions beyond that the random start has, rounds of power iteration.
 TERMS, DIMENSIONS, EXTRA, ROUNDS = 1 << 16, 96, 16, 2
 #: Words of a step and steps of a passage, short and long.
 STEP, SHORT, LONG = 8, 3, 7
+#: Words of a long item's parts, which begin half of that apart; bytes of items that one index holds; entries that are held against passages at once.
+PART, BYTES, BLOCK = 56, 1 << 26, 2048
 #: The least cosine of a candidate; the least share of an item's words in order; the least share with nearly all of the answer.
 COSINE, COMMON, PARAPHRASE, ANSWER = 0.3, 0.65, 0.5, 0.8
 #: The share of its norm that an item must keep in latent space to be sought there only.
@@ -30,31 +35,34 @@ def _words(c: Chunk) -> Words:
 
 @dataclass
 class Index:
-    """Benchmark items in latent space: terms' weights and vectors, items' unit vectors and hashed words."""
+    """Benchmark items in latent space: terms' weights and vectors; a unit vector and hashed words of each entry, which is an item or, of a long one, a part; the items' whole words."""
 
     idf: np.ndarray
     basis: np.ndarray
     row: np.ndarray  # of each term in basis; the last row of basis is zero, for terms that no item has
-    vectors: np.ndarray
+    vectors: np.ndarray  # of entries
+    of: np.ndarray  # the item of each entry
     items: list[int]
-    words: list[np.ndarray]
+    words: list[np.ndarray]  # of items
+    word: np.ndarray  # all items' distinct words
+    spelt: list[np.ndarray]  # of items, as numbers in word
     rare: "Rare"
 
 
 @dataclass
 class Rare:
-    """Exact search for the items that latent space doesn't hold whole: their rarest words, by hash, with the items of each, and all their terms' weights.
+    """Exact search for the entries that latent space doesn't hold whole: their rarest words, by hash, with the entries of each, and all their terms' weights.
 
-    A passage that shares `need` = PARAPHRASE of an item's n words, in order, has all but n - need of them, hence `hits` of any n - need + hits.
+    A passage that shares `need` = PARAPHRASE of an entry's n words, in order, has all but n - need of them, hence `hits` of any n - need + hits.
     """
 
     seen: np.ndarray  # of each hashed term: a rare word may have it
     word: np.ndarray
-    first: np.ndarray  # of each word in item; one more at the end
-    item: np.ndarray
-    hits: np.ndarray  # of each item of the index
-    size: np.ndarray  # words of each item
-    key: np.ndarray  # item * TERMS + term, in order
+    first: np.ndarray  # of each word in entry; one more at the end
+    entry: np.ndarray
+    hits: np.ndarray  # of each entry of the index
+    size: np.ndarray  # words of each entry
+    key: np.ndarray  # entry * TERMS + term, in order
     weight: np.ndarray  # of each key, of a unit vector
 
 
@@ -103,11 +111,11 @@ def _term_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 def _gram(items: DataFrame, idf: np.ndarray, row: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'A times basis, for the TF-IDF rows A of all items and a basis with a row for each term that they have: each partition's part, summed by block of terms."""
-    sent = items.sparkSession.sparkContext.broadcast((idf, row, basis))
+    model = items.sparkSession.sparkContext.broadcast((idf, row, basis))
     size = 1024
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, row, basis = sent.value
+        idf, row, basis = model.value
         out = np.zeros_like(basis)
         for batch in batches:
             for c in chunks(batch["text"]):
@@ -128,22 +136,32 @@ def _gram(items: DataFrame, idf: np.ndarray, row: np.ndarray, basis: np.ndarray)
     out = np.zeros_like(basis)
     for r in items.mapInArrow(part, "block int, data binary").groupBy("block").applyInArrow(add, "block int, data binary").collect():
         out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.data, np.float32).reshape(-1, basis.shape[1])
-    sent.unpersist()
+    model.unpersist()
     return out
 
 
-def build_index(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Index | None:
-    """TF-IDF over hashed terms, idf from all documents; a randomised SVD of the items' rows: a random start, power iterations on A'A, each a Spark job that sums partitions' products.
+def build_index(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = BYTES) -> list[Index]:
+    """TF-IDF over hashed terms, idf from all documents; a randomised SVD of the entries' rows: a random start, power iterations on A'A, each a Spark job that sums partitions' products.
 
-    Items that don't keep KEPT of their norm in it are sought by their rarest words besides. Null and empty items are left out; None if no item is left. The index holds all items' words and is sent to all tasks: its size is
-    the benchmark's, not the corpus's.
+    An entry is an item or, of one with more than PART words, a part; the SVD has half as many dimensions as there are items at most. Entries
+    that don't keep KEPT of their norm in it are sought by their rarest words besides. Null and empty items are left out; an item_id that repeats stands for all
+    its texts. An index is sent to all tasks and holds the words of its items, so a benchmark of more than `limit` bytes gives several, each for
+    a part of the items by hash; none is left for a benchmark without words.
     """
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.lower(F.col(item_text)).alias("text")).where("item_id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if not size:
+        return []
     seen, n = _term_counts(docs.select(F.lower(F.col(text_col)).alias("text")))
     idf = np.log((n + 1) / (seen + 1)).astype(np.float32) + np.float32(0.01)
-    rows = items.collect()
+    n_parts = -(-size // limit)
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k) for k in range(n_parts)] if n_parts > 1 else [items]
+    return [x for x in (_index(part, idf) for part in parts) if x is not None]
+
+
+def _index(items: DataFrame, idf: np.ndarray) -> Index | None:
     ids, words = [], []
-    for r in sorted(rows, key=lambda r: r.item_id):
+    for r in sorted(items.collect(), key=lambda r: (r.item_id, r.text)):  # `limit` bytes
         for c in chunks(pa.array([r.text], pa.string())):
             w = _words(c)
             if len(w.h):
@@ -151,22 +169,26 @@ def build_index(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
                 words.append(w.h)
     if not ids:
         return None
+    parts = [(j, h[k : k + PART]) for j, h in enumerate(words) for k in ([0] if len(h) <= PART else [*range(0, len(h) - PART, PART // 2), len(h) - PART])]
+    entries = [h for _, h in parts]
     used = np.unique(np.concatenate(words) & _MASK).astype(np.int64)
     row = np.full(TERMS, len(used), np.int32)
     row[used] = np.arange(len(used))
-    k = min(DIMENSIONS + EXTRA, len(ids), len(used))
+    keep = min(DIMENSIONS, max(1, len(ids) // 2))
+    k = min(keep + EXTRA, len(ids), len(used))
     basis = np.random.default_rng(11).standard_normal((len(used), k)).astype(np.float32)
     for _ in range(ROUNDS):
         basis = np.linalg.qr(_gram(items, idf, row, basis))[0].astype(np.float32)
     inside = basis.T @ _gram(items, idf, row, basis)
     _, turn = np.linalg.eigh((inside + inside.T) / 2)
-    basis = basis @ turn[:, ::-1][:, :DIMENSIONS].astype(np.float32)
+    basis = basis @ turn[:, ::-1][:, :keep].astype(np.float32)
     small = np.vstack([basis * idf[used, None], np.zeros((1, basis.shape[1]), np.float32)])
-    vectors = np.stack([small[row[(h & _MASK).astype(np.int64)]].sum(axis=0) for h in words])
+    vectors = np.stack([small[row[(h & _MASK).astype(np.int64)]].sum(axis=0) for h in entries])
     norm = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
     vectors /= np.maximum(1e-9, norm)
-    whole = np.array([np.sqrt(((n * idf[t]) ** 2).sum()) for t, n in (np.unique((h & _MASK).astype(np.int64), return_counts=True) for h in words)])
-    return Index(idf, small, row, vectors, ids, words, _rare(words, idf, np.flatnonzero(norm[:, 0] < KEPT * whole)))
+    whole = np.array([np.sqrt(((n * idf[t]) ** 2).sum()) for t, n in (np.unique((h & _MASK).astype(np.int64), return_counts=True) for h in entries)])
+    word = np.unique(np.concatenate(words))
+    return Index(idf, small, row, vectors, np.array([j for j, _ in parts]), ids, words, word, [np.searchsorted(word, h) for h in words], _rare(entries, idf, np.flatnonzero(norm[:, 0] < KEPT * whole)))
 
 
 def common(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -183,32 +205,41 @@ def common(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return (~v & full).bit_count(), ~v & full
 
 
-def find_leaks(docs: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, cosine, common (share of the item's words in order), answer (share of its last sentence's or quarter's words present) for each document and benchmark item that it holds.
+def find_leaks(docs: DataFrame, index: Sequence[Index], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, cosine, common (share of the item's words in order), answer (share of its last quarter's words present, three at least) for each document and benchmark item that it holds.
 
     Words are runs of letters and digits in lower case. Every text is cut into overlapping passages of 24 and 56 words, a step of 8 apart, without an end left out. A passage is a candidate for
-    the items whose cosine with it is at least COSINE in latent space or, for items that latent space doesn't hold whole, among all terms. The longest common subsequence of an item's words with those of the
-    passage and as many around it as the item has must hold COMMON of the item, or PARAPHRASE of it and ANSWER of the answer's words. All
-    candidates are held against that; the figures are those of the one with the most in common that meets it. Null and
+    the items with an entry whose cosine with it is at least COSINE in latent space or, for entries that latent space doesn't hold whole, among all terms; a word
+    that a passage repeats adds to its norm as often as it stands there, which is never too much. The longest common subsequence of an item's words with those of the
+    passage and as many around it as the item has must hold COMMON of the item, or PARAPHRASE of it and ANSWER of the answer's words. All candidates are held
+    against that, those that overlap together; the figures are those of the place with the most in common that meets it, the cosine that of the whole item there. Null and
     empty texts hold nothing; nor does anything without an index. Repeated rows give repeated rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
     schema = "doc_id long, item_id long, cosine double, common double, answer double"
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    found = [rows.mapInArrow(_searcher(sent(docs.sparkSession, ix)), schema) for ix in index]
+    if not found:
+        return docs.sparkSession.createDataFrame([], schema)
+    if len(found) == 1:
+        return found[0]
+    # an item_id that repeats may stand in several indexes
+    best = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("common", "answer", "cosine")).alias("x"))
+    return best.select("doc_id", "item_id", "x.cosine", "x.common", "x.answer")
+
 
+def _searcher(index: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index | None = sent.value
+        ix: Index = received(index)
         for batch in batches:
             out = []
-            if ix is not None:
-                ids = batch["doc_id"].to_pylist()
-                for c in chunks(batch["text"]):
-                    w = _words(c)
-                    if len(w.h):
-                        out += [(ids[c.lo + r], *x) for r, x in _search(ix, w, c.n)]
+            ids = batch["doc_id"].to_pylist()
+            for c in chunks(batch["text"]):
+                w = _words(c)
+                if len(w.h):
+                    out += [(ids[c.lo + r], *x) for r, x in _search(ix, w, c.n)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "common", "answer"])
 
-    return rows.mapInArrow(search, schema)
+    return search
 
 
 def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
@@ -224,7 +255,7 @@ def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
         owner = np.searchsorted(at, known, side="right") - 1
         begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         vec[owner[begin]] = np.add.reduceat(ix.basis[ix.row[term[known]]], begin, axis=0)
-    near: dict[tuple[int, int, int], tuple[float, int]] = {}  # of each row, item and step: cosine, and the wider passage, which holds the other
+    near: list[tuple[np.ndarray, np.ndarray]] = []  # of each width: steps and entries
     norms = {}
     for wide in (SHORT, LONG):
         v, norm = vec.copy(), weight.copy()
@@ -233,35 +264,65 @@ def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
             v[same] += vec[same + k]
             norm[same] += weight[same + k]
         norms[wide] = np.sqrt(np.maximum(norm, 1e-9))
-        cosine = (v @ ix.vectors.T) / norms[wide][:, None]
-        for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
-            key = (int(row[i]), j, i)
-            near[key] = (max(float(cosine[i, j]), near.get(key, (0.0, 0))[0]), wide)
-    for i, j, wide, cos in _exact(ix, w, term, row, first, at, norms):
-        key = (int(row[i]), j, i)
-        before = near.get(key, (0.0, 0))
-        near[key] = (max(cos, before[0]), max(wide, before[1]))
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for (r, j, i), (cos, wide) in near.items():
-        item = ix.words[j]
-        lo, hi = max(int(w.first[r]), int(at[i]) - len(item)), min(int(w.first[r + 1]), int(at[i]) + wide * STEP + len(item))
-        passage = w.h[lo:hi]
-        if np.count_nonzero(np.isin(item, passage)) < PARAPHRASE * len(item):
-            continue  # fewer of the item's words in any order
-        size, _ = common(item, passage)
-        share = size / len(item)
-        if share < PARAPHRASE:
-            continue
-        answer = item[-max(3, len(item) // 4) :]
-        told = float(np.isin(answer, passage).mean())
-        if share >= COMMON or told >= ANSWER:
-            best[r, j] = max(best.get((r, j), (0.0, 0.0, 0.0)), (share, told, cos))
-    for (r, j), (share, told, cos) in best.items():
-        yield r, (ix.items[j], cos, share, told)
-
-
-def _exact(ix: Index, w: Words, term: np.ndarray, row: np.ndarray, first: np.ndarray, at: np.ndarray, norms: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
-    """Step, item, width and cosine of the passages with enough of an item's rarest words around them and a cosine of COSINE among all terms."""
+        v /= norms[wide][:, None]
+        for lo in range(0, len(ix.vectors), BLOCK):
+            i, j = np.nonzero(v @ ix.vectors[lo : lo + BLOCK].T >= COSINE)
+            near.append((i, j + lo))
+    near += _exact(ix, w, term, row, first, at, norms)
+    step, entry = (np.concatenate(x) for x in zip(*near))
+    if not len(step):
+        return
+    # the places around candidates, those of one row and item put together where they overlap
+    j, r = ix.of[entry], row[step]
+    size = np.array([len(x) for x in ix.words])
+    lo, hi = np.maximum(w.first[r], at[step] - size[j]), np.minimum(w.first[r + 1], at[step] + LONG * STEP + size[j])
+    order = np.lexsort((lo, j, r))
+    j, r, lo, hi = j[order], r[order], lo[order], hi[order]
+    new = np.append(True, (j[1:] != j[:-1]) | (r[1:] != r[:-1]))
+    group = (np.cumsum(new) - 1) * (len(w.h) + 1)
+    upto = np.maximum.accumulate(hi + group) - group
+    new[1:] |= lo[1:] > upto[:-1]
+    begin = np.flatnonzero(new)
+    word = np.minimum(np.searchsorted(ix.word, w.h), len(ix.word) - 1)
+    word[ix.word[word] != w.h] = len(ix.word)
+    present = np.zeros(len(ix.word) + 1, bool)
+    best: dict[tuple[int, int], tuple[float, float, int, int]] = {}
+    for j, r, lo, hi in zip(j[begin].tolist(), r[begin].tolist(), lo[begin].tolist(), np.maximum.reduceat(hi, begin).tolist()):
+        item, spelt = ix.words[j], ix.spelt[j]
+        most = LONG * STEP + 3 * len(item)  # a longer place is cut so that each candidate's own lies in one piece
+        for a in range(lo, max(lo + 1, hi - most + len(item)), len(item)):
+            some = word[a : min(hi, a + most)]
+            present[some] = True
+            there = present[spelt]
+            present[some] = False
+            if np.count_nonzero(there) < PARAPHRASE * len(item):
+                continue  # fewer of the item's words in any order
+            told = float(there[-max(3, len(item) // 4) :].mean())
+            share = common(item, w.h[a : min(hi, a + most)])[0] / len(item)
+            if share >= COMMON or share >= PARAPHRASE and told >= ANSWER:
+                best[r, j] = max(best.get((r, j), (0.0, 0.0, 0, 0)), (share, told, a, min(hi, a + most)))
+    found: dict[tuple[int, int], tuple] = {}
+    for (r, j), (share, told, a, b) in best.items():
+        key = r, ix.items[j]
+        found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (share, told, _cosine(ix, ix.words[j], w.h[a:b])))
+    for (r, item), (share, told, cos) in found.items():
+        yield r, (item, cos, share, told)
+
+
+def _cosine(ix: Index, item: np.ndarray, place: np.ndarray) -> float:
+    """The highest cosine of an item and as many words of a place as it has, a step apart, by TF-IDF of all terms."""
+
+    def weights(h: np.ndarray) -> dict[int, float]:
+        term, tf = np.unique((h & _MASK).astype(np.int64), return_counts=True)
+        x = tf * ix.idf[term]
+        return dict(zip(term.tolist(), (x / max(1e-9, float(np.sqrt((x**2).sum())))).tolist()))
+
+    own = weights(item)
+    return max(sum(x * own.get(t, 0.0) for t, x in weights(place[k : k + len(item)]).items()) for k in range(0, max(1, len(place) - len(item) + STEP), STEP))
+
+
+def _exact(ix: Index, w: Words, term: np.ndarray, row: np.ndarray, first: np.ndarray, at: np.ndarray, norms: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Steps and entries of the passages with enough of an entry's rarest words around them and a cosine of COSINE among all terms."""
     rare = ix.rare
     pos = np.flatnonzero(rare.seen[term])
     if not len(pos):
@@ -270,7 +331,7 @@ def _exact(ix: Index, w: Words, term: np.ndarray, row: np.ndarray, first: np.nda
     ok = rare.word[k] == w.h[pos]
     pos, k = pos[ok], k[ok]
     n = rare.first[k + 1] - rare.first[k]
-    item = rare.item[np.repeat(rare.first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+    item = rare.entry[np.repeat(rare.first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
     pos = np.repeat(pos, n)
     order = np.argsort(item, kind="stable")
     item, pos = item[order].astype(np.int64), pos[order]
@@ -292,10 +353,10 @@ def _exact(ix: Index, w: Words, term: np.ndarray, row: np.ndarray, first: np.nda
         there = at[step][:, None] + np.arange(LONG * STEP)
         inside = there < w.first[row[step] + 1][:, None]
         t = term[np.minimum(there, len(term) - 1)]
-        key = j[:, None] * TERMS + t
+        inside &= ix.row[t] < len(ix.basis) - 1
+        x = np.zeros(t.shape, np.float32)
+        key, t = (j[:, None] * TERMS + t)[inside], t[inside]
         k = np.minimum(np.searchsorted(rare.key, key), len(rare.key) - 1)
-        x = np.where(inside & (rare.key[k] == key), rare.weight[k] * ix.idf[t], 0)
-        for wide in (SHORT, LONG):
-            cosine = x[:, : wide * STEP].sum(axis=1) / norms[wide][step]
-            for i in np.flatnonzero(cosine >= COSINE).tolist():
-                yield int(step[i]), int(j[i]), wide, float(cosine[i])
+        x[inside] = np.where(rare.key[k] == key, rare.weight[k] * ix.idf[t], 0)
+        ok = np.maximum(x[:, : SHORT * STEP].sum(axis=1) / norms[SHORT][step], x.sum(axis=1) / norms[LONG][step]) >= COSINE
+        yield step[ok], j[ok]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import bounded
+from ._send import received, sent
 from ._text import Chunk, chunks
 
 #: Buckets of hashed byte n-grams; rows of a language that train, about.
@@ -132,10 +133,10 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     A null text and one without a letter of any script are `und` with score 0, not ambiguous; so is every row if no language was learned.
     Ties go to the first language by name. Repeated rows stay; other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = received(held)
         for batch in batches:
             lang, score, unsure = [], [], []
             for c in chunks(batch["text"]):

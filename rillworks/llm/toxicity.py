@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import bounded
+from ._send import received, sent
 from ._text import SPACE, Chunk, chunks
 
 #: Decay of a subsequence for each character that it spans; the most that three letters may span; landmarks of each class; rows of a class that train, about.
@@ -249,10 +250,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     Null and empty texts score as a text without any word does, low. Repeated rows stay; other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = received(held)
         for batch in batches:
             out, worst = [], []
             for c in chunks(batch["text"]):

@@ -34,3 +34,40 @@ def test_every_passage_is_checked(spark):
     index = decontaminate.build_index(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
     found = decontaminate.find_leaks(docs, index).collect()
     assert [(r.doc_id, r.item_id, r.common) for r in found] == [(1, 7, 1.0)]
+
+
+def test_long_items_decoys_and_plain_search(spark):
+    rng = np.random.default_rng(5)
+    vocab = np.array([f"v{i}" for i in range(5000)])
+    share = 1 / np.arange(3, 5003)
+    share /= share.sum()
+    draw = lambda n: list(rng.choice(vocab, n, p=share))
+    items = {i: draw(n) for i, n in enumerate([2000, 800, 300, 120, *rng.integers(8, 60, 60).tolist()])}
+    docs = {}
+    for i, w in items.items():
+        docs[10 * i] = w
+        docs[10 * i + 1] = [*w[: len(w) // 3] * 40, *draw(30), *w]  # a decoy before the whole
+        docs[10 * i + 2] = [x for k, x in enumerate(w) if k % 4 != 3]
+        docs[10 * i + 3] = draw(2 * len(w))
+        docs[10 * i + 4] = w[::-1]
+    extra = [(-1 - i, " ".join(draw(60))) for i in range(300)]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()] + [(9999, None), (9998, ""), (9997, " ")], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(None, "x y z"), (7777, None), (7778, "")], "item_id long, text string")
+
+    def shared(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for k, y in enumerate(b, 1):
+                before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+        return row[-1]
+
+    want = {(d, i) for i, w in items.items() for d in range(10 * i, 10 * i + 3) if len(w) * len(docs[d]) > 4e6 or shared(w, docs[d]) >= 0.65 * len(w)}
+    for limit in (decontaminate.BYTES, 12_000):  # one index, or several
+        index = decontaminate.build_index(rows.unionByName(spark.createDataFrame(extra, rows.schema)), bench, limit=limit)
+        assert (len(index) > 1) == (limit == 12_000)
+        out = decontaminate.find_leaks(rows, index).collect()
+        found = {(r.doc_id, r.item_id) for r in out if r.doc_id % 10 < 3}
+        assert len(want - found) <= 0.02 * len(want) and {(10 * i, i) for i in items} | {(10 * i + 1, i) for i in items} <= found
+        assert not {(r.doc_id, r.item_id) for r in out if r.doc_id % 10 > 2} and all(r.cosine <= 1.0001 for r in out)
+        assert all(r.common == 1 and abs(r.cosine - 1) < 1e-4 for r in out if r.doc_id == 10 * r.item_id)
