@@ -1,7 +1,7 @@
 """HTML to text as laid out: a tree with implied tags, visibility, blocks, lists and tables with aligned cells."""
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -17,6 +17,8 @@ BLOCK = frozenset(
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr menu dir".split())
 CLOSES_P = BLOCK - frozenset("body html tr caption thead tbody tfoot li dd dt option optgroup select legend text".split())
+#: The most columns and rows that a cell takes.
+SPANS = {"colspan": 1000, "rowspan": 65534}
 #: What may stand in <head>; what is not drawn in drawings and formulas.
 HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 UNDRAWN = {"svg": frozenset("defs desc metadata symbol clippath mask marker pattern".split()), "math": frozenset({"annotation", "annotation-xml"})}
@@ -29,7 +31,11 @@ WALL = {"li": frozenset("ul ol menu dir table".split()), "dt": frozenset({"dl"})
 IN_TABLE = frozenset({"table"})
 SCOPE = frozenset("table td th caption html".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^<]*\Z", re.S)
+#: Comments and declarations; a tag, in which quotes count behind an equals sign; a tag up to the first >; a tag that never ends.
+OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+TOKEN = re.compile(OTHER + r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.S)
+PLAIN = re.compile(OTHER + r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>", re.S)
+BEGUN, CUT = re.compile(r"</?[a-zA-Z]"), re.compile(r"<[a-zA-Z/][^<]*\Z")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -46,82 +52,106 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(text)}
 
 
+class Stack:
+    """The open elements, and where those of each tag stand among them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.at = [root], {}
+
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.top().items.append(node)
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost of these; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, k: int) -> None:
+        for x in self.nodes[k:]:
+            self.at[x.tag].pop()
+        del self.nodes[k:]
+
+    def close(self, tags: frozenset[str], wall: frozenset[str]) -> bool:
+        """Ends the innermost open element of these tags, and all in it, unless a wall stands inside."""
+        k = self.last(tags)
+        if not k or k < self.last(wall):
+            return False
+        self.cut(k)
+        return True
+
+
 def parse(html: str) -> Node:
-    """The tree: tags that others imply are closed or opened, an end tag without a start is dropped, all that is open ends with the text."""
+    """The tree: tags that others imply are closed or opened, an end tag without a start is dropped, all that is open ends with the text.
+
+    A tag whose quotes leave it without an end makes quotes count for nothing from there on, so no text is read more than twice."""
     root = Node("#root", "")
-    stack = [root]
-    at, end = 0, len(html)
-
-    def close(names: frozenset[str], wall: frozenset[str]) -> None:
-        """Ends the innermost open tag of these names, and all in it, up to a wall."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in wall:
-                return
-
-    def body(text: str) -> None:
+    stack = Stack(root)
+    at, end, token, last = 0, len(html), TOKEN, html.rfind(">")
+
+    def text(s: str) -> None:
         """Text that isn't blank ends an open head."""
-        while stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
-            stack.pop()
+        while stack.top().tag == "head" and s.strip(" \t\n\r\f"):
+            stack.cut(len(stack.nodes) - 1)
+        stack.top().items.append(s)
 
     while at < end:
-        m = TOKEN.search(html, at)
+        begin, m = html.find("<", at), None
+        while begin >= 0:
+            m = token.match(html, begin) if begin <= last or html.startswith(("<!", "<?"), begin) else None
+            if not m and token is TOKEN and begin <= last and BEGUN.match(html, begin):
+                token = PLAIN
+                continue
+            if m or (m := CUT.match(html, begin)):
+                break
+            begin = html.find("<", begin + 1)
         if not m:
-            body(html[at:])
-            stack[-1].items.append(html[at:])
+            text(html[at:])
             break
-        if m.start() > at:
-            body(html[at : m.start()])
-            stack[-1].items.append(html[at : m.start()])
+        if begin > at:
+            text(html[at:begin])
         at = m.end()
-        tag = m[2]
+        tag = m[2] if m.re.groups else None
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].items.append(Node("p", ""))
+            if tag == "p" and not stack.at.get("p"):
+                stack.top().items.append(Node("p", ""))
             elif tag == "br":
-                stack[-1].items.append(Node("br", ""))
+                stack.top().items.append(Node("br", ""))
             else:
-                close(frozenset({tag}), SCOPE - {tag} if tag not in ("table", "body", "html", "tr", "tbody", "thead", "tfoot") else frozenset({"html"}) if tag != "tr" else IN_TABLE)
+                stack.close(frozenset({tag}), SCOPE - {tag} if tag not in ("table", "body", "html", "tr", "tbody", "thead", "tfoot") else frozenset({"html"}) if tag != "tr" else IN_TABLE)
             continue
-        while tag not in HEAD and stack[-1].tag == "head":
-            stack.pop()
+        while tag not in HEAD and stack.top().tag == "head":
+            stack.cut(len(stack.nodes) - 1)
         if tag in CLOSED_BY:
-            close_all = CLOSED_BY[tag]
-            wall = WALL.get(tag, IN_TABLE)
-            while any(x.tag in close_all for x in stack[_last(stack, wall) + 1 :]):
-                close(close_all, wall)
+            while stack.close(CLOSED_BY[tag], WALL.get(tag, IN_TABLE)):
+                pass
         if tag in CLOSES_P:
-            close(frozenset({"p"}), SCOPE | {"button"})
-        elif tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr", "")
-            stack[-1].items.append(row)
-            stack.append(row)
+            stack.close(frozenset({"p"}), SCOPE | {"button"})
+        elif tag in ("td", "th") and stack.top().tag in ("table", "tbody", "thead", "tfoot"):
+            stack.push(Node("tr", ""))
         elif tag == "body":
-            close(frozenset({"head"}), frozenset())
-        drawn = next((x.tag for x in reversed(stack) if x.tag in UNDRAWN), "")
+            stack.close(frozenset({"head"}), frozenset())
+        k = stack.last(UNDRAWN)
+        drawn = stack.nodes[k].tag if k else ""
         node = Node(tag, m[3] + " hidden" if drawn and tag in UNDRAWN[drawn] else m[3])
-        stack[-1].items.append(node)
         ended = m[3].rstrip().endswith("/")
-        if drawn and ended:
-            continue
-        if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if tag != "plaintext" else None
-            node.items.append(html[at : stop.start() if stop else end])
-            at = stop.end() if stop else end
-        elif tag not in VOID and (not ended or tag in BLOCK):
-            stack.append(node)
+        if tag in RAW or tag in VOID or ended and (drawn or tag not in BLOCK):
+            stack.top().items.append(node)
+            if tag in RAW and not (drawn and ended):
+                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if tag != "plaintext" else None
+                node.items.append(html[at : stop.start() if stop else end])
+                at = stop.end() if stop else end
+        else:
+            stack.push(node)
     return root
 
 
-def _last(stack: list[Node], names: frozenset[str]) -> int:
-    return next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in names), 0)
-
-
 def hidden(node: Node) -> bool:
     if node.tag in HIDDEN:
         return True
@@ -169,10 +199,10 @@ class Page:
             self.want(1)
 
 
-def _inline(node: Node) -> str:
+def _inline(node: Node, tables: dict[int, list[str]]) -> str:
     """A cell's text on one line."""
     page = Page()
-    _walk(node, page, 0)
+    _walk(node, page, tables)
     return BLANK.sub(" ", "".join(page.out)).strip()
 
 
@@ -195,14 +225,14 @@ def _holders(table: Node) -> set[int]:
     return found
 
 
-def _rows(table: Node) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+def _rows(table: Node, tables: dict[int, list[str]]) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """The table's rows, and as text what stands in it outside of cells."""
     holders = _holders(table)
     loose, cells = Node("span", ""), []
 
     def text() -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
         if loose.items:
-            yield "text", [(_inline(loose), 1, 1)]
+            yield "text", [(_inline(loose, tables), 1, 1)]
             loose.items = []
 
     def row() -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
@@ -222,7 +252,7 @@ def _rows(table: Node) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
             continue
         elif x.tag in ("td", "th"):
             yield from text()
-            cells.append((_inline(x), *(_span(x, k) for k in ("colspan", "rowspan"))))
+            cells.append((_inline(x, tables), *(_span(x, k) for k in ("colspan", "rowspan"))))
         elif x.tag in ("tr", "thead", "tbody", "tfoot") or id(x) in holders:
             yield from text()
             if x.tag in ("tr", "thead", "tbody", "tfoot"):
@@ -233,7 +263,7 @@ def _rows(table: Node) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
             work += [("one", c) for c in reversed(x.items)]
         elif x.tag in BLOCK:
             yield from text()
-            yield "text", [(_inline(x), 1, 1)]
+            yield "text", [(_inline(x, tables), 1, 1)]
         else:
             loose.items.append(x)
     yield from text()
@@ -241,49 +271,54 @@ def _rows(table: Node) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
 
 
 def _span(cell: Node, name: str) -> int:
+    """How many columns or rows a cell takes, up to the most that HTML has."""
     if name not in cell.attrs.lower():
         return 1
     v = _attributes(cell.attrs).get(name, "1").strip()
-    return min(100, max(1, int(v))) if v.isdecimal() and len(v) < 5 else 1
+    return min(SPANS[name], max(1, int(v))) if v.isdecimal() and len(v) < 10 else 1
 
 
-def _table(node: Node, page: Page) -> None:
-    """Cells in columns as wide as their widest text, two spaces apart; a cell over several columns or rows keeps the others in place."""
-    grid: list[list[tuple[str, int] | None]] = []
-    down: dict[int, int] = {}
-    for kind, cells in _rows(node):
+def _lines(node: Node, tables: dict[int, list[str]]) -> list[str]:
+    """A table's lines: cells in columns as wide as their widest text, two spaces apart; a cell over several columns or rows keeps the others in place. Text outside of cells stands before its row."""
+    out: list[str | list[tuple[int, str]]] = []
+    width: dict[int, int] = {}
+    down: dict[int, int] = {}  # of columns: rows that a cell above still takes
+    for kind, cells in _rows(node, tables):
         if kind == "text":
             if cells[0][0]:
-                page.put(cells[0][0])
-                page.want(1)
+                out.append(cells[0][0])
             continue
-        row: list[tuple[str, int] | None] = []
+        row, at, taken = [], 0, {}
         for text, wide, deep in cells:
-            while down.get(len(row), 0):
-                row.append(("", 1))
-            at = len(row)
-            row += [(text, wide)] + [None] * (wide - 1)
-            for k in range(at, at + wide):
-                if deep > 1:
-                    down[k] = deep
-        down = {k: v - 1 for k, v in down.items() if v > 1}
-        grid.append(row)
-    width: dict[int, int] = {}
-    for row in grid:
-        for k, cell in enumerate(row):
-            if cell and cell[1] == 1:
-                width[k] = max(width.get(k, 0), len(cell[0]))
-    for row in grid:
+            while down.get(at, 0):
+                at += 1
+            row.append((at, text))
+            width[at] = max(width.get(at, 0), len(text) if wide == 1 else 0)
+            if deep > 1:
+                taken.update(dict.fromkeys(range(at, at + wide), deep))
+            at += wide
+        down = {k: v - 1 for k, v in (down | taken).items() if v > 1}
+        out.append(row)
+    start, x = {}, 0
+    for k in sorted(width):
+        start[k] = x
+        x += width[k] + 2
+    lines = []
+    for row in out:
+        if isinstance(row, str):
+            lines.append(row)
+            continue
         line = ""
-        for k, cell in enumerate(row):
-            if cell:
-                line += cell[0].ljust(sum(width.get(j, 0) for j in range(k, k + cell[1])) + 2 * (cell[1] - 1)) + "  "
-        if line.strip():
-            page.put(line.rstrip())
-            page.want(1)
+        for k, text in row:
+            if text:
+                line = line.ljust(max(start[k], len(line) + 2 if line else 0)) + text
+        if line:
+            lines.append(line)
+    return lines
 
 
-def _walk(node: Node, page: Page, depth: int, pre: bool = False) -> None:
+def _walk(node: Node, page: Page, tables: dict[int, list[str]], pre: bool = False) -> None:
+    """Writes what is visible in a node; tables inside are known by their lines."""
     work: list[tuple] = [("items", node, pre)]
     while work:
         step, x, pre = work.pop()
@@ -337,9 +372,9 @@ def _walk(node: Node, page: Page, depth: int, pre: bool = False) -> None:
                 a = _attributes(x.attrs)
                 if a.get("type", "text").lower() not in ("hidden", "password", "checkbox", "radio", "file", "image") and a.get("value"):
                     page.text(a["value"])
-            elif tag == "table" and depth < 20:
+            elif tag == "table":
                 page.want(2)
-                _table_at(x, page, depth)
+                page.lines(tables[id(x)])
                 page.want(2)
             elif tag in BLOCK or tag in ("td", "th"):
                 n = 2 if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and page.indent) else 1
@@ -354,16 +389,22 @@ def _walk(node: Node, page: Page, depth: int, pre: bool = False) -> None:
                 work.append(("items", x, pre or tag in ("textarea", "listing", "xmp")))
 
 
-def _table_at(node: Node, page: Page, depth: int) -> None:
-    _table(node, page)
-
-
 def render(html: str | None) -> str:
     """A page's visible text. Null and pages without any give an empty text."""
     if not html:
         return ""
+    root = parse(html)
+    found, work = [], [root]
+    while work:
+        x = work.pop()
+        if x.tag == "table":
+            found.append(x)
+        work += [c for c in x.items if isinstance(c, Node)]
+    tables: dict[int, list[str]] = {}
+    for x in reversed(found):  # inner ones first
+        tables[id(x)] = _lines(x, tables)
     page = Page()
-    _walk(parse(html), page, 0)
+    _walk(root, page, tables)
     return "".join(page.out).strip("\n").rstrip()
 
 
