@@ -15,9 +15,15 @@ from ._send import received, sent
 from ._text import SPACE, Chunk, chunks
 
 #: Decay of a subsequence for each character that it spans; the most that three letters may span; landmarks of each class; rows of a class that train, about.
-DECAY, SPAN, LANDMARKS, PER_CLASS = 0.7, 5, (240, 80), 1000
+DECAY, SPAN, LANDMARKS, PER_CLASS = 0.9, 5, (160, 40), 1000
+#: Added to a unit's squared norm, so that one of three letters isn't as near to a longer one that has them as its own kind are.
+SMOOTH = 0.2
+#: The least share of toxic rows that have a telling pair.
+PAIRS = 0.03
+#: Sets of disguised witnesses; how many rows one weighs as.
+COPIES, SHARE = 1, 0.5
 #: The margin of a text without a unit, and the least.
-LOW = -2.0
+LOW = -3.0
 #: How much more frequent in toxic rows a telling unit is; rounds; one of how many other pairs trains; clean units that train, drawn and scored highest; units among which landmarks are chosen; the longest unit that trains.
 TELLS, ROUNDS, OTHERS, EASY, HARD, SPREAD, LONGEST = 4, 3, 64, 6000, 4000, 3000, 60
 #: Letters regardless of case are 1 to 26, continuation bytes 27 to 31; all else is a gap.
@@ -36,6 +42,7 @@ class ToxicityModel:
     slope: float
     offset: float
     landmarks: list[str]
+    pairs: bool = False  # whether two neighbours may tell what neither does
 
 
 class Units:
@@ -107,8 +114,8 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at.append(code[k])
             weight.append(np.full(len(k), DECAY**span))
     row, at, weight = map(np.concatenate, (row, at, weight))
-    norm = np.sqrt(np.bincount(row, weight**2, minlength=len(words)))
-    return row, at, weight / np.maximum(norm[row], 1e-9)
+    norm = np.sqrt(np.bincount(row, weight**2, minlength=len(words)) + SMOOTH)
+    return row, at, weight / norm[row]
 
 
 def _kernel(words: list[str], dense: np.ndarray) -> np.ndarray:
@@ -153,9 +160,9 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, text_col: str = "text
     """Trains on about `most` rows with label 1 and three times as many with label 0 at most, whole texts, as bags of units: words of three letters or more, up to LONGEST, and pairs of neighbours.
 
     A row's label holds for its bag, and a toxic row may have no toxic unit that can be told. A unit tells only if it is TELLS times as frequent in toxic rows
-    as in others, with one standard error to spare; pairs are taken up where neither word tells alone, besides a sample of other ones. The first
+    as in others, with one standard error to spare; pairs are taken up, besides a sample of others, if there are any in PAIRS of the toxic rows that tell where neither word does, with three. The first
     witnesses are the toxic rows' units with the four letters that most tell the classes apart; then the machine's own choice among units that aren't as frequent in clean rows,
-    against the clean rows' units that it scores highest, for ROUNDS rounds. A fifth of the rows, by a hash of the id, chooses the round and sets the probabilities, over their whole texts. Units of
+    against the clean rows' units that it scores highest, for ROUNDS rounds. A fifth of the rows, by a hash of the id, chooses the round and sets where the score is one half, over their whole texts. Units of
     either class also train with gaps and with a letter put in. Landmarks are spread over the witnesses and over clean units. Their maps and the machine's
     weights add up to one table, so that a unit's sum costs as much for a thousand landmarks as for one.
 
@@ -183,22 +190,23 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, text_col: str = "text
 
     bags = stored(rows.mapInArrow(units, "id string, y int, own array<string>, pairs array<string>"), "units")
 
-    def counts(column: str) -> DataFrame:
+    def counts(column: str, errors: int) -> DataFrame:
         got = bags.select("y", F.explode(column).alias("x")).groupBy("x").agg(F.sum("y").alias("b"), F.sum(1 - F.col("y")).alias("a"))
-        return got.where((F.col("b") - F.sqrt("b")) * n[0] > TELLS * n[1] * (F.col("a") + 1))
+        return got.where((F.col("b") - errors * F.sqrt("b")) * n[0] > TELLS * n[1] * (F.col("a") + 1))
 
-    tell = counts("own").select("x")
-    pairs = counts("pairs").withColumn("w", F.split("x", " "))
+    tell = counts("own", 1).select("x")
+    pairs = counts("pairs", 3).where(F.col("b") >= PAIRS * n[1]).withColumn("w", F.split("x", " "))
     pairs = pairs.join(tell.withColumnRenamed("x", "w0"), F.col("w")[0] == F.col("w0"), "left_anti").join(tell.withColumnRenamed("x", "w1"), F.col("w")[1] == F.col("w1"), "left_anti")
-    named = bags.select("id", F.monotonically_increasing_id().alias("k"), F.explode("pairs").alias("x"))
-    named = named.join(pairs.select("x", F.lit(True).alias("tells")), "x", "left").where(F.col("tells") | (F.pmod(F.xxhash64("x"), F.lit(OTHERS)) == 0)).groupBy("id").agg(F.collect_set("x").alias("taken"))
-    got = bags.join(named, "id", "left").select("id", "y", F.array_sort(F.concat("own", F.coalesce("taken", F.array().cast("array<string>")))).alias("bag")).collect()
+    told = [r.x for r in pairs.select("x").collect()]  # each in PAIRS of the toxic rows
+    taken = F.filter("pairs", lambda x: x.isin(told) | (F.pmod(F.xxhash64(x), F.lit(OTHERS)) == 0)) if told else F.array().cast("array<string>")
+    got = bags.select("id", "y", F.array_sort(F.concat("own", taken)).alias("bag")).collect()
     got.sort(key=lambda r: (r.id, r.y, r.bag))
     aside = np.array([_aside(r.id) for r in got], bool)
     model = train([r.bag for r in got], np.array([r.y for r in got], np.int8), aside)
-    if model.landmarks:  # probabilities of whole texts
+    model.pairs = bool(told)
+    if model.landmarks:  # scores of whole texts
         held = [(r.y, r.margin) for r in _margins(rows, model, ["id", "y"]).select("id", "y", "margin").collect() if not aside.any() or _aside(r.id)]
-        model.slope, model.offset, _ = _probability(np.array([m for _, m in held]), np.array([y for y, _ in held], float))
+        model.slope, model.offset, _ = _cutoff(np.array([m for _, m in held]), np.array([y for y, _ in held], float))
     return model
 
 
@@ -242,15 +250,15 @@ def train(bags: list[list[str]], y: np.ndarray, aside: np.ndarray) -> ToxicityMo
         if not witness:
             break
         good = sorted(witness)
-        marks = _spread(good, LANDMARKS[0]) + _spread(hard[: 10 * LANDMARKS[1]] + easy[: 10 * LANDMARKS[1]], LANDMARKS[1])
+        marks = _spread(good, LANDMARKS[0]) + _spread([*hard, *easy[: 10 * LANDMARKS[1]]], LANDMARKS[1])
         dense = _dense(marks)
         values, vectors = np.linalg.eigh(_kernel(marks, dense).astype(float))
         use = values > 1e-4
         into = vectors[:, use] / np.sqrt(values[use])
         bad = sorted({*hard, *easy} - witness)
-        own = [*good, *_disguised(good, rng)], [*bad, *_disguised(bad[:: max(1, len(bad) // SPREAD)], rng)]
+        own = [*good, *_disguised(good * COPIES, rng)], [*bad, *_disguised(bad[:: max(1, len(bad) // SPREAD)], rng)]
         told = set(hard)  # a clean unit weighs as the rows that have it, one that was scored high five times
-        weight = [rate.get(x, (0, 0.5))[1] ** 0.5 for x in own[0]] + [(rate.get(x, (0.25, 0))[0] or 1) ** 0.5 * (5 if x in told else 1) for x in own[1]]
+        weight = [rate.get(x, (0, SHARE))[1] ** 0.5 for x in own[0]] + [(rate.get(x, (0.25, 0))[0] or 1) ** 0.5 * (5 if x in told else 1) for x in own[1]]
         w, bias = _svm(_kernel(own[0] + own[1], dense) @ into, np.append(np.ones(len(own[0])), -np.ones(len(own[1]))), np.array(weight, float))
         table = (dense @ (into @ w)).astype(np.float32) + 1j * _VALID.astype(np.float32)
         f = _scores(flat, table) + bias
@@ -258,7 +266,7 @@ def train(bags: list[list[str]], y: np.ndarray, aside: np.ndarray) -> ToxicityMo
         np.maximum.at(best, owner, f)
         # the held-out rows' loss, or all rows' if there are too few
         held = aside if aside.any() else np.ones(len(bags), bool)
-        slope, offset, loss = _probability(best[held], y[held])
+        slope, offset, loss = _cutoff(best[held], y[held])
         if choice is None or loss < choice[0]:
             choice = loss, table, bias, slope, offset, marks
         order = np.lexsort((-np.where(skip, -9, f), owner))
@@ -272,22 +280,15 @@ def train(bags: list[list[str]], y: np.ndarray, aside: np.ndarray) -> ToxicityMo
     return ToxicityModel(table.astype(np.complex64), bias, slope, offset, marks)
 
 
-def _probability(best: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope and offset from a row's highest sum to a probability, by logistic regression; the loss."""
-    def loss(w: np.ndarray) -> float:
-        z = w[0] * best + w[1]
-        return float((np.logaddexp(0, z) - y * z).mean() + 5e-4 * (w**2).sum())
-
-    w = np.array([1.0, 0.0])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(w[0] * best + w[1], -30, 30)))
-        g, h = (p - y) / len(y), p * (1 - p) / len(y)
-        hess = np.array([[(h * best**2).sum() + 1e-3, (h * best).sum()], [(h * best).sum(), h.sum() + 1e-3]])
-        step = np.linalg.solve(hess, np.array([(g * best).sum() + 1e-3 * w[0], g.sum() + 1e-3 * w[1]]))
-        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
-            step /= 2
-        w = w - step
-    return float(w[0]), float(w[1]), loss(w)
+def _cutoff(best: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slope and offset from a row's highest sum to a score of one half where F1 is highest; one less F1. Rows of wrong labels move neither."""
+    order = np.argsort(-best, kind="stable")
+    hit = np.cumsum(y[order])
+    f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(1, y.sum()))
+    f1[:-1][best[order][1:] == best[order][:-1]] = 0  # equal sums aren't parted
+    k = int(f1.argmax())
+    low = best[order][k + 1] if k + 1 < len(y) else best[order][k] - 1
+    return 4.0, float(-4.0 * (best[order][k] + low) / 2), float(1 - f1[k])
 
 
 def _disguised(words: list[str], rng: np.random.Generator) -> list[str]:
@@ -311,7 +312,7 @@ def _scores(words: list[str], table: np.ndarray) -> np.ndarray:
         u = Units(c)
         num, den, _ = u.sums(table.astype(np.complex64))
         row = np.searchsorted(u.first[1:], np.arange(len(u.start)), side="right")
-        out.append(np.bincount(row, num, minlength=c.n) / np.sqrt(np.maximum(np.bincount(row, den, minlength=c.n), 1e-9)))
+        out.append(np.bincount(row, num, minlength=c.n) / np.sqrt(np.bincount(row, den, minlength=c.n) + SMOOTH))
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -352,10 +353,10 @@ def _margins(rows: DataFrame, model: ToxicityModel, keys: list[str]) -> DataFram
             for c in chunks(batch["text"]):
                 u = Units(c)
                 num, den, beside = u.sums(m.table)
-                f = num / np.sqrt(np.maximum(den, 1e-9))
+                f = num / np.sqrt(den + SMOOTH)
                 two = np.full(len(f), -9.0)
-                k = np.flatnonzero(beside)
-                two[k] = (num[k] + num[k + 1]) / np.sqrt(np.maximum(den[k] + den[k + 1], 1e-9))
+                k = np.flatnonzero(beside & m.pairs)
+                two[k] = (num[k] + num[k + 1]) / np.sqrt(den[k] + den[k + 1] + SMOOTH)
                 pair = two > f
                 f = np.append(np.maximum(f, two) + m.bias, LOW)
                 for lo, hi in zip(u.first[:-1].tolist(), u.first[1:].tolist()):
