@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._hot import salts
 from ._scratch import stored
 
 #: Hex digits of a group's name that make the first blocks; digits more for each refinement.
@@ -97,16 +98,18 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
 
     The groups of equal texts stand in the order of their texts' MD5 and are cut into `shards` runs, so that the largest is as small as can
     be: a larger group than a fair share makes it that large, and may leave the last shards empty. A null text has one byte, checksum 0 and
-    is a group of its own; an empty one likewise. Slots follow the groups' order, then the ids'. Repeated rows have a slot each. Other
-    columns are ignored.
+    is a group of its own; an empty one likewise. Slots follow the groups' order; in a group, parts by a hash of the id and the partition read, then the ids.
+    Repeated rows and null ids have a slot each. Other columns are ignored.
 
-    No task holds a whole group's rows: a group is counted before anything is ordered, and rows of a large one are ranked by ranges of ids.
+    A group's rows are dealt into parts, whatever their ids are; parts are counted and placed, and only a part's rows are ordered in one task.
     """
     text = F.col(text_col)
     name = F.coalesce(F.md5(text.cast("binary")), F.md5(F.lit("null text").cast("binary")))
+    part = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(salts(docs.count()))).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), name.alias("name"))
-    rows = stored(rows, "rows")
-    groups = stored(rows.groupBy("name").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
+    rows = stored(rows.withColumn("part", part), "rows")
+    parts = stored(rows.groupBy("name", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "parts")
+    groups = stored(parts.groupBy("name").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")), "groups")
     cuts = minimax_cuts(groups, shards)
     # running sums: of blocks first, then inside each
     block = F.substring("name", 1, DIGITS)
@@ -117,15 +120,11 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     groups = groups.withColumn("block", block).join(F.broadcast(sums), "block")  # at most 16 ** DIGITS rows
     groups = groups.withColumn("upto", F.col("b") + F.sum("bytes").over(inside)).withColumn("rank", F.col("k") + F.sum("n").over(inside) - F.col("n"))
     number = sum((F.when(F.col("upto") > c, 1).otherwise(0) for c in cuts[:-1]), F.lit(0))
-    groups = stored(groups.select("name", "n", "rank", number.cast("int").alias("shard")), "places")
+    groups = stored(groups.select("name", "rank", number.cast("int").alias("shard")), "places")
     base = groups.groupBy("shard").agg(F.min("rank").alias("base"))
-    groups = groups.join(F.broadcast(base), "shard").select("name", "n", "shard", (F.col("rank") - F.col("base")).alias("rank"))
-    placed = rows.join(groups, "name")
-    alone = placed.where("n = 1").withColumn("slot", F.col("rank"))
-    many = placed.where("n > 1").withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 62)))).withColumn("part", F.shiftright("id", 12))
-    parts = many.groupBy("name", "part").agg(F.count("*").alias("m"))
-    parts = parts.select("name", "part", (F.sum("m").over(W.partitionBy("name").orderBy("part")) - F.col("m")).alias("earlier"))
-    many = many.join(parts, ["name", "part"])
-    many = many.withColumn("slot", F.col("rank") + F.col("earlier") + F.row_number().over(W.partitionBy("name", "part").orderBy("id", "size")) - 1)
-    cols = ["doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot")]
-    return alone.select(*cols).unionByName(many.select(*cols))
+    groups = groups.join(F.broadcast(base), "shard").select("name", "shard", (F.col("rank") - F.col("base")).alias("rank"))
+    earlier = F.sum("n").over(W.partitionBy("name").orderBy("part")) - F.col("n")
+    places = parts.join(groups, "name").select("name", "part", "shard", (F.col("rank") + earlier).alias("begin"))
+    placed = rows.join(places, ["name", "part"])
+    slot = F.col("begin") + F.row_number().over(W.partitionBy("name", "part").orderBy("doc_id")) - 1
+    return placed.select("doc_id", "size", "text_crc32", "shard", slot.cast("long").alias("slot"))

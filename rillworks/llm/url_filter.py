@@ -40,8 +40,8 @@ class Automaton:
     """One bit a character of each glob, in as many 64-bit words as they need; a wildcard is a bit that its characters keep set."""
 
     def __init__(self, rules: Sequence[Rule]) -> None:
-        bits: list[set[int] | None] = []  # of each position: the bytes it takes, None for any
-        stay: list[tuple[int, bool]] = []
+        bits: list[set[int]] = []  # of each position: the bytes it takes
+        stay: list[tuple[int, set[int]]] = []  # positions that these bytes keep set
         begin, accept = [], []
         for r in rules:
             begin.append(len(bits))
@@ -50,25 +50,26 @@ class Automaton:
             while glob:
                 if glob.startswith("*"):
                     deep = glob.startswith("**")
-                    stay.append((len(bits) - 1, deep))
+                    stay.append((len(bits) - 1, set(range(256)) - (set() if deep else {0x2F})))
                     glob = glob[1 + deep :]
-                    continue
-                c = glob[0]
-                glob = glob[1:]
-                for b in [None] if c == "?" else c.encode():
-                    bits.append(None if b is None else {b})
+                elif glob[0] == "?":  # a character's first byte, and those that continue it
+                    bits.append(set(range(0x80)) | set(range(0xC0, 256)))
+                    stay.append((len(bits) - 1, set(range(0x80, 0xC0))))
+                    glob = glob[1:]
+                else:
+                    bits += [{b} for b in glob[0].encode()]
+                    glob = glob[1:]
             accept.append(len(bits) - 1)
         self.words = max(1, -(-len(bits) // 64))
         self.next, self.keep = np.zeros((256, self.words), np.uint64), np.zeros((256, self.words), np.uint64)
         self.start = np.zeros(self.words, np.uint64)
         self.accept = [(k >> 6, np.uint64(k & 63)) for k in accept]
         for k, own in enumerate(bits):
-            for b in range(256) if own is None else own:
+            for b in own:
                 self.next[b, k >> 6] |= _ONE << np.uint64(k & 63)
-        for k, deep in stay:
-            for b in range(256):
-                if deep or b != 0x2F:
-                    self.keep[b, k >> 6] |= _ONE << np.uint64(k & 63)
+        for k, own in stay:
+            for b in own:
+                self.keep[b, k >> 6] |= _ONE << np.uint64(k & 63)
         for k in begin:
             self.start[k >> 6] |= _ONE << np.uint64(k & 63)
 

@@ -173,7 +173,7 @@ def test_quality(spark):
 
 
 def test_cascade_order():
-    rules = [quality_rules.Rule(k, None) for k in "abc"]
+    rules = [quality_rules.Rule(k, (), None) for k in "abc"]
     est = [quality_rules.Estimate("a", 0.1, 1.0), quality_rules.Estimate("b", 0.5, 1.0), quality_rules.Estimate("c", 0.2, 0.1)]
     assert [r.name for r in quality_rules.order(rules, est)] == ["c", "b", "a"]
 
