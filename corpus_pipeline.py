@@ -11,41 +11,62 @@ from rillworks.llm.mix_sources import mix_sources
 from rillworks.llm.shards import shard
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """With a key for each row, written so that it stays: ids may be null or repeat."""
-    return stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+#: Rows to drop up to which their keys are sent to all tasks; 8 bytes each.
+FEW = 1 << 20
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """With a key for each row, written so that it stays: ids may be null or repeat; and the key's name."""
+    row = free(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def without(rows: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """The rows whose key isn't in gone (row). Texts are shuffled only if the keys are too many to send to all tasks."""
+    gone = stored(gone.select(F.col("row").alias(row)).distinct(), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, row, "left_anti").drop(row)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language and those that lie between two go; the model learns from three quarters of the rows with a language. Rows are judged one by one, also those without an id or with the same."""
+    """Documents without a language and those that lie between two go; the model learns from three quarters of the rows with a language. Rows are judged one by one, also those without an id or with the same; other columns stay as they are."""
     model = fit_language_model(docs.where(~fold("doc_id", 4, 2)))
-    rows = keyed(docs)
-    found = identify_language(rows, model, id_col="row", gap=0.05).withColumnRenamed("doc_id", "row")
-    return rows.join(found.where("lang_pred = 'und' or ambiguous").select("row"), "row", "left_anti").select(docs.columns)
+    rows, row = keyed(docs)
+    found = identify_language(rows, model, id_col=row, gap=0.05).withColumnRenamed("doc_id", "row")
+    return without(rows, found.where("lang_pred = 'und' or ambiguous"), row).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the smallest doc_id stays, once, a null one only if there is no other; so do all texts without words. Equal ids with texts that don't link stay."""
-    rows = keyed(docs)
-    found = jaccard_components(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    """Of each component of linked documents the smallest doc_id stays, once, a null one only if there is no other; so do all texts without words. Equal ids with texts that don't link stay. Rows of equal id and text stay once, with all columns of one of them."""
+    rows, row = keyed(docs)
+    found = jaccard_components(rows, id_col=row).select(F.col("doc_id").alias("row"), "component_id", "n_shingles")
+    found = found.join(rows.select(F.col(row).alias("row"), "doc_id", F.xxhash64("text").alias("name")), "row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
-    least = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = found.join(least, "component_id").where("row != first").select("row")
-    return rows.join(gone, "row", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    # one group a component; texts without words, which link with nothing, are one by id and text
+    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"), F.when(F.col("n_shingles") == 0, F.struct("doc_id", "name")).alias("e")]
+    stays = found.groupBy(*group).agg(first.alias("row"))
+    return without(rows, found.select("row").join(stays.select("row"), "row", "left_anti"), row).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go, row by row, also those without an id or with the same."""
-    rows = keyed(docs)
-    leaks = find_leaks(rows, build_index(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), id_col="row").withColumnRenamed("doc_id", "row")
-    return rows.join(leaks.select("row").distinct(), "row", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item go, row by row, also those without an id or with the same; other columns stay as they are."""
+    rows, row = keyed(docs)
+    leaks = find_leaks(rows, build_index(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), id_col=row).withColumnRenamed("doc_id", "row")
+    return without(rows, leaks, row).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row stands as often as the mix takes it whole; the one that crosses its source's end stands once more if at least half of it is taken. Null ids and rows that repeat one are taken each by itself."""
-    rows = keyed(docs)
-    mix = mix_sources(rows, row_col="row").select("row", F.round(F.col("taken") / F.greatest(F.lit(1), "size")).cast("int").alias("copies"))
-    return rows.join(mix.where("copies > 0"), "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """A row stands as often as the mix takes it whole; the one that crosses its source's end stands once more if at least half of it is taken. Null ids and rows that repeat one are taken each by itself; other columns are repeated with the row."""
+    rows, row = keyed(docs)
+    copies, copy = free(docs, "copies"), free(docs, "copy")
+    mix = mix_sources(rows, row_col=row).select(F.col("row").alias(row), F.round(F.col("taken") / F.greatest(F.lit(1), "size")).cast("int").alias(copies))
+    return rows.join(mix.where(F.col(copies) > 0), row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
