@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 
 D = "/root/testdata/sf0.001"
@@ -31,3 +33,17 @@ def test_null_and_repeated_ids(spark):
     rows = extra((None, one), (None, two), (9001, "one word"), (9001, one + " " + two))
     out = p.mixing(spark, rows, D).collect()
     assert {(r.doc_id, r.text) for r in out} == {(r.doc_id, r.text) for r in rows.collect()} and len(out) == 4
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    names = ["row", "copies", "copy", "n", "name", "part", "size", "taken", "lang_pred", "component_id", "gone"]
+    more = docs.select("*", *(F.concat(F.lit(k), F.col("doc_id").cast("string")).alias(k) for k in names))
+    for _, stage in p.STAGES[:-1]:
+        want = Counter(r.doc_id for r in stage(spark, docs, D).collect())
+        out = stage(spark, more, D)
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert Counter(r.doc_id for r in rows) == want and all(r[k] == f"{k}{r.doc_id}" for r in rows for k in names)
+        assert stage(spark, docs.limit(0), D).count() == 0
+    assert p.sharding(spark, more.withColumn("shard", F.lit("x")).withColumn("slot", F.lit("x")), D).count() == docs.count() and p.sharding(spark, docs.limit(0), D).count() == 0
