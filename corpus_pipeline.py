@@ -1,6 +1,8 @@
 """From documents to shards: language, near copies, benchmark leaks, mixing, sharding. Each stage is written and read again as the next one's input."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillworks.llm._scratch import stored
@@ -11,7 +13,7 @@ from rillworks.llm.mix_sources import mix_sources
 from rillworks.llm.shards import shard
 
 
-#: Rows to drop up to which their keys are sent to all tasks; 8 bytes each.
+#: Rows of keys to drop, or of files, up to which they are sent to all tasks.
 FEW = 1 << 20
 
 
@@ -23,9 +25,18 @@ def free(docs: DataFrame, name: str) -> str:
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """With a key for each row, written so that it stays: ids may be null or repeat; and the key's name."""
+    """With a key for each row, as ids may be null or repeat, and the key's name: the number of the row's file and its place in it, the same at every reading. Rows of no file are written first."""
     row = free(docs, "row")
-    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+    try:
+        read = docs.select("*", F.col("_metadata.file_path").alias(free(docs, "file")), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return keyed(stored(docs, "rows"))
+    file = free(docs, "file")
+    files = stored(read.select(file).distinct().select(file, F.row_number().over(W.orderBy(file)).cast("long").alias("number")), "files")  # a row for each file
+    files = F.broadcast(files) if files.count() <= FEW else files
+    number = free(docs, "number")
+    rows = read.join(files.withColumnRenamed("number", number), file)
+    return rows.select(*docs.columns, F.shiftleft(number, 40).bitwiseOR(F.col(row)).alias(row)), row
 
 
 def without(rows: DataFrame, gone: DataFrame, row: str) -> DataFrame:
