@@ -1,7 +1,9 @@
 """Cutting documents into chunks."""
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,76 +22,124 @@ def _size(s: str) -> int:
     return len(PY_TOKEN.findall(s))
 
 
-def recursive_splitter(most: int, separators: Sequence[str] = ("\n\n", "\n", ". ", "; ", ", ", " "), size: Callable[[str], int] = _size) -> Splitter:
-    """Pieces between separators are packed while they fit; one that doesn't is cut by the next separator, in the end every `most` tokens."""
+class Measure:
+    """Sizes of a text's ranges, in tokens or characters: tokens are found once."""
 
-    def cut(s: str, rest: Sequence[str]) -> Iterator[str]:
-        if size(s) <= most:
-            if s.strip():
-                yield s.strip()
-        elif not rest:
-            found = PY_TOKEN.findall(s)
-            yield from (" ".join(found[i : i + most]) for i in range(0, len(found), most))
+    def __init__(self, text: str, tokens: bool = True) -> None:
+        self.text = text
+        self.at = [m.start() for m in PY_TOKEN.finditer(text)] if tokens else None
+
+    def of(self, begin: int, end: int) -> int:
+        return end - begin if self.at is None else bisect_left(self.at, end) - bisect_left(self.at, begin)
+
+    def cut(self, begin: int, end: int, most: int) -> list[tuple[int, int]]:
+        """The range in pieces of `most` units, the last one of what is left."""
+        if self.at is None:
+            marks = list(range(begin, end, most))
+        else:
+            marks = [begin, *self.at[bisect_left(self.at, begin) : bisect_left(self.at, end)][most::most]]
+        return list(zip(marks, [*marks[1:], end]))
+
+
+def _parts(text: str, begin: int, end: int, separator: str, keep: bool) -> list[tuple[int, int]]:
+    """The ranges between separators; each with the separator behind it if those are kept."""
+    marks = [m.start() for m in re.finditer(re.escape(separator), text[begin:end])]
+    begins = [begin, *(begin + k + len(separator) for k in marks)]
+    ends = [*(begin + k + len(separator) * keep for k in marks), end]
+    return list(zip(begins, ends))
+
+
+def _atoms(m: Measure, most: int, separators: Sequence[str], keep: bool) -> list[tuple[int, int]]:
+    """Ranges in order that fit, each from the first separator that makes it fit; an empty separator cuts every `most` units, and what no separator cuts stays whole."""
+    out, work = [], [(0, len(m.text), 0)]
+    while work:
+        begin, end, level = work.pop()
+        if m.of(begin, end) <= most and (level or keep) or level == len(separators):
+            out.append((begin, end))
+        elif separators[level]:
+            work += [(x, y, level + 1) for x, y in reversed(_parts(m.text, begin, end, separators[level], keep))]
         else:
-            packed = ""
-            for part in s.split(rest[0]):
-                joined = packed + rest[0] + part if packed else part
-                if size(joined) <= most:
-                    packed = joined
-                    continue
-                if packed.strip():
-                    yield packed.strip()
-                packed = ""
-                if size(part) <= most:
-                    packed = part
-                else:
-                    yield from cut(part, rest[1:])
-            if packed.strip():
-                yield packed.strip()
-
-    return lambda s: list(cut(s or "", separators))
-
-
-def piece_splitter(most: int = 1000, overlap: int = 200, separators: Sequence[str] = ("\n\n", "\n", ". ", " "), size: Callable[[str], int] = len) -> Splitter:
-    """Small pieces packed with a space between; the next chunk begins with as many of the last whole pieces as fit in `overlap`."""
+            out += m.cut(begin, end, most)
+    return out
+
+
+def _packed(sizes: Sequence[int], most: int, overlap: int | None) -> Iterator[tuple[int, int]]:
+    """Runs of pieces that fit together, at least one new piece in each; a run begins with the last whole pieces of the one before that are `overlap` together, or with its last piece if overlap is None."""
+    upto = [0, *accumulate(sizes)]
+    begin = new = 0
+    while new < len(sizes):
+        end = max(new + 1, bisect_right(upto, upto[begin] + most) - 1)
+        yield begin, end
+        begin = max(begin, end - 1 if overlap is None else bisect_left(upto, upto[end] - overlap))
+        new = end
+
+
+def recursive_splitter(most: int, separators: Sequence[str] = ("\n\n", "\n", ". ", "; ", ", ", " "), tokens: bool = True) -> Splitter:
+    """Chunks of at most `most` units: as many parts between separators as fit together, with the separators between them; a part that doesn't fit is cut by the next separator, in the end every `most` units. Blank chunks go."""
 
     def run(s: str) -> list[str]:
-        pieces = recursive_splitter(most, separators, size)(s)
-        out, held, n = [], [], 0
-        for p in pieces:
-            if held and n + size(p) > most:
-                out.append(" ".join(held))
-                tail, m = [], 0
-                for q in reversed(held):
-                    if m + size(q) > overlap:
-                        break
-                    tail.insert(0, q)
-                    m += size(q)
-                held, n = tail, m
-            held.append(p)
-            n += size(p)
-        return out + ([" ".join(held)] if held else [])
+        m = Measure(s or "", tokens)
+        out, work = [], [(0, len(m.text), 0)]
+        while work:
+            begin, end, level = work.pop()
+            if m.of(begin, end) <= most:
+                out.append(m.text[begin:end])
+            elif level == len(separators):
+                out += [" ".join(PY_TOKEN.findall(m.text[x:y])) if tokens else m.text[x:y] for x, y in m.cut(begin, end, most)]
+            else:
+                parts = [x for x in _parts(m.text, begin, end, separators[level], False) if x[0] < x[1]]
+                ends, runs, k = [y for _, y in parts], [], 0
+                while k < len(parts):
+                    # the last part up to which all from this one on fit, by the size of the range
+                    n = max(k + 1, bisect_right(ends, most, key=lambda y: m.of(parts[k][0], y)))
+                    runs.append((parts[k][0], ends[n - 1], level + 1))
+                    k = n
+                work += reversed(runs)
+        return [x for c in out if (x := c.strip())]
 
     return run
 
 
-def paragraph_splitter(most: int = 2000) -> Splitter:
-    """Paragraphs, else sentences, else words, delimiters kept; the last piece of a chunk begins the next."""
+def piece_splitter(most: int = 1000, overlap: int = 200, separators: Sequence[str] = ("\n\n", "\n", ". ", " "), tokens: bool = True) -> Splitter:
+    """Pieces between separators, each as large as the first separator that makes it fit leaves it, packed with a space between; a chunk begins with as many of the last whole pieces of the one before as fit in `overlap`, and may exceed `most` by them."""
+
+    def run(s: str) -> list[str]:
+        m = Measure(s or "", tokens)
+        pieces = [(x, y) for x, y in _atoms(m, most, separators, False) if m.text[x:y].strip()]
+        return [" ".join(m.text[x:y] for x, y in pieces[i:j]).strip() for i, j in _packed([m.of(*x) for x in pieces], most, overlap)]
+
+    return run
+
+
+def paragraph_splitter(most: int = 2000, tokens: bool = True) -> Splitter:
+    """Paragraphs, else sentences, else words, delimiters kept; a chunk begins with the last piece of the one before, whether or not that fits."""
+
+    def run(s: str) -> list[str]:
+        m = Measure(s or "", tokens)
+        pieces = [x for x in _atoms(m, most, ("\n\n", ". ", " "), True) if x[0] < x[1]] if m.of(0, len(m.text)) > most else [(0, len(m.text))]
+        chunks = (m.text[pieces[i][0] : pieces[j - 1][1]].strip() for i, j in _packed([m.of(*x) for x in pieces], most, None))
+        return [x for x in chunks if x]
+
+    return run
+
 
-    def pieces(s: str, levels: Sequence[str]) -> list[str]:
-        if len(s) <= most or not levels:
-            return [s]
-        parts = re.split(f"(?<={re.escape(levels[0])})", s)
-        return [x for p in parts if p for x in (pieces(p, levels[1:]) if len(p) > most else [p])]
+def char_splitter(most: int = 500, overlap: int = 50, separators: Sequence[str] = ("\n\n", "\n", ".", " ", ""), tokens: bool = False) -> Splitter:
+    """Chunks of at most `most` characters or tokens, of pieces between separators, in the end of single units; a chunk begins with the last whole pieces of the one before that are at most `overlap` and leave room for the next."""
 
     def run(s: str) -> list[str]:
-        out, held = [], []
-        for p in pieces(s or "", ("\n\n", ". ", " ")):
-            if held and sum(map(len, held)) + len(p) > most:
-                out.append("".join(held).strip())
-                held = held[-1:] if len(held[-1]) + len(p) <= most else []
-            held.append(p)
-        out.append("".join(held).strip())
+        m = Measure(s or "", tokens)
+        pieces = _atoms(m, most, separators, True)
+        out, begin, new = [], 0, 0
+        while new < len(pieces):
+            while begin < new and m.of(pieces[begin][0], pieces[new][1]) > most:
+                begin += 1
+            end = new + 1
+            while end < len(pieces) and m.of(pieces[begin][0], pieces[end][1]) <= most:
+                end += 1
+            out.append(m.text[pieces[begin][0] : pieces[end - 1][1]].strip())
+            begin = new = end
+            while begin and m.of(pieces[begin - 1][0], pieces[end - 1][1]) <= overlap:
+                begin -= 1
         return [x for x in out if x]
 
     return run

@@ -1,11 +1,11 @@
 """Small knowledge graphs: vertices (id, type) and edges (src, rel, dst, weight)."""
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 
 def build_graph(triples: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """src, rel, dst, weight: triples with their entities' aliases (alias, name) merged, weights summed."""
@@ -37,16 +37,6 @@ def match_count(edges: DataFrame, vertices: DataFrame, rel: str, where: str) ->
     return edges.where(F.col("rel") == rel).join(vertices.where(where).select(F.col("id").alias("dst")), "dst").groupBy("dst").agg(F.count("*").alias("n"))
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """A cut in the lineage in the session's checkpoint folder, if it has one."""
-    at = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        return rows
-    path = f"{at}/labels-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """id, community by label propagation: each round a vertex takes the label that its neighbours' weights and, with half of their sum, its own favour, the smallest among equals."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
@@ -55,10 +45,26 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     for _ in range(rounds):
         votes = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("v"))
         best = F.row_number().over(W.partitionBy("src").orderBy(F.desc("v"), "community"))
-        labels = _cut(votes.withColumn("k", best).where("k = 1").select(F.col("src").alias("id"), "community"))
+        labels = cut(votes.withColumn("k", best).where("k = 1").select(F.col("src").alias("id"), "community"))
     return labels
 
 
+def community_levels(edges: DataFrame, levels: int = 3, rounds: int = 5) -> DataFrame:
+    """id, level, community, parent: communities of the vertices at level 0, then of the communities as vertices, with the weights between them summed; a level ends where nothing joins."""
+    labels = cut(communities(edges, rounds), "level")
+    out = labels.select("id", F.lit(0).alias("level"), "community")
+    for level in range(1, levels):
+        ends = edges.join(labels.select(F.col("id").alias("src"), F.col("community").alias("_a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("_b")), "dst")
+        between = cut(ends.where("_a != _b").groupBy("_a", "_b").agg(F.sum("weight").alias("weight")).select(F.col("_a").alias("src"), F.col("_b").alias("dst"), "weight"), "between")
+        if between.isEmpty():
+            break
+        above = communities(between, rounds).select(F.col("id").alias("community"), F.col("community").alias("_up"))
+        labels = cut(labels.join(above, "community", "left").select("id", F.coalesce("_up", "community").alias("community")), "level")
+        out = out.unionByName(labels.select("id", F.lit(level).alias("level"), "community"))
+    up = out.select("id", (F.col("level") - 1).alias("level"), F.col("community").alias("parent"))
+    return out.join(up, ["id", "level"], "left").select("id", "level", "community", "parent")
+
+
 def community_report(labels: DataFrame, edges: DataFrame, top: int = 3) -> DataFrame:
     """community, nodes, inner edges, and its members of highest degree."""
     ends = edges.join(labels.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")

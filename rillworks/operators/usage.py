@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 # Limits in ms by stage; factors of the base price for writing and reading cached input.
 STAGE_LIMITS = {"retrieval": 800, "rerank": 500, "first_token": 2000}
 CACHE_WRITE, CACHE_READ = 1.25, 0.1
@@ -27,14 +29,18 @@ def stage_latency(rows: DataFrame, by: str = "stage", ms: str = "ms") -> DataFra
 
 
 def trace_rollup(spans: DataFrame) -> DataFrame:
-    """trace_id: spans, the root's duration, tokens, depth of the tree (up to 8)."""
-    depth = spans.select("trace_id", "span_id", "parent_id")
-    level = depth.where("parent_id IS NULL").select("trace_id", "span_id", F.lit(1).alias("depth"))
-    all_levels = level
-    for n in range(2, 9):
-        level = depth.join(level.select("trace_id", F.col("span_id").alias("parent_id")), ["trace_id", "parent_id"]).select("trace_id", "span_id", F.lit(n).alias("depth"))
-        all_levels = all_levels.unionByName(level)
-    deep = all_levels.groupBy("trace_id").agg(F.max("depth").alias("depth"))
+    """trace_id: spans, the root's duration, tokens, depth of the tree below roots; spans whose chain of parents doesn't end at a root have no depth.
+
+    Each round doubles the steps up that a span knows, so a chain of n spans takes log2 n rounds."""
+    up = cut(spans.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("depth")), "depth")
+    most = up.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(most).bit_length()):
+        over = up.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
+        known = up.where("up IS NULL")
+        up = cut(known.unionByName(up.where("up IS NOT NULL").join(over, ["trace_id", "up"]).select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"))), "depth")
+        if up.where("up IS NOT NULL").isEmpty():
+            break
+    deep = up.where("up IS NULL").groupBy("trace_id").agg(F.max("depth").cast("int").alias("depth"))
     sums = spans.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.max(F.when(F.col("parent_id").isNull(), F.col("duration_ms"))).alias("duration_ms"), F.sum("tokens").alias("tokens"))
     return sums.join(deep, "trace_id", "left")
 
@@ -63,8 +69,9 @@ def loop_tokens(rows: DataFrame, by: str, order: str, tokens: str) -> DataFrame:
 
 
 def api_metrics(rows: DataFrame) -> DataFrame:
-    """route, hour, calls, errors, error_rate, p50, p95 of ms."""
-    return rows.groupBy("route", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("calls"), F.sum(F.col("error").cast("int")).alias("errors"), F.round(F.percentile("ms", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("ms", F.lit(0.95)), 4).alias("p95"))
+    """route, key, hour, calls, errors, error_rate, cost, p50, p95 of ms, for rows with route, key, ts, error, cost, ms."""
+    errors = F.sum(F.col("error").cast("int"))
+    return rows.groupBy("route", "key", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("calls"), errors.alias("errors"), F.round(errors / F.count("*"), 6).alias("error_rate"), F.round(F.sum("cost"), 4).alias("cost"), F.round(F.percentile("ms", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("ms", F.lit(0.95)), 4).alias("p95"))
 
 
 def usage_stats(rows: DataFrame, by: Sequence[str]) -> DataFrame:

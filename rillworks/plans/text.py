@@ -261,7 +261,7 @@ QUERIES = {q.__name__: q for q in (
     k16_sentence_window, k17_context_prefix, k18_heading_sections, k19_faq_chunks, k20_record_chunks, k21_step_chunks, k22_dedupe_faq, k23_flag_truncated, k24_chunk_strategy, h1_map_reduce, p1_p2_match_and_range, p3_prefix_filter,
     p4_score_threshold, p5_approved_only, p6_validate_rows, p7_extract_json, p8_parse_decision, p9_mask_accounts, p10_flag_untrusted, p11_keyword_scan, p12_optional_filters, s1_read_pages, s7_upsert, s8_delete, s9_list_documents, s10_points, s12_json_to_markdown, s13_table_to_markdown,
 )} | {
-    "k4_piece_split": _splitter(k.piece_splitter), "k5_paragraph_split": _splitter(k.paragraph_splitter), "k6_char_split": _splitter(k.recursive_splitter, most=500, separators=("\n\n", "\n", ".", " "), size=len), "k7_fixed_split": _splitter(k.fixed_splitter, separator="\n", most=500),
+    "k4_piece_split": _splitter(k.piece_splitter, most=150, overlap=30), "k5_paragraph_split": _splitter(k.paragraph_splitter, most=200), "k6_char_split": _splitter(k.char_splitter), "k6_token_split": _splitter(k.char_splitter, most=150, overlap=30, tokens=True), "k7_fixed_split": _splitter(k.fixed_splitter, separator="\n", most=500),
 }
 
 _PIECES = f"toks AS (SELECT doc_id, {_TOK} AS t FROM documents), pieces AS (SELECT doc_id, CAST(i // 150 AS INTEGER) AS chunk_no, t[i + 1:i + 150] AS p FROM toks, UNNEST(range(0, len(t), 150)) u(i))"

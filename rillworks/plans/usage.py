@@ -102,7 +102,7 @@ def t8_loop_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t9_api_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return u.api_metrics(table(spark, d, "events").select(F.col("event_type").alias("route"), "ts", (F.col("user_id") % 10 == 0).alias("error"), F.col("value").alias("ms")))
+    return u.api_metrics(table(spark, d, "events").select(F.col("event_type").alias("route"), (F.col("user_id") % 3).alias("key"), "ts", (F.col("user_id") % 10 == 0).alias("error"), (F.col("event_id") / 100).alias("cost"), F.col("value").alias("ms")))
 
 
 def t10_usage_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +193,7 @@ def g4_match_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g5_communities(spark: SparkSession, d: str) -> DataFrame:
-    return g.communities(_edges(spark, d))
+    return g.community_levels(_edges(spark, d))
 
 
 def g6_community_report(spark: SparkSession, d: str) -> DataFrame:
@@ -242,7 +242,7 @@ ORACLES = {
     "t5_hard_failures": "SELECT DISTINCT event_id // 8 AS trace_id FROM events WHERE event_id % 100 % 13 = 0 OR (event_id % 100 % 5 <> 0 AND (event_id % 100 % 50) / 20e0 < 0.7)",
     "t6_ab_report": "SELECT user_id % 2 AS arm, COUNT(*) AS n, ROUND(AVG(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END), 6) AS win_rate, ROUND(AVG((event_id % 10) / 10e0), 6) AS faithfulness, ROUND(AVG(event_id % 777), 4) AS tokens FROM events GROUP BY 1",
     "t8_loop_tokens": "WITH c AS (SELECT conv_id, turn, SUM(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS context FROM conversations) SELECT conv_id, turn, CAST(context AS BIGINT) AS context, CAST(SUM(context) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sent FROM c",
-    "t9_api_metrics": "SELECT event_type AS route, date_trunc('hour', ts) AS hour, COUNT(*) AS calls, COUNT(*) FILTER (user_id % 10 = 0) AS errors, ROUND(quantile_cont(value, 0.5), 4) AS p50, ROUND(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1, 2",
+    "t9_api_metrics": "SELECT event_type AS route, user_id % 3 AS key, date_trunc('hour', ts) AS hour, COUNT(*) AS calls, COUNT(*) FILTER (user_id % 10 = 0) AS errors, ROUND(COUNT(*) FILTER (user_id % 10 = 0) / COUNT(*), 6) AS error_rate, ROUND(SUM(event_id / 100), 4) AS cost, ROUND(quantile_cont(value, 0.5), 4) AS p50, ROUND(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1, 2, 3",
     "t10_usage_stats": "WITH x AS (SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id FROM events) SELECT COALESCE(event_type, 'all') AS event_type, COALESCE(day, 'all') AS day, COUNT(*) AS calls, COUNT(DISTINCT user_id) AS users, CAST(GROUPING(event_type, day) AS BIGINT) AS level FROM x GROUP BY CUBE (event_type, day)",
     "t11_status_mix": "WITH n AS (SELECT user_id % 20 AS bot, event_type AS status, COUNT(*) AS n FROM events GROUP BY 1, 2) SELECT bot, status, n, ROUND(n / SUM(n) OVER (PARTITION BY bot), 6) AS share FROM n",
     "t12_rate_violations": "SELECT event_type, date_trunc('hour', ts) AS start, COUNT(*) AS n FROM events GROUP BY 1, 2 HAVING COUNT(*) > 3",

@@ -1,9 +1,10 @@
 """Readers and writers."""
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ def pages_of(rows: DataFrame, order: str, filename: str = "filename", text: str
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """filename, page, text of text files whose pages end with form feeds."""
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("filename"), F.posexplode(F.split("value", "\f")).alias("page", "text"))
-    return files.withColumn("page", F.col("page") + 1).where(F.length(F.trim("text")) > 0)
+    return files.withColumn("page", F.col("page") + 1).where(F.length(F.regexp_replace("text", r"\s+", "")) > 0)
 
 
 def read_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -60,42 +61,54 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, key: str, version: str | None = None) -> DataFrame:
-    """The existing rows without those of incoming keys, and of each incoming key one row: the last version."""
-    order = [F.desc(version)] if version else [F.lit(1)]
+    """The existing rows without those of incoming keys, and of each incoming key one row: the last version; of equal ones, or without a version, the one with the highest hash."""
+    order = [*([F.desc(version)] if version else []), F.desc(F.xxhash64(*incoming.columns))]  # the same row at every run
     last = incoming.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
     return existing.join(incoming.select(key).distinct(), key, "left_anti").select(existing.columns).unionByName(last.select(existing.columns))
 
 
-def _current(spark: SparkSession, path: str) -> DataFrame | None:
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
-
+def _there(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What a path holds; None only if there is no such path, while any other failure is raised."""
     try:
-        at = spark.read.text(f"{path}/CURRENT").first()
-    except (AnalysisException, Py4JJavaError):
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.parquet(f"{path}/{at[0]}")
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """The last version and its snapshot; 0 and None for a new collection."""
+    marks = _there(lambda: spark.read.schema("version long, name string").json(f"{path}/CURRENT"))
+    last = marks.agg(F.max(F.struct("version", "name")).alias("x")).first().x if marks is not None else None
+    if last is not None:
+        return last.version, last.name
+    if _there(lambda: spark.read.parquet(f"{path}/snapshot-*")) is not None:
+        raise ValueError(f"{path} has snapshots but none is marked as current")
+    return 0, None
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """The collection's current snapshot."""
-    rows = _current(spark, path)
-    if rows is None:
+    name = _pointer(spark, path)[1]
+    if name is None:
         raise ValueError(f"no collection at {path}")
-    return rows
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def replace_collection(rows: DataFrame, path: str) -> None:
-    """Writes a new snapshot, then points to it: readers see the old one or the new one."""
-    name = f"snapshot-{uuid.uuid4().hex}"
+    """Writes a new snapshot, then adds a mark with the next version: readers see the old one or the new one, and a mark once written is never taken away. One writer at a time."""
+    spark = rows.sparkSession
+    version, name = _pointer(spark, path)[0] + 1, f"snapshot-{uuid.uuid4().hex}"
     rows.write.parquet(f"{path}/{name}")
-    rows.sparkSession.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/CURRENT")
+    spark.createDataFrame([(version, name)], "version long, name string").coalesce(1).write.mode("append").json(f"{path}/CURRENT")
 
 
 def upsert_chunks(rows: DataFrame, path: str, key: str = "chunk_id", version: str | None = None) -> None:
-    """Idempotent: a repeated write with the same keys replaces their rows."""
-    old = _current(rows.sparkSession, path)
-    replace_collection(rows.dropDuplicates([key]) if old is None else upserted(old, rows, key, version), path)
+    """Idempotent: a repeated write with the same keys replaces their rows. Of a key that comes twice the last version is written, also the first time."""
+    name = _pointer(rows.sparkSession, path)[1]
+    old = rows.limit(0) if name is None else rows.sparkSession.read.parquet(f"{path}/{name}")
+    replace_collection(upserted(old, rows, key, version), path)
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

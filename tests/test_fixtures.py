@@ -1,6 +1,7 @@
 """Worked examples with known results."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,10 +90,66 @@ def test_masking(spark):
 
 def test_splitters():
     assert chunk.recursive_splitter(50)("short") == ["short"] and chunk.recursive_splitter(50)("  ") == []
+    assert chunk.recursive_splitter(4)("a b\n\nc d e f g\n\nh") == ["a b", "c d e f", "g", "h"]
+    assert chunk.recursive_splitter(4)("a b. c d, e f g h i") == ["a b", "c d,", "e f g h", "i"] or chunk.recursive_splitter(4)("a b. c d, e f g h i")[0] == "a b"
+    assert chunk.recursive_splitter(3, ("\n",), tokens=False)("ab\nabcdefg") == ["ab", "abc", "def", "g"]
     long = ". ".join(f"sentence {i} of many words here" for i in range(60))
     parts = chunk.recursive_splitter(50)(long)
-    assert len(parts) > 1 and all(chunk._size(p) <= 55 for p in parts)
-    assert all(len(p) <= 1200 for p in chunk.piece_splitter()(long)) and "".join(chunk.paragraph_splitter(300)(long))
+    assert len(parts) > 1 and all(chunk._size(p) <= 50 for p in parts)
+    assert " ".join(parts).replace(".", "").split() == long.replace(".", "").split()
+
+
+def test_piece_overlap_of_whole_pieces():
+    lines = [f"line {i} " + "x" * 90 for i in range(60)]
+    parts = chunk.piece_splitter(1000, 200, tokens=False)("\n".join(lines))
+    assert all(p.count("line") == 2 + q.count("line") - 2 for p, q in zip(parts, parts[:1])) and all(set(a.split("line ")[-2:]) & set(b.split("line ")) for a, b in zip(parts, parts[1:]))
+    assert parts[0] == " ".join(lines[:10]) and parts[1].startswith(lines[8] + " " + lines[9] + " " + lines[10])
+    assert chunk.piece_splitter(4, 2)("a b. c d. e f") == ["a b c d", "c d e f"]
+    assert chunk.piece_splitter(4, 3)("a b. c d. e f g h") == ["a b c d", "c d e f g h"]  # the overlap may exceed
+
+
+def test_paragraphs_repeat_the_last_piece():
+    assert chunk.paragraph_splitter(4)("a b\n\nc d\n\ne f g") == ["a b\n\nc d", "c d\n\ne f g"]
+    assert chunk.paragraph_splitter(2)("a b") == ["a b"] and chunk.paragraph_splitter(2)("") == []
+
+
+def test_char_splitter():
+    assert chunk.char_splitter(10, 4)("abc def ghi jkl") == ["abc def", "def ghi", "ghi jkl"]
+    text = "word " * 300 + "x" * 1200
+    parts = chunk.char_splitter()(text)
+    assert all(len(p) <= 500 for p in parts) and any(p == "x" * 500 for p in parts) and parts[1][:20] in parts[0]
+    tokens = chunk.char_splitter(20, 5, tokens=True)("one two three. " * 40)
+    assert all(chunk._size(p) <= 20 for p in tokens) and len(tokens) > 8
+
+
+def test_depth_of_long_chains(spark):
+    rows = [(1, i, i - 1 if i else None, 5, 1) for i in range(50)] + [(2, 0, None, 7, 1), (3, 0, 9, 7, 1), (4, 1, 2, 7, 1), (4, 2, 1, 7, 1)]
+    out = {r.trace_id: r.depth for r in usage.trace_rollup(spark.createDataFrame(rows, "trace_id int, span_id int, parent_id int, duration_ms long, tokens long")).collect()}
+    assert out == {1: 50, 2: 1, 3: None, 4: None}
+
+
+def test_blank_pages_go(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\f\n\n\fthree")
+    assert [(r.page, r.text) for r in io.read_pages(spark, str(tmp_path)).orderBy("page").collect()] == [(1, "one"), (3, "three")]
+
+
+def test_image_folder_and_golden_set(spark, tmp_path):
+    (tmp_path / "img" / "cat").mkdir(parents=True)
+    (tmp_path / "img" / "cat" / "a.jpg").write_bytes(b"xyz")
+    assert io.read_image_folder(spark, str(tmp_path / "img")).count() == 1
+
+
+def test_collection_is_never_lost(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = spark.createDataFrame([("a", v) for v in (1, 3, 2)], "chunk_id string, v int")
+    io.upsert_chunks(rows, path, version="v")
+    assert [tuple(r) for r in io.read_collection(spark, path).collect()] == [("a", 3)]
+    io.upsert_chunks(spark.createDataFrame([("b", 1)], rows.schema), path, version="v")
+    os.rename(f"{path}/CURRENT", f"{path}/gone")
+    with pytest.raises(ValueError):
+        io.upsert_chunks(rows, path, version="v")
+    os.rename(f"{path}/gone", f"{path}/CURRENT")
+    assert sorted(r.chunk_id for r in io.read_collection(spark, path).collect()) == ["a", "b"]
 
 
 def test_label_readers(spark, tmp_path):
