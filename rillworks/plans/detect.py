@@ -138,7 +138,7 @@ def d19_split(spark: SparkSession, d: str) -> DataFrame:
 
 def d20_mixup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.array(F.col("label").cast("double")).alias("y"))
-    pairs = rows.select("id", ((F.col("id") * 7 + 3) % 500).alias("other"))
+    pairs = rows.select("id", ((F.col("id") * 7 + 3) % rows.count()).alias("other"))
     return c.mixup(rows, pairs).select("id", F.round(F.col("x")[0], 5).alias("x0"), F.round(F.col("x")[63], 5).alias("x63"), F.round(F.col("y")[0], 5).alias("y"))
 
 
@@ -242,7 +242,7 @@ ORACLES = {
     "d17_mean_loss": f"WITH r AS (SELECT l_returnflag, [l_quantity / 10, l_discount * 30, l_tax * 40] AS x, l_orderkey % 3 AS y FROM lineitem) SELECT l_returnflag, ROUND(AVG(list_max(x) + ln({_SM}) - x[y + 1]), 6) AS loss, ROUND(AVG(exp(x[1] - list_max(x)) / {_SM}), 6) AS p0 FROM r GROUP BY 1",
     "d18_pixel_iou": "WITH p AS (SELECT l_partkey % 4 AS t, CASE WHEN l_suppkey % 3 = 0 THEN (l_partkey + 1) % 4 ELSE l_partkey % 4 END AS q FROM lineitem), k AS (SELECT UNNEST([0, 1, 2, 3, 9]) AS class), s AS (SELECT class, COUNT(*) FILTER (t = class AND q = class) AS i, COUNT(*) FILTER (t = class) AS a, COUNT(*) FILTER (q = class) AS b FROM p, k GROUP BY 1) SELECT class, CASE WHEN a + b = i THEN 1e0 ELSE ROUND(i / (a + b - i), 6) END AS iou, ROUND((2 * i + 1e-6) / (a + b + 1e-6), 6) AS dice FROM s",
     "d19_split": "SELECT 'train' AS split, CAST(floor(COUNT(*) * 0.8e0) AS BIGINT) AS n, CAST(floor(COUNT(*) * 0.8e0) AS BIGINT) AS n_ids FROM documents UNION ALL SELECT 'validation', CAST(COUNT(*) - floor(COUNT(*) * 0.8e0) AS BIGINT), CAST(COUNT(*) - floor(COUNT(*) * 0.8e0) AS BIGINT) FROM documents",
-    "d20_mixup": "SELECT a.vec_id AS id, ROUND(0.6e0 * a.embedding[1]::DOUBLE + 0.4e0 * b.embedding[1]::DOUBLE, 5) AS x0, ROUND(0.6e0 * a.embedding[64]::DOUBLE + 0.4e0 * b.embedding[64]::DOUBLE, 5) AS x63, ROUND(0.6e0 * a.label + 0.4e0 * b.label, 5) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % 500",
+    "d20_mixup": "SELECT a.vec_id AS id, ROUND(0.6e0 * a.embedding[1]::DOUBLE + 0.4e0 * b.embedding[1]::DOUBLE, 5) AS x0, ROUND(0.6e0 * a.embedding[64]::DOUBLE + 0.4e0 * b.embedding[64]::DOUBLE, 5) AS x63, ROUND(0.6e0 * a.label + 0.4e0 * b.label, 5) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT COUNT(*) FROM embeddings)",
     "d21_channel_normalize": "SELECT o_orderkey, ROUND(((o_orderkey * 31 + 51) % 256 / 255e0 - 0.485e0) / 0.229e0, 6) AS r1, ROUND(((o_orderkey * 31 + 17) % 256 / 255e0 - 0.456e0) / 0.224e0, 6) AS g0, ROUND(((o_orderkey * 31 + 187) % 256 / 255e0 - 0.406e0) / 0.225e0, 6) AS b3 FROM orders",
     "d22_standardize": "SELECT c_custkey, ROUND((c_acctbal - (SELECT AVG(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer), 5) AS z FROM customer",
     "d23_uneven_lighting": f"WITH p AS (SELECT {_PIX} FROM orders), m AS (SELECT image_id, y * 4 // 10 AS cy, x * 4 // 10 AS cx, AVG(v) AS m FROM p GROUP BY 1, 2, 3) SELECT image_id, ROUND(stddev_pop(m), 5) AS spread, stddev_pop(m) > 8 AS uneven FROM m GROUP BY 1",

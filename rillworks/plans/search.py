@@ -1,4 +1,4 @@
-"""Search queries: embeddings as points, documents as postings, benchmark items and the first vectors as queries."""
+"""Search queries: embeddings as points, documents as postings; as queries all benchmark items and the vectors whose id is divisible by 100."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +14,8 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
 
 
-def dense_queries(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
-    return points(spark, d).where(F.col("doc_id") < n).select(F.col("doc_id").alias("query_id"), "vector")
+def dense_queries(spark: SparkSession, d: str) -> DataFrame:
+    return points(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "vector")
 
 
 def _dense(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
@@ -27,7 +27,7 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sparse_queries(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return s.encode_sparse(items, "query_id")
 
 
@@ -53,10 +53,10 @@ def q4_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of equal number modulo 10, whose parent is the source."""
-    docs = table(spark, d, "documents").where("doc_id < 400")
-    queries = table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return docs.withColumn("query_id", F.col("doc_id") % 10).join(queries, "query_id").select("query_id", "query", "doc_id", F.col("text").alias("child_text"), F.concat("source", F.lit("/"), "lang").alias("parent_text"))
+    """Each document for the item of its number modulo the number of items; its parent is the source."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    queries = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return docs.withColumn("query_id", F.col("doc_id") % items.count()).join(queries, "query_id").select("query_id", "query", "doc_id", F.col("text").alias("child_text"), F.concat("source", F.lit("/"), "lang").alias("parent_text"))
 
 
 def q5_rerank(spark: SparkSession, d: str) -> DataFrame:
@@ -75,8 +75,8 @@ def q7_search_and_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q8_multi_query_union(spark: SparkSession, d: str) -> DataFrame:
-    hits = s.dense_topk(dense_queries(spark, d, 30), points(spark, d), 10)
-    variants = dense_queries(spark, d, 30).select("query_id", (F.col("query_id") % 10).alias("parent_query"))
+    hits = s.dense_topk(dense_queries(spark, d), points(spark, d), 10)
+    variants = dense_queries(spark, d).select("query_id", F.expr("query_id div 200").alias("parent_query"))
     return s.multi_query_union(hits, variants, 10)
 
 
@@ -86,7 +86,7 @@ def q9_mmr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q10_maxsim(spark: SparkSession, d: str) -> DataFrame:
-    q = points(spark, d).where("doc_id < 30").select((F.col("doc_id") % 10).alias("query_id"), (F.col("doc_id") / 10).cast("int").alias("token_no"), "vector")
+    q = points(spark, d).where("doc_id % 100 = 0").select(F.expr("doc_id div 300").alias("query_id"), F.expr("doc_id div 100 % 3").alias("token_no"), "vector")
     return s.maxsim(q, points(spark, d).select(F.expr("doc_id div 5").alias("doc_id"), "vector"), 10)
 
 
@@ -95,8 +95,8 @@ def q11_reorder_middle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q12_expand_parent(spark: SparkSession, d: str) -> DataFrame:
-    hits = _dense(spark, d, 8).select("query_id", "rank", (F.col("doc_id") % 50).alias("parent_id"))
-    parents = table(spark, d, "documents").where("doc_id < 50").select(F.col("doc_id").alias("parent_id"), t.count_tokens(F.col("text")).alias("parent_tokens"))
+    hits = _dense(spark, d, 8).select("query_id", "rank", F.col("doc_id").alias("parent_id"))
+    parents = table(spark, d, "documents").select(F.col("doc_id").alias("parent_id"), t.count_tokens(F.col("text")).alias("parent_tokens"))
     return s.expand_parent(hits, parents, 1500).select("query_id", "rank", "choice")
 
 
@@ -107,7 +107,7 @@ def q13_expand_siblings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("filename"), (F.col("doc_id") % 9).cast("int").alias("page"), F.substring("text", 1, 50).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("filename"), (F.col("doc_id") % 9).cast("int").alias("page"), "text")
     return _dense(spark, d, 4).join(docs, "doc_id")
 
 
@@ -116,7 +116,7 @@ def q14_build_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q15_no_answer(spark: SparkSession, d: str) -> DataFrame:
-    contexts = s.build_context(_pages(spark, d).where("score >= 0.9 AND query_id % 2 = 0").withColumn("title", F.col("filename")), "plain")
+    contexts = s.build_context(_pages(spark, d).where("score >= 0.9 AND query_id % 200 = 0").withColumn("title", F.col("filename")), "plain")
     return s.with_no_answer(dense_queries(spark, d), contexts)
 
 
@@ -130,7 +130,7 @@ def q17_keyword_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q18_confidence_route(spark: SparkSession, d: str) -> DataFrame:
-    return s.confidence_route(s.dense_topk(dense_queries(spark, d, 40), points(spark, d).where("doc_id >= 40"), 3), 0.33, 0.3)
+    return s.confidence_route(s.dense_topk(dense_queries(spark, d), points(spark, d).where("doc_id % 100 <> 0"), 3), 0.33, 0.3)
 
 
 def q19_ann_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -153,10 +153,10 @@ def v2_norms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v3_v4_similarities(spark: SparkSession, d: str) -> DataFrame:
-    """Cosine, dot product and distance of the twenty first vectors to all others."""
-    a = points(spark, d).where("doc_id < 20").select(F.col("doc_id").alias("a"), F.col("vector").alias("x"))
+    """Cosine, dot product and distance of every hundredth vector to all others."""
+    a = points(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("a"), F.col("vector").alias("x"))
     b = points(spark, d).select(F.col("doc_id").alias("b"), F.col("vector").alias("y"))
-    pairs = b.join(s.small(a), F.col("a") < F.col("b"))
+    pairs = b.join(s.small(a), F.col("a") != F.col("b"))
     return pairs.select("a", "b", F.round(v.cosine(F.col("x"), F.col("y")), 5).alias("cosine"), F.round(v.dot(F.col("x"), F.col("y")), 5).alias("dot"), F.round(v.euclid(F.col("x"), F.col("y")), 5).alias("euclid"))
 
 
@@ -178,8 +178,8 @@ def _cos(a: str, b: str) -> str:
     return f"ROUND(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
 
 
-def _dense_sql(k: int, queries: int = 10, where: str = "TRUE", name: str = "dense") -> str:
-    return f"{name} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS doc_id, {_cos('q.embedding', 'p.embedding')} AS score FROM embeddings q, embeddings p WHERE q.vec_id < {queries} AND ({where})) QUALIFY rank <= {k})"
+def _dense_sql(k: int, where: str = "TRUE", name: str = "dense") -> str:
+    return f"{name} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS query_id, p.vec_id AS doc_id, {_cos('q.embedding', 'p.embedding')} AS score FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 AND ({where})) QUALIFY rank <= {k})"
 
 
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
@@ -192,14 +192,14 @@ def _bm25(source: str, id: str, name: str) -> str:
     )
 
 
-_SPARSE = f"{_bm25('documents', 'doc_id', 'post')}, {_bm25('(SELECT item_id AS query_id, text FROM benchmark WHERE item_id < 10)', 'query_id', 'ask')}"
+_SPARSE = f"{_bm25('documents', 'doc_id', 'post')}, {_bm25('(SELECT item_id AS query_id, text FROM benchmark)', 'query_id', 'ask')}"
 
 
 def _sparse_sql(k: int, where: str = "TRUE") -> str:
     return f"{_SPARSE}, sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT a.query_id, p.doc_id, ROUND(SUM(p.weight * a.weight), 6) AS score FROM post p JOIN ask a USING (term) WHERE {where} GROUP BY 1, 2) QUALIFY rank <= {k})"
 
 
-_CAND = "cand AS (SELECT doc_id % 10 AS query_id, b.text AS query, d.doc_id, d.text AS child_text, source || '/' || lang AS parent_text FROM documents d JOIN benchmark b ON item_id = doc_id % 10 WHERE doc_id < 400 AND item_id < 10)"
+_CAND = "cand AS (SELECT item_id AS query_id, b.text AS query, d.doc_id, d.text AS child_text, source || '/' || lang AS parent_text FROM documents d JOIN benchmark b ON item_id = doc_id % (SELECT COUNT(*) FROM benchmark))"
 _TOKS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')"
 _COVER = f"ROUND(len(list_intersect(list_distinct({_TOKS.format('query')}), {_TOKS.format('child_text')})) / len(list_distinct({_TOKS.format('query')})), 6)"
 _EN = "doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
@@ -211,18 +211,18 @@ ORACLES = {
     "q4_hybrid_search": f"WITH {_dense_sql(10, where='p.vec_id IN (SELECT doc_id FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')')}, {_sparse_sql(10, 'p.' + _EN)}, f AS (SELECT query_id, doc_id, ROUND(SUM(1e0 / (60 + rank)), 10) AS score FROM (SELECT query_id, doc_id, rank FROM dense UNION ALL SELECT query_id, doc_id, rank FROM sparse) GROUP BY 1, 2) SELECT query_id, doc_id, ROUND(score, 6) AS score FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, doc_id) <= 10",
     "q5_rerank": f"WITH {_CAND}, sc AS (SELECT query_id, doc_id, {_COVER} AS score FROM cand) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score >= 0.3 QUALIFY rank <= 4",
     "q6_dedupe_parent": f"WITH {_CAND}, sc AS (SELECT query_id, doc_id, parent_text, {_COVER} AS score FROM cand), b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, parent_text ORDER BY score DESC, doc_id) = 1) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 5",
-    "q8_multi_query_union": f"WITH {_dense_sql(10, 30)}, b AS (SELECT query_id % 10 AS parent_query, doc_id, MAX(score) AS score FROM dense GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY parent_query ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 10",
-    "q10_maxsim": "WITH q AS (SELECT vec_id % 10 AS query_id, vec_id // 10 AS token_no, embedding AS x FROM embeddings WHERE vec_id < 30), m AS (SELECT query_id, vec_id // 5 AS doc_id, token_no, MAX(list_cosine_similarity(x::DOUBLE[], embedding::DOUBLE[])) AS m FROM q, embeddings GROUP BY 1, 2, 3), f AS (SELECT query_id, doc_id, ROUND(SUM(m), 6) AS score FROM m GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10",
+    "q8_multi_query_union": f"WITH {_dense_sql(10)}, b AS (SELECT query_id // 200 AS parent_query, doc_id, MAX(score) AS score FROM dense GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY parent_query ORDER BY score DESC, doc_id) AS rank FROM b QUALIFY rank <= 10",
+    "q10_maxsim": "WITH q AS (SELECT vec_id // 300 AS query_id, vec_id // 100 % 3 AS token_no, embedding AS x FROM embeddings WHERE vec_id % 100 = 0), m AS (SELECT query_id, vec_id // 5 AS doc_id, token_no, MAX(list_cosine_similarity(x::DOUBLE[], embedding::DOUBLE[])) AS m FROM q, embeddings GROUP BY 1, 2, 3), f AS (SELECT query_id, doc_id, ROUND(SUM(m), 6) AS score FROM m GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10",
     "q11_reorder_middle": f"WITH {_dense_sql(7)} SELECT query_id, doc_id, CASE rank WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 WHEN 7 THEN 4 WHEN 6 THEN 5 WHEN 4 THEN 6 ELSE 7 END AS position FROM dense",
-    "q12_expand_parent": f"WITH {_dense_sql(8)}, p AS (SELECT doc_id AS parent_id, len({_TOK}) AS n FROM documents WHERE doc_id < 50) SELECT query_id, rank, CASE WHEN SUM(n) OVER (PARTITION BY query_id ORDER BY rank) <= 1500 THEN 'parent' ELSE 'child' END AS choice FROM dense JOIN p ON doc_id % 50 = parent_id",
+    "q12_expand_parent": f"WITH {_dense_sql(8)}, p AS (SELECT doc_id AS parent_id, len({_TOK}) AS n FROM documents) SELECT query_id, rank, CASE WHEN SUM(n) OVER (PARTITION BY query_id ORDER BY rank) <= 1500 THEN 'parent' ELSE 'child' END AS choice FROM dense JOIN p ON doc_id = parent_id",
     "q13_expand_siblings": f"WITH {_dense_sql(1)} SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM documents WHERE source IN (SELECT source FROM dense JOIN documents USING (doc_id))",
-    "q14_build_context": f"WITH {_dense_sql(4)} SELECT query_id, md5(string_agg('--- Nguồn ' || rank || ' (Tệp: ' || source || ', Trang: ' || doc_id % 9 || ') ---' || chr(10) || substring(text, 1, 50), chr(10) || chr(10) ORDER BY rank)) AS context FROM dense JOIN documents USING (doc_id) GROUP BY 1",
-    "q15_no_answer": f"WITH {_dense_sql(4)}, c AS (SELECT query_id, string_agg('Source: ' || source || chr(10) || substring(text, 1, 50), chr(10) || chr(10) ORDER BY rank) AS context FROM dense JOIN documents USING (doc_id) WHERE score >= 0.9 AND query_id % 2 = 0 GROUP BY 1) SELECT vec_id AS query_id, COALESCE(context, 'Không có trong tài liệu') AS context FROM embeddings LEFT JOIN c ON query_id = vec_id WHERE vec_id < 10",
+    "q14_build_context": f"WITH {_dense_sql(4)} SELECT query_id, md5(string_agg('--- Nguồn ' || rank || ' (Tệp: ' || source || ', Trang: ' || doc_id % 9 || ') ---' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context FROM dense JOIN documents USING (doc_id) GROUP BY 1",
+    "q15_no_answer": f"WITH {_dense_sql(4)}, c AS (SELECT query_id, string_agg('Source: ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM dense JOIN documents USING (doc_id) WHERE score >= 0.9 AND query_id % 200 = 0 GROUP BY 1) SELECT vec_id AS query_id, COALESCE(context, 'Không có trong tài liệu') AS context FROM embeddings LEFT JOIN c ON query_id = vec_id WHERE vec_id % 100 = 0",
     "q16_raw_fallback": f"WITH {_BASE} SELECT company, concat_ws(chr(10), '  revenue: ' || format('{{:,}}', CAST(floor(revenue) AS BIGINT)) || ' VND', CASE WHEN company % 7 <> 0 THEN '  ebit: ' || format('{{:,}}', CAST(floor(ebit) AS BIGINT)) || ' VND' END) AS context FROM companies WHERE company % 5 <> 0",
     "q17_keyword_lookup": "WITH q AS (SELECT conv_id * 1000 + turn AS query_id, lower(text) AS q FROM conversations), e AS (SELECT query_id, CASE WHEN contains(q, 'refund') OR contains(q, 'policy') THEN 1 WHEN contains(q, 'the') THEN 2 WHEN contains(q, 'order') THEN 3 END AS pos FROM q), f AS (SELECT query_id, min(pos) AS pos FROM e GROUP BY 1) SELECT e.query_id, CASE f.pos WHEN 1 THEN 'refund policy' WHEN 2 THEN 'the' WHEN 3 THEN 'order' END AS key, CASE f.pos WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' ELSE 'not found' END AS content FROM e JOIN f USING (query_id)",
-    "q18_confidence_route": f"WITH {_dense_sql(3, 40, 'p.vec_id >= 40')}, b AS (SELECT query_id, MAX(score) AS best FROM dense GROUP BY 1) SELECT *, CASE WHEN best >= 0.33 THEN 'use' WHEN best >= 0.3 THEN 'supplement' ELSE 'external' END AS route FROM b",
+    "q18_confidence_route": f"WITH {_dense_sql(3, 'p.vec_id % 100 <> 0')}, b AS (SELECT query_id, MAX(score) AS best FROM dense GROUP BY 1) SELECT *, CASE WHEN best >= 0.33 THEN 'use' WHEN best >= 0.3 THEN 'supplement' ELSE 'external' END AS route FROM b",
     "v2_norms": "WITH x AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT doc_id, ROUND(list_sum(list_transform(e, lambda x: abs(x))), 5) AS l1, ROUND(sqrt(list_sum(list_transform(e, lambda x: x * x))), 5) AS l2, ROUND(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 5) AS first FROM x",
-    "v3_v4_similarities": "SELECT p.vec_id AS a, q.vec_id AS b, ROUND(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS cosine, ROUND(list_inner_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS dot, ROUND(list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS euclid FROM embeddings p JOIN embeddings q ON p.vec_id < q.vec_id WHERE p.vec_id < 20",
+    "v3_v4_similarities": "SELECT p.vec_id AS a, q.vec_id AS b, ROUND(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS cosine, ROUND(list_inner_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS dot, ROUND(list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS euclid FROM embeddings p JOIN embeddings q ON p.vec_id <> q.vec_id WHERE p.vec_id % 100 = 0",
     "v5_encode_sparse": f"WITH {_bm25('documents', 'doc_id', 'post')} SELECT doc_id, COUNT(*) AS n_terms, ROUND(SUM(weight), 4) AS weight FROM post GROUP BY 1",
     "v6_idf_weight": f"WITH {_bm25('documents', 'doc_id', 'post')}, n AS (SELECT COUNT(DISTINCT doc_id) AS n FROM post) SELECT term, ROUND(ln((n - COUNT(*) + 0.5e0) / (COUNT(*) + 0.5e0) + 1), 6) AS idf FROM post, n GROUP BY term, n",
 }

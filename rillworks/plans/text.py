@@ -125,7 +125,7 @@ def k21_step_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _faq(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = docs(spark, d).select("doc_id", F.substring("text", 1, 60).alias("question"), F.substring("text", 61, 200).alias("answer"))
+    rows = docs(spark, d).select("doc_id", F.col("text").alias("question"), F.col("source").alias("answer"))
     return rows.where("doc_id % 3 = 0"), rows.where("doc_id % 3 <> 0")
 
 
@@ -289,7 +289,7 @@ ORACLES = {
     "k19_faq_chunks": f"WITH toks AS (SELECT doc_id, source || chr(10) || 'Question ' || doc_id || '?' || chr(10) AS head, text, {_TOK} AS t FROM documents) SELECT doc_id AS faq_id, 'single' AS record_type, 0 AS chunk_no, md5(text) AS content, md5(head || text) AS retrieval_text FROM toks WHERE len(t) <= 200 UNION ALL SELECT doc_id, 'parent', 0, md5(text), NULL FROM toks WHERE len(t) > 200 UNION ALL SELECT doc_id, 'child', CAST(i // 200 + 1 AS INTEGER), md5(array_to_string(t[i + 1:i + 200], ' ')), md5(head || array_to_string(t[i + 1:i + 200], ' ')) FROM toks, UNNEST(range(0, len(t), 200)) u(i) WHERE len(t) > 200",
     "k20_record_chunks": "SELECT r_name AS filename, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS INTEGER) AS record_no, 'nations | key: ' || n_nationkey || '; name: ' || n_name AS record FROM nation JOIN region ON n_regionkey = r_regionkey",
     "k21_step_chunks": "WITH s AS (SELECT conv_id, turn, text, (SUM(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 200 AS chunk_no FROM conversations) SELECT conv_id, CAST(chunk_no AS BIGINT) AS chunk_no, MIN(turn) AS first_step, MAX(turn) AS last_step, md5(string_agg(text, ' ' ORDER BY turn, text)) AS chunk FROM s GROUP BY 1, 2",
-    "k22_dedupe_faq": "WITH f AS (SELECT doc_id, lower(trim(regexp_replace(substring(text, 1, 60), '\\s+', ' ', 'g'), ' ')) AS q, substring(text, 61, 200) AS a FROM documents), n AS (SELECT * FROM f WHERE doc_id % 3 = 0), k AS (SELECT * FROM f WHERE doc_id % 3 <> 0) SELECT doc_id, 'new' AS kind FROM n WHERE q NOT IN (SELECT q FROM k) UNION ALL SELECT n.doc_id, 'conflict' FROM n JOIN k USING (q) WHERE n.a <> k.a",
+    "k22_dedupe_faq": "WITH f AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) AS q, source AS a FROM documents), n AS (SELECT * FROM f WHERE doc_id % 3 = 0), k AS (SELECT * FROM f WHERE doc_id % 3 <> 0) SELECT doc_id, 'new' AS kind FROM n WHERE q NOT IN (SELECT q FROM k) UNION ALL SELECT n.doc_id, 'conflict' FROM n JOIN k USING (q) WHERE n.a <> k.a",
     "k23_flag_truncated": f"WITH x AS (SELECT doc_id, len({_TOK}) AS tokens FROM documents) SELECT doc_id, model, tokens, tokens > lim AS truncated FROM x, (VALUES ('all-MiniLM-L6-v2', 256), ('all-mpnet-base-v2', 514), ('nomic-embed-text', 8192), ('text-embedding-3-small', 8191)) m(model, lim)",
     "k24_chunk_strategy": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'qa_record' WHEN 1 THEN 'record' WHEN 2 THEN 'procedure' ELSE 'fixed_size' END AS \"primary\", CASE doc_id % 5 WHEN 0 THEN 'parent_child' WHEN 1 THEN 'parent_child' WHEN 2 THEN 'section' ELSE 'overlap' END AS secondary FROM documents",
     "h1_map_reduce": f"WITH {_PIECES} SELECT doc_id, md5(string_agg(regexp_extract(array_to_string(p, ' '), '(?s)^(.*?[.!?])(?:\\s|$)', 1), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_no)) AS digest FROM pieces GROUP BY 1",

@@ -11,12 +11,12 @@ from .search import _dense_sql, dense_queries, points
 from ..operators.search import dense_topk
 
 
-def _judged(spark: SparkSession, d: str, n: int = 40, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Hits of the first vectors among all others; a vector of the same label is relevant."""
-    hits = dense_topk(dense_queries(spark, d, n), points(spark, d).where(f"doc_id >= {n}"), k).select("query_id", F.col("doc_id").alias("item_id"), "rank")
+def _judged(spark: SparkSession, d: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Hits of every hundredth vector among all others; a vector of the same label is relevant."""
+    hits = dense_topk(dense_queries(spark, d), points(spark, d).where("doc_id % 100 <> 0"), k).select("query_id", F.col("doc_id").alias("item_id"), "rank")
     p = points(spark, d)
-    q = p.where(f"doc_id < {n}").select(F.col("doc_id").alias("query_id"), "label")
-    return hits, p.where(f"doc_id >= {n}").select(F.col("doc_id").alias("item_id"), "label").join(F.broadcast(q), "label").select("query_id", "item_id", F.lit(True).alias("relevant"))
+    q = p.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "label")
+    return hits, p.where("doc_id % 100 <> 0").select(F.col("doc_id").alias("item_id"), "label").join(F.broadcast(q), "label").select("query_id", "item_id", F.lit(True).alias("relevant"))
 
 
 def e1_e3_e4_retrieval(spark: SparkSession, d: str) -> DataFrame:
@@ -24,9 +24,9 @@ def e1_e3_e4_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e2_answer_recall(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("query_id"), F.expr("doc_id div 50 + 1").alias("rank"), "text")
-    answers = table(spark, d, "documents").where("doc_id < 50").selectExpr("doc_id AS query_id", "CASE WHEN doc_id % 3 = 0 THEN concat('x', text) ELSE text END AS answer")
-    return e.answer_recall(docs, answers, 3)
+    docs = table(spark, d, "documents").selectExpr("doc_id - doc_id % 100 AS query_id", "doc_id % 100 + 1 AS rank", "text")
+    answers = table(spark, d, "documents").where("doc_id % 100 = 0").selectExpr("doc_id AS query_id", "CASE WHEN doc_id % 3 = 0 THEN concat('x', text) ELSE text END AS answer")
+    return e.answer_recall(docs, answers, 100)
 
 
 def e5_supported_share(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def e5_supported_share(spark: SparkSession, d: str) -> DataFrame:
 
 def e6_answer_relevancy(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
-    return e.answer_relevancy(dense_queries(spark, d, 50), p.where("doc_id >= 50").select((F.col("doc_id") % 50).alias("query_id"), "vector"))
+    return e.answer_relevancy(dense_queries(spark, d), p.where("doc_id % 100 <> 0").select((F.col("doc_id") - F.col("doc_id") % 100).alias("query_id"), "vector"))
 
 
 def e7_expected_score(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +137,7 @@ def t16_merge_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _memories(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").selectExpr("conv_id % 20 AS user_id", "conv_id * 100 + turn AS pos", "concat(' ', substring(text, 1, 4 * cast(turn % 3 as int)), ' ') AS memory")
+    return table(spark, d, "conversations").selectExpr("conv_id % 20 AS user_id", "conv_id * 100 + turn AS pos", "CASE WHEN turn % 3 = 0 THEN '  ' ELSE concat(' ', text, ' ') END AS memory")
 
 
 def t17_save_memory(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +214,7 @@ QUERIES = {q.__name__: q for q in (
     t11_status_mix, t12_rate_violations, t13_escalation_context, t14_conversation_window, t15_last_human_message, t16_merge_messages, t17_save_memory, t18_retrieve_memory, t19_distinct_in_order, t20_collect_tool_outputs, g1_build_graph, g2_check_schema, g3_k_hop, g4_match_count, g5_communities, g6_community_report, g7_global_answer, g8_fact_check,
 )}
 
-_HITS = f"{_dense_sql(10, 40, 'p.vec_id >= 40')}, j AS (SELECT query_id, a.label = b.label AS v, rank FROM dense JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id), n AS (SELECT a.vec_id AS query_id, COUNT(*) AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < 40 AND b.vec_id >= 40 GROUP BY 1)"
+_HITS = f"{_dense_sql(10, 'p.vec_id % 100 <> 0')}, j AS (SELECT query_id, a.label = b.label AS v, rank FROM dense JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id), n AS (SELECT a.vec_id AS query_id, COUNT(*) AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0 GROUP BY 1)"
 
 
 def _measures(k: int) -> str:
@@ -224,13 +224,13 @@ def _measures(k: int) -> str:
     )
 
 
-_MEM = "raw AS (SELECT conv_id % 20 AS user_id, conv_id * 100 + turn AS pos, trim(substring(text, 1, 4 * (turn % 3)), ' ') AS memory FROM conversations), mem AS (SELECT user_id, memory, MIN(pos) AS pos, COUNT(*) OVER (PARTITION BY user_id) > 10 AS consolidate FROM raw WHERE memory <> '' GROUP BY 1, 2)"
+_MEM = "raw AS (SELECT conv_id % 20 AS user_id, conv_id * 100 + turn AS pos, CASE WHEN turn % 3 = 0 THEN '' ELSE trim(text, ' ') END AS memory FROM conversations), mem AS (SELECT user_id, memory, MIN(pos) AS pos, COUNT(*) OVER (PARTITION BY user_id) > 10 AS consolidate FROM raw WHERE memory <> '' GROUP BY 1, 2)"
 
 ORACLES = {
     "e1_e3_e4_retrieval": f"WITH {_HITS} {_measures(10)}",
-    "e2_answer_recall": "WITH a AS (SELECT doc_id AS q, substring(CASE WHEN doc_id % 3 = 0 THEN 'x' || text ELSE text END, 1, 50) AS a FROM documents WHERE doc_id < 50), f AS (SELECT q, MAX(CASE WHEN contains(text, a) THEN 1 ELSE 0 END) AS v FROM a JOIN documents ON doc_id % 50 = q AND doc_id // 50 + 1 <= 3 GROUP BY 1) SELECT ROUND(AVG(v), 6) AS recall FROM f",
+    "e2_answer_recall": "WITH a AS (SELECT doc_id AS q, substring(CASE WHEN doc_id % 3 = 0 THEN 'x' || text ELSE text END, 1, 50) AS a FROM documents WHERE doc_id % 100 = 0), f AS (SELECT q, MAX(CASE WHEN contains(text, a) THEN 1 ELSE 0 END) AS v FROM a JOIN documents ON doc_id - doc_id % 100 = q GROUP BY 1) SELECT ROUND(AVG(v), 6) AS recall FROM f",
     "e5_supported_share": "SELECT event_type, ROUND(AVG(CASE WHEN value > 30 THEN 1e0 ELSE 0e0 END), 6) AS share FROM events GROUP BY 1",
-    "e6_answer_relevancy": "SELECT q.vec_id AS query_id, ROUND(AVG(list_cosine_similarity(q.embedding::DOUBLE[], g.embedding::DOUBLE[])), 6) AS relevancy FROM embeddings q JOIN embeddings g ON g.vec_id % 50 = q.vec_id WHERE q.vec_id < 50 AND g.vec_id >= 50 GROUP BY 1",
+    "e6_answer_relevancy": "SELECT q.vec_id AS query_id, ROUND(AVG(list_cosine_similarity(q.embedding::DOUBLE[], g.embedding::DOUBLE[])), 6) AS relevancy FROM embeddings q JOIN embeddings g ON g.vec_id - g.vec_id % 100 = q.vec_id WHERE q.vec_id % 100 = 0 AND g.vec_id % 100 <> 0 GROUP BY 1",
     "e7_expected_score": "SELECT l_orderkey AS id, ROUND(SUM(l_linenumber * exp(-l_discount * 10)) / SUM(exp(-l_discount * 10)), 6) AS expected FROM lineitem GROUP BY 1",
     "e8_diagnose": "WITH m AS (SELECT (l_orderkey + l_linenumber) % 10 >= 7 AS r, (l_orderkey * 3 + l_linenumber) % 10 >= 7 AS p, (l_orderkey * 7 + l_linenumber) % 10 >= 7 AS f, (l_orderkey * 11 + l_linenumber) % 10 >= 7 AS a FROM lineitem) SELECT CASE WHEN NOT r AND NOT p AND NOT f THEN 'retriever_broken' WHEN NOT r AND p THEN 'retrieves_too_little' WHEN r AND NOT p THEN 'too_much_noise' WHEN NOT r THEN 'mixed' WHEN NOT f AND a THEN 'hallucination' WHEN f AND NOT a THEN 'off_topic' WHEN NOT f THEN 'weak_model' ELSE 'healthy' END AS \"case\", COUNT(*) AS n FROM m GROUP BY 1",
     "e9_field_scores": "WITH f AS (SELECT p_partkey, p_retailprice * (1 + (p_partkey % 4) * 0.005e0) AS a FROM part WHERE p_partkey % 7 <> 0), g AS (SELECT p_partkey, p_retailprice AS b FROM part WHERE p_partkey % 11 <> 0), j AS (SELECT a, b FROM f FULL JOIN g USING (p_partkey)) SELECT ROUND(COUNT(*) FILTER (abs(a - b) <= 0.01e0 * abs(b)) / COUNT(b), 6) AS numeric_accuracy, ROUND(COUNT(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / COUNT(a), 6) AS precision, ROUND(COUNT(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / COUNT(b), 6) AS recall, ROUND(2 * COUNT(*) FILTER (a IS NOT NULL AND b IS NOT NULL) / (COUNT(a) + COUNT(b)), 6) AS f1 FROM j",
