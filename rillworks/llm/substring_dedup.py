@@ -11,7 +11,7 @@ from ._hot import later_in_group
 from ._text import SPACE, Chunk, Words, blobs, chunks, long_windows, mix, windows
 
 #: Words of the anchors by which windows are counted; cells for each anchor expected; anchors of a block of cells; entries gathered before they are sent.
-ANCHOR, CELLS, BLOCK, FLUSH = 8, 32, 1 << 19, 1 << 19
+ANCHOR, CELLS, BLOCK, FLUSH = 8, 512, 1 << 19, 1 << 19
 _U = np.uint64
 
 
@@ -92,7 +92,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = docs.where("doc_id is not null")
     size, n_rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     anchors = 1 + (size or 0) / 6 * 2 / 43
-    bits = int(np.ceil(np.log2(anchors * CELLS))) + 4
+    bits = int(np.ceil(np.log2(anchors * CELLS)))
     blocks = max(4, int(np.ceil(np.log2(1 + anchors / BLOCK))))
     parts = max(4, int(np.ceil(np.log2(1 + (size or 0) / 12 / (1 << 20)))))
 
