@@ -236,10 +236,11 @@ def test_toxicity(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = toxicity.fit_toxicity_model(docs, labels)
-    out = toxicity.score_toxicity(docs, model).join(labels, "doc_id")
+    # English rows: in the others too few of 40 toxic rows share a word; test_toxic_held_out.py measures all on unseen rows
+    out = toxicity.score_toxicity(docs, model).join(labels, "doc_id").join(docs.where("lang = 'en'").select("doc_id"), "doc_id")
     rows = [(r.toxic, r.score) for r in out.collect()]
     bad, good = [s for y, s in rows if y], [s for y, s in rows if not y]
-    assert np.mean([b > g for b in bad for g in good]) > 0.8  # some labels are of other languages' rows, in which few words tell
+    assert np.mean([b > g for b in bad for g in good]) > 0.9
     odd = got(toxicity.score_toxicity(spark.createDataFrame([(1, None), (2, ""), (3, "what an idiot"), (4, "what an i-d-i-o-t"), (5, "hello the of")], "doc_id long, text string"), model))
     assert odd[1].score == odd[2].score < 0.5 and odd[3].predicted == 1 and odd[4].score > odd[5].score
     assert got(toxicity.score_toxicity(docs, toxicity.fit_toxicity_model(docs, labels.where("toxic = 5"))))[0].predicted == 0
