@@ -1,4 +1,4 @@
-"""Toxicity on labelled rows that no learner has seen, and on awkward rows."""
+"""Toxicity on labelled rows that no learner has seen (the operator's settings were chosen by them), and on awkward rows."""
 
 import numpy as np
 import pytest
