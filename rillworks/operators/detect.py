@@ -1,6 +1,7 @@
 """Detections: overlap, suppression, matching, precision and recall, thresholds and their cost, inspection verdicts."""
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.boxes import area, box, iou
+from .cut import cut
 
 
 def pairwise_iou(a: DataFrame, b: DataFrame, least: float = 0.0) -> DataFrame:
@@ -106,32 +108,48 @@ def match_detections(predicted: DataFrame, truth: DataFrame, least: float = 0.5)
     return dealt.mapInPandas(run, f"image_id {kind}, class_id int, box_id long, score double, tp boolean")
 
 
+#: Places of a curve that one task goes through.
+PLACES = 1 << 16
+
+
 def pr_curve(matched: DataFrame, truths: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
-    """The matched rows with cumulative tp and fp by falling score, precision and recall; truths: by, n_truth."""
-    w = W.partitionBy(*by).orderBy(F.desc("score"), "image_id", "box_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = matched.withColumn("cum_tp", F.sum(F.col("tp").cast("long")).over(w)).withColumn("cum_fp", F.sum((~F.col("tp")).cast("long")).over(w)).join(truths, list(by))
-    return rows.withColumn("precision", F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).withColumn("recall", F.col("cum_tp") / F.col("n_truth"))
+    """The matched rows with cumulative tp and fp by falling score, precision and recall; truths: by, n_truth.
+
+    Rows are dealt out by ranges of the order and written, so that ranges stay as they are; sums run over the ranges' totals first, then inside
+    each range. A group may hold all rows."""
+    order = [F.desc("score"), "image_id", "box_id"]
+    rows = cut(matched.repartitionByRange(*by, *order).withColumn("range_", F.spark_partition_id()), "curve")
+    totals = rows.groupBy(*by, "range_").agg(F.sum(F.col("tp").cast("long")).alias("tp_"), F.sum((~F.col("tp")).cast("long")).alias("fp_"))
+    above = W.partitionBy(*by).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*by, "range_", *(F.coalesce(F.sum(k).over(above), F.lit(0)).alias(k) for k in ("tp_", "fp_")))
+    w = W.partitionBy(*by, "range_").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.join(totals, [*by, "range_"]).join(truths, list(by))
+    rows = rows.withColumn("cum_tp", F.col("tp_") + F.sum(F.col("tp").cast("long")).over(w)).withColumn("cum_fp", F.col("fp_") + F.sum((~F.col("tp")).cast("long")).over(w))
+    rows = rows.withColumn("precision", F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).withColumn("recall", F.col("cum_tp") / F.col("n_truth"))
+    return rows.drop("range_", "tp_", "fp_")
 
 
 def average_precision(curve: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
-    """by, ap: the area under the highest precision at each recall or above."""
+    """by, ap: the area under the highest precision at each recall or above. Highest values run over blocks of places first, then inside each block; only hits raise the recall, each by the same step."""
     place = F.col("cum_tp") + F.col("cum_fp")
-    w = W.partitionBy(*by).orderBy(place)
+    rows = curve.select(*by, "tp", "precision", place.alias("place"), F.floor(place / PLACES).alias("block"), (F.col("recall") / F.nullif(F.col("cum_tp"), F.lit(0))).alias("step"))
+    best = rows.groupBy(*by, "block").agg(F.max("precision").alias("top"))
+    beyond = W.partitionBy(*by).orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    best = best.select(*by, "block", F.max("top").over(beyond).alias("beyond"))
     # a running maximum from the other end: a frame that follows would be computed anew for each row
-    back = W.partitionBy(*by).orderBy(place.desc()).rowsBetween(W.unboundedPreceding, 0)
-    rows = curve.withColumn("envelope", F.max("precision").over(back)).withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
-    return rows.groupBy(*by).agg(F.sum(F.col("envelope") * F.col("step")).alias("ap"))
+    back = W.partitionBy(*by, "block").orderBy(F.desc("place")).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.join(best, [*by, "block"]).withColumn("envelope", F.greatest("beyond", F.max("precision").over(back)))
+    return rows.groupBy(*by).agg(F.sum(F.when(F.col("tp"), F.col("envelope") * F.col("step")).otherwise(0.0)).alias("ap"))
 
 
 def mean_ap(predicted: DataFrame, truth: DataFrame, thresholds: Sequence[float] = tuple(x / 100 for x in range(50, 100, 5))) -> DataFrame:
     """threshold, map (mean over classes with a truth), for each threshold of overlap."""
     counts = truth.groupBy("class_id").agg(F.count("*").alias("n_truth"))
-    out = None
-    for t in thresholds:  # ten at most: one plan each over the same inputs
-        ap = average_precision(pr_curve(match_detections(predicted, truth, t), counts))
-        one = counts.select("class_id").join(ap, "class_id", "left").agg(F.round(F.avg(F.coalesce("ap", F.lit(0.0))), 6).alias("map")).select(F.lit(float(t)).alias("threshold"), "map")
-        out = one if out is None else out.unionByName(one)
-    return out
+    counts = counts.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    matched = reduce(DataFrame.unionByName, (match_detections(predicted, truth, t).withColumn("threshold", F.lit(float(t))) for t in thresholds))
+    by = ["threshold", "class_id"]
+    ap = average_precision(pr_curve(matched, counts, by), by)
+    return counts.select(*by).join(ap, by, "left").groupBy("threshold").agg(F.round(F.avg(F.coalesce("ap", F.lit(0.0))), 6).alias("map"))
 
 
 def size_band(b: tuple[Column, ...]) -> Column:

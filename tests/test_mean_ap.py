@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rillworks.operators import detect as operators
 from rillworks.plans import detect
 
 
@@ -36,3 +37,33 @@ def test_all_images_and_thresholds(spark, tmp_path):
     out = {round(r.threshold, 2): r.map for r in detect.d8_mean_ap(spark, str(tmp_path)).collect()}
     assert sorted(out) == [x / 100 for x in range(50, 100, 5)]
     assert out == pytest.approx({t: plain(predicted, truth, t) for t in out}, abs=2e-6) and out[0.5] > 0
+
+
+def test_curve_over_ranges(spark, monkeypatch):
+    """One class with most rows and tied scores, dealt over many ranges and blocks."""
+    rng = random.Random(8)
+    rows = [(i // 7, i, int(i % 11 == 0), rng.choice([0.5, 0.5, rng.random()]), rng.random() < 0.4) for i in range(3000)] + [(0, 9000, 1, None, True)]
+    counts = spark.createDataFrame([(0, 2000), (1, 300)], "class_id int, n_truth long")
+    matched = spark.createDataFrame(rows, "image_id long, box_id long, class_id int, score double, tp boolean")
+    monkeypatch.setattr(operators, "PLACES", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        curve = operators.pr_curve(matched, counts)
+        got = {r.box_id: (r.cum_tp, r.cum_fp) for r in curve.collect()}
+        ap = {r.class_id: r.ap for r in operators.average_precision(curve).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert curve.columns == matched.columns[2:3] + [c for c in matched.columns if c != "class_id"] + ["n_truth", "cum_tp", "cum_fp", "precision", "recall"]
+    want, areas = {}, {}
+    for k, n in ((0, 2000), (1, 300)):
+        hits, points = 0, []
+        for at, r in enumerate(sorted((r for r in rows if r[2] == k), key=lambda r: (r[3] is None, -(r[3] or 0), r[0], r[1])), 1):
+            hits += r[4]
+            want[r[1]] = (hits, at - hits)
+            points.append((hits / at, hits / n))
+        top, areas[k] = 0, 0
+        for i in range(len(points) - 1, -1, -1):
+            top = max(top, points[i][0])
+            areas[k] += top * (points[i][1] - (points[i - 1][1] if i else 0))
+    assert got == want
+    assert ap == pytest.approx(areas)
