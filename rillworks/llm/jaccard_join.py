@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _sketch
@@ -17,6 +18,8 @@ from ._text import Chunk, Words, blobs, chunks, lanes, mix, table, windows
 SKETCH, FILTER, ROWS = 1 << 22, 1 << 24, 2048
 #: Postings in a block of n-grams, and postings gathered before they are sent.
 POSTINGS, FLUSH = 1 << 20, 1 << 19
+#: Sets of a large block that each of its parts is told of.
+SHARED = 16
 _U = np.uint64
 
 
@@ -68,8 +71,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        n-grams, dealt by hash, hold columns of the incidence matrix; each column is cut where sizes differ by more than the limit allows.
        A set whose overlaps summed over the blocks stay below its bound is discarded; so are its least columns below two fifths of it,
        as any link still leaves the two sets a common column.
-    3. Sets whose columns have the same first set form a block of rows; a large block is split into pairs of parts. A block's product gives
-       exact overlaps, row by row, for all rows but those already joined to the first component found: pairs inside a component decide nothing.
+    3. Sets whose columns have the same first set form a block of rows. A block's product gives exact overlaps, row by row, for all rows but
+       those already joined to the first component found: pairs inside a component decide nothing. A large block is dealt into parts, each
+       with the same few of its sets, which join its near copies; only sets that are still apart from the block's largest component then
+       meet all parts, so a block of n near copies costs n rows, and one of n sets that don't link costs all pairs of parts.
     4. Components of the links of all blocks.
     """
     spark = docs.sparkSession
@@ -209,17 +214,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["sig", "n", "grams"])
 
     parts = F.ceil(F.col("n_rows") / ROWS).cast("int")
-    own = F.pmod(F.xxhash64("sig", "n"), F.col("parts")).cast("int")
-    member = member.withColumn("parts", parts).withColumn("own", own)
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    member = member.select("sig", "n", "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    member = member.select("sig", "n", "hub", parts.alias("parts"), F.pmod(F.xxhash64("sig", "n"), parts).cast("int").alias("i"))
+    large = member.where("parts > 1")
+    low = F.row_number().over(W.partitionBy("hub").orderBy(F.xxhash64("sig", "n"), "sig", "n"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")
+    few = large.withColumn("low", low).where(F.col("low") <= SHARED).select("sig", "n", "hub", "parts", every)
 
     def product(key: tuple, t: pa.Table) -> pa.Table:
-        u, v = links(t["sig"].to_numpy(), t["n"].to_numpy(), [np.frombuffer(x.as_buffer(), _U) for x in t["grams"]], percent)
+        u, v = links(t["sig"].to_numpy(), t["n"].to_numpy(), [np.frombuffer(x.as_buffer(), _U) for x in t["grams"]], percent, t["done"].to_numpy())
         return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    found = docs.mapInArrow(kept_sets, "sig long, n long, grams binary").join(member, ["sig", "n"]).groupBy("hub", "i", "j").applyInArrow(product, "u long, v long")
-    roots = stored(components(found), "roots")
+    def joined(dealt: DataFrame) -> DataFrame:
+        """u, v: links inside each block of dealt (sig, n, hub, i, j, done)."""
+        return docs.mapInArrow(kept_sets, "sig long, n long, grams binary").join(dealt, ["sig", "n"]).groupBy("hub", "i", "j").applyInArrow(product, "u long, v long")
+
+    roots = stored(components(joined(member.unionByName(few).select("sig", "n", "hub", "i", F.lit(0).alias("j"), F.lit(False).alias("done")))), "roots")
+    if not large.isEmpty():
+        of = large.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        most = of.groupBy("hub", "root").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max(F.struct("k", "root"))["root"].alias("most"))
+        of = stored(of.join(most, "hub").select("sig", "n", "hub", "parts", "i", (F.col("root") == F.col("most")).alias("done")), "large")
+        apart = of.where("not done")
+        if not apart.isEmpty():
+            blocks = apart.groupBy("hub").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
+            of, apart = of.join(blocks, "hub"), apart.join(blocks, "hub")
+            of = of.select("sig", "n", "hub", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "done")
+            apart = apart.select("sig", "n", "hub", every, F.pmod(F.xxhash64("sig", "n"), "blocks").cast("int").alias("j"), "done")
+            found = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(joined(of.unionByName(apart)))
+            roots = stored(components(found), "roots")
     classes = rows.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -227,10 +248,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(classes, ["sig", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def links(sig: np.ndarray, n: np.ndarray, grams: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """Links enough to join what links join: exact overlaps of one row with all others, until each row outside the first component found has been one."""
+def links(sig: np.ndarray, n: np.ndarray, grams: list[np.ndarray], percent: int, done: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links enough to join what links join: exact overlaps of one row with all others, until each row outside the first component found has been one. Rows that are done are that component, joined before."""
     _, at = np.unique(np.stack([sig, n]), axis=1, return_index=True)
-    sig, n, grams = sig[at], n[at].astype(np.int64), [grams[i] for i in at]
+    sig, n, grams, done = sig[at], n[at].astype(np.int64), [grams[i] for i in at], done[at]
     m = len(sig)
     if m < 2:
         return [], []
@@ -244,7 +265,8 @@ def links(sig: np.ndarray, n: np.ndarray, grams: list[np.ndarray], percent: int)
     column = np.empty(len(flat), np.int64)
     column[order] = np.cumsum(new) - 1
     by_column, off = row[order], np.append(0, np.cumsum(n))
-    label, main = np.arange(m), -1
+    label, main = np.arange(m), int(done.argmax()) if done.any() else -1
+    label[done] = main
     todo = np.argsort(-np.add.reduceat(long[column], off[:-1]), kind="stable")
     u: list[int] = []
     v: list[int] = []
@@ -262,7 +284,8 @@ def links(sig: np.ndarray, n: np.ndarray, grams: list[np.ndarray], percent: int)
         near = near[near != i]
         if main < 0 and len(near):
             main = i
-        u += [int(sig[i])] * len(near)
-        v += sig[near].tolist()
-        label[np.isin(label, label[near])] = label[i]
+        names, at = np.unique(label[near], return_index=True)
+        u += [int(sig[i])] * len(at)
+        v += sig[near[at]].tolist()
+        label[np.isin(label, names)] = label[i]
     return u, v

@@ -6,7 +6,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from rillworks.llm import _hot, mix_sources, quality_rules, shards, url_filter
+from rillworks.llm import _hot, jaccard_join, mix_sources, quality_rules, shards, url_filter
+
+from . import brute
 
 
 def test_later_in_group(spark):
@@ -59,3 +61,22 @@ def test_question_mark_is_one_character(spark):
     urls = ["http://h/é", "http://h/x", "http://h/€", "http://h/😀", "http://h/éé", "http://h/", "http://h/aéb😀z", "http://h/aéb😀", "http://ü/x", "http://h/" + "y" * 20_000]
     out = url_filter.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), rules)
     assert [r.verdict == "block" for r in sorted(out.collect(), key=lambda r: r.page_id)] == [True] * 4 + [False, False, True, False, True, False]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_blocks_join_near_copies_first(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "ROWS", 6)
+    monkeypatch.setattr(jaccard_join, "SHARED", 2)
+    calls = []
+    plain = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda e: calls.append(1) or plain(e))
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    # families that share two thirds of their words, so blocks hold sets of several components
+    tails = [base[80:]] + [[f"t{k}_{i}" for i in range(40)] for k in range(3)]
+    rows = [(i, " ".join(x if rng.random() > 0.02 else f"e{rng.random()}" for x in base[:80] + tails[rng.choice([0, 0, 0, 1, 2, 3])])) for i in range(110)]
+    rows += [(1000 + i, " ".join(base[:80] + [f"u{i}_{k}" for k in range(rng.randrange(5, 40))])) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = jaccard_join.jaccard_components(df).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute.components(rows)
+    assert len(calls) == 2
