@@ -112,21 +112,26 @@ def match_detections(predicted: DataFrame, truth: DataFrame, least: float = 0.5)
 PLACES = 1 << 16
 
 
-def pr_curve(matched: DataFrame, truths: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
-    """The matched rows with cumulative tp and fp by falling score, precision and recall; truths: by, n_truth.
+def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], **sums: Column) -> DataFrame:
+    """The rows with each sum over the group's rows up to it in the order.
 
     Rows are dealt out by ranges of the order and written, so that ranges stay as they are; sums run over the ranges' totals first, then inside
-    each range. A group may hold all rows."""
-    order = [F.desc("score"), "image_id", "box_id"]
-    rows = cut(matched.repartitionByRange(*by, *order).withColumn("range_", F.spark_partition_id()), "curve")
-    totals = rows.groupBy(*by, "range_").agg(F.sum(F.col("tp").cast("long")).alias("tp_"), F.sum((~F.col("tp")).cast("long")).alias("fp_"))
+    each range. A group may hold all rows; a null is a group as any other."""
+    rows = cut(rows.repartitionByRange(*by, *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    totals = rows.groupBy(*by, "range_").agg(*(F.sum(c).alias(f"{k}_") for k, c in sums.items()))
     above = W.partitionBy(*by).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*by, "range_", *(F.coalesce(F.sum(k).over(above), F.lit(0)).alias(k) for k in ("tp_", "fp_")))
-    w = W.partitionBy(*by, "range_").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.join(totals, [*by, "range_"]).join(truths, list(by))
-    rows = rows.withColumn("cum_tp", F.col("tp_") + F.sum(F.col("tp").cast("long")).over(w)).withColumn("cum_fp", F.col("fp_") + F.sum((~F.col("tp")).cast("long")).over(w))
-    rows = rows.withColumn("precision", F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).withColumn("recall", F.col("cum_tp") / F.col("n_truth"))
-    return rows.drop("range_", "tp_", "fp_")
+    totals = totals.select(*(F.col(c).alias(f"{c}_") for c in by), F.col("range_").alias("range__"), *(F.coalesce(F.sum(f"{k}_").over(above), F.lit(0)).alias(f"{k}_") for k in sums))
+    inside = W.partitionBy(*by, "range_").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by), F.col("range_") == F.col("range__"))
+    return rows.join(totals, same).select(*(c for c in rows.columns if c != "range_"), *((F.col(f"{k}_") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(k) for k, c in sums.items()))
+
+
+def pr_curve(matched: DataFrame, truths: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
+    """The matched rows with cumulative tp and fp by falling score, precision and recall; truths: by, n_truth."""
+    hit = F.col("tp").cast("long")
+    rows = running_sums(matched, by, [F.desc("score"), "image_id", "box_id"], cum_tp=hit, cum_fp=1 - hit)
+    rates = [(F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"), (F.col("cum_tp") / F.col("n_truth")).alias("recall")]
+    return rows.join(truths, list(by)).select(*by, *(c for c in matched.columns if c not in by), *(c for c in truths.columns if c not in by), "cum_tp", "cum_fp", *rates)
 
 
 def average_precision(curve: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
@@ -158,18 +163,16 @@ def size_band(b: tuple[Column, ...]) -> Column:
 
 
 def roc_auc(rows: DataFrame, label: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
-    """The chance that a positive scores above a negative, ties a half: from counts at each distinct score, so nothing but those is ordered."""
+    """The chance that a positive scores above a negative, ties a half: from counts at each distinct score, summed over ranges of scores."""
     counts = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n"))
-    below = F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1))
-    won = counts.withColumn("won", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2))
+    won = running_sums(counts, by, [score], upto=F.col("n")).withColumn("won", F.col("p") * (F.col("upto") - F.col("n") / 2))
     return won.groupBy(*by).agg(F.when((F.sum("p") > 0) & (F.sum("n") > 0), F.sum("won") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def pr_auc(rows: DataFrame, label: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """ap (recall steps times precision, one step a distinct score) and the baseline, the share of positives."""
     counts = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("m"))
-    w = W.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    steps = counts.withColumn("precision", F.sum("p").over(w) / F.sum("m").over(w))
+    steps = running_sums(counts, by, [F.desc(score)], hits=F.col("p"), called=F.col("m")).withColumn("precision", F.col("hits") / F.col("called"))
     return steps.groupBy(*by).agg((F.sum(F.col("p") * F.col("precision")) / F.nullif(F.sum("p"), F.lit(0))).alias("ap"), (F.sum("p") / F.sum("m")).alias("baseline"))
 
 

@@ -180,7 +180,7 @@ def d26_image_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d27_anchor_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    return x.anchor_kmeans(boxes(spark, d).selectExpr("x2 - x1 AS w", "y2 - y1 AS h"))
+    return x.anchor_kmeans(boxes(spark, d).selectExpr("x2 - x1 AS w", "y2 - y1 AS h")).select("anchor_no", F.round("w", 6).alias("w"), F.round("h", 6).alias("h"), "n")
 
 
 def d28_label_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -225,6 +225,24 @@ _SWEEP = f"{_SCORED}, th AS (SELECT UNNEST([" + ", ".join(f"{v}e0" for v in _CUT
 _COST = f"{_SWEEP}, c AS (SELECT threshold, f1, round_even(recall * 99, 0) AS tp, CASE WHEN precision > 0 THEN round_even(round_even(recall * 99, 0) / precision - round_even(recall * 99, 0), 0) ELSE 0e0 END AS fp FROM f), k AS (SELECT threshold, f1, CAST(tp AS BIGINT) AS tp, CAST(99 - tp AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, (99 - tp) * 100 + fp * 10 AS cost FROM c)"
 _SM = "list_sum(list_transform(x, lambda v: exp(v - list_max(x))))"
 
+_SHARED = "least(b.w, c.w) * least(b.h, c.h)"
+
+
+def _nearest(k: int) -> str:
+    """Each shape with the centre after k rounds that it shares most with."""
+    return f"SELECT b.w, b.h, b.n, c.i FROM shapes b, centres{k} c QUALIFY row_number() OVER (PARTITION BY b.w, b.h ORDER BY {_SHARED} / (b.w * b.h + c.w * c.h - {_SHARED}) DESC, c.i) = 1"
+
+
+def _centres(rounds: int = 10, k: int = 5) -> str:
+    """Shapes of boxes, and their centres after each round."""
+    starts = " UNION ALL ".join(f"SELECT {i} AS i, quantile_cont(w, {(i + 0.5) / k}) AS w, quantile_cont(h, {(i + 0.5) / k}) AS h FROM sides" for i in range(k))
+    steps = ["sides AS (SELECT CAST(x2 - x1 AS DOUBLE) AS w, CAST(y2 - y1 AS DOUBLE) AS h FROM boxes WHERE x2 > x1 AND y2 > y1)", "shapes AS MATERIALIZED (SELECT w, h, COUNT(*) AS n FROM sides GROUP BY 1, 2)", f"centres0 AS ({starts})"]
+    for r in range(rounds):
+        means = f"SELECT i, SUM(w * n) / SUM(n) AS w, SUM(h * n) / SUM(n) AS h FROM ({_nearest(r)}) GROUP BY 1"
+        steps.append(f"centres{r + 1} AS MATERIALIZED (SELECT i, COALESCE(m.w, c.w) AS w, COALESCE(m.h, c.h) AS h FROM centres{r} c LEFT JOIN ({means}) m USING (i))")
+    return ", ".join(steps)
+
+
 ORACLES = {
     "d1_d2_pairwise_iou": f"WITH {_BOXES} SELECT a.box_id AS a_id, b.box_id AS b_id, ROUND({_IOU}, 10) AS iou FROM pred a JOIN truth b ON a.image_id = b.image_id WHERE {_INTER} > 0",
     "d4_corners": f"WITH {_BOXES} SELECT box_id, ROUND((x1 / 100 - (x2 - x1) / 400) * 640, 6) AS x1, ROUND((y1 / 100 - (y2 - y1) / 400) * 480, 6) AS y1, ROUND((x1 / 100 + (x2 - x1) / 400) * 640, 6) AS x2, ROUND((y1 / 100 + (y2 - y1) / 400) * 480, 6) AS y2, ROUND(x1 + x2, 6) AS \"right\" FROM boxes",
@@ -249,6 +267,7 @@ ORACLES = {
     "d24_filter_defects": "WITH c AS (SELECT l_quantity * l_linenumber * 4 AS area FROM lineitem) SELECT 'region' AS mode, COUNT(*) AS n, SUM(area) AS area FROM c WHERE area > 300 AND area < 800 UNION ALL SELECT 'edge', COUNT(*), SUM(area) FROM c WHERE area > 50",
     "d25_circularity": f"SELECT l_orderkey AS image_id, ROUND(SUM(CASE WHEN l_linenumber > 1 THEN 4 * {math.pi!r}::DOUBLE * (l_quantity * l_linenumber * 4) / pow(l_quantity * 2e0 * (l_linenumber - 1), 2) END), 5) AS c FROM lineitem GROUP BY 1",
     "d26_image_verdict": "SELECT o_orderkey AS image_id, COUNT(l_orderkey) AS n_defects, COUNT(l_orderkey) > 0 AS is_defective FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity * l_linenumber * 4 > 300 AND l_quantity * l_linenumber * 4 < 800 GROUP BY 1",
+    "d27_anchor_kmeans": f"WITH {_BOXES}, {_centres()} SELECT i AS anchor_no, ROUND(c.w, 6) AS w, ROUND(c.h, 6) AS h, SUM(a.n)::BIGINT AS n FROM ({_nearest(10)}) a JOIN centres10 c USING (i) GROUP BY 1, 2, 3",
     "d28_label_counts": f"WITH {_BOXES} SELECT CASE WHEN image_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, class_id, COUNT(*) AS n_boxes, COUNT(DISTINCT image_id) AS n_images FROM boxes GROUP BY 1, 2",
     "d29_defect_rate": "SELECT date_trunc('hour', ts) AS start, COUNT(*) AS n, ROUND(AVG(CASE WHEN event_type = 'error' THEN 1e0 ELSE 0e0 END), 6) AS rate, AVG(CASE WHEN event_type = 'error' THEN 1e0 ELSE 0e0 END) > 0.1 AS alert FROM events GROUP BY 1",
     "d30_latency_budget": "SELECT p_partkey, ROUND(p_size / 0.5e0, 6) AS budget, ROUND(p_retailprice / 100 + 20, 6) AS used, p_retailprice / 100 + 20 <= p_size / 0.5e0 AS fits FROM part",

@@ -221,6 +221,7 @@ ORACLES = {
     "q16_raw_fallback": f"WITH {_BASE} SELECT company, concat_ws(chr(10), '  revenue: ' || format('{{:,}}', CAST(floor(revenue) AS BIGINT)) || ' VND', CASE WHEN company % 7 <> 0 THEN '  ebit: ' || format('{{:,}}', CAST(floor(ebit) AS BIGINT)) || ' VND' END) AS context FROM companies WHERE company % 5 <> 0",
     "q17_keyword_lookup": "WITH q AS (SELECT conv_id * 1000 + turn AS query_id, lower(text) AS q FROM conversations), e AS (SELECT query_id, CASE WHEN contains(q, 'refund') OR contains(q, 'policy') THEN 1 WHEN contains(q, 'the') THEN 2 WHEN contains(q, 'order') THEN 3 END AS pos FROM q), f AS (SELECT query_id, min(pos) AS pos FROM e GROUP BY 1) SELECT e.query_id, CASE f.pos WHEN 1 THEN 'refund policy' WHEN 2 THEN 'the' WHEN 3 THEN 'order' END AS key, CASE f.pos WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' ELSE 'not found' END AS content FROM e JOIN f USING (query_id)",
     "q18_confidence_route": f"WITH {_dense_sql(3, 'p.vec_id % 100 <> 0')}, b AS (SELECT query_id, MAX(score) AS best FROM dense GROUP BY 1) SELECT *, CASE WHEN best >= 0.33 THEN 'use' WHEN best >= 0.3 THEN 'supplement' ELSE 'external' END AS route FROM b",
+    "v1_embed_dense": r"SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN regexp_matches(text, '\S') THEN 1e0 ELSE 0e0 END AS norm, CASE WHEN text IS NOT NULL THEN 64 END AS width FROM documents",
     "v2_norms": "WITH x AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT doc_id, ROUND(list_sum(list_transform(e, lambda x: abs(x))), 5) AS l1, ROUND(sqrt(list_sum(list_transform(e, lambda x: x * x))), 5) AS l2, ROUND(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 5) AS first FROM x",
     "v3_v4_similarities": "SELECT p.vec_id AS a, q.vec_id AS b, ROUND(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS cosine, ROUND(list_inner_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS dot, ROUND(list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS euclid FROM embeddings p JOIN embeddings q ON p.vec_id <> q.vec_id WHERE p.vec_id % 100 = 0",
     "v5_encode_sparse": f"WITH {_bm25('documents', 'doc_id', 'post')} SELECT doc_id, COUNT(*) AS n_terms, ROUND(SUM(weight), 4) AS weight FROM post GROUP BY 1",

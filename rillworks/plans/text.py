@@ -273,9 +273,16 @@ _BLOCKS = (
     "blocks AS (SELECT filename, page, CAST(row_number() OVER (PARTITION BY filename ORDER BY pos) - 1 AS INTEGER) AS block_no, CASE WHEN tab THEN 'table' ELSE 'text' END AS kind, block FROM stripped WHERE block <> '')"
 )
 
+_PACKED = (
+    "lines AS MATERIALIZED (SELECT doc_id, i, l[i] AS part, length(l[i]) AS n FROM (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS l FROM documents), UNNEST(range(1, len(l) + 1)) u(i)), "
+    "packed AS (SELECT doc_id, i, i AS first, n AS held FROM lines WHERE i = 1 UNION ALL SELECT l.doc_id, l.i, CASE WHEN held = 0 OR held + 1 + n > 500 THEN l.i ELSE first END, CASE WHEN held = 0 OR held + 1 + n > 500 THEN n ELSE held + 1 + n END FROM packed p JOIN lines l ON l.doc_id = p.doc_id AND l.i = p.i + 1), "
+    "chunks AS (SELECT doc_id, first, string_agg(part, chr(10) ORDER BY i) AS chunk FROM packed JOIN lines USING (doc_id, i) GROUP BY 1, 2)"
+)
+
 ORACLES = {
     "k1_count_tokens": f"SELECT doc_id, len({_TOK}) AS n_tokens FROM documents",
     "k2_split_by_tokens": f"WITH {_PIECES} SELECT doc_id, chunk_no AS piece_no, md5(array_to_string(p, ' ')) AS piece FROM pieces",
+    "k7_fixed_split": f"WITH RECURSIVE {_PACKED} SELECT doc_id, COUNT(*) AS n_chunks, CAST(MAX(length(chunk)) AS INTEGER) AS longest, md5(string_agg(chunk, '|' ORDER BY first)) AS digest FROM chunks WHERE regexp_matches(chunk, '\\S') GROUP BY 1",
     "k8_table_blocks": f"WITH {_BLOCKS} SELECT * FROM blocks",
     "k9_add_overlap": f"WITH {_PIECES}, l AS (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY chunk_no) AS q FROM pieces) SELECT doc_id, chunk_no, md5(CASE WHEN q IS NULL THEN '' ELSE array_to_string(q[greatest(1, len(q) - 29):], ' ') || ' ' END || array_to_string(p, ' ')) AS chunk FROM l",
     "k11_chunk_id": "SELECT doc_id, md5(source || '-' || doc_id || '-' || substring(text, 1, 100)) AS chunk_id, md5(source || '-' || doc_id || '-' || text) AS full_id FROM documents",

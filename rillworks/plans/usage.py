@@ -226,6 +226,30 @@ def _measures(k: int) -> str:
 
 _MEM = "raw AS (SELECT conv_id % 20 AS user_id, conv_id * 100 + turn AS pos, CASE WHEN turn % 3 = 0 THEN '' ELSE trim(text, ' ') END AS memory FROM conversations), mem AS (SELECT user_id, memory, MIN(pos) AS pos, COUNT(*) OVER (PARTITION BY user_id) > 10 AS consolidate FROM raw WHERE memory <> '' GROUP BY 1, 2)"
 
+
+def _spread(edges: str, name: str, rounds: int = 5) -> str:
+    """Label propagation over edges: {name}_0 to {name}_{rounds} hold each vertex's label after so many rounds."""
+    steps = [
+        f"{name}_b AS (SELECT src, dst, CAST(SUM(weight) AS DOUBLE) AS w FROM (SELECT src, dst, weight FROM {edges} UNION ALL SELECT dst, src, weight FROM {edges}) GROUP BY 1, 2)",
+        f"{name}_v AS MATERIALIZED (SELECT * FROM {name}_b UNION ALL SELECT src, src, SUM(w) / 2 FROM {name}_b GROUP BY src)",
+        f"{name}_0 AS (SELECT DISTINCT src AS id, src AS community FROM {name}_v)",
+    ]
+    for k in range(rounds):
+        votes = f"SELECT v.src AS id, l.community, SUM(w) AS s FROM {name}_v v JOIN {name}_{k} l ON l.id = v.dst GROUP BY 1, 2"
+        steps.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT id, community FROM ({votes}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, community) = 1)")
+    return ", ".join(steps)
+
+
+def _merged(level: int) -> str:
+    """Communities of the communities of the level below, as l{level} with between{level}."""
+    ends = f"edges e JOIN l{level - 1} a ON a.id = e.src JOIN l{level - 1} b ON b.id = e.dst WHERE a.community <> b.community"
+    between = f"between{level} AS MATERIALIZED (SELECT a.community AS src, b.community AS dst, COUNT(*) AS weight FROM {ends} GROUP BY 1, 2)"
+    labels = f"l{level} AS MATERIALIZED (SELECT l.id, COALESCE(c.community, l.community) AS community FROM l{level - 1} l LEFT JOIN c{level}_5 c ON c.id = l.community)"
+    return f"{between}, {_spread(f'between{level}', f'c{level}')}, {labels}"
+
+
+_LABELS = f"{_EDGES}, ones AS (SELECT src, dst, 1 AS weight FROM edges), {_spread('ones', 'c0')}, l0 AS (SELECT * FROM c0_5)"
+
 ORACLES = {
     "e1_e3_e4_retrieval": f"WITH {_HITS} {_measures(10)}",
     "e2_answer_recall": "WITH a AS (SELECT doc_id AS q, substring(CASE WHEN doc_id % 3 = 0 THEN 'x' || text ELSE text END, 1, 50) AS a FROM documents WHERE doc_id % 100 = 0), f AS (SELECT q, MAX(CASE WHEN contains(text, a) THEN 1 ELSE 0 END) AS v FROM a JOIN documents ON doc_id - doc_id % 100 = q GROUP BY 1) SELECT ROUND(AVG(v), 6) AS recall FROM f",
@@ -258,6 +282,8 @@ ORACLES = {
     "g2_check_schema": f"WITH {_EDGES} SELECT * FROM edges WHERE rel = 'owns'",
     "g3_k_hop": f"WITH RECURSIVE {_EDGES}, nb AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), h AS (SELECT 'c1' AS id, 0 AS hop UNION SELECT 'r2', 0 UNION SELECT dst, hop + 1 FROM h JOIN nb ON src = id WHERE hop < 2) SELECT id, MIN(hop) AS hop FROM h GROUP BY 1",
     "g4_match_count": f"WITH {_EDGES} SELECT dst, COUNT(*) AS n FROM edges WHERE rel = 'lives_in' AND dst <> 'n3' GROUP BY 1",
+    "g5_communities": f"WITH {_LABELS}, {_merged(1)}, {_merged(2)}, levels AS (SELECT id, 0 AS level, community FROM l0 UNION ALL SELECT id, 1, community FROM l1 WHERE EXISTS (FROM between1) UNION ALL SELECT id, 2, community FROM l2 WHERE EXISTS (FROM between2)) SELECT a.id, a.level, a.community, b.community AS parent FROM levels a LEFT JOIN levels b ON b.id = a.id AND b.level = a.level + 1",
+    "g6_community_report": f"WITH {_LABELS}, degrees AS (SELECT id, COUNT(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1), ranked AS (SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY degree DESC NULLS LAST, id) AS k FROM l0 LEFT JOIN degrees USING (id)), nodes AS (SELECT community, COUNT(*) AS n_nodes, string_agg(id, ',' ORDER BY k) FILTER (k <= 3) AS top FROM ranked GROUP BY 1), inner_edges AS (SELECT a.community, COUNT(*) AS n FROM edges e JOIN l0 a ON a.id = e.src JOIN l0 b ON b.id = e.dst WHERE a.community = b.community GROUP BY 1) SELECT community, n_nodes, COALESCE(n, 0) AS n_edges, top FROM nodes LEFT JOIN inner_edges USING (community)",
     "g7_global_answer": "SELECT user_id AS question_id, event_id AS part_id, CAST(trunc(value) AS INT) % 100 AS rating, row_number() OVER (PARTITION BY user_id ORDER BY CAST(trunc(value) AS INT) % 100 DESC, event_id) AS rank FROM events WHERE CAST(trunc(value) AS INT) % 100 >= 10 QUALIFY rank <= 3",
     "g8_fact_check": f"WITH {_EDGES}, c AS (SELECT 'c' || c_custkey AS src, 'lives_in' AS rel, 'n' || CASE WHEN c_custkey % 9 = 0 THEN 99 ELSE c_nationkey END AS dst FROM customer) SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = c.src AND e.rel = c.rel AND e.dst = c.dst)",
 }
