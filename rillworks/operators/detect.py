@@ -49,11 +49,11 @@ def _cuts(frame: pd.DataFrame, key: Sequence[str]) -> list[tuple[int, int]]:
 
 
 def nms(boxes: DataFrame, most: float = 0.5, least: float = 0.25) -> DataFrame:
-    """image_id, box_id, keep_rank: boxes from `least` on, the highest score first, each dropping what overlaps it by `most` or more; ties by id.
+    """image_id, box_id, keep_rank: boxes from `least` on, the highest score first, each dropping what overlaps it by `most` or more; ties by id, then by corners.
 
     In single precision. Images are dealt out and sorted; a task goes through many of them batch by batch.
     """
-    order = ["image_id", F.desc("score"), "box_id"]
+    order = ["image_id", F.desc("score"), "box_id", "x1", "y1", "x2", "y2"]
     rows = boxes.where(F.col("score") >= least).select("image_id", "box_id", "x1", "y1", "x2", "y2", "score").repartition("image_id").sortWithinPartitions(*order)
 
     def keep(b: np.ndarray) -> list[int]:

@@ -225,6 +225,17 @@ _SWEEP = f"{_SCORED}, th AS (SELECT UNNEST([" + ", ".join(f"{v}e0" for v in _CUT
 _COST = f"{_SWEEP}, c AS (SELECT threshold, f1, round_even(recall * 99, 0) AS tp, CASE WHEN precision > 0 THEN round_even(round_even(recall * 99, 0) / precision - round_even(recall * 99, 0), 0) ELSE 0e0 END AS fp FROM f), k AS (SELECT threshold, f1, CAST(tp AS BIGINT) AS tp, CAST(99 - tp AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp, (99 - tp) * 100 + fp * 10 AS cost FROM c)"
 _SM = "list_sum(list_transform(x, lambda v: exp(v - list_max(x))))"
 
+#: Boxes in the order of their scores; each is kept unless one that was kept before overlaps it by a half.
+_KEPT = (
+    f"{_BOXES}, ordered AS MATERIALIZED (SELECT image_id, box_id, {{{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}}} AS b, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id, x1, y1, x2, y2) AS r FROM pred WHERE score >= 0.25), "
+    "seen AS (SELECT image_id, box_id, r, TRUE AS keep, [b] AS kept FROM ordered WHERE r = 1 UNION ALL SELECT image_id, box_id, r, keep, CASE WHEN keep THEN list_append(kept, b) ELSE kept END FROM (SELECT o.image_id, o.box_id, o.r, o.b, s.kept, len(list_filter(s.kept, lambda a: {iou} >= 0.5)) = 0 AS keep FROM seen s JOIN ordered o ON o.image_id = s.image_id AND o.r = s.r + 1))"
+).format(iou=_IOU.replace("b.", "o.b."))
+#: Detections in the order of their scores; each takes the truth that it overlaps most of those that are free.
+_TAKEN = (
+    f"{_BOXES}, pairs AS (SELECT a.image_id, b.class_id, a.box_id, b.box_id AS b_id, MAX({_IOU}) AS iou FROM pred a JOIN truth b USING (image_id) WHERE {_INTER} > 0 AND {_IOU} > 0.5 - 1e-12 GROUP BY ALL), near AS (SELECT image_id, class_id, box_id, list(b_id ORDER BY iou DESC, b_id) AS near FROM pairs GROUP BY ALL), "
+    "dets AS MATERIALIZED (SELECT image_id, class_id, COALESCE(near, []) AS near, row_number() OVER (PARTITION BY image_id, class_id ORDER BY score DESC, box_id) AS r FROM pred LEFT JOIN near USING (image_id, class_id, box_id)), "
+    "taken AS (SELECT image_id, class_id, r, near[1] AS pick, near[1:1] AS got FROM dets WHERE r = 1 UNION ALL SELECT image_id, class_id, r, free[1], list_concat(got, free[1:1]) FROM (SELECT d.image_id, d.class_id, d.r, t.got, list_filter(d.near, lambda x: NOT list_contains(t.got, x)) AS free FROM taken t JOIN dets d ON d.image_id = t.image_id AND d.class_id = t.class_id AND d.r = t.r + 1))"
+)
 _SHARED = "least(b.w, c.w) * least(b.h, c.h)"
 
 
@@ -245,6 +256,8 @@ def _centres(rounds: int = 10, k: int = 5) -> str:
 
 ORACLES = {
     "d1_d2_pairwise_iou": f"WITH {_BOXES} SELECT a.box_id AS a_id, b.box_id AS b_id, ROUND({_IOU}, 10) AS iou FROM pred a JOIN truth b ON a.image_id = b.image_id WHERE {_INTER} > 0",
+    "d3_nms": f"WITH RECURSIVE {_KEPT} SELECT image_id, box_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY r) - 1 AS INTEGER) AS keep_rank FROM seen WHERE keep",
+    "d5_match": f"WITH RECURSIVE {_TAKEN} SELECT class_id, pick IS NOT NULL AS tp, COUNT(*) AS n FROM taken GROUP BY 1, 2",
     "d4_corners": f"WITH {_BOXES} SELECT box_id, ROUND((x1 / 100 - (x2 - x1) / 400) * 640, 6) AS x1, ROUND((y1 / 100 - (y2 - y1) / 400) * 480, 6) AS y1, ROUND((x1 / 100 + (x2 - x1) / 400) * 640, 6) AS x2, ROUND((y1 / 100 + (y2 - y1) / 400) * 480, 6) AS y2, ROUND(x1 + x2, 6) AS \"right\" FROM boxes",
     "d6_pr_curve": f"WITH {_CURVE} SELECT box_id, CAST(t AS BIGINT) AS cum_tp, CAST(k - t AS BIGINT) AS cum_fp, ROUND(precision, 10) AS precision, ROUND(recall, 10) AS recall FROM curve",
     "d7_average_precision": f"WITH {_CURVE}, e AS (SELECT class_id, MAX(precision) OVER (PARTITION BY class_id ORDER BY score DESC, image_id, box_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env, recall - COALESCE(lag(recall) OVER (PARTITION BY class_id ORDER BY score DESC, image_id, box_id), 0) AS step FROM curve) SELECT class_id, ROUND(SUM(env * step), 6) AS ap FROM e GROUP BY 1",
