@@ -1,13 +1,15 @@
 """One query for each operator, over the whole table, and SQL for those that SQL can express."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._native import let, words
 from .decontaminate import build_index, find_leaks
 from .html_render import render_html
 from .jaccard_join import jaccard_components
 from .language_id import fit_language_model, fold, identify_language
 from .mix_sources import mix_sources
+from .periodic_runs import periodic_runs
 from .quality_rules import judge_quality
 from .shards import shard
 from .substring_dedup import substring_dedup
@@ -74,13 +76,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: where the crc32 h of the decimal doc_id is divisible by ten and there are words, they repeat from word a = h div 10 mod n on, with a period that depends on h."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        return let(F.struct((g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).alias("p")), lambda x: F.array_join(F.transform(w, lambda word, i: F.when(i < x["a"], word).otherwise(F.get(w, (x["a"] + (i - x["a"]) % x["p"]).cast("int")))), " "))
+
+    text = F.when(h % 10 == 0, let(words(F.col("text")), lambda w: F.when(F.size(w) > 0, repeated(w)))).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs(with_periods(_read(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("down"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("x"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "x.start", (-F.col("x.down")).alias("length"), "x.period", F.floor(1000 * -F.col("x.down") / F.col("x.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_toxicity, op3_html_render, op4_jaccard_join, op5_mix_sources, op6_shards, op7_quality_rules, op8_url_filter, op9_language_id, op10_substring_dedup)
+    for f in (op1_decontaminate, op2_toxicity, op3_html_render, op4_jaccard_join, op5_mix_sources, op6_shards, op7_quality_rules, op8_url_filter, op9_language_id, op10_substring_dedup, op13_periodic_runs)
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda x, c: list_reduce(list_prepend(xor(x, c), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
 _FITS = "('.' || host) LIKE '%.{0}' AND starts_with(path, '{1}')"
 
 ORACLES = {
@@ -120,4 +144,15 @@ ORACLES = {
         "x AS (SELECT d.doc_id, p, w[p] AS word FROM d, UNNEST(range(1, len(w) + 1)) u(p)), y AS (SELECT x.doc_id, COUNT(c.p) AS gone, COALESCE(string_agg(word, ' ' ORDER BY x.p) FILTER (c.p IS NULL), '') AS kept FROM x LEFT JOIN c USING (doc_id, p) GROUP BY 1) "
         "SELECT d.doc_id, len(w) AS n_words, COALESCE(gone, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)"
     ),
+    "op13_periodic_runs": (
+        f"WITH h AS (SELECT doc_id, {_WORDS.format("COALESCE(text, '')")} AS w, {_CRC32.format('doc_id')} AS h FROM documents), g AS (SELECT *, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS planted FROM h), "
+        "a AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM g), p AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a), "
+        "d AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p), "
+        "k AS MATERIALIZED (SELECT doc_id, n, i, hash(w[i + 1:i + 5]) AS k FROM d, UNNEST(range(0, n - 4)) u(i)), q AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i > x.i AND 4 * (y.i - x.i) <= x.n), "
+        "s AS (SELECT doc_id, q, MIN(i) AS s, COUNT(*) + 4 + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM q) GROUP BY doc_id, q, island), "
+        "r AS MATERIALIZED (SELECT doc_id, s, l, MIN(q) AS q FROM s WHERE l >= greatest(6, 4 * q) GROUP BY 1, 2, 3), "
+        "o AS (SELECT doc_id, COUNT(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines, MIN(struct_pack(down := -l, s := s, q := q)) AS x FROM r GROUP BY 1), "
+        "c AS (SELECT DISTINCT doc_id, p FROM r, UNNEST(range(s + q, s + l)) u(p)), t AS (SELECT d.doc_id, string_agg(w[u.p + 1], ' ' ORDER BY u.p) AS kept FROM d, UNNEST(range(0, n)) u(p) LEFT JOIN c ON c.doc_id = d.doc_id AND c.p = u.p WHERE c.p IS NULL GROUP BY 1) "
+        "SELECT d.doc_id, COALESCE(n_runs, 0) AS n_runs, x.s AS start, -x.down AS length, x.q AS period, 1000 * -x.down // x.q AS exponent_milli, sha256(COALESCE(lines, '')) AS runs_sha256, sha256(COALESCE(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN o USING (doc_id) LEFT JOIN t USING (doc_id)"
+    ),
 }
