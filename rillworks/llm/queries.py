@@ -1,9 +1,12 @@
 """One query for each operator, over the whole table, and SQL for those that SQL can express."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._native import let, words
+from ._scratch import folder
 from .decontaminate import build_index, find_leaks
 from .html_render import render_html
 from .jaccard_join import jaccard_components
@@ -11,6 +14,7 @@ from .language_id import fit_language_model, fold, identify_language
 from .mix_sources import mix_sources
 from .periodic_runs import periodic_runs
 from .quality_rules import judge_quality
+from .secret_ledger import BASE_RULES, RULES, scan_history
 from .shards import shard
 from .substring_dedup import substring_dedup
 from .toxicity import fit_toxicity_model, score_toxicity
@@ -76,6 +80,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents are the first versions that a new ledger meets."""
+    rows = scan_history(_read(spark, sf_dir, "documents"), f"{folder(spark)}/ledger-{uuid.uuid4().hex}", RULES)
+
+    def of(*rules: str) -> Column:
+        return F.filter("found", lambda x: x["rule"].isin(*rules))
+
+    def joined(found: Column) -> Column:
+        return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["rule"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    base = [r.name for r in BASE_RULES]
+    return rows.select("path.doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base), F.sha2(joined(of(*base)).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """doc_id, text: where the crc32 h of the decimal doc_id is divisible by ten and there are words, they repeat from word a = h div 10 mod n on, with a period that depends on h."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -99,7 +117,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_toxicity, op3_html_render, op4_jaccard_join, op5_mix_sources, op6_shards, op7_quality_rules, op8_url_filter, op9_language_id, op10_substring_dedup, op13_periodic_runs)
+    for f in (op1_decontaminate, op2_toxicity, op3_html_render, op4_jaccard_join, op5_mix_sources, op6_shards, op7_quality_rules, op8_url_filter, op9_language_id, op10_substring_dedup, op12_secret_scan, op13_periodic_runs)
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -107,6 +125,9 @@ _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTU
 _CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda x, c: list_reduce(list_prepend(xor(x, c), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
 _FITS = "('.' || host) LIKE '%.{0}' AND starts_with(path, '{1}')"
 
+_QUOTED = [(n, r, r.pattern.replace("'", "''")) for n, r in enumerate(RULES)]
+_SPANS = " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS kind, {n} AS o, {r.least} AS least, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {r.group}) AS v, regexp_split_to_array(text, '{p}') AS gaps FROM documents" for n, r, p in _QUOTED)
+
 ORACLES = {
     "op4_jaccard_join": (
         f"WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents), "
@@ -144,6 +165,11 @@ ORACLES = {
         "x AS (SELECT d.doc_id, p, w[p] AS word FROM d, UNNEST(range(1, len(w) + 1)) u(p)), y AS (SELECT x.doc_id, COUNT(c.p) AS gone, COALESCE(string_agg(word, ' ' ORDER BY x.p) FILTER (c.p IS NULL), '') AS kept FROM x LEFT JOIN c USING (doc_id, p) GROUP BY 1) "
         "SELECT d.doc_id, len(w) AS n_words, COALESCE(gone, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)"
     ),
+    "op12_secret_scan": (
+        f"WITH m AS ({_SPANS}), f AS (SELECT doc_id, kind, o, CAST(COALESCE(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + COALESCE(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[i]) AS n FROM m, UNNEST(range(1, len(m) + 1)) u(i) WHERE length(v[i]) >= least), "
+        "g AS (SELECT doc_id, COUNT(*) FILTER (kind = 'assign') AS n_assign, COUNT(*) FILTER (kind = 'access') AS n_access, COUNT(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, o) AS spans, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, o) FILTER (o < 3) AS base FROM f GROUP BY 1) "
+        "SELECT d.doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM documents d LEFT JOIN g USING (doc_id)"
+    ),
     "op13_periodic_runs": (
         f"WITH h AS (SELECT doc_id, {_WORDS.format("COALESCE(text, '')")} AS w, {_CRC32.format('doc_id')} AS h FROM documents), g AS (SELECT *, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS planted FROM h), "
         "a AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM g), p AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a), "
