@@ -22,3 +22,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """A stored table that nothing reads any more goes."""
+    hadoop = df.sparkSession._jsc.hadoopConfiguration()
+    for folder_of in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder_of)
+        path.getFileSystem(hadoop).delete(path, True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ._native import let, words
 from ._scratch import folder
+from .centroid_clusters import cluster_vectors, with_inertia
 from .decontaminate import build_index, find_leaks
 from .html_render import render_html
 from .jaccard_join import jaccard_components
@@ -80,6 +81,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(cluster_vectors(_read(spark, sf_dir, "embeddings")))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents are the first versions that a new ledger meets."""
     rows = scan_history(_read(spark, sf_dir, "documents"), f"{folder(spark)}/ledger-{uuid.uuid4().hex}", RULES)
@@ -117,7 +122,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_toxicity, op3_html_render, op4_jaccard_join, op5_mix_sources, op6_shards, op7_quality_rules, op8_url_filter, op9_language_id, op10_substring_dedup, op12_secret_scan, op13_periodic_runs)
+    for f in (op1_decontaminate, op2_toxicity, op3_html_render, op4_jaccard_join, op5_mix_sources, op6_shards, op7_quality_rules, op8_url_filter, op9_language_id, op10_substring_dedup, op11_centroid_clusters, op12_secret_scan, op13_periodic_runs)
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -125,6 +130,21 @@ _HOST = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTU
 _CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda x, c: list_reduce(list_prepend(xor(x, c), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
 _FITS = "('.' || host) LIKE '%.{0}' AND starts_with(path, '{1}')"
 
+_FLOORED = "(s - ((s % n) + n) % n) // n"
+
+
+def _clusters_sql(k: int, rounds: int, width: int) -> str:
+    """The rounds one after the other: a (assignment), then m (means), as tables of their own."""
+    near = "a{0} AS MATERIALIZED (SELECT i, x, arg_min(c, (d, c)) AS c, MIN(d) AS d FROM (SELECT v.i, v.x, m.c, CAST(list_sum(list_transform(list_zip(v.x, m.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, m{0} m) GROUP BY i, x)"
+    means = f"s{{1}} AS (SELECT c, p, SUM(x[p])::BIGINT AS s, COUNT(*) AS n FROM a{{0}}, UNNEST(range(1, {width + 1})) u(p) GROUP BY 1, 2), m{{1}} AS MATERIALIZED (SELECT o.c, COALESCE(l.x, o.x) AS x FROM m{{0}} o LEFT JOIN (SELECT c, list({_FLOORED} ORDER BY p) AS x FROM s{{1}} GROUP BY 1) l USING (c))"
+    steps = ", ".join(f"{near.format(r)}, {means.format(r, r + 1)}" for r in range(rounds))
+    return (
+        f"WITH v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+        f"m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS c, x FROM v QUALIFY c < {k}), {steps}, {near.format(rounds)} "
+        f"SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(SUM(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(SUM(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v USING (i) JOIN m{rounds} m ON m.c = a.c"
+    )
+
+
 _QUOTED = [(n, r, r.pattern.replace("'", "''")) for n, r in enumerate(RULES)]
 _SPANS = " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS kind, {n} AS o, {r.least} AS least, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {r.group}) AS v, regexp_split_to_array(text, '{p}') AS gaps FROM documents" for n, r, p in _QUOTED)
 
@@ -165,6 +185,7 @@ ORACLES = {
         "x AS (SELECT d.doc_id, p, w[p] AS word FROM d, UNNEST(range(1, len(w) + 1)) u(p)), y AS (SELECT x.doc_id, COUNT(c.p) AS gone, COALESCE(string_agg(word, ' ' ORDER BY x.p) FILTER (c.p IS NULL), '') AS kept FROM x LEFT JOIN c USING (doc_id, p) GROUP BY 1) "
         "SELECT d.doc_id, len(w) AS n_words, COALESCE(gone, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)"
     ),
+    "op11_centroid_clusters": _clusters_sql(40, 5, 64),
     "op12_secret_scan": (
         f"WITH m AS ({_SPANS}), f AS (SELECT doc_id, kind, o, CAST(COALESCE(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + COALESCE(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(m[i]) AS n FROM m, UNNEST(range(1, len(m) + 1)) u(i) WHERE length(v[i]) >= least), "
         "g AS (SELECT doc_id, COUNT(*) FILTER (kind = 'assign') AS n_assign, COUNT(*) FILTER (kind = 'access') AS n_access, COUNT(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, o) AS spans, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, o) FILTER (o < 3) AS base FROM f GROUP BY 1) "

@@ -18,7 +18,7 @@ def lacks(rows):
         return iter([1])
     return iter([0])
 assert spark.sparkContext.parallelize([1], 1).mapPartitions(lacks).sum() == 1
-print("rows", *(queries.QUERIES[q](spark, "/root/testdata/sf0.001").count() for q in ("op1_decontaminate", "op2_toxicity", "op9_language_id", "op8_url_filter", "op10_substring_dedup")))
+print("rows", *(queries.QUERIES[q](spark, "/root/testdata/sf0.001").count() for q in ("op1_decontaminate", "op2_toxicity", "op9_language_id", "op8_url_filter", "op10_substring_dedup", "op11_centroid_clusters", "op12_secret_scan", "op13_periodic_runs")))
 """
 
 
