@@ -6,12 +6,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.vector import cosine, dot, l2_norm
+from .cut import cut
+from .vector_blocks import late_interaction, matrix, nearest, spherical_kmeans
 
 #: Queries up to which a set of them is sent to all tasks.
 QUERIES = 10_000
@@ -32,15 +34,11 @@ def top(rows: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str =
 def dense_topk(queries: DataFrame, points: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """query_id, doc_id, score, rank by cosine of queries (query_id, vector) and points (doc_id, vector), filtered before ranking.
 
-    The stated queries are held against all points; norms are taken once a row, not once a pair.
+    The stated queries are held against all points as products of blocks.
     """
     if where is not None:
         points = points.where(where)
-    points = points.withColumn("_n", l2_norm(F.col("vector"))).where("_n > 0").select("doc_id", F.col("vector").alias("_v"), "_n")
-    queries = queries.withColumn("_m", l2_norm(F.col("vector"))).where("_m > 0").select("query_id", "vector", "_m")
-    pairs = points.join(small(queries), F.lit(True))
-    scored = pairs.select("query_id", "doc_id", F.round(dot(F.col("vector"), F.col("_v")) / (F.col("_m") * F.col("_n")), 6).alias("score"))
-    return top(scored, k)
+    return nearest(queries, points, k)
 
 
 def hashed_counts(texts: list[str], width: int = 64) -> np.ndarray:
@@ -145,9 +143,7 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
 
 def maxsim(query_tokens: DataFrame, doc_tokens: DataFrame, k: int) -> DataFrame:
     """Late interaction of query_tokens (query_id, token_no, vector) and doc_tokens (doc_id, vector): the sum of each query token's best cosine."""
-    q = query_tokens.select("query_id", "token_no", F.col("vector").alias("_q"))
-    best = doc_tokens.join(small(q), F.lit(True)).groupBy("query_id", "doc_id", "token_no").agg(F.max(cosine(F.col("_q"), F.col("vector"))).alias("s"))
-    return top(best.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score")), k)
+    return late_interaction(query_tokens, doc_tokens, k)
 
 
 def reorder_middle(hits: DataFrame) -> DataFrame:
@@ -204,59 +200,41 @@ def confidence_route(hits: DataFrame, sure: float = 0.7, unsure: float = 0.4) ->
     return best.withColumn("route", F.when(F.col("best") >= sure, "use").when(F.col("best") >= unsure, "supplement").otherwise("external"))
 
 
-def ann_topk(queries: DataFrame, points: DataFrame, k: int, bits: int = 10, tables: int = 16, radius: int = 1) -> DataFrame:
-    """Approximate dense_topk: points and queries meet where they lie on the same sides of `bits` random planes, or differ in at most `radius`, in one of `tables` sets of planes; the cosine then decides."""
-    from itertools import combinations
-
-    width = len(queries.select("vector").first()[0])
-    planes = np.random.default_rng(17).standard_normal((tables, bits, width)).astype(np.float32)
-    masks = [sum(1 << b for b in c) for n in range(radius + 1) for c in combinations(range(bits), n)]
-
-    def sides(vectors: pd.Series) -> np.ndarray:
-        v = np.stack(vectors.to_numpy()).astype(np.float32)
-        return np.stack([((v @ p.T > 0) << np.arange(bits)).sum(axis=1) for p in planes], axis=1)
-
-    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["cells"] = list(sides(f["vector"]).astype(np.int64) + (np.arange(tables) << bits))
-            yield f[["doc_id", "vector", "cells"]]
-
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            s = sides(f["vector"]).astype(np.int64)
-            f["cells"] = list((np.stack([s ^ m for m in masks], axis=2) + (np.arange(tables) << bits)[None, :, None]).reshape(len(f), -1))
-            yield f[["query_id", "vector", "cells"]]
+def cluster_tree(points: DataFrame, k: int = 4, levels: int = 2, sample: int = 1 << 16) -> DataFrame:
+    """doc_id, level, node (path of cluster numbers), central: points clustered by vector, each cluster's points again a level below; the central point is nearest to its cluster's centre.
 
-    p = points.select("doc_id", "vector").mapInPandas(index, "doc_id long, vector array<float>, cells array<long>")
-    q = queries.select("query_id", "vector").mapInPandas(probe, "query_id long, vector array<float>, cells array<long>")
-    near = p.select("doc_id", F.explode("cells").alias("cell")).join(q.select("query_id", F.explode("cells").alias("cell")), "cell").select("query_id", "doc_id").distinct()
-    scored = near.join(points.select("doc_id", F.col("vector").alias("_v")), "doc_id").join(small(queries.select("query_id", "vector")), "query_id")
-    return top(scored.select("query_id", "doc_id", F.round(cosine(F.col("vector"), F.col("_v")), 6).alias("score")), k)
-
-
-def cluster_tree(points: DataFrame, k: int = 4, levels: int = 2, seed: int = 3) -> DataFrame:
-    """doc_id, level, node (path of cluster numbers), central: points clustered by vector, each cluster's points again a level below; the central point is nearest to its cluster's centre."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = points.select("doc_id", "vector", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"), F.lit("").alias("node"))
+    A level's centres are learned from about `sample` of all points, chosen by a hash, and all its nodes are assigned in one job, which is
+    written out. A node of k sampled points or fewer is one cluster. Points without a usable vector are left out.
+    """
+    kind = points.schema["doc_id"].dataType.simpleString()
+    rows = points.select("doc_id", "vector", F.lit("").alias("node"))
+    share = F.lit(min(1.0, sample / max(1, rows.count())) * (1 << 20))
     out = None
     for level in range(1, levels + 1):
-        parts = []
-        for (node,) in rows.select("node").distinct().sort("node").collect():  # k ** (level - 1) of them
-            own = rows.where(F.col("node") == node)
-            if own.limit(k + 1).count() <= k:  # too few to part: one cluster, all alike
-                parts.append(own.withColumn("likeness", F.lit(1.0)).withColumn("node", F.concat_ws("/", F.nullif("node", F.lit("")), F.lit("0"))))
-                continue
-            model = KMeans(k=k, seed=seed, maxIter=10).fit(own)
-            centres = F.create_map(*(x for i, c in enumerate(model.clusterCenters()) for x in (F.lit(i), F.array(*map(F.lit, map(float, c))))))
-            part = model.transform(own).withColumn("likeness", cosine(vector_to_array("features"), centres[F.col("prediction")]))
-            parts.append(part.withColumn("node", F.concat_ws("/", F.nullif("node", F.lit("")), F.col("prediction").cast("string"))).drop("prediction"))
-        rows = parts[0]
-        for x in parts[1:]:
-            rows = rows.unionByName(x)
-        best = F.row_number().over(W.partitionBy("node").orderBy(F.desc("likeness"), "doc_id")) == 1
-        named = rows.select("doc_id", F.lit(level).alias("level"), "node", best.alias("central"))
+        chosen = rows.where(F.pmod(F.xxhash64("doc_id", "vector"), F.lit(1 << 20)) < share).select("node", "vector").limit(2 * sample).toArrow()
+        nodes = np.array(chosen["node"].to_pylist(), object)
+        centres = {}
+        for node in sorted(set(nodes)):
+            x, _ = matrix(chosen["vector"].combine_chunks().filter(pa.array(nodes == node)))
+            if len(x):
+                centres[node] = spherical_kmeans(x, k) if len(x) > k else spherical_kmeans(x, 1)
+
+        def assign(batches: Iterator[pa.RecordBatch], centres: dict = centres) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, at = matrix(b.column("vector"))
+                own = np.array(b.column("node").to_pylist(), object)[at]
+                number, likeness = np.zeros(len(x), np.int64), np.ones(len(x))
+                for node in set(own):
+                    if node in centres and centres[node].shape[1] == x.shape[1]:
+                        mine = own == node
+                        got = x[mine] @ centres[node].T
+                        number[mine], likeness[mine] = got.argmax(axis=1), got.max(axis=1)
+                names = [f"{node}/{i}".lstrip("/") for node, i in zip(own, number)]
+                yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(at)) for c in ("doc_id", "vector")] + [pa.array(names, pa.string()), pa.array(np.round(likeness, 9))], names=["doc_id", "vector", "node", "likeness"])
+
+        rows = cut(rows.mapInArrow(assign, f"doc_id {kind}, vector {points.schema['vector'].dataType.simpleString()}, node string, likeness double"), "tree")
+        best = rows.groupBy("node").agg(F.min(F.struct((-F.col("likeness")).alias("down"), "doc_id"))["doc_id"].alias("best"))
+        named = rows.join(F.broadcast(best), "node").select("doc_id", F.lit(level).alias("level"), "node", F.col("doc_id").eqNullSafe(F.col("best")).alias("central"))  # k ** level nodes
         out = named if out is None else out.unionByName(named)
         rows = rows.drop("likeness")
     return out

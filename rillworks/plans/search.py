@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions import vector as v
 from ..operators import search as s
+from ..operators import vector_blocks as vb
+from ..operators import vector_index as vi
+from ..operators.cut import scratch
 from .finance import companies, table
 from .finance import _BASE
 
@@ -135,8 +138,9 @@ def q18_confidence_route(spark: SparkSession, d: str) -> DataFrame:
 
 def q19_ann_topk(spark: SparkSession, d: str) -> DataFrame:
     """Queries: every hundredth vector, against all."""
-    q = points(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "vector")
-    return s.ann_topk(q, points(spark, d), 10, bits=6, tables=24)
+    at = scratch(spark, "index")
+    vi.build_index(points(spark, d), at)
+    return vi.search_index(dense_queries(spark, d), at, 10)
 
 
 def q20_cluster_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -160,6 +164,11 @@ def v3_v4_similarities(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a", "b", F.round(v.cosine(F.col("x"), F.col("y")), 5).alias("cosine"), F.round(v.dot(F.col("x"), F.col("y")), 5).alias("dot"), F.round(v.euclid(F.col("x"), F.col("y")), 5).alias("euclid"))
 
 
+def v4_similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of vectors from a cosine of 0.35 on."""
+    return vb.similarity_matrix(points(spark, d), 0.35, 256)
+
+
 def v5_encode_sparse(spark: SparkSession, d: str) -> DataFrame:
     return _postings(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 4).alias("weight"))
 
@@ -170,7 +179,7 @@ def v6_idf_weight(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     q1_dense_topk, q2_sparse_topk, q3_rrf, q4_hybrid_search, q5_rerank, q6_dedupe_parent, q7_search_and_rerank, q8_multi_query_union, q9_mmr, q10_maxsim, q11_reorder_middle, q12_expand_parent, q13_expand_siblings, q14_build_context,
-    q15_no_answer, q16_raw_fallback, q17_keyword_lookup, q18_confidence_route, q19_ann_topk, q20_cluster_tree, v1_embed_dense, v2_norms, v3_v4_similarities, v5_encode_sparse, v6_idf_weight,
+    q15_no_answer, q16_raw_fallback, q17_keyword_lookup, q18_confidence_route, q19_ann_topk, q20_cluster_tree, v1_embed_dense, v2_norms, v3_v4_similarities, v4_similarity_matrix, v5_encode_sparse, v6_idf_weight,
 )}
 
 
@@ -224,6 +233,7 @@ ORACLES = {
     "v1_embed_dense": r"SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN regexp_matches(text, '\S') THEN 1e0 ELSE 0e0 END AS norm, CASE WHEN text IS NOT NULL THEN 64 END AS width FROM documents",
     "v2_norms": "WITH x AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT doc_id, ROUND(list_sum(list_transform(e, lambda x: abs(x))), 5) AS l1, ROUND(sqrt(list_sum(list_transform(e, lambda x: x * x))), 5) AS l2, ROUND(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 5) AS first FROM x",
     "v3_v4_similarities": "SELECT p.vec_id AS a, q.vec_id AS b, ROUND(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS cosine, ROUND(list_inner_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS dot, ROUND(list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS euclid FROM embeddings p JOIN embeddings q ON p.vec_id <> q.vec_id WHERE p.vec_id % 100 = 0",
+    "v4_similarity_matrix": f"SELECT * FROM (SELECT p.vec_id AS a, q.vec_id AS b, {_cos('p.embedding', 'q.embedding')} AS cosine FROM embeddings p JOIN embeddings q ON p.vec_id < q.vec_id) WHERE cosine >= 0.35",
     "v5_encode_sparse": f"WITH {_bm25('documents', 'doc_id', 'post')} SELECT doc_id, COUNT(*) AS n_terms, ROUND(SUM(weight), 4) AS weight FROM post GROUP BY 1",
     "v6_idf_weight": f"WITH {_bm25('documents', 'doc_id', 'post')}, n AS (SELECT COUNT(DISTINCT doc_id) AS n FROM post) SELECT term, ROUND(ln((n - COUNT(*) + 0.5e0) / (COUNT(*) + 0.5e0) + 1), 6) AS idf FROM post, n GROUP BY term, n",
 }
