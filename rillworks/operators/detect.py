@@ -1,7 +1,6 @@
 """Detections: overlap, suppression, matching, precision and recall, thresholds and their cost, inspection verdicts."""
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.boxes import area, box, iou
-from .cut import cut
+from .quantiles import exact_quantiles, running_sums, same
 
 
 def pairwise_iou(a: DataFrame, b: DataFrame, least: float = 0.0) -> DataFrame:
@@ -112,20 +111,6 @@ def match_detections(predicted: DataFrame, truth: DataFrame, least: float = 0.5)
 PLACES = 1 << 16
 
 
-def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], **sums: Column) -> DataFrame:
-    """The rows with each sum over the group's rows up to it in the order.
-
-    Rows are dealt out by ranges of the order and written, so that ranges stay as they are; sums run over the ranges' totals first, then inside
-    each range. A group may hold all rows; a null is a group as any other."""
-    rows = cut(rows.repartitionByRange(*by, *order).withColumn("range_", F.spark_partition_id()), "ranges")
-    totals = rows.groupBy(*by, "range_").agg(*(F.sum(c).alias(f"{k}_") for k, c in sums.items()))
-    above = W.partitionBy(*by).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*(F.col(c).alias(f"{c}_") for c in by), F.col("range_").alias("range__"), *(F.coalesce(F.sum(f"{k}_").over(above), F.lit(0)).alias(f"{k}_") for k in sums))
-    inside = W.partitionBy(*by, "range_").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in by), F.col("range_") == F.col("range__"))
-    return rows.join(totals, same).select(*(c for c in rows.columns if c != "range_"), *((F.col(f"{k}_") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(k) for k, c in sums.items()))
-
-
 def pr_curve(matched: DataFrame, truths: DataFrame, by: Sequence[str] = ("class_id",)) -> DataFrame:
     """The matched rows with cumulative tp and fp by falling score, precision and recall; truths: by, n_truth."""
     hit = F.col("tp").cast("long")
@@ -147,21 +132,95 @@ def average_precision(curve: DataFrame, by: Sequence[str] = ("class_id",)) -> Da
     return rows.groupBy(*by).agg(F.sum(F.when(F.col("tp"), F.col("envelope") * F.col("step")).otherwise(0.0)).alias("ap"))
 
 
-def mean_ap(predicted: DataFrame, truth: DataFrame, thresholds: Sequence[float] = tuple(x / 100 for x in range(50, 100, 5))) -> DataFrame:
-    """threshold, map (mean over classes with a truth), for each threshold of overlap."""
-    counts = truth.groupBy("class_id").agg(F.count("*").alias("n_truth"))
-    counts = counts.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    matched = reduce(DataFrame.unionByName, (match_detections(predicted, truth, t).withColumn("threshold", F.lit(float(t))) for t in thresholds))
-    by = ["threshold", "class_id"]
-    ap = average_precision(pr_curve(matched, counts, by), by)
-    return counts.select(*by).join(ap, by, "left").groupBy("threshold").agg(F.round(F.avg(F.coalesce("ap", F.lit(0.0))), 6).alias("map"))
-
-
 def size_band(b: tuple[Column, ...]) -> Column:
     a = area(b)
     return F.when(a < 32**2, "S").when(a < 96**2, "M").otherwise("L")
 
 
+#: Bands of truths by area; "all" is any.
+BANDS = ("all", "S", "M", "L")
+TEN = tuple(x / 100 for x in range(50, 100, 5))
+
+
+#: Outcomes of a detection.
+IGNORED, FALSE, TRUE = 0, 1, 2
+
+
+def match_outcomes(predicted: DataFrame, truth: DataFrame, thresholds: Sequence[float] = TEN, bands: Sequence[str] = ("all",)) -> DataFrame:
+    """image_id, class_id, box_id, score, outcomes: match_detections for each band of sizes and, within it, each threshold of overlap, in this order, from one pairing of the boxes.
+
+    In a band, truths of other sizes are to be ignored: a detection takes a free truth of the band if one overlaps enough, else one of the others,
+    and is then ignored itself; so is a detection that takes none and is of another size. All thresholds and bands of an image and class are
+    worked through in the task that holds its candidates.
+    """
+    pairs = pairwise_iou(predicted.select("image_id", "box_id", "class_id", "x1", "y1", "x2", "y2"), truth, min(thresholds) - 1e-12)
+    kinds = truth.select("image_id", F.col("box_id").alias("b_id"), F.col("class_id").alias("b_class"), size_band(box()).alias("b_band"))
+    pairs = pairs.join(kinds, ["image_id", "b_id"]).select("image_id", F.col("a_id").alias("box_id"), F.col("b_class").alias("class_id"), "b_id", "b_band", "iou")
+    hits = pairs.groupBy("image_id", "class_id", "box_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("down"), "b_id", "b_band"))).alias("near"))
+    rows = predicted.select("image_id", "class_id", "box_id", "score", size_band(box()).alias("own")).join(hits, ["image_id", "class_id", "box_id"], "left")
+    key, columns = ["image_id", "class_id"], [(band, t - 1e-12) for band in bands for t in thresholds]
+
+    def outcomes(near: list[list], own: list[str], least: float, band: str) -> list[int]:
+        taken: set[int] = set()
+        out = []
+        for x, size in zip(near, own):
+            first = other = None
+            for overlap, b, b_band in x:  # nearest first
+                if overlap < least:
+                    break
+                if b not in taken:
+                    if band == "all" or band == b_band:
+                        first = b
+                        break
+                    other = b if other is None else other
+            if first is not None or other is not None:
+                taken.add(other if first is None else first)
+            out.append(TRUE if first is not None else IGNORED if other is not None or band not in ("all", size) else FALSE)
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _groups(frames, key):
+            own = frame["own"].tolist()
+            near = [[(-y["down"], y["b_id"], y["b_band"]) for y in x] if x is not None else [] for x in frame["near"]]
+            got = np.zeros((len(frame), len(columns)), np.int32)
+            for lo, hi in _cuts(frame, key):
+                for j, (band, least) in enumerate(columns):
+                    got[lo:hi, j] = outcomes(near[lo:hi], own[lo:hi], least, band)
+            yield frame[["image_id", "class_id", "box_id", "score"]].assign(outcomes=list(got))
+
+    kind = predicted.schema["image_id"].dataType.simpleString()
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, F.desc("score"), "box_id")
+    return dealt.mapInPandas(run, f"image_id {kind}, class_id int, box_id long, score double, outcomes array<int>")
+
+
+def ap_by_band(predicted: DataFrame, truth: DataFrame, thresholds: Sequence[float] = TEN, bands: Sequence[str] = BANDS) -> DataFrame:
+    """band, threshold, class_id, n_truth, ap for each class with a truth in the band.
+
+    Detections are ordered once, with running sums for all bands and thresholds; only hits become rows of a curve, as precision rises at hits alone.
+    """
+    counts = truth.select("class_id", F.explode(F.array(F.lit("all"), size_band(box()))).alias("band")).where(F.col("band").isin(*bands)).groupBy("band", "class_id").agg(F.count("*").alias("n_truth"))
+    counts = counts.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    columns = [(band, float(t)) for band in bands for t in thresholds]
+    sums = {f"{k}{j}": (F.col("outcomes")[j] == v).cast("long") for j in range(len(columns)) for k, v in (("tp", TRUE), ("fp", FALSE))}
+    rows = running_sums(match_outcomes(predicted, truth, thresholds, bands), ["class_id"], [F.desc("score"), "image_id", "box_id"], **sums)
+    hits = F.array_compact(F.array(*(F.when(F.col("outcomes")[j] == TRUE, F.struct(F.lit(band).alias("band"), F.lit(t).alias("threshold"), F.col(f"tp{j}").alias("cum_tp"), F.col(f"fp{j}").alias("cum_fp"))) for j, (band, t) in enumerate(columns))))
+    by = ["band", "threshold", "class_id"]
+    curve = rows.select("class_id", F.explode(hits).alias("h")).select("class_id", "h.*", F.lit(True).alias("tp")).join(counts, by)
+    curve = curve.withColumn("precision", F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).withColumn("recall", F.col("cum_tp") / F.col("n_truth"))
+    return counts.join(average_precision(curve, by), by, "left").select(*by, "n_truth", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def mean_ap(predicted: DataFrame, truth: DataFrame, thresholds: Sequence[float] = TEN) -> DataFrame:
+    """threshold, map (mean over classes with a truth), for each threshold of overlap."""
+    return ap_by_band(predicted, truth, thresholds, ("all",)).groupBy("threshold").agg(F.round(F.avg("ap"), 6).alias("map"))
+
+
+def mean_ap_by_size(predicted: DataFrame, truth: DataFrame, thresholds: Sequence[float] = TEN) -> DataFrame:
+    """band, map over all thresholds and classes, map50 and map75, for all truths and for small, medium and large ones; a band without truths has no row."""
+    at = lambda t: F.round(F.avg(F.when(F.abs(F.col("threshold") - t) < 1e-9, F.col("ap"))), 6)
+    return ap_by_band(predicted, truth, thresholds).groupBy("band").agg(F.round(F.avg("ap"), 6).alias("map"), at(0.5).alias("map50"), at(0.75).alias("map75"))
+
+
 def roc_auc(rows: DataFrame, label: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """The chance that a positive scores above a negative, ties a half: from counts at each distinct score, summed over ranges of scores."""
     counts = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n"))
@@ -169,6 +228,14 @@ def roc_auc(rows: DataFrame, label: str = "y", score: str = "score", by: Sequenc
     return won.groupBy(*by).agg(F.when((F.sum("p") > 0) & (F.sum("n") > 0), F.sum("won") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
+def roc_curve(rows: DataFrame, label: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """by, threshold, tpr, fpr: the rates of rows called positive from each distinct score on; null where there is no such label."""
+    counts = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("n"))
+    sums = running_sums(counts, by, [F.desc("threshold")], tp=F.col("p"), fp=F.col("n"))
+    total = counts.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n")).select(*(F.col(c).alias(f"{c}_") for c in by), "all_p", "all_n")
+    return sums.join(total, same(by)).select(*by, "threshold", (F.col("tp") / F.nullif("all_p", F.lit(0))).alias("tpr"), (F.col("fp") / F.nullif("all_n", F.lit(0))).alias("fpr"))
+
+
 def pr_auc(rows: DataFrame, label: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """ap (recall steps times precision, one step a distinct score) and the baseline, the share of positives."""
     counts = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("m"))
@@ -219,8 +286,11 @@ def image_verdict(images: DataFrame, defects: DataFrame) -> DataFrame:
 def anchor_kmeans(boxes: DataFrame, k: int = 5, rounds: int = 10) -> DataFrame:
     """anchor_no, w, h, n: k shapes of boxes (w, h), by the distance 1 less overlap at a common centre. Shapes start at quantiles of area; rounds are fixed."""
     rows = boxes.select(F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h")).where("w > 0 AND h > 0").groupBy("w", "h").agg(F.count("*").alias("n"))
-    q = boxes.where("w > 0 AND h > 0").select(F.percentile("w", F.array(*(F.lit((i + 0.5) / k) for i in range(k)))), F.percentile("h", F.array(*(F.lit((i + 0.5) / k) for i in range(k))))).first()
-    centres = list(zip(q[0], q[1]))
+    shares = [(i + 0.5) / k for i in range(k)]
+    q = [exact_quantiles(boxes.where("w > 0 AND h > 0"), [], c, shares).first() for c in "wh"]
+    centres = list(zip(q[0][0], q[1][0])) if q[0] else []
+    if not centres or q[0][0][0] is None:
+        return rows.select(F.lit(0).alias("anchor_no"), F.col("w"), F.col("h"), "n").where("false")
     for _ in range(rounds):  # the driver holds k centres only
         options = F.array(*(F.struct((-_overlap(w, h)).alias("d"), F.lit(i).alias("i")) for i, (w, h) in enumerate(centres)))
         got = rows.groupBy(F.array_min(options)["i"].alias("i")).agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"), (F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("h")).collect()

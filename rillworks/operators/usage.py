@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cut import cut
+from .quantiles import at_rank, bucket, exact_quantiles, ordered_buckets, same
 
 # Limits in ms by stage; factors of the base price for writing and reading cached input.
 STAGE_LIMITS = {"retrieval": 800, "rerank": 500, "first_token": 2000}
@@ -24,8 +25,10 @@ def cached_token_cost(plain: Column, written: Column, read: Column, output: Colu
 
 def stage_latency(rows: DataFrame, by: str = "stage", ms: str = "ms") -> DataFrame:
     limit = F.create_map(*(F.lit(x) for kv in STAGE_LIMITS.items() for x in kv))
-    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(ms), 4).alias("mean_ms"), F.round(F.percentile(ms, F.lit(0.95)), 4).alias("p95_ms"), F.sum(F.when(F.col(ms) > F.coalesce(F.try_element_at(limit, F.col(by)), F.lit(1 << 30)), 1).otherwise(0)).alias("n_slow"))
-    return out
+    slow = F.sum(F.when(F.col(ms) > F.coalesce(F.try_element_at(limit, F.col(by)), F.lit(1 << 30)), 1).otherwise(0))
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(ms), 4).alias("mean_ms"), slow.alias("n_slow"))
+    q = exact_quantiles(rows, [by], ms, [0.95]).select(F.col(by).alias(f"{by}_"), F.round(F.col("quantiles")[0], 4).alias("p95_ms"))
+    return out.join(q, same([by]), "left").select(by, "n", "mean_ms", "p95_ms", "n_slow")
 
 
 def trace_rollup(spans: DataFrame) -> DataFrame:
@@ -69,9 +72,24 @@ def loop_tokens(rows: DataFrame, by: str, order: str, tokens: str) -> DataFrame:
 
 
 def api_metrics(rows: DataFrame) -> DataFrame:
-    """route, key, hour, calls, errors, error_rate, cost, p50, p95 of ms, for rows with route, key, ts, error, cost, ms."""
-    errors = F.sum(F.col("error").cast("int"))
-    return rows.groupBy("route", "key", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("calls"), errors.alias("errors"), F.round(errors / F.count("*"), 6).alias("error_rate"), F.round(F.sum("cost"), 4).alias("cost"), F.round(F.percentile("ms", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("ms", F.lit(0.95)), 4).alias("p95"))
+    """route, key, hour, calls, errors, error_rate, cost, p50, p95 of ms, for rows with route, key, ts, error, cost, ms. Quantiles are exact and counted over ranges of values, so no task orders a route's rows."""
+    by, errors = ["route", "key", "hour"], F.sum(F.col("error").cast("int"))
+    rows = rows.withColumn("hour", F.date_trunc("hour", "ts"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("calls"), errors.alias("errors"), F.round(errors / F.count("*"), 6).alias("error_rate"), F.round(F.sum("cost"), 4).alias("cost"))
+    q = exact_quantiles(rows, by, "ms", [0.5, 0.95]).select(*(F.col(c).alias(f"{c}_") for c in by), *(F.round(F.col("quantiles")[i], 4).alias(k) for i, k in enumerate(("p50", "p95"))))
+    return out.join(q, same(by), "left").select(*by, "calls", "errors", "error_rate", "cost", "p50", "p95")
+
+
+def sketched_metrics(rows: DataFrame, by: Sequence[str] = ("route", "key"), every: str = "1 hour", probs: Sequence[float] = (0.5, 0.95), alpha: float = 0.01) -> DataFrame:
+    """by, start, calls, errors, cost, quantiles of ms in each span of time: api_metrics by a sketch, whose quantiles lie within a share of `alpha` of the value at that rank.
+
+    Counts of buckets are aggregated first, so a hot route's rows meet as a few thousand counts. Takes a streaming frame with a watermark too: the
+    state is those counts, and a span's row comes once the watermark has passed it; rows later than that are left out.
+    """
+    parts = rows.groupBy(F.window("ts", every), *by, bucket(F.col("ms"), alpha).alias("bucket")).agg(F.count("*").alias("n"), F.sum(F.col("error").cast("long")).alias("errors"), F.sum(F.col("cost").cast("decimal(28,6)")).alias("cost"))
+    known = F.sum(F.when(F.col("bucket").isNotNull(), F.col("n")))
+    out = parts.groupBy("window", *by).agg(F.sum("n").alias("calls"), F.sum("errors").alias("errors"), F.sum("cost").cast("double").alias("cost"), known.alias("known"), ordered_buckets().alias("b"))
+    return out.select(*by, F.col("window.start").alias("start"), "calls", "errors", "cost", F.array(*(at_rank(F.col("b"), F.col("known"), p, alpha) for p in probs)).alias("quantiles"))
 
 
 def usage_stats(rows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as b
 from ..operators import classify as c
 from ..operators import detect as x
+from ..operators import drift as dr
 from .finance import table
 
 #: Boxes of an order's lines: the same text in Spark and in DuckDB.
@@ -70,6 +71,12 @@ def d8_mean_ap(spark: SparkSession, d: str) -> DataFrame:
     return x.mean_ap(predicted(spark, d), truth(spark, d))
 
 
+def d8_mean_ap_by_size(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes half as large again, so that all three bands have some."""
+    larger = lambda rows: rows.withColumns({k: F.col(k) * 1.5 for k in ("x1", "y1", "x2", "y2")})
+    return x.mean_ap_by_size(larger(predicted(spark, d)), larger(truth(spark, d)))
+
+
 def d8_size_bands(spark: SparkSession, d: str) -> DataFrame:
     return boxes(spark, d).groupBy(x.size_band(b.box()).alias("band")).agg(F.count("*").alias("n"))
 
@@ -87,6 +94,14 @@ def d9_roc_auc(spark: SparkSession, d: str) -> DataFrame:
     return x.roc_auc(scored(spark, d), by=["lang"]).select("lang", F.round("auc", 6).alias("auc"))
 
 
+def d9_roc_curve(spark: SparkSession, d: str) -> DataFrame:
+    return x.roc_curve(scored(spark, d), by=["lang"]).select("lang", F.round("threshold", 6).alias("threshold"), F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+def d9_ks_gini(spark: SparkSession, d: str) -> DataFrame:
+    return dr.ks_statistic(scored(spark, d), by=["lang"]).select("lang", F.round("ks", 6).alias("ks"), F.round("gini", 6).alias("gini"))
+
+
 def d10_pr_auc(spark: SparkSession, d: str) -> DataFrame:
     return x.pr_auc(scored(spark, d)).select(F.round("ap", 6).alias("ap"), F.round("baseline", 6).alias("baseline"))
 
@@ -192,6 +207,20 @@ def d29_defect_rate(spark: SparkSession, d: str) -> DataFrame:
     return x.defect_rate(rows, alert=0.1).select("start", "n", F.round("rate", 6).alias("rate"), "alert")
 
 
+_EDGES = [5.0, 10.0, 20.0, 40.0, 80.0]
+
+
+def d29_confidence_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Each day's values against those of every fifth event, over given edges; some values are missing."""
+    rows = table(spark, d, "events").selectExpr("event_id", "ts", "CASE WHEN event_id % 17 > 0 THEN value * (1 + event_id % 3) END AS v")
+    return dr.value_drift(rows.where("event_id % 5 > 0"), rows.where("event_id % 5 = 0"), "v", "1 day", _EDGES).select("start", "n", F.round("psi", 6).alias("psi"), "drift")
+
+
+def d29_relabel_queue(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").selectExpr("event_id", "(event_id * 37 % 1000) / 1000e0 AS confidence")
+    return x.relabel_queue(rows)
+
+
 def d30_latency_budget(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", x.latency_budget(F.col("p_size").cast("double"), F.lit(0.5), F.col("p_retailprice") / 100, F.lit(20.0)).alias("s")).select("p_partkey", F.round("s.budget", 6).alias("budget"), F.round("s.used", 6).alias("used"), "s.fits")
 
@@ -210,8 +239,8 @@ def d33_centerness(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    d1_d2_pairwise_iou, d3_nms, d4_corners, d5_match, d6_pr_curve, d7_average_precision, d8_mean_ap, d8_size_bands, d9_roc_auc, d10_pr_auc, d11_threshold_sweep, d12_cost, d13_best_threshold, d14_confusion, d15_report, d16_overfit_gap, d17_mean_loss, d18_pixel_iou, d19_split,
-    d20_mixup, d21_channel_normalize, d22_standardize, d23_uneven_lighting, d24_filter_defects, d25_circularity, d26_image_verdict, d27_anchor_kmeans, d28_label_counts, d29_defect_rate, d30_latency_budget, d31_misclassified, d32_decode_anchor, d33_centerness,
+    d1_d2_pairwise_iou, d3_nms, d4_corners, d5_match, d6_pr_curve, d7_average_precision, d8_mean_ap, d8_mean_ap_by_size, d8_size_bands, d9_roc_auc, d9_roc_curve, d9_ks_gini, d10_pr_auc, d11_threshold_sweep, d12_cost, d13_best_threshold, d14_confusion, d15_report, d16_overfit_gap, d17_mean_loss, d18_pixel_iou, d19_split,
+    d20_mixup, d21_channel_normalize, d22_standardize, d23_uneven_lighting, d24_filter_defects, d25_circularity, d26_image_verdict, d27_anchor_kmeans, d28_label_counts, d29_defect_rate, d29_confidence_drift, d29_relabel_queue, d30_latency_budget, d31_misclassified, d32_decode_anchor, d33_centerness,
 )}
 
 _INTER = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
@@ -282,6 +311,14 @@ ORACLES = {
     "d26_image_verdict": "SELECT o_orderkey AS image_id, COUNT(l_orderkey) AS n_defects, COUNT(l_orderkey) > 0 AS is_defective FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity * l_linenumber * 4 > 300 AND l_quantity * l_linenumber * 4 < 800 GROUP BY 1",
     "d27_anchor_kmeans": f"WITH {_BOXES}, {_centres()} SELECT i AS anchor_no, ROUND(c.w, 6) AS w, ROUND(c.h, 6) AS h, SUM(a.n)::BIGINT AS n FROM ({_nearest(10)}) a JOIN centres10 c USING (i) GROUP BY 1, 2, 3",
     "d28_label_counts": f"WITH {_BOXES} SELECT CASE WHEN image_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, class_id, COUNT(*) AS n_boxes, COUNT(DISTINCT image_id) AS n_images FROM boxes GROUP BY 1, 2",
+    "d9_roc_curve": f"WITH {_SCORED}, c AS (SELECT lang, score, SUM(y) AS p, SUM(1 - y) AS n FROM scored GROUP BY 1, 2) SELECT lang, ROUND(score, 6) AS threshold, ROUND(SUM(p) OVER w / SUM(p) OVER (PARTITION BY lang), 6) AS tpr, ROUND(SUM(n) OVER w / SUM(n) OVER (PARTITION BY lang), 6) AS fpr FROM c WINDOW w AS (PARTITION BY lang ORDER BY score DESC)",
+    "d9_ks_gini": f"WITH {_SCORED}, c AS (SELECT lang, score, SUM(y) AS p, SUM(1 - y) AS n FROM scored GROUP BY 1, 2), r AS (SELECT lang, p, n, SUM(p) OVER w AS up, SUM(n) OVER w AS un, SUM(p) OVER (PARTITION BY lang) AS tp, SUM(n) OVER (PARTITION BY lang) AS tn FROM c WINDOW w AS (PARTITION BY lang ORDER BY score)) "
+    "SELECT lang, ROUND(MAX(abs(up / NULLIF(tp, 0) - un / NULLIF(tn, 0))), 6) AS ks, ROUND(2 * SUM(p * (un - n / 2)) / NULLIF(MAX(tp) * MAX(tn), 0) - 1, 6) AS gini FROM r GROUP BY 1",
+    "d29_confidence_drift": "WITH v AS (SELECT event_id, date_trunc('day', ts) AS start, CASE WHEN event_id % 17 > 0 THEN value * (1 + event_id % 3) END AS v FROM events), b AS (SELECT event_id % 5 = 0 AS known, start, CASE WHEN v IS NULL THEN 6 ELSE (v >= 5)::INT + (v >= 10)::INT + (v >= 20)::INT + (v >= 40)::INT + (v >= 80)::INT END AS bin FROM v), "
+    "e AS (SELECT k.bin, (COUNT(b.bin) + 0.5e0) / ((SELECT COUNT(*) FROM b WHERE known) + 3.5e0) AS p FROM range(7) k(bin) LEFT JOIN b ON b.bin = k.bin AND known GROUP BY 1), d AS (SELECT start, COUNT(*) AS n FROM b WHERE NOT known GROUP BY 1), "
+    "a AS (SELECT d.start, d.n, e.bin, e.p, (COUNT(b.bin) + 0.5e0) / (d.n + 3.5e0) AS q FROM d CROSS JOIN e LEFT JOIN b ON NOT b.known AND b.start = d.start AND b.bin = e.bin GROUP BY 1, 2, 3, 4), s AS (SELECT start, n, SUM((q - p) * ln(q / p)) AS psi FROM a GROUP BY 1, 2) "
+    "SELECT start, n, ROUND(psi, 6) AS psi, CASE WHEN psi >= 0.25 THEN 'major' WHEN psi >= 0.1 THEN 'moderate' ELSE 'none' END AS drift FROM s",
+    "d29_relabel_queue": "SELECT event_id, (event_id * 37 % 1000) / 1000e0 AS confidence FROM events WHERE (event_id * 37 % 1000) BETWEEN 400 AND 600",
     "d29_defect_rate": "SELECT date_trunc('hour', ts) AS start, COUNT(*) AS n, ROUND(AVG(CASE WHEN event_type = 'error' THEN 1e0 ELSE 0e0 END), 6) AS rate, AVG(CASE WHEN event_type = 'error' THEN 1e0 ELSE 0e0 END) > 0.1 AS alert FROM events GROUP BY 1",
     "d30_latency_budget": "SELECT p_partkey, ROUND(p_size / 0.5e0, 6) AS budget, ROUND(p_retailprice / 100 + 20, 6) AS used, p_retailprice / 100 + 20 <= p_size / 0.5e0 AS fits FROM part",
     "d31_misclassified": f"WITH {_SCORED} SELECT id, label, predicted FROM scored WHERE label <> predicted ORDER BY id LIMIT 12",

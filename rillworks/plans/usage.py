@@ -105,6 +105,12 @@ def t9_api_metrics(spark: SparkSession, d: str) -> DataFrame:
     return u.api_metrics(table(spark, d, "events").select(F.col("event_type").alias("route"), (F.col("user_id") % 3).alias("key"), "ts", (F.col("user_id") % 10 == 0).alias("error"), (F.col("event_id") / 100).alias("cost"), F.col("value").alias("ms")))
 
 
+def t9_sketched_metrics(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("event_type").alias("route"), (F.col("user_id") % 3).alias("key"), "ts", (F.col("user_id") % 10 == 0).alias("error"), (F.col("event_id") / 100).alias("cost"), F.expr("CASE WHEN event_id % 13 > 0 THEN value - 20 END").alias("ms"))
+    q = lambda i: F.round(F.col("quantiles")[i], 4)
+    return u.sketched_metrics(rows, every="1 day", probs=(0.0, 0.5, 0.95)).select("route", "key", "start", "calls", "errors", F.round("cost", 2).alias("cost"), q(0).alias("least"), q(1).alias("p50"), q(2).alias("p95"))
+
+
 def t10_usage_stats(spark: SparkSession, d: str) -> DataFrame:
     out = u.usage_stats(table(spark, d, "events").select("event_type", F.date_trunc("day", "ts").cast("date").cast("string").alias("day"), "user_id"), ["event_type", "day"])
     return out.select(F.coalesce("event_type", F.lit("all")).alias("event_type"), F.coalesce("day", F.lit("all")).alias("day"), "calls", "users", F.col("level").cast("long").alias("level"))
@@ -210,7 +216,7 @@ def g8_fact_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    e1_e3_e4_retrieval, e2_answer_recall, e5_supported_share, e6_answer_relevancy, e7_expected_score, e8_diagnose, e9_field_scores, e10_compare_configs, t1_token_cost, t2_cached_cost, t3_stage_latency, t4_trace_rollup, t5_hard_failures, t6_ab_report, t7_sample_traces, t8_loop_tokens, t9_api_metrics, t10_usage_stats,
+    e1_e3_e4_retrieval, e2_answer_recall, e5_supported_share, e6_answer_relevancy, e7_expected_score, e8_diagnose, e9_field_scores, e10_compare_configs, t1_token_cost, t2_cached_cost, t3_stage_latency, t4_trace_rollup, t5_hard_failures, t6_ab_report, t7_sample_traces, t8_loop_tokens, t9_api_metrics, t9_sketched_metrics, t10_usage_stats,
     t11_status_mix, t12_rate_violations, t13_escalation_context, t14_conversation_window, t15_last_human_message, t16_merge_messages, t17_save_memory, t18_retrieve_memory, t19_distinct_in_order, t20_collect_tool_outputs, g1_build_graph, g2_check_schema, g3_k_hop, g4_match_count, g5_communities, g6_community_report, g7_global_answer, g8_fact_check,
 )}
 
@@ -267,6 +273,10 @@ ORACLES = {
     "t6_ab_report": "SELECT user_id % 2 AS arm, COUNT(*) AS n, ROUND(AVG(CASE WHEN event_type = 'purchase' THEN 1e0 ELSE 0e0 END), 6) AS win_rate, ROUND(AVG((event_id % 10) / 10e0), 6) AS faithfulness, ROUND(AVG(event_id % 777), 4) AS tokens FROM events GROUP BY 1",
     "t8_loop_tokens": "WITH c AS (SELECT conv_id, turn, SUM(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS context FROM conversations) SELECT conv_id, turn, CAST(context AS BIGINT) AS context, CAST(SUM(context) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sent FROM c",
     "t9_api_metrics": "SELECT event_type AS route, user_id % 3 AS key, date_trunc('hour', ts) AS hour, COUNT(*) AS calls, COUNT(*) FILTER (user_id % 10 = 0) AS errors, ROUND(COUNT(*) FILTER (user_id % 10 = 0) / COUNT(*), 6) AS error_rate, ROUND(SUM(event_id / 100), 4) AS cost, ROUND(quantile_cont(value, 0.5), 4) AS p50, ROUND(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY 1, 2, 3",
+    "t9_sketched_metrics": "WITH v AS (SELECT event_type AS route, user_id % 3 AS key, date_trunc('day', ts) AS start, user_id % 10 = 0 AS error, event_id / 100 AS cost, CASE WHEN event_id % 13 > 0 THEN value - 20 END AS ms FROM events), "
+    "b AS (SELECT *, CASE WHEN ms IS NULL THEN NULL WHEN ms = 0 THEN 0 ELSE sign(ms) * (1048576 + ceil(ln(abs(ms)) / ln(1.01e0 / 0.99e0))) END AS bucket FROM v), g AS (SELECT route, key, start, COUNT(*) AS calls, COUNT(*) FILTER (error) AS errors, ROUND(SUM(cost), 2) AS cost, COUNT(ms) AS known FROM b GROUP BY 1, 2, 3), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY route, key, start ORDER BY bucket) AS r FROM b WHERE bucket IS NOT NULL), x AS (SELECT *, CASE WHEN bucket = 0 THEN 0 ELSE sign(bucket) * 2 / (1.01e0 / 0.99e0 + 1) * pow(1.01e0 / 0.99e0, abs(bucket) - 1048576) END AS v FROM o) "
+    "SELECT route, key, start, calls, errors, g.cost, ROUND(MAX(v) FILTER (r = 1), 4) AS least, ROUND(MAX(v) FILTER (r = greatest(1, ceil(0.5e0 * known))), 4) AS p50, ROUND(MAX(v) FILTER (r = greatest(1, ceil(0.95e0 * known))), 4) AS p95 FROM g LEFT JOIN x USING (route, key, start) GROUP BY 1, 2, 3, 4, 5, 6",
     "t10_usage_stats": "WITH x AS (SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id FROM events) SELECT COALESCE(event_type, 'all') AS event_type, COALESCE(day, 'all') AS day, COUNT(*) AS calls, COUNT(DISTINCT user_id) AS users, CAST(GROUPING(event_type, day) AS BIGINT) AS level FROM x GROUP BY CUBE (event_type, day)",
     "t11_status_mix": "WITH n AS (SELECT user_id % 20 AS bot, event_type AS status, COUNT(*) AS n FROM events GROUP BY 1, 2) SELECT bot, status, n, ROUND(n / SUM(n) OVER (PARTITION BY bot), 6) AS share FROM n",
     "t12_rate_violations": "SELECT event_type, date_trunc('hour', ts) AS start, COUNT(*) AS n FROM events GROUP BY 1, 2 HAVING COUNT(*) > 3",

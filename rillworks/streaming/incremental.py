@@ -1,10 +1,13 @@
 """The operators that also take streams: rates, defect rates, ingestion."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.detect import defect_rate
-from ..operators.usage import rate_violations
+from ..operators.drift import value_drift
+from ..operators.usage import rate_violations, sketched_metrics
 from ..sources.io import upsert_chunks
 
 
@@ -16,6 +19,16 @@ def stream_defect_rate(rows: DataFrame, every: str = "1 hour", alert: float = 0.
     return defect_rate(rows.withWatermark("ts", late), every, alert)
 
 
+def stream_metrics(rows: DataFrame, by: Sequence[str] = ("route", "key"), every: str = "1 hour", late: str = "10 minutes", **how) -> DataFrame:
+    """Calls, errors, cost and quantiles of ms by route or stage, in append mode: each span once, when the watermark has passed its end."""
+    return sketched_metrics(rows.withWatermark("ts", late), by, every, **how)
+
+
+def stream_drift(rows: DataFrame, reference: DataFrame, value: str, every: str = "1 hour", late: str = "10 minutes", **how) -> DataFrame:
+    """Each span's drift against a fixed reference table."""
+    return value_drift(rows.withWatermark("ts", late), reference, value, every, **how)
+
+
 def stream_ingest(chunks: DataFrame, path: str, checkpoint: str, key: str = "chunk_id") -> StreamingQuery:
     """Each batch of chunks goes through the same idempotent upsert as a batch job's, so a batch that runs again changes nothing."""
     return chunks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, n: upsert_chunks(rows, path, key)).start()
