@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
-from ..functions.vector import cosine
+from ..functions.vector import cosine, let
 
 PY_TOKEN = re.compile(r"\w+|[^\w\s]")
 Splitter = Callable[[str], list[str]]
@@ -229,13 +229,33 @@ def similarity_profile(rows: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias("n"), *q, F.min("similarity").alias("low"), F.max("similarity").alias("high")).where("n >= 3")
 
 
-def semantic_chunks(rows: DataFrame, group: str, number: str, text: str, threshold: float = 0.75) -> DataFrame:
-    """Sentences in order, a new chunk where the similarity to the one before is below the threshold."""
-    w = W.partitionBy(group).orderBy(number)
-    chunk = F.sum(F.coalesce((F.col("similarity") < threshold).cast("int"), F.lit(0))).over(w)
-    rows = rows.withColumn("chunk_no", chunk)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number, text))), lambda x: x[text]), " ")
-    return rows.groupBy(group, "chunk_no").agg(F.count("*").alias("n_sentences"), joined.alias("chunk"))
+def semantic_chunks(rows: DataFrame, group: str, number: str, text: str, threshold: float = 0.75, max_tokens: int = 500, overlap: int = 50) -> DataFrame:
+    """group, chunk_no, n_sentences, chunk: sentences in order, a new chunk where the similarity to the one before is below the threshold, or where `max_tokens` would be passed.
+
+    A sentence of more tokens is cut into pieces of max_tokens first, and each piece counts as a sentence. A chunk that only its size parts from the one before
+    begins with that one's last `overlap` tokens, which its size doesn't count. A chunk's sentences are gathered from one stretch without a break.
+    """
+    stretch = F.sum(F.coalesce((F.col("similarity") < threshold).cast("int"), F.lit(0))).over(W.partitionBy(group).orderBy(number))
+    n = t.count_tokens(F.col(text))
+    pieces = rows.select(group, stretch.alias("_stretch"), F.col(number).alias("_no"), F.posexplode(F.when(n > max_tokens, t.split_by_tokens(F.col(text), max_tokens)).otherwise(F.array(text))).alias("_piece", "_text"))
+    items = F.array_sort(F.collect_list(F.struct("_no", "_piece", "_text", t.count_tokens(F.col("_text")).alias("_n"))))
+    held = lambda text, count, size: F.struct(text.alias("text"), count.cast("long").alias("count"), size.cast("long").alias("size"))
+
+    def add(s: Column, x: Column) -> Column:
+        last = s["open"]
+        full = (last["count"] > 0) & (last["size"] + x["_n"] > max_tokens)
+        begun = full | (last["count"] == 0)
+        done = F.when(full, F.concat(s["done"], F.array(last))).otherwise(s["done"])
+        return F.struct(done.alias("done"), held(F.when(begun, x["_text"]).otherwise(F.concat_ws(" ", last["text"], x["_text"])), F.when(begun, 1).otherwise(last["count"] + 1), F.when(begun, x["_n"]).otherwise(last["size"] + x["_n"])).alias("open"))
+
+    none = held(F.lit(""), F.lit(0), F.lit(0))
+    packed = F.aggregate("_items", F.struct(F.slice(F.array(none), 1, 0).alias("done"), none.alias("open")), add, lambda s: F.concat(s["done"], F.array(s["open"])))
+    rows = pieces.groupBy(group, "_stretch").agg(items.alias("_items")).select(group, "_stretch", packed.alias("_chunks"))
+    tail = lambda text: let(t.tokens(text), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - overlap + 1), max(1, overlap)), " "))
+    lapped = F.transform("_chunks", lambda c, i: F.struct(c["count"].alias("n_sentences"), F.when((i > 0) & F.lit(overlap > 0), F.concat_ws(" ", tail(F.get("_chunks", i - 1)["text"]), c["text"])).otherwise(c["text"]).alias("chunk")))
+    rows = rows.select(group, "_stretch", F.posexplode(lapped).alias("_at", "_c"))
+    place = F.row_number().over(W.partitionBy(group).orderBy("_stretch", "_at")) - 1
+    return rows.select(group, place.cast("long").alias("chunk_no"), "_c.n_sentences", "_c.chunk")
 
 
 def sweep_thresholds(rows: DataFrame, group: str, number: str, text: str, thresholds: Sequence[float]) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vector import let
+from .quantiles import running_sums
 
 # Channel means and deviations.
 CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -78,6 +81,35 @@ def mixup(rows: DataFrame, pairs: DataFrame, weight: float = 0.6) -> DataFrame:
     return rows.join(pairs, "id").join(other, "other").select("id", mix("x", "_x").alias("x"), mix("y", "_y").alias("y"))
 
 
+def beta_quantile(u: np.ndarray, alpha: float, steps: int = 1 << 12) -> np.ndarray:
+    """The value of a Beta(alpha, alpha) variable at the shares u, from its running sum in steps of x ** alpha, in which the density has no pole."""
+    s = np.linspace(0.0, 0.5**alpha, steps + 1)
+    density = (1 - s ** (1 / alpha)) ** (alpha - 1)
+    upto = np.concatenate([[0.0], np.cumsum((density[1:] + density[:-1]) / 2)])
+    low = np.minimum(u, 1 - u)
+    x = np.interp(2 * low * upto[-1], upto, s) ** (1 / alpha)
+    return np.where(u <= 0.5, x, 1 - x)
+
+
+def mixup_permuted(rows: DataFrame, alpha: float = 0.2, seed: int = 0) -> DataFrame:
+    """id, other, weight, x, y: each row (id, x, y) mixed with the row at its place of a seeded permutation, at a weight from Beta(alpha, alpha); reruns agree.
+
+    A permutation is two orders by hashes: rows of equal places are partners. Places come from running counts over ranges of the hashes. Ids are unique.
+    """
+    order = lambda name: F.md5(F.concat_ws(":", F.lit(seed), F.lit(name), "id").cast("binary"))
+    place = lambda name, id: running_sums(rows.select(F.col("id").alias(id), order(name).alias("_h")), [], ["_h", id], _place=F.lit(1)).select(id, "_place")
+
+    @F.pandas_udf("double")
+    def weight(u: pd.Series) -> pd.Series:
+        return pd.Series(beta_quantile(u.to_numpy(), alpha))
+
+    share = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("weight"), "id").cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    pairs = place("first", "id").join(place("second", "other"), "_place").select("id", "other", weight(share).alias("weight"))
+    other = rows.select(F.col("id").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    mix = lambda a, b: F.zip_with(a, b, lambda p, q: F.col("weight") * p.cast("double") + (1 - F.col("weight")) * q.cast("double"))
+    return rows.join(pairs, "id").join(other, "other").select("id", "other", "weight", mix("x", "_x").alias("x"), mix("y", "_y").alias("y"))
+
+
 def channel_normalize(pixels: Column) -> Column:
     """A flat height by width by 3 array of 0 to 255 as three planes, each less its mean over its deviation."""
     n = F.size(pixels)

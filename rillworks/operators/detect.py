@@ -265,9 +265,17 @@ def best_threshold(sweep: DataFrame, metric: str = "f1", highest: bool = True) -
     return sweep.orderBy(F.desc(metric) if highest else F.asc(metric), "threshold").limit(1)
 
 
-def uneven_lighting(pixels: DataFrame, height: int, width: int, grid: int = 4, most: float = 8.0) -> DataFrame:
-    """image_id, spread (population deviation of the grid cells' means), uneven, from rows of image_id, y, x, v."""
-    cells = pixels.groupBy("image_id", F.floor(F.col("y") * grid / height).alias("cy"), F.floor(F.col("x") * grid / width).alias("cx")).agg(F.avg("v").alias("m"))
+def uneven_lighting(pixels: DataFrame, height: int, width: int, grid: int = 4, most: float = 8.0, equal: bool = False) -> DataFrame:
+    """image_id, spread (population deviation of the grid cells' means), uneven, from rows of image_id, y, x, v.
+
+    Cells cover the image; with `equal` all are height // grid by width // grid pixels and what is left at the lower and right edges counts for none.
+    """
+    if equal:
+        at = [F.floor(F.col(c) / (n // grid)) for c, n in (("y", height), ("x", width))]
+        pixels = pixels.where((at[0] < grid) & (at[1] < grid))
+    else:
+        at = [F.floor(F.col(c) * grid / n) for c, n in (("y", height), ("x", width))]
+    cells = pixels.groupBy("image_id", at[0].alias("cy"), at[1].alias("cx")).agg(F.avg("v").alias("m"))
     return cells.groupBy("image_id").agg(F.stddev_pop("m").alias("spread")).withColumn("uneven", F.col("spread") > most)
 
 

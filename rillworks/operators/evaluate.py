@@ -72,3 +72,19 @@ def field_scores(found: DataFrame, gold: DataFrame, keys: Sequence[str], toleran
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     s = both.agg(one(F.coalesce(near, F.lit(False))).alias("ok"), one(F.col("b").isNotNull()).alias("g"), one(F.col("a").isNotNull()).alias("f"), one(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("m"))
     return s.select(F.round(F.col("ok") / F.col("g"), 6).alias("numeric_accuracy"), F.round(F.col("m") / F.col("f"), 6).alias("precision"), F.round(F.col("m") / F.col("g"), 6).alias("recall"), F.round(2 * F.col("m") / (F.col("f") + F.col("g")), 6).alias("f1"))
+
+
+def citation_scores(claims: DataFrame, citations: DataFrame, evidence: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, claims, citations, citation_accuracy (citations that name evidence of their claim), citation_completeness (claims with such a citation), unsupported_rate (claims without any evidence), hallucination_rate (answers with such a claim).
+
+    claims: by, answer_id, claim_no; citations and evidence: answer_id, claim_no, source_id. A source counts once a claim; citations of no claim count as wrong, with nulls for `by`.
+    """
+    key = ["answer_id", "claim_no"]
+    true = evidence.select(*key, "source_id").distinct().withColumn("true", F.lit(1))
+    cited = citations.select(*key, "source_id").distinct().join(true, [*key, "source_id"], "left").groupBy(*key).agg(F.count("*").alias("cited"), F.sum(F.coalesce("true", F.lit(0))).alias("right"))
+    known = true.groupBy(*key).agg(F.count("*").alias("known"))
+    rows = claims.select(*by, *key).distinct().withColumn("claim", F.lit(1)).join(cited, key, "full_outer").join(known, key, "left").na.fill(0, ["claim", "cited", "right", "known"])
+    answers = rows.groupBy(*by, "answer_id").agg(F.sum("claim").alias("claims"), F.sum("cited").alias("citations"), F.sum("right").alias("right"), F.sum(F.when((F.col("claim") == 1) & (F.col("right") > 0), 1).otherwise(0)).alias("complete"), F.sum(F.when((F.col("claim") == 1) & (F.col("known") == 0), 1).otherwise(0)).alias("bare"))
+    share = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 6)
+    total, one = lambda c: F.sum(c), lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return answers.groupBy(*by).agg(total("claims").alias("claims"), total("citations").alias("citations"), share(total("right"), total("citations")).alias("citation_accuracy"), share(total("complete"), total("claims")).alias("citation_completeness"), share(total("bare"), total("claims")).alias("unsupported_rate"), share(one(F.col("bare") > 0), one(F.col("claims") > 0)).alias("hallucination_rate"))

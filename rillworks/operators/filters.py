@@ -50,6 +50,25 @@ def validate_rows(rows: DataFrame, rules: Mapping[str, str]) -> tuple[DataFrame,
     return marked.where("size(broken) = 0").drop("broken"), marked.where("size(broken) > 0")
 
 
+def parse_rows(rows: DataFrame, text: str, schema: str, required: Sequence[str] = (), rules: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """JSON texts as typed rows: (the rows with the schema's columns in place of the text, the others as they are with `broken`).
+
+    A text that isn't JSON, or has a value of another type, breaks `json`; a required field that is null breaks its name; rules are SQL predicates
+    on the fields, as in validate_rows, and judge only texts that could be read. Each text is read once; fields that the schema lacks go.
+    """
+    parsed = F.from_json(text, f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = rows.withColumn("_parsed", parsed)
+    unread = F.col("_parsed").isNull() | F.col("_parsed._corrupt_record").isNotNull()
+    names = [f.name for f in rows.schema["_parsed"].dataType.fields if f.name != "_corrupt_record"]
+    keep = [c for c in rows.columns if c not in (text, "_parsed")]
+    fields = rows.select("*", *(F.col(f"_parsed.{c}").alias(c) for c in names if c not in rows.columns), unread.alias("_unread"))
+    held = {c: F.col(f"_parsed.{c}") for c in names}
+    found = [F.when(F.col("_unread"), F.lit("json")), *(F.when(~F.col("_unread") & held[c].isNull(), F.lit(c)) for c in required)]
+    found += [F.when(~F.col("_unread") & ~F.coalesce(F.expr(r), F.lit(False)), F.lit(k)) for k, r in (rules or {}).items()]
+    marked = fields.withColumn("broken", F.array_compact(F.array(*found)))
+    return marked.where("size(broken) = 0").select(*keep, *(held[c].alias(c) for c in names)), marked.where("size(broken) > 0").select(*(c for c in rows.columns if c != "_parsed"), "broken")
+
+
 def keyword_scan(snippets: DataFrame, terms: Sequence[str] = tuple(RISK_TERMS)) -> DataFrame:
     """company, hits (in the terms' order), flags, the first three snippets, from rows of company, pos, snippet."""
     own = F.transform(F.array_sort(F.collect_list(F.struct("pos", "snippet"))), lambda x: x["snippet"])

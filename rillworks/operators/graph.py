@@ -70,8 +70,10 @@ def community_report(labels: DataFrame, edges: DataFrame, top: int = 3) -> DataF
     ends = edges.join(labels.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
     inner = ends.where("a = b").groupBy(F.col("a").alias("community")).agg(F.count("*").alias("n_edges"))
     degree = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    ranked = labels.join(degree, "id", "left").withColumn("k", F.row_number().over(W.partitionBy("community").orderBy(F.desc_nulls_last("degree"), "id")))
-    nodes = ranked.groupBy("community").agg(F.count("*").alias("n_nodes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= top, F.struct("k", "id")))), lambda x: x["id"].cast("string")), ",").alias("top"))
+    # the limit stands apart from the count, so that tasks pass on the first few of a community only
+    ranked = labels.join(degree, "id", "left").withColumn("k", F.row_number().over(W.partitionBy("community").orderBy(F.desc_nulls_last("degree"), "id"))).where(F.col("k") <= top)
+    first = ranked.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"].cast("string")), ",").alias("top"))
+    nodes = labels.groupBy("community").agg(F.count("*").alias("n_nodes")).join(first, "community")
     return nodes.join(inner, "community", "left").select("community", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "top")
 
 

@@ -62,12 +62,15 @@ def embed_dense(rows: DataFrame, text: str = "text", into: str = "vector", fn: C
     return rows.withColumn(into, run(text))
 
 
-def encode_sparse(rows: DataFrame, id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, mean: float | None = None) -> DataFrame:
-    """id, term, weight: each token's count saturated by length, as in BM25. `mean` is the mean length; by default that of these rows."""
+def encode_sparse(rows: DataFrame, id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, mean: float | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """id, term, weight: each token's count saturated by length, as in BM25. `mean` is the mean length; by default that of these rows. With `terms` (term) only postings of those: other tokens go before anything is shuffled."""
     own = rows.select(id, t.tokens(F.lower(F.col(text))).alias("t")).withColumn("n", F.size("t"))
     if mean is None:
-        mean = own.agg(F.avg("n")).first()[0] or 1.0
-    terms = own.select(id, "n", F.explode("t").alias("term")).groupBy(id, "n", "term").agg(F.count("*").alias("tf"))
+        mean = rows.agg(F.avg(t.count_tokens(F.col(text)))).first()[0] or 1.0
+    own = own.select(id, "n", F.explode("t").alias("term"))
+    if terms is not None:
+        own = own.join(small(terms.select("term").distinct(), 100 * QUERIES), "term", "left_semi")
+    terms = own.groupBy(id, "n", "term").agg(F.count("*").alias("tf"))
     return terms.select(id, "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(float(mean))))).alias("weight"))
 
 

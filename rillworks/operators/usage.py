@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cut import cut
+from .filters import prefix_filter
 from .quantiles import at_rank, bucket, exact_quantiles, ordered_buckets, same
+from .search import small
 
 # Limits in ms by stage; factors of the base price for writing and reading cached input.
 STAGE_LIMITS = {"retrieval": 800, "rerank": 500, "first_token": 2000}
@@ -16,7 +18,7 @@ CACHE_WRITE, CACHE_READ = 1.25, 0.1
 
 def token_cost(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """The rows (model, prompt_tokens, completion_tokens) with cost, by prices (model, p_in, p_out) per million; null for a model without a price."""
-    return rows.join(F.broadcast(prices), "model", "left").withColumn("cost", F.col("prompt_tokens") / 1e6 * F.col("p_in") + F.col("completion_tokens") / 1e6 * F.col("p_out")).drop("p_in", "p_out")
+    return rows.join(small(prices), "model", "left").withColumn("cost", F.col("prompt_tokens") / 1e6 * F.col("p_in") + F.col("completion_tokens") / 1e6 * F.col("p_out")).drop("p_in", "p_out")
 
 
 def cached_token_cost(plain: Column, written: Column, read: Column, output: Column, p_in: float, p_out: float) -> Column:
@@ -48,6 +50,17 @@ def trace_rollup(spans: DataFrame) -> DataFrame:
     return sums.join(deep, "trace_id", "left")
 
 
+def trace_report(spans: DataFrame, prices: DataFrame, scores: DataFrame) -> DataFrame:
+    """trace_rollup with n_generations, n_events, cost and scores: the cost of the trace's generations by prices (model, p_in, p_out), null if none has one; scores (trace_id, name, value) as a map of the mean of each name.
+
+    Spans have trace_id, span_id, parent_id, kind (span, generation, event), duration_ms, model, prompt_tokens and completion_tokens. Scores of traces without spans are left out.
+    """
+    spans = spans.withColumn("tokens", F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0)))
+    costs = token_cost(spans, prices).groupBy("trace_id").agg(F.sum(F.when(F.col("kind") == "generation", 1).otherwise(0)).alias("n_generations"), F.sum(F.when(F.col("kind") == "event", 1).otherwise(0)).alias("n_events"), F.sum(F.when(F.col("kind") == "generation", F.col("cost"))).alias("cost"))
+    means = scores.groupBy("trace_id", "name").agg(F.avg("value").alias("value")).groupBy("trace_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("scores"))
+    return trace_rollup(spans).join(costs, "trace_id").join(means, "trace_id", "left")
+
+
 def hard_failures(traces: DataFrame) -> DataFrame:
     return traces.where("feedback = 0 OR faithfulness < 0.7").select("trace_id").distinct()
 
@@ -97,6 +110,18 @@ def usage_stats(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.cube(*by).agg(F.count("*").alias("calls"), F.countDistinct("user_id").alias("users"), F.grouping_id().alias("level"))
 
 
+def usage_report(rows: DataFrame, groups: DataFrame, by: Sequence[str], start: str | None = None, end: str | None = None, bots: Sequence[str] = ()) -> DataFrame:
+    """usage_stats over calls (bot, ts, user_id) joined with the mapping of bots to courses and classes (bot, ...): from `start` on and before `end`, for bots that `bots` names, where a trailing * means any ending; none names all.
+
+    Filters reach the scan. A bot without a mapping has nulls for what the mapping says, which level tells from those that stand for all.
+    """
+    if start is not None:
+        rows = rows.where(F.col("ts") >= F.to_timestamp(F.lit(start)))
+    if end is not None:
+        rows = rows.where(F.col("ts") < F.to_timestamp(F.lit(end)))
+    return usage_stats(prefix_filter(rows, "bot", bots).join(small(groups), "bot", "left"), by)
+
+
 def status_mix(rows: DataFrame, by: str, status: str = "status") -> DataFrame:
     n = rows.groupBy(by, status).agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(by)), 6))
@@ -150,3 +175,15 @@ def collect_tool_outputs(rows: DataFrame, tag: str, role: str = "assistant", def
     """conv_id, outputs: messages of the role that carry the tag, in order, a blank line between; the default where there is none."""
     found = rows.where((F.col("role") == role) & F.contains("text", F.lit(tag))).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("outputs"))
     return rows.select("conv_id").distinct().join(found, "conv_id", "left").withColumn("outputs", F.coalesce("outputs", F.lit(default)))
+
+
+def research_result(rows: DataFrame, tag: str, role: str = "assistant", default: str = "none") -> DataFrame:
+    """conv_id, outputs, sources, agents: collect_tool_outputs with the sources (an array a message) and agents of all messages of the conversation, each once, in order of their first turn."""
+    first = lambda value: distinct_in_order(value, "conv_id", "turn", "v")
+    sources = first(rows.select("conv_id", "turn", F.explode("sources").alias("v")).where("v IS NOT NULL").groupBy("conv_id", "v").agg(F.min("turn").alias("turn")))
+    agents = first(rows.where("agent IS NOT NULL").groupBy("conv_id", F.col("agent").alias("v")).agg(F.min("turn").alias("turn")))
+    out = collect_tool_outputs(rows, tag, role, default)
+    none = F.array().cast("array<string>")
+    for name, x in (("sources", sources), ("agents", agents)):
+        out = out.join(x.withColumnRenamed("values", name), "conv_id", "left").withColumn(name, F.coalesce(name, none))
+    return out

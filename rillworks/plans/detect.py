@@ -157,6 +157,13 @@ def d20_mixup(spark: SparkSession, d: str) -> DataFrame:
     return c.mixup(rows, pairs).select("id", F.round(F.col("x")[0], 5).alias("x0"), F.round(F.col("x")[63], 5).alias("x63"), F.round(F.col("y")[0], 5).alias("y"))
 
 
+def d20_mixup_permuted(spark: SparkSession, d: str) -> DataFrame:
+    """At weights from Beta(1, 1), which SQL can say too."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.array(F.col("label").cast("double")).alias("y"))
+    out = c.mixup_permuted(rows, 1.0, 7)
+    return out.select("id", "other", F.round("weight", 6).alias("weight"), F.round(F.col("x")[0], 5).alias("x0"), F.round(F.col("y")[0], 5).alias("y"))
+
+
 def d21_channel_normalize(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", F.expr("transform(sequence(0, 11), i -> cast((o_orderkey * 31 + i * 17) % 256 as int))").alias("p"))
     out = rows.select("o_orderkey", c.channel_normalize(F.col("p")).alias("v"))
@@ -175,6 +182,12 @@ def d23_uneven_lighting(spark: SparkSession, d: str) -> DataFrame:
     return x.uneven_lighting(rows, 10, 10).select("image_id", F.round("spread", 5).alias("spread"), "uneven")
 
 
+def d23_uneven_equal_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of two by two pixels; the last two rows and columns belong to none."""
+    rows = table(spark, d, "orders").selectExpr(*_PIX.replace("//", "div").split(", "))
+    return x.uneven_lighting(rows, 10, 10, equal=True).select("image_id", F.round("spread", 5).alias("spread"), "uneven")
+
+
 def _contours(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").selectExpr("l_orderkey AS image_id", "l_quantity * l_linenumber * 4 AS area", "l_quantity * 2e0 * (l_linenumber - 1) AS perimeter")
 
@@ -240,7 +253,7 @@ def d33_centerness(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     d1_d2_pairwise_iou, d3_nms, d4_corners, d5_match, d6_pr_curve, d7_average_precision, d8_mean_ap, d8_mean_ap_by_size, d8_size_bands, d9_roc_auc, d9_roc_curve, d9_ks_gini, d10_pr_auc, d11_threshold_sweep, d12_cost, d13_best_threshold, d14_confusion, d15_report, d16_overfit_gap, d17_mean_loss, d18_pixel_iou, d19_split,
-    d20_mixup, d21_channel_normalize, d22_standardize, d23_uneven_lighting, d24_filter_defects, d25_circularity, d26_image_verdict, d27_anchor_kmeans, d28_label_counts, d29_defect_rate, d29_confidence_drift, d29_relabel_queue, d30_latency_budget, d31_misclassified, d32_decode_anchor, d33_centerness,
+    d20_mixup, d20_mixup_permuted, d21_channel_normalize, d22_standardize, d23_uneven_lighting, d23_uneven_equal_cells, d24_filter_defects, d25_circularity, d26_image_verdict, d27_anchor_kmeans, d28_label_counts, d29_defect_rate, d29_confidence_drift, d29_relabel_queue, d30_latency_budget, d31_misclassified, d32_decode_anchor, d33_centerness,
 )}
 
 _INTER = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
@@ -305,6 +318,9 @@ ORACLES = {
     "d20_mixup": "SELECT a.vec_id AS id, ROUND(0.6e0 * a.embedding[1]::DOUBLE + 0.4e0 * b.embedding[1]::DOUBLE, 5) AS x0, ROUND(0.6e0 * a.embedding[64]::DOUBLE + 0.4e0 * b.embedding[64]::DOUBLE, 5) AS x63, ROUND(0.6e0 * a.label + 0.4e0 * b.label, 5) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT COUNT(*) FROM embeddings)",
     "d21_channel_normalize": "SELECT o_orderkey, ROUND(((o_orderkey * 31 + 51) % 256 / 255e0 - 0.485e0) / 0.229e0, 6) AS r1, ROUND(((o_orderkey * 31 + 17) % 256 / 255e0 - 0.456e0) / 0.224e0, 6) AS g0, ROUND(((o_orderkey * 31 + 187) % 256 / 255e0 - 0.406e0) / 0.225e0, 6) AS b3 FROM orders",
     "d22_standardize": "SELECT c_custkey, ROUND((c_acctbal - (SELECT AVG(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer), 5) AS z FROM customer",
+    "d20_mixup_permuted": "WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY md5('7:first:' || vec_id)) AS a, row_number() OVER (ORDER BY md5('7:second:' || vec_id)) AS b, CAST('0x' || substr(md5('7:weight:' || vec_id), 1, 8) AS BIGINT) / 4294967296e0 AS w FROM embeddings), "
+    "p AS (SELECT o.vec_id AS id, q.vec_id AS other, o.w FROM o JOIN o q ON o.a = q.b) SELECT id, other, ROUND(w, 6) AS weight, ROUND(w * a.embedding[1]::DOUBLE + (1 - w) * b.embedding[1]::DOUBLE, 5) AS x0, ROUND(w * a.label + (1 - w) * b.label, 5) AS y FROM p JOIN embeddings a ON a.vec_id = id JOIN embeddings b ON b.vec_id = other",
+    "d23_uneven_equal_cells": f"WITH p AS (SELECT {_PIX} FROM orders), m AS (SELECT image_id, y // 2 AS cy, x // 2 AS cx, AVG(v) AS m FROM p WHERE y < 8 AND x < 8 GROUP BY 1, 2, 3) SELECT image_id, ROUND(stddev_pop(m), 5) AS spread, stddev_pop(m) > 8 AS uneven FROM m GROUP BY 1",
     "d23_uneven_lighting": f"WITH p AS (SELECT {_PIX} FROM orders), m AS (SELECT image_id, y * 4 // 10 AS cy, x * 4 // 10 AS cx, AVG(v) AS m FROM p GROUP BY 1, 2, 3) SELECT image_id, ROUND(stddev_pop(m), 5) AS spread, stddev_pop(m) > 8 AS uneven FROM m GROUP BY 1",
     "d24_filter_defects": "WITH c AS (SELECT l_quantity * l_linenumber * 4 AS area FROM lineitem) SELECT 'region' AS mode, COUNT(*) AS n, SUM(area) AS area FROM c WHERE area > 300 AND area < 800 UNION ALL SELECT 'edge', COUNT(*), SUM(area) FROM c WHERE area > 50",
     "d25_circularity": f"SELECT l_orderkey AS image_id, ROUND(SUM(CASE WHEN l_linenumber > 1 THEN 4 * {math.pi!r}::DOUBLE * (l_quantity * l_linenumber * 4) / pow(l_quantity * 2e0 * (l_linenumber - 1), 2) END), 5) AS c FROM lineitem GROUP BY 1",

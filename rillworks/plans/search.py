@@ -25,8 +25,8 @@ def _dense(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     return s.dense_topk(dense_queries(spark, d), points(spark, d), k)
 
 
-def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return s.encode_sparse(table(spark, d, "documents").select("doc_id", "text"))
+def _postings(spark: SparkSession, d: str, terms: DataFrame | None = None) -> DataFrame:
+    return s.encode_sparse(table(spark, d, "documents").select("doc_id", "text"), terms=terms)
 
 
 def _sparse_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,8 @@ def _sparse_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    return s.sparse_topk(_sparse_queries(spark, d), _postings(spark, d), k)
+    asked = _sparse_queries(spark, d)
+    return s.sparse_topk(asked, _postings(spark, d, asked), k)
 
 
 def q1_dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +53,7 @@ def q3_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 def q4_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     allowed = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
-    return s.hybrid_search(dense_queries(spark, d), points(spark, d), _sparse_queries(spark, d), _postings(spark, d), 10, allowed).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return s.hybrid_search(dense_queries(spark, d), points(spark, d), (asked := _sparse_queries(spark, d)), _postings(spark, d, asked), 10, allowed).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +72,7 @@ def q6_dedupe_parent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q7_search_and_rerank(spark: SparkSession, d: str) -> DataFrame:
-    hits = s.hybrid_search(dense_queries(spark, d), points(spark, d), _sparse_queries(spark, d), _postings(spark, d), 20, table(spark, d, "documents").select("doc_id"))
+    hits = s.hybrid_search(dense_queries(spark, d), points(spark, d), (asked := _sparse_queries(spark, d)), _postings(spark, d, asked), 20, table(spark, d, "documents").select("doc_id"))
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     full = hits.drop("score", "rank").join(queries, "query_id").join(table(spark, d, "documents").select("doc_id", F.col("text").alias("child_text"), F.col("source").alias("parent_text")), "doc_id")
     return s.rerank(full, 4, 0.1, parent="parent_text").select("query_id", "doc_id", "score", "rank")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import chunk as k
+from ..operators.summarize import reduce_text
 from .finance import table
 
 _TOK = r"regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
@@ -94,6 +95,12 @@ def k14_semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     return k.semantic_chunks(_similar(spark, d), "grp", "no", "text", 0.0)
 
 
+def k14_capped_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' sentences with a break before every seventh, in chunks of 60 tokens at most that lap by 10."""
+    rows = docs(spark, d).select("doc_id", F.posexplode(t.split_sentences(F.col("text"))).alias("no", "sentence")).withColumn("similarity", F.expr("CASE WHEN no % 7 = 0 THEN 0e0 ELSE 1e0 END"))
+    return k.semantic_chunks(rows, "doc_id", "no", "sentence", 0.75, 60, 10).select("doc_id", "chunk_no", "n_sentences", F.md5("chunk").alias("chunk"))
+
+
 def k15_sweep_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return k.sweep_thresholds(_similar(spark, d), "grp", "no", "text", [-0.1, -0.05, 0.0, 0.05, 0.1])
 
@@ -182,6 +189,21 @@ def p6_validate_rows(spark: SparkSession, d: str) -> DataFrame:
     return good.select("doc_id", F.lit("").alias("broken")).unionByName(bad.select("doc_id", F.array_join("broken", "|").alias("broken")))
 
 
+def p6_typed_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Events' properties as typed rows; some are cut off, some lack the field."""
+    from ..operators.filters import parse_rows
+
+    rows = table(spark, d, "events").selectExpr("event_id", "CASE WHEN event_id % 9 = 0 THEN substring(props, 1, 5) WHEN event_id % 11 = 0 THEN '{}' ELSE props END AS props")
+    good, bad = parse_rows(rows, "props", "k int", ["k"], {"range": "k < 60"})
+    return good.select("event_id", "k", F.lit("").alias("broken")).unionByName(bad.select("event_id", F.lit(None).cast("int").alias("k"), F.array_join("broken", "|").alias("broken")))
+
+
+def h1_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces of 150 tokens, reduced in rounds to one text."""
+    pieces = docs(spark, d).select("doc_id", F.posexplode(t.split_by_tokens(F.col("text"), 150)).alias("chunk_no", "chunk"))
+    return reduce_text(pieces, "doc_id", "chunk_no", "chunk", budget=600).select("doc_id", "rounds", F.md5("chunk").alias("digest"))
+
+
 def p7_extract_json(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", F.concat(F.lit("Here: {\"score\": "), F.col("value").cast("int").cast("string"), F.when(F.col("event_id") % 4 == 0, F.lit(" oops")).otherwise(F.lit(", \"flag\": \"x\"}")), F.lit(" done")).alias("text"))
     return rows.select("event_id", t.extract_json_block(F.col("text"), "score double, flag string", {"score": "0e0", "flag": "'none'"}, {"score": 20.0}).alias("j")).select("event_id", "j.score", "j.flag")
@@ -257,9 +279,9 @@ def s10_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    k1_count_tokens, k2_split_by_tokens, k3_recursive_split, k8_table_blocks, k9_add_overlap, k10_parent_child, k11_chunk_id, k12_split_sentences, k13_adjacent_similarity, k14_semantic_chunks, k15_sweep_thresholds,
-    k16_sentence_window, k17_context_prefix, k18_heading_sections, k19_faq_chunks, k20_record_chunks, k21_step_chunks, k22_dedupe_faq, k23_flag_truncated, k24_chunk_strategy, h1_map_reduce, p1_p2_match_and_range, p3_prefix_filter,
-    p4_score_threshold, p5_approved_only, p6_validate_rows, p7_extract_json, p8_parse_decision, p9_mask_accounts, p10_flag_untrusted, p11_keyword_scan, p12_optional_filters, s1_read_pages, s7_upsert, s8_delete, s9_list_documents, s10_points, s12_json_to_markdown, s13_table_to_markdown,
+    k1_count_tokens, k2_split_by_tokens, k3_recursive_split, k8_table_blocks, k9_add_overlap, k10_parent_child, k11_chunk_id, k12_split_sentences, k13_adjacent_similarity, k14_semantic_chunks, k14_capped_chunks, k15_sweep_thresholds,
+    k16_sentence_window, k17_context_prefix, k18_heading_sections, k19_faq_chunks, k20_record_chunks, k21_step_chunks, k22_dedupe_faq, k23_flag_truncated, k24_chunk_strategy, h1_map_reduce, h1_reduce, p1_p2_match_and_range, p3_prefix_filter,
+    p4_score_threshold, p5_approved_only, p6_validate_rows, p6_typed_parse, p7_extract_json, p8_parse_decision, p9_mask_accounts, p10_flag_untrusted, p11_keyword_scan, p12_optional_filters, s1_read_pages, s7_upsert, s8_delete, s9_list_documents, s10_points, s12_json_to_markdown, s13_table_to_markdown,
 )} | {
     "k4_piece_split": _splitter(k.piece_splitter, most=150, overlap=30), "k5_paragraph_split": _splitter(k.paragraph_splitter, most=200), "k6_char_split": _splitter(k.char_splitter), "k6_token_split": _splitter(k.char_splitter, most=150, overlap=30, tokens=True), "k7_fixed_split": _splitter(k.fixed_splitter, separator="\n", most=500),
 }
@@ -289,6 +311,12 @@ ORACLES = {
     "k12_split_sentences": f"WITH {_SENT} SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_no, md5(s[i]) AS sentence FROM sents, UNNEST(range(1, len(s) + 1)) u(i)",
     "k13_adjacent_similarity": f"WITH {_SIM} SELECT grp, COUNT(*) AS n, ROUND(quantile_cont(similarity, 0.25), 8) AS p25, ROUND(quantile_cont(similarity, 0.5), 8) AS p50, ROUND(quantile_cont(similarity, 0.75), 8) AS p75, ROUND(MIN(similarity), 8) AS low, ROUND(MAX(similarity), 8) AS high FROM sim GROUP BY 1 HAVING COUNT(*) >= 3",
     "k14_semantic_chunks": f"WITH {_SIM}, c AS (SELECT *, SUM(CASE WHEN similarity < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY grp ORDER BY no) AS chunk_no FROM sim) SELECT grp, CAST(chunk_no AS BIGINT) AS chunk_no, COUNT(*) AS n_sentences, string_agg(text, ' ' ORDER BY no) AS chunk FROM c GROUP BY 1, 2",
+    "k14_capped_chunks": f"WITH RECURSIVE {_SENT}, u AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS no, (i - 1) // 7 AS st, s[i] AS x, {_TOK.replace('text', 's[i]')} AS w FROM sents, UNNEST(range(1, len(s) + 1)) v(i)), "
+    "e AS (SELECT doc_id, st, no, j AS piece, CASE WHEN len(w) > 60 THEN array_to_string(w[j * 60 + 1:j * 60 + 60], ' ') ELSE x END AS x, CASE WHEN len(w) > 60 THEN len(w[j * 60 + 1:j * 60 + 60]) ELSE len(w) END AS n FROM u, UNNEST(range(0, CASE WHEN len(w) > 60 THEN (len(w) + 59) // 60 ELSE 1 END)) v(j)), "
+    "r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, st ORDER BY no, piece) AS i FROM e), p AS (SELECT doc_id, st, i, 1 AS c, n AS held FROM r WHERE i = 1 UNION ALL SELECT r.doc_id, r.st, r.i, CASE WHEN held + n > 60 THEN c + 1 ELSE c END, CASE WHEN held + n > 60 THEN n ELSE held + n END FROM p JOIN r ON r.doc_id = p.doc_id AND r.st = p.st AND r.i = p.i + 1), "
+    "g AS (SELECT doc_id, st, c, COUNT(*) AS n_sentences, string_agg(x, ' ' ORDER BY r.i) AS x FROM p JOIN r USING (doc_id, st, i) GROUP BY 1, 2, 3), l AS (SELECT *, lag(x) OVER (PARTITION BY doc_id, st ORDER BY c) AS q FROM g), "
+    f"z AS (SELECT *, {_TOK.replace('text', 'q')} AS qw FROM l) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY st, c) - 1 AS chunk_no, n_sentences, md5(CASE WHEN q IS NULL THEN x ELSE array_to_string(qw[greatest(1, len(qw) - 9):], ' ') || ' ' || x END) AS chunk FROM z",
+    "p6_typed_parse": "WITH r AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '{}' ELSE props END AS p FROM events), k AS (SELECT event_id, p, CAST(json_extract(p, '$.k') AS INT) AS k FROM r) SELECT event_id, CASE WHEN k < 60 THEN k END AS k, CASE WHEN p IS NULL THEN 'json' WHEN k IS NULL THEN 'k|range' WHEN k >= 60 THEN 'range' ELSE '' END AS broken FROM k",
     "k15_sweep_thresholds": f"WITH {_SIM}, th AS (SELECT CAST(x AS DOUBLE) AS threshold FROM (VALUES (-0.1), (-0.05), (0.0), (0.05), (0.1)) v(x)), c AS (SELECT threshold, grp, length(text) AS size, SUM(CASE WHEN similarity < threshold THEN 1 ELSE 0 END) OVER (PARTITION BY threshold, grp ORDER BY no) AS k FROM sim, th), s AS (SELECT threshold, grp, k, SUM(size) AS size FROM c GROUP BY 1, 2, 3), o AS (SELECT threshold, grp, COUNT(*) AS n_chunks, ROUND(AVG(size), 4) AS mean_chars, CAST(MIN(size) AS BIGINT) AS min_chars, CAST(MAX(size) AS BIGINT) AS max_chars FROM s GROUP BY 1, 2) SELECT *, CASE WHEN n_chunks < 4 THEN 'few' WHEN n_chunks > 15 THEN 'many' ELSE 'ok' END AS verdict FROM o",
     "k16_sentence_window": "SELECT vec_id // 20 AS grp, vec_id AS no, string_agg('sentence ' || vec_id || '.', ' ') OVER (PARTITION BY vec_id // 20 ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS \"window\" FROM embeddings",
     "k17_context_prefix": "SELECT doc_id, md5(source || ' > ' || lang || chr(10) || text) AS retrieval_text FROM documents",

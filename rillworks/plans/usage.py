@@ -53,6 +53,13 @@ def e9_field_scores(spark: SparkSession, d: str) -> DataFrame:
     return e.field_scores(gold.where("p_partkey % 7 <> 0").withColumn("value", F.expr("value * (1 + (p_partkey % 4) * 0.005e0)")), gold.where("p_partkey % 11 <> 0"), ["p_partkey"])
 
 
+def e9_citation_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Events as claims, six to an answer; each cites none, one or two sources; some claims have no evidence."""
+    rows = table(spark, d, "events").selectExpr("event_id div 6 % 3 AS config", "event_id div 6 AS answer_id", "event_id % 6 AS claim_no", "event_id", "user_id")
+    cited = rows.selectExpr("answer_id", "claim_no", "explode(CASE WHEN event_id % 7 = 0 THEN array() WHEN event_id % 3 = 0 THEN array(user_id % 5, event_id % 5) ELSE array(user_id % 5) END) AS source_id")
+    return e.citation_scores(rows, cited, rows.where("user_id % 9 > 0").selectExpr("answer_id", "claim_no", "event_id % 5 AS source_id"), ["config"])
+
+
 def e10_compare_configs(spark: SparkSession, d: str) -> DataFrame:
     hits, judged = _judged(spark, d)
     configs = spark.createDataFrame([("three", 3), ("ten", 10)], "config string, k int")
@@ -83,6 +90,14 @@ def t4_trace_rollup(spark: SparkSession, d: str) -> DataFrame:
     return u.trace_rollup(_spans(spark, d))
 
 
+def t4_trace_report(spark: SparkSession, d: str) -> DataFrame:
+    """Two spans of three are generations, by one of three models, of which one has no price; two scores a trace and more."""
+    spans = _spans(spark, d).selectExpr("trace_id", "span_id", "parent_id", "duration_ms", "CASE span_id % 3 WHEN 0 THEN 'event' ELSE 'generation' END AS kind", "CASE span_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS model", "tokens * 10 AS prompt_tokens", "CASE WHEN span_id % 5 > 0 THEN tokens END AS completion_tokens")
+    scores = table(spark, d, "events").selectExpr("event_id div 8 AS trace_id", "CASE WHEN event_id % 2 = 0 THEN 'faithfulness' ELSE 'feedback' END AS name", "(event_id % 7) / 7e0 AS value").where("trace_id % 6 > 0")
+    out = u.trace_report(spans, spark.createDataFrame([("a", 0.59, 0.79), ("b", 3.0, 15.0)], "model string, p_in double, p_out double"), scores)
+    return out.select("trace_id", "n_spans", "tokens", "depth", "n_generations", "n_events", F.round("cost", 8).alias("cost"), *(F.round(F.try_element_at("scores", F.lit(k)), 6).alias(k) for k in ("faithfulness", "feedback")))
+
+
 def t5_hard_failures(spark: SparkSession, d: str) -> DataFrame:
     return u.hard_failures(_spans(spark, d).selectExpr("trace_id", "tokens % 13 AS feedback", "CASE WHEN tokens % 5 = 0 THEN NULL ELSE (tokens % 50) / 20e0 END AS faithfulness"))
 
@@ -116,6 +131,16 @@ def t10_usage_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.coalesce("event_type", F.lit("all")).alias("event_type"), F.coalesce("day", F.lit("all")).alias("day"), "calls", "users", F.col("level").cast("long").alias("level"))
 
 
+def t10_usage_report(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of bots 1 to 19 whose names begin with 1, or are 7, in the middle of the time, by course and bot; some bots have no course."""
+    rows = table(spark, d, "events").select((F.col("user_id") % 20).cast("string").alias("bot"), "ts", "user_id")
+    groups = rows.select("bot").distinct().where("bot % 3 > 0").withColumn("course", F.concat(F.lit("course "), F.expr("cast(bot % 4 as string)")))
+    return u.usage_report(rows, groups, ["course", "bot"], *_SPAN, ["1*", "7"]).select("course", "bot", "calls", "users", F.col("level").cast("long").alias("level"))
+
+
+_SPAN = ("2024-01-05 00:00:00", "2024-01-20 12:00:00")
+
+
 def t11_status_mix(spark: SparkSession, d: str) -> DataFrame:
     return u.status_mix(table(spark, d, "events").select((F.col("user_id") % 20).alias("bot"), F.col("event_type").alias("status")), "bot")
 
@@ -163,6 +188,11 @@ def t20_collect_tool_outputs(spark: SparkSession, d: str) -> DataFrame:
     return u.collect_tool_outputs(table(spark, d, "conversations"), "th").select("conv_id", F.md5("outputs").alias("outputs"))
 
 
+def t20_research_result(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").withColumn("agent", F.expr("CASE WHEN turn % 4 > 0 THEN concat('agent', cast(turn % 3 as string)) END")).withColumn("sources", F.expr("CASE WHEN turn % 3 = 0 THEN NULL ELSE array(concat('s', cast((turn * 7 + conv_id) % 5 as string)), concat('s', cast(turn % 2 as string))) END"))
+    return u.research_result(rows, "th").select("conv_id", F.md5("outputs").alias("outputs"), F.array_join(F.array_sort("sources"), ",").alias("sources"), F.array_join("agents", ",").alias("agents"))
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Customers to nations to regions, suppliers to nations."""
     a = table(spark, d, "customer").selectExpr("concat('c', c_custkey) AS src", "'lives_in' AS rel", "concat('n', c_nationkey) AS dst", "1 AS weight")
@@ -216,8 +246,8 @@ def g8_fact_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    e1_e3_e4_retrieval, e2_answer_recall, e5_supported_share, e6_answer_relevancy, e7_expected_score, e8_diagnose, e9_field_scores, e10_compare_configs, t1_token_cost, t2_cached_cost, t3_stage_latency, t4_trace_rollup, t5_hard_failures, t6_ab_report, t7_sample_traces, t8_loop_tokens, t9_api_metrics, t9_sketched_metrics, t10_usage_stats,
-    t11_status_mix, t12_rate_violations, t13_escalation_context, t14_conversation_window, t15_last_human_message, t16_merge_messages, t17_save_memory, t18_retrieve_memory, t19_distinct_in_order, t20_collect_tool_outputs, g1_build_graph, g2_check_schema, g3_k_hop, g4_match_count, g5_communities, g6_community_report, g7_global_answer, g8_fact_check,
+    e1_e3_e4_retrieval, e2_answer_recall, e5_supported_share, e6_answer_relevancy, e7_expected_score, e8_diagnose, e9_field_scores, e9_citation_scores, e10_compare_configs, t1_token_cost, t2_cached_cost, t3_stage_latency, t4_trace_rollup, t4_trace_report, t5_hard_failures, t6_ab_report, t7_sample_traces, t8_loop_tokens, t9_api_metrics, t9_sketched_metrics, t10_usage_stats, t10_usage_report,
+    t11_status_mix, t12_rate_violations, t13_escalation_context, t14_conversation_window, t15_last_human_message, t16_merge_messages, t17_save_memory, t18_retrieve_memory, t19_distinct_in_order, t20_collect_tool_outputs, t20_research_result, g1_build_graph, g2_check_schema, g3_k_hop, g4_match_count, g5_communities, g6_community_report, g7_global_answer, g8_fact_check,
 )}
 
 _HITS = f"{_dense_sql(10, 'p.vec_id % 100 <> 0')}, j AS (SELECT query_id, a.label = b.label AS v, rank FROM dense JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id), n AS (SELECT a.vec_id AS query_id, COUNT(*) AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0 GROUP BY 1)"
@@ -277,6 +307,16 @@ ORACLES = {
     "b AS (SELECT *, CASE WHEN ms IS NULL THEN NULL WHEN ms = 0 THEN 0 ELSE sign(ms) * (1048576 + ceil(ln(abs(ms)) / ln(1.01e0 / 0.99e0))) END AS bucket FROM v), g AS (SELECT route, key, start, COUNT(*) AS calls, COUNT(*) FILTER (error) AS errors, ROUND(SUM(cost), 2) AS cost, COUNT(ms) AS known FROM b GROUP BY 1, 2, 3), "
     "o AS (SELECT *, row_number() OVER (PARTITION BY route, key, start ORDER BY bucket) AS r FROM b WHERE bucket IS NOT NULL), x AS (SELECT *, CASE WHEN bucket = 0 THEN 0 ELSE sign(bucket) * 2 / (1.01e0 / 0.99e0 + 1) * pow(1.01e0 / 0.99e0, abs(bucket) - 1048576) END AS v FROM o) "
     "SELECT route, key, start, calls, errors, g.cost, ROUND(MAX(v) FILTER (r = 1), 4) AS least, ROUND(MAX(v) FILTER (r = greatest(1, ceil(0.5e0 * known))), 4) AS p50, ROUND(MAX(v) FILTER (r = greatest(1, ceil(0.95e0 * known))), 4) AS p95 FROM g LEFT JOIN x USING (route, key, start) GROUP BY 1, 2, 3, 4, 5, 6",
+    "t4_trace_report": "WITH s AS (SELECT event_id // 8 AS trace_id, event_id, event_id % 100 AS t, event_id % 3 > 0 AS gen, event_id % 100 * 10 AS pin, CASE WHEN event_id % 5 > 0 THEN event_id % 100 END AS pout FROM events), "
+    "a AS (SELECT trace_id, COUNT(*) AS n_spans, CAST(SUM(pin + COALESCE(pout, 0)) AS BIGINT) AS tokens, CASE WHEN COUNT(*) >= 4 THEN 4 ELSE COUNT(*) END AS depth, COUNT(*) FILTER (gen) AS n_generations, COUNT(*) FILTER (NOT gen) AS n_events, SUM(CASE WHEN gen AND event_id % 4 = 0 THEN pin / 1e6 * 0.59e0 + pout / 1e6 * 0.79e0 WHEN gen AND event_id % 4 = 1 THEN pin / 1e6 * 3e0 + pout / 1e6 * 15e0 END) AS cost FROM s GROUP BY 1), "
+    "c AS (SELECT event_id // 8 AS trace_id, AVG((event_id % 7) / 7e0) FILTER (event_id % 2 = 0) AS faithfulness, AVG((event_id % 7) / 7e0) FILTER (event_id % 2 = 1) AS feedback FROM events WHERE event_id // 8 % 6 > 0 GROUP BY 1) "
+    "SELECT trace_id, n_spans, tokens, depth, n_generations, n_events, ROUND(cost, 8) AS cost, ROUND(faithfulness, 6) AS faithfulness, ROUND(feedback, 6) AS feedback FROM a LEFT JOIN c USING (trace_id)",
+    "t10_usage_report": f"WITH x AS (SELECT CAST(user_id % 20 AS VARCHAR) AS bot, CASE WHEN user_id % 20 % 3 > 0 THEN 'course ' || user_id % 20 % 4 END AS course, user_id FROM events WHERE ts >= TIMESTAMP '{_SPAN[0]}' AND ts < TIMESTAMP '{_SPAN[1]}') SELECT course, bot, COUNT(*) AS calls, COUNT(DISTINCT user_id) AS users, CAST(GROUPING(course, bot) AS BIGINT) AS level FROM x WHERE bot = '7' OR starts_with(bot, '1') GROUP BY CUBE (course, bot)",
+    "t20_research_result": "WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 4 > 0 THEN 'agent' || turn % 3 END AS agent, CASE WHEN turn % 3 = 0 THEN [] ELSE ['s' || (turn * 7 + conv_id) % 5, 's' || turn % 2] END AS sources, role, text FROM conversations), o AS (SELECT conv_id, md5(COALESCE(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (role = 'assistant' AND contains(text, 'th')), 'none')) AS outputs FROM r GROUP BY 1), "
+    "s AS (SELECT conv_id, string_agg(DISTINCT x, ',' ORDER BY x) AS sources FROM r, UNNEST(sources) v(x) GROUP BY 1), f AS (SELECT conv_id, agent, MIN(turn) AS t FROM r WHERE agent IS NOT NULL GROUP BY 1, 2), a AS (SELECT conv_id, string_agg(agent, ',' ORDER BY t) AS agents FROM f GROUP BY 1) SELECT o.conv_id, outputs, COALESCE(sources, '') AS sources, COALESCE(agents, '') AS agents FROM o LEFT JOIN s USING (conv_id) LEFT JOIN a USING (conv_id)",
+    "e9_citation_scores": "WITH r AS (SELECT event_id // 6 % 3 AS config, event_id // 6 AS a, event_id % 5 AS e, user_id % 9 > 0 AS known, list_distinct(CASE WHEN event_id % 7 = 0 THEN [] WHEN event_id % 3 = 0 THEN [user_id % 5, event_id % 5] ELSE [user_id % 5] END) AS cited FROM events), x AS (SELECT *, len(cited) AS n, known AND list_contains(cited, e) AS hit FROM r), "
+    "b AS (SELECT config, a, bool_or(NOT known) AS bare FROM x GROUP BY 1, 2), h AS (SELECT config, ROUND(COUNT(*) FILTER (bare) / COUNT(*), 6) AS hallucination_rate FROM b GROUP BY 1) "
+    "SELECT config, COUNT(*) AS claims, CAST(SUM(n) AS BIGINT) AS citations, ROUND(COUNT(*) FILTER (hit) / SUM(n), 6) AS citation_accuracy, ROUND(COUNT(*) FILTER (hit) / COUNT(*), 6) AS citation_completeness, ROUND(COUNT(*) FILTER (NOT known) / COUNT(*), 6) AS unsupported_rate, hallucination_rate FROM x JOIN h USING (config) GROUP BY 1, hallucination_rate",
     "t10_usage_stats": "WITH x AS (SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id FROM events) SELECT COALESCE(event_type, 'all') AS event_type, COALESCE(day, 'all') AS day, COUNT(*) AS calls, COUNT(DISTINCT user_id) AS users, CAST(GROUPING(event_type, day) AS BIGINT) AS level FROM x GROUP BY CUBE (event_type, day)",
     "t11_status_mix": "WITH n AS (SELECT user_id % 20 AS bot, event_type AS status, COUNT(*) AS n FROM events GROUP BY 1, 2) SELECT bot, status, n, ROUND(n / SUM(n) OVER (PARTITION BY bot), 6) AS share FROM n",
     "t12_rate_violations": "SELECT event_type, date_trunc('hour', ts) AS start, COUNT(*) AS n FROM events GROUP BY 1, 2 HAVING COUNT(*) > 3",

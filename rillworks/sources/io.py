@@ -1,9 +1,10 @@
 """Readers and writers."""
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,6 +23,48 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("page", F.col("page") + 1).where(F.length(F.regexp_replace("text", r"\s+", "")) > 0)
 
 
+def parse_pages(files: DataFrame, page_parser: Callable[[bytes], list[tuple[int, str]]], most: int = 4 << 20) -> DataFrame:
+    """filename, page, text, error of files (path, content), such as `binaryFile` gives, by a user's parser of bytes to (page, text).
+
+    Blank pages go. A file that the parser fails on has one row with its error and no page, and the others go on; null content is such a file.
+    Files come to the parser one by one, and rows leave in batches of about `most` bytes; how many bytes of files an Arrow batch brings is bounded by
+    spark.sql.execution.arrow.maxBytesPerBatch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for b in batches:
+            for path, content in zip(b.column("path"), b.column("content")):
+                name = (path.as_py() or "").rsplit("/", 1)[-1]
+                try:
+                    if not content.is_valid:
+                        raise ValueError("no content")
+                    rows = [(name, int(page), str(text), None) for page, text in page_parser(content.as_py()) if text and text.strip()]
+                except Exception as e:  # noqa: BLE001  the user's parser may raise anything
+                    rows = [(name, None, None, f"{type(e).__name__}: {e}"[:500])]
+                for r in rows:
+                    held.append(r)
+                    size += len(r[2] or r[3])
+                    if size >= most:
+                        yield _pages(held)
+                        held, size = [], 0
+        if held:
+            yield _pages(held)
+
+    return files.select("path", "content").mapInArrow(run, "filename string, page int, text string, error string")
+
+
+def _pages(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["filename", "page", "text", "error"])
+
+
+def read_documents(spark: SparkSession, path: str, page_parser: Callable[[bytes], list[tuple[int, str]]], pattern: str = "*") -> DataFrame:
+    """parse_pages over all files below a path whose names fit the pattern."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return parse_pages(files, page_parser)
+
+
 def read_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
     """image_id, split, class_id, xc, yc, w, h from text files of normalised boxes; blank lines go. Their folder's name, or its parent's if it is `labels`, is the split."""
     line = F.split(F.trim("value"), r"\s+")
