@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as e
 from ..operators import graph as g
+from ..operators import leiden as lm
 from ..operators import usage as u
 from .finance import table
 from .search import _dense_sql, dense_queries, points
@@ -232,6 +233,16 @@ def g5_communities(spark: SparkSession, d: str) -> DataFrame:
     return g.community_levels(_edges(spark, d))
 
 
+def g5_leiden(spark: SparkSession, d: str) -> DataFrame:
+    return lm.leiden(_edges(spark, d), passes=2, rounds=6)
+
+
+def g5_modularity(spark: SparkSession, d: str) -> DataFrame:
+    """Of the communities by label propagation."""
+    edges = _edges(spark, d)
+    return lm.modularity(edges, g.communities(edges)).select(F.round("modularity", 8).alias("modularity"))
+
+
 def g6_community_report(spark: SparkSession, d: str) -> DataFrame:
     return g.community_report(g.communities(_edges(spark, d)), _edges(spark, d))
 
@@ -247,7 +258,7 @@ def g8_fact_check(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     e1_e3_e4_retrieval, e2_answer_recall, e5_supported_share, e6_answer_relevancy, e7_expected_score, e8_diagnose, e9_field_scores, e9_citation_scores, e10_compare_configs, t1_token_cost, t2_cached_cost, t3_stage_latency, t4_trace_rollup, t4_trace_report, t5_hard_failures, t6_ab_report, t7_sample_traces, t8_loop_tokens, t9_api_metrics, t9_sketched_metrics, t10_usage_stats, t10_usage_report,
-    t11_status_mix, t12_rate_violations, t13_escalation_context, t14_conversation_window, t15_last_human_message, t16_merge_messages, t17_save_memory, t18_retrieve_memory, t19_distinct_in_order, t20_collect_tool_outputs, t20_research_result, g1_build_graph, g2_check_schema, g3_k_hop, g4_match_count, g5_communities, g6_community_report, g7_global_answer, g8_fact_check,
+    t11_status_mix, t12_rate_violations, t13_escalation_context, t14_conversation_window, t15_last_human_message, t16_merge_messages, t17_save_memory, t18_retrieve_memory, t19_distinct_in_order, t20_collect_tool_outputs, t20_research_result, g1_build_graph, g2_check_schema, g3_k_hop, g4_match_count, g5_communities, g5_leiden, g5_modularity, g6_community_report, g7_global_answer, g8_fact_check,
 )}
 
 _HITS = f"{_dense_sql(10, 'p.vec_id % 100 <> 0')}, j AS (SELECT query_id, a.label = b.label AS v, rank FROM dense JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id), n AS (SELECT a.vec_id AS query_id, COUNT(*) AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0 GROUP BY 1)"
@@ -333,6 +344,8 @@ ORACLES = {
     "g3_k_hop": f"WITH RECURSIVE {_EDGES}, nb AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), h AS (SELECT 'c1' AS id, 0 AS hop UNION SELECT 'r2', 0 UNION SELECT dst, hop + 1 FROM h JOIN nb ON src = id WHERE hop < 2) SELECT id, MIN(hop) AS hop FROM h GROUP BY 1",
     "g4_match_count": f"WITH {_EDGES} SELECT dst, COUNT(*) AS n FROM edges WHERE rel = 'lives_in' AND dst <> 'n3' GROUP BY 1",
     "g5_communities": f"WITH {_LABELS}, {_merged(1)}, {_merged(2)}, levels AS (SELECT id, 0 AS level, community FROM l0 UNION ALL SELECT id, 1, community FROM l1 WHERE EXISTS (FROM between1) UNION ALL SELECT id, 2, community FROM l2 WHERE EXISTS (FROM between2)) SELECT a.id, a.level, a.community, b.community AS parent FROM levels a LEFT JOIN levels b ON b.id = a.id AND b.level = a.level + 1",
+    "g5_modularity": f"WITH {_LABELS}, k AS (SELECT id, COUNT(*) AS k FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1), t AS (SELECT community, SUM(k) AS k FROM k JOIN l0 USING (id) GROUP BY 1), i AS (SELECT COUNT(*) AS n FROM edges e JOIN l0 a ON a.id = e.src JOIN l0 b ON b.id = e.dst WHERE a.community = b.community) "
+    "SELECT ROUND(2 * (SELECT n FROM i) / SUM(k) - SUM(k * k) / (SUM(k) * SUM(k)), 8) AS modularity FROM t",
     "g6_community_report": f"WITH {_LABELS}, degrees AS (SELECT id, COUNT(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1), ranked AS (SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY degree DESC NULLS LAST, id) AS k FROM l0 LEFT JOIN degrees USING (id)), nodes AS (SELECT community, COUNT(*) AS n_nodes, string_agg(id, ',' ORDER BY k) FILTER (k <= 3) AS top FROM ranked GROUP BY 1), inner_edges AS (SELECT a.community, COUNT(*) AS n FROM edges e JOIN l0 a ON a.id = e.src JOIN l0 b ON b.id = e.dst WHERE a.community = b.community GROUP BY 1) SELECT community, n_nodes, COALESCE(n, 0) AS n_edges, top FROM nodes LEFT JOIN inner_edges USING (community)",
     "g7_global_answer": "SELECT user_id AS question_id, event_id AS part_id, CAST(trunc(value) AS INT) % 100 AS rating, row_number() OVER (PARTITION BY user_id ORDER BY CAST(trunc(value) AS INT) % 100 DESC, event_id) AS rank FROM events WHERE CAST(trunc(value) AS INT) % 100 >= 10 QUALIFY rank <= 3",
     "g8_fact_check": f"WITH {_EDGES}, c AS (SELECT 'c' || c_custkey AS src, 'lives_in' AS rel, 'n' || CASE WHEN c_custkey % 9 = 0 THEN 99 ELSE c_nationkey END AS dst FROM customer) SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = c.src AND e.rel = c.rel AND e.dst = c.dst)",
