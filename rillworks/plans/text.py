@@ -260,6 +260,18 @@ def s7_upsert(spark: SparkSession, d: str) -> DataFrame:
     return upserted(old, new.unionByName(new.withColumn("version", F.lit(3))), "doc_id", "version")
 
 
+def s7_bucket_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in buckets, then every fifth once more with another text, and every seventh deleted."""
+    from ..operators.cut import scratch
+    from ..sources import buckets
+
+    path, rows = scratch(spark, "buckets"), docs(spark, d).selectExpr("doc_id", "md5(text) AS text")
+    buckets.upsert_buckets(rows, path, "doc_id", n_buckets=32)
+    buckets.upsert_buckets(rows.where("doc_id % 5 = 0").selectExpr("doc_id", "concat('new ', text) AS text"), path, "doc_id")
+    buckets.delete_keys(rows.where("doc_id % 7 = 0"), path, "doc_id")
+    return buckets.read_buckets(spark, path).select("doc_id", "text")
+
+
 def s8_delete(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.io import without
 
@@ -281,7 +293,7 @@ def s10_points(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (
     k1_count_tokens, k2_split_by_tokens, k3_recursive_split, k8_table_blocks, k9_add_overlap, k10_parent_child, k11_chunk_id, k12_split_sentences, k13_adjacent_similarity, k14_semantic_chunks, k14_capped_chunks, k15_sweep_thresholds,
     k16_sentence_window, k17_context_prefix, k18_heading_sections, k19_faq_chunks, k20_record_chunks, k21_step_chunks, k22_dedupe_faq, k23_flag_truncated, k24_chunk_strategy, h1_map_reduce, h1_reduce, p1_p2_match_and_range, p3_prefix_filter,
-    p4_score_threshold, p5_approved_only, p6_validate_rows, p6_typed_parse, p7_extract_json, p8_parse_decision, p9_mask_accounts, p10_flag_untrusted, p11_keyword_scan, p12_optional_filters, s1_read_pages, s7_upsert, s8_delete, s9_list_documents, s10_points, s12_json_to_markdown, s13_table_to_markdown,
+    p4_score_threshold, p5_approved_only, p6_validate_rows, p6_typed_parse, p7_extract_json, p8_parse_decision, p9_mask_accounts, p10_flag_untrusted, p11_keyword_scan, p12_optional_filters, s1_read_pages, s7_upsert, s7_bucket_upsert, s8_delete, s9_list_documents, s10_points, s12_json_to_markdown, s13_table_to_markdown,
 )} | {
     "k4_piece_split": _splitter(k.piece_splitter, most=150, overlap=30), "k5_paragraph_split": _splitter(k.paragraph_splitter, most=200), "k6_char_split": _splitter(k.char_splitter), "k6_token_split": _splitter(k.char_splitter, most=150, overlap=30, tokens=True), "k7_fixed_split": _splitter(k.fixed_splitter, separator="\n", most=500),
 }
@@ -341,6 +353,7 @@ ORACLES = {
     "p12_optional_filters": "SELECT c_custkey FROM customer WHERE c_acctbal >= 1000 AND contains(lower(c_mktsegment), 'build')",
     "s1_read_pages": "SELECT source AS filename, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page, md5(text) AS text FROM documents QUALIFY doc_id % 8 <> 0",
     "s7_upsert": "SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "s7_bucket_upsert": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new ' ELSE '' END || md5(text) AS text FROM documents WHERE doc_id % 7 <> 0",
     "s8_delete": "SELECT doc_id, source FROM documents WHERE lang <> 'de'",
     "s9_list_documents": "SELECT source AS doc_id, source AS filename, COUNT(*) AS chunk_count, MAX(doc_id) AS upload_time FROM documents GROUP BY 1, 2",
     "s10_points": "SELECT CASE WHEN n_chars > 2000 THEN 'xx' ELSE lang END AS lang, COUNT(*) AS n FROM documents GROUP BY 1",

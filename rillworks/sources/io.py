@@ -95,7 +95,7 @@ def read_image_folder(spark: SparkSession, path: str) -> DataFrame:
     """path, label (the file's folder), class_id (place among the distinct labels), content."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("label", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     names = rows.select("label").distinct()
-    return rows.join(F.broadcast(names.withColumn("class_id", F.row_number().over(W.orderBy("label")) - 1)), "label").select("path", "label", "class_id", "content")
+    return rows.join(names.withColumn("class_id", F.row_number().over(W.orderBy("label")) - 1), "label").select("path", "label", "class_id", "content")
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:

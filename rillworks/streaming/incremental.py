@@ -1,6 +1,6 @@
 """The operators that also take streams: rates, defect rates, ingestion."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
@@ -29,6 +29,6 @@ def stream_drift(rows: DataFrame, reference: DataFrame, value: str, every: str =
     return value_drift(rows.withWatermark("ts", late), reference, value, every, **how)
 
 
-def stream_ingest(chunks: DataFrame, path: str, checkpoint: str, key: str = "chunk_id") -> StreamingQuery:
-    """Each batch of chunks goes through the same idempotent upsert as a batch job's, so a batch that runs again changes nothing."""
-    return chunks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, n: upsert_chunks(rows, path, key)).start()
+def stream_ingest(chunks: DataFrame, path: str, checkpoint: str, key: str = "chunk_id", upsert: Callable[[DataFrame, str, str], object] = upsert_chunks) -> StreamingQuery:
+    """Each batch of chunks goes through the same idempotent upsert as a batch job's, so a batch that runs again changes nothing; with `sources.buckets.upsert_buckets` it rewrites only the buckets that it touches."""
+    return chunks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, n: upsert(rows, path, key)).start()
