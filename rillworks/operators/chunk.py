@@ -16,18 +16,42 @@ from ..functions.vector import cosine, let
 
 PY_TOKEN = re.compile(r"\w+|[^\w\s]")
 Splitter = Callable[[str], list[str]]
+#: A user's tokens of a text: parts of it, in order.
+Tokenizer = Callable[[str], list[str]]
 
 
 def _size(s: str) -> int:
     return len(PY_TOKEN.findall(s))
 
 
+def _starts(text: str, tokenizer: Tokenizer) -> list[int]:
+    out, at = [], 0
+    for token in tokenizer(text):
+        at = text.find(token, at)
+        if at < 0:
+            raise ValueError(f"token {token!r} isn't part of the text behind the one before")
+        out.append(at)
+        at += len(token)
+    return out
+
+
+def count_tokens_by(rows: DataFrame, tokenizer: Tokenizer, text: str = "text", into: str = "n_tokens") -> DataFrame:
+    """The rows with the number of tokens by a user's tokenizer, called on Arrow batches; 0 for null."""
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield x.map(lambda s: len(tokenizer(s)) if s else 0).astype("int32")
+
+    return rows.withColumn(into, count(text))
+
+
 class Measure:
-    """Sizes of a text's ranges, in tokens or characters: tokens are found once."""
+    """Sizes of a text's ranges, in tokens, by the default expression or a user's tokenizer, or characters: tokens are found once."""
 
-    def __init__(self, text: str, tokens: bool = True) -> None:
+    def __init__(self, text: str, tokens: bool | Tokenizer = True) -> None:
         self.text = text
-        self.at = [m.start() for m in PY_TOKEN.finditer(text)] if tokens else None
+        self.at = _starts(text, tokens) if callable(tokens) else [m.start() for m in PY_TOKEN.finditer(text)] if tokens else None
 
     def of(self, begin: int, end: int) -> int:
         return end - begin if self.at is None else bisect_left(self.at, end) - bisect_left(self.at, begin)
@@ -74,7 +98,7 @@ def _packed(sizes: Sequence[int], most: int, overlap: int | None) -> Iterator[tu
         new = end
 
 
-def recursive_splitter(most: int, separators: Sequence[str] = ("\n\n", "\n", ". ", "; ", ", ", " "), tokens: bool = True) -> Splitter:
+def recursive_splitter(most: int, separators: Sequence[str] = ("\n\n", "\n", ". ", "; ", ", ", " "), tokens: bool | Tokenizer = True) -> Splitter:
     """Chunks of at most `most` units: as many parts between separators as fit together, with the separators between them; a part that doesn't fit is cut by the next separator, in the end every `most` units. Blank chunks go."""
 
     def run(s: str) -> list[str]:
@@ -85,7 +109,7 @@ def recursive_splitter(most: int, separators: Sequence[str] = ("\n\n", "\n", ".
             if m.of(begin, end) <= most:
                 out.append(m.text[begin:end])
             elif level == len(separators):
-                out += [" ".join(PY_TOKEN.findall(m.text[x:y])) if tokens else m.text[x:y] for x, y in m.cut(begin, end, most)]
+                out += [" ".join(PY_TOKEN.findall(m.text[x:y])) if tokens is True else m.text[x:y] for x, y in m.cut(begin, end, most)]
             else:
                 parts = [x for x in _parts(m.text, begin, end, separators[level], False) if x[0] < x[1]]
                 ends, runs, k = [y for _, y in parts], [], 0
@@ -100,7 +124,7 @@ def recursive_splitter(most: int, separators: Sequence[str] = ("\n\n", "\n", ".
     return run
 
 
-def piece_splitter(most: int = 1000, overlap: int = 200, separators: Sequence[str] = ("\n\n", "\n", ". ", " "), tokens: bool = True) -> Splitter:
+def piece_splitter(most: int = 1000, overlap: int = 200, separators: Sequence[str] = ("\n\n", "\n", ". ", " "), tokens: bool | Tokenizer = True) -> Splitter:
     """Pieces between separators, each as large as the first separator that makes it fit leaves it, packed with a space between; a chunk begins with as many of the last whole pieces of the one before as fit in `overlap`, and may exceed `most` by them."""
 
     def run(s: str) -> list[str]:
@@ -111,7 +135,7 @@ def piece_splitter(most: int = 1000, overlap: int = 200, separators: Sequence[st
     return run
 
 
-def paragraph_splitter(most: int = 2000, tokens: bool = True) -> Splitter:
+def paragraph_splitter(most: int = 2000, tokens: bool | Tokenizer = True) -> Splitter:
     """Paragraphs, else sentences, else words, delimiters kept; a chunk begins with the last piece of the one before, whether or not that fits."""
 
     def run(s: str) -> list[str]:
@@ -123,7 +147,7 @@ def paragraph_splitter(most: int = 2000, tokens: bool = True) -> Splitter:
     return run
 
 
-def char_splitter(most: int = 500, overlap: int = 50, separators: Sequence[str] = ("\n\n", "\n", ".", " ", ""), tokens: bool = False) -> Splitter:
+def char_splitter(most: int = 500, overlap: int = 50, separators: Sequence[str] = ("\n\n", "\n", ".", " ", ""), tokens: bool | Tokenizer = False) -> Splitter:
     """Chunks of at most `most` characters or tokens, of pieces between separators, in the end of single units; a chunk begins with the last whole pieces of the one before that are at most `overlap` and leave room for the next."""
 
     def run(s: str) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import finance as f
+from .search import small
 
 
 def metrics(rows: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def provenance(inputs: DataFrame, facts: DataFrame) -> DataFrame:
 def data_gaps(required: DataFrame, facts: DataFrame) -> DataFrame:
     """Required concepts (a short list) that a company has no fact for in a period."""
     seen = facts.select("company", "period").distinct()
-    return seen.crossJoin(F.broadcast(required.select("concept"))).join(facts.where("value IS NOT NULL").select("company", "period", "concept"), ["company", "period", "concept"], "left_anti")
+    return seen.join(small(required.select("concept")), F.lit(True)).join(facts.where("value IS NOT NULL").select("company", "period", "concept"), ["company", "period", "concept"], "left_anti")
 
 
 def period_compare(facts: DataFrame) -> DataFrame:

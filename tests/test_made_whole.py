@@ -205,3 +205,19 @@ def test_a_community_of_most_nodes(spark):
             degree[v] = degree.get(v, 0) + 1
     assert (got[0].n_nodes, got[0].top) == (300, ",".join(map(str, sorted(degree, key=lambda v: (-degree[v], v))[:3]))) and (got[1].n_nodes, got[1].n_edges) == (10, 1)
     assert "WindowGroupLimit" in report._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_users_tokenizer_measures_chunks(spark):
+    """Sizes in the user's tokens: here, runs of two letters at most."""
+    import re
+
+    pairs = re.compile(r"[a-z]{1,2}").findall
+    text = "abcd ef. ghijkl mn. op"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    assert {r.id: r.n_tokens for r in chunk.count_tokens_by(rows, pairs).collect()} == {1: 8, 2: 0, 3: 0}
+    for splitter in (chunk.recursive_splitter(3, tokens=pairs), chunk.piece_splitter(3, 0, tokens=pairs), chunk.char_splitter(3, 0, tokens=pairs)):
+        chunks = [r.chunk for r in chunk.split_text(rows, splitter).where("id = 1").collect()]
+        assert len(chunks) > 2 and all(len(pairs(c)) <= 3 for c in chunks)
+        assert "".join(re.findall("[a-z]", "".join(chunks))) == "".join(re.findall("[a-z]", text))
+    with pytest.raises(ValueError):
+        chunk.Measure("abc", lambda s: ["c", "a"])
