@@ -41,7 +41,7 @@ def count_tokens_by(rows: DataFrame, tokenizer: Tokenizer, text: str = "text", i
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
-            yield x.map(lambda s: len(tokenizer(s)) if s else 0).astype("int32")
+            yield pd.Series([len(tokenizer(s)) if isinstance(s, str) else 0 for s in x.tolist()], dtype="int32")
 
     return rows.withColumn(into, count(text))
 
@@ -193,6 +193,8 @@ def split_text(rows: DataFrame, splitter: Splitter, text: str = "text", into: st
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             parts = [splitter(x) if isinstance(x, str) else [] for x in frame[text]]
+            if not any(parts):
+                continue
             rest = frame.drop(columns=[text])
             out = rest.loc[rest.index.repeat([len(p) for p in parts])].reset_index(drop=True)
             out["chunk_no"] = [i for p in parts for i in range(len(p))]

@@ -221,3 +221,9 @@ def test_a_users_tokenizer_measures_chunks(spark):
         assert "".join(re.findall("[a-z]", "".join(chunks))) == "".join(re.findall("[a-z]", text))
     with pytest.raises(ValueError):
         chunk.Measure("abc", lambda s: ["c", "a"])
+
+
+def test_batches_without_chunks(spark):
+    for rows in ([(1, None)], [(2, "")], [(1, None), (3, "a b")]):
+        df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+        assert [r.id for r in chunk.split_text(df, chunk.recursive_splitter(3)).collect()] == [i for i, x in rows if x]
