@@ -51,7 +51,7 @@ _CUSTOMERS = "cust AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 19 >
 _UNIFORM = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296e0"
 
 ORACLES = {
-    "m1_woe_iv": f"WITH {_CUSTOMERS}, b AS (SELECT CASE WHEN v IS NULL THEN 6 ELSE (v >= 0)::INT + (v >= 1000)::INT + (v >= 2500)::INT + (v >= 5000)::INT + (v >= 7500)::INT END AS bin, y FROM cust WHERE y IS NOT NULL), c AS (SELECT bin, COUNT(*) AS n, SUM(y) AS bad FROM b GROUP BY 1), "
+    "m1_woe_iv": f"WITH {_CUSTOMERS}, b AS (SELECT CASE WHEN v IS NULL THEN 6 ELSE (v >= 0)::INT + (v >= 1000)::INT + (v >= 2500)::INT + (v >= 5000)::INT + (v >= 7500)::INT END AS bin, y FROM cust WHERE y IS NOT NULL), c AS (SELECT bin, COUNT(*) AS n, CAST(SUM(y) AS BIGINT) AS bad FROM b GROUP BY 1), "
     "p AS (SELECT *, (bad + 0.5e0) / (SUM(bad) OVER () + 3.5e0) AS p, (n - bad + 0.5e0) / (SUM(n - bad) OVER () + 3.5e0) AS q FROM c) SELECT bin, n, bad, ROUND(bad / n, 6) AS rate, ROUND(ln(p / q), 6) AS woe, ROUND(SUM((p - q) * ln(p / q)) OVER (), 6) AS iv FROM p",
     "m2_stratified_folds": "SELECT doc_id, source, CAST((row_number() OVER (ORDER BY source NULLS FIRST, md5('fold:' || doc_id), doc_id) - 1) % 5 AS INT) AS fold FROM documents",
     "m3_target_encoding": f"WITH {_CUSTOMERS}, r AS (SELECT *, CAST((row_number() OVER (ORDER BY y NULLS FIRST, md5('fold:' || c_custkey), c_custkey) - 1) % 5 AS INT) AS fold FROM cust), "
