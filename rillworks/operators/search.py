@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .cut import cut
-from .vector_blocks import late_interaction, matrix, nearest, spherical_kmeans
+from .vector_blocks import late_interaction, matrix, nearest, sparse_nearest, spherical_kmeans
 
 #: Queries up to which a set of them is sent to all tasks.
 QUERIES = 10_000
@@ -85,8 +85,7 @@ def sparse_topk(queries: DataFrame, postings: DataFrame, k: int, idf: DataFrame
     q = queries.select("query_id", "term", F.col("weight").alias("_w"))
     if idf is not None:
         q = q.join(idf, "term").withColumn("_w", F.col("_w") * F.col("idf"))
-    scored = postings.join(small(q, 100 * QUERIES), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("_w")), 6).alias("score"))
-    return top(scored, k)
+    return sparse_nearest(q.select("query_id", "term", F.col("_w").alias("weight")), postings, k)
 
 
 def rrf(lists: Sequence[DataFrame], k: int = 60, n: int | None = None) -> DataFrame:

@@ -59,7 +59,7 @@ class Best:
             return
         k = min(self.k, len(ids))
         kth = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
-        row, query = np.nonzero(scores >= kth)
+        row, query = np.nonzero((scores >= kth) & (scores > -np.inf))
         if len(row) > 2 * k * scores.shape[1]:
             rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
             row, query = _first(k, query, scores[row, query], rank[row], row)
@@ -142,6 +142,98 @@ def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return top_ranked(union(parts, kinds, points), k)
 
 
+#: Query postings of one pass, about, and numbers of a block's matrix of terms and queries.
+POSTINGS, CELLS = 1 << 14, 1 << 22
+
+
+def _term_matrices(block: pa.Table) -> list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """Query ids, terms, weights and where there are any, as matrices of terms and queries of a bounded size."""
+    table = block.sort_by([("query_id", "ascending"), ("term", "ascending")]).combine_chunks()
+    of = table["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    query, weight, term = of.indices.to_numpy(zero_copy_only=False), table["weight"].to_numpy(), table["term"].combine_chunks()
+    out, lo, n = [], 0, len(of.dictionary)
+    while lo < n:
+        hi = n
+        while True:
+            rows = (query >= lo) & (query < hi)
+            own = term.filter(pa.array(rows)).dictionary_encode()
+            if hi == lo + 1 or (hi - lo) * len(own.dictionary) <= CELLS:
+                break
+            hi = lo + max(1, (hi - lo) // 2)
+        m, there = np.zeros((len(own.dictionary), hi - lo)), np.zeros((len(own.dictionary), hi - lo), bool)
+        at = own.indices.to_numpy(zero_copy_only=False), query[rows] - lo
+        np.add.at(m, at, weight[rows])
+        there[at] = True
+        out.append((of.dictionary.slice(lo, hi - lo), own.dictionary, m, there))
+        lo = hi
+    return out
+
+
+def sparse_nearest(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank: the k documents of postings (doc_id, term, weight) with the largest product with each query (query_id, term, weight); documents without a shared term are absent.
+
+    Postings of terms that no query of the pass has go first; the rest are dealt by document, whose rows a task multiplies with the pass's
+    matrix of terms and queries, keeping k a query. No row is made for a pair of query and document.
+    """
+    doc_kind = postings.schema["doc_id"].dataType.simpleString()
+    kinds, parts = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {doc_kind}, score double", []
+    for block in query_blocks(queries.select("query_id", "term", F.col("weight").cast("double").alias("weight")).where("term IS NOT NULL"), POSTINGS):
+        if not len(block):
+            continue
+        matrices = _term_matrices(block)
+
+        def run(batches: Iterator[pa.RecordBatch], matrices: list = matrices) -> Iterator[pa.RecordBatch]:
+            best, held = [Best(k, len(x[0])) for x in matrices], None
+
+            def score(rows: pa.Table) -> None:
+                of = rows["doc_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+                doc, weight = of.indices.to_numpy(zero_copy_only=False), rows["weight"].to_numpy()
+                for b, (_, terms, m, there) in zip(best, matrices):
+                    at = pc.index_in(rows["term"].combine_chunks(), terms)
+                    known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                    at = at.drop_null().to_numpy(zero_copy_only=False)
+                    for s in slices(len(known), m.shape[1]):  # a document may go on in the next slice
+                        ids, begins = np.unique(doc[known[s]], return_index=True)
+                        got = np.add.reduceat(m[at[s]] * weight[known[s], None], begins, axis=0)
+                        hit = np.logical_or.reduceat(there[at[s]], begins, axis=0)
+                        sums.setdefault(id(b), []).append((ids, got, hit))
+                    _add_sums(b, of.dictionary, sums.pop(id(b), []))
+
+            sums: dict[int, list] = {}
+            for batch in batches:
+                rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                if not len(rows):
+                    continue
+                last = rows["doc_id"][len(rows) - 1]
+                same = pc.equal(rows["doc_id"], last) if last.is_valid else pc.is_null(rows["doc_id"])
+                begins = pc.index(same.combine_chunks() if isinstance(same, pa.ChunkedArray) else same, True).as_py()
+                if begins:
+                    score(rows.slice(0, begins))
+                held = rows.slice(begins)
+            if held is not None and len(held):
+                score(held)
+            for b, (names, *_) in zip(best, matrices):
+                if (out := b.batch(names)) is not None:
+                    yield out
+
+        wanted = [t for _, terms, *_ in matrices for t in terms.to_pylist()]
+        spark = postings.sparkSession
+        asked = F.broadcast(spark.createDataFrame(pa.table({"term": pa.array(sorted(set(wanted)), pa.string())})))  # of one block
+        dealt = postings.select("doc_id", "term", F.col("weight").cast("double").alias("weight")).join(asked, "term", "left_semi").select("doc_id", "term", "weight")
+        parts.append(dealt.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, kinds))
+    return top_ranked(union(parts, kinds, postings), k)
+
+
+def _add_sums(best: Best, ids: pa.Array, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Scores of documents, whose sums may lie in parts of which only neighbours share one."""
+    for n, (own, got, hit) in enumerate(parts):
+        if n and len(own) and own[0] == parts[n - 1][0][-1]:
+            got[0] += parts[n - 1][1][-1]
+            hit[0] |= parts[n - 1][2][-1]
+        whole = slice(0, len(own) - (n + 1 < len(parts) and len(own) > 0 and own[-1] == parts[n + 1][0][0]))
+        best.add(ids.take(pa.array(own[whole])), np.where(hit[whole], np.round(got[whole], 6), -np.inf))
+
+
 def late_interaction(query_tokens: DataFrame, doc_tokens: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, score, rank: documents (doc_id, vector: a row for each token) by the sum over a query's tokens (query_id, token_no, vector) of the best cosine.
 

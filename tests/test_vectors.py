@@ -183,3 +183,25 @@ def test_cluster_tree(spark):
     up = {r.doc_id: r.node for r in rows if r.level == 1}
     assert len(set(up.values())) == 4 and all(r.node.startswith(up[r.doc_id] + "/") for r in rows if r.level == 2)
     assert search.cluster_tree(points.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("cells,scores", [(1 << 22, 1 << 22), (6, 7)])
+def test_sparse_products(spark, monkeypatch, cells, scores):
+    """Weights of any sign, a document with most postings, one of null, terms that only one side has; in one matrix or many, in slices of any size."""
+    monkeypatch.setattr(vector_blocks, "CELLS", cells)
+    monkeypatch.setattr(vector_blocks, "SCORES", scores)
+    rng = random.Random(6)
+    postings = [(0, f"t{i}", rng.choice([0.5, 1.0, -1.0])) for i in range(60)] + [(None, "t1", 1.0)] + sorted({(rng.randrange(1, 30), f"t{rng.randrange(80)}"): 0 for _ in range(200)})
+    postings = [p if len(p) == 3 else (*p, rng.choice([0.25, 1.5, 0.0])) for p in postings]
+    asked = [(q, f"t{t}", rng.choice([1.0, 2.0, -0.5])) for q in range(7) for t in rng.sample(range(90), 6)] + [(9, "none", 1.0)]
+    want = []
+    for q in range(10):
+        own = {t: w for i, t, w in asked if i == q}
+        scores_ = {}
+        for d, t, w in postings:
+            if t in own:
+                scores_[d] = scores_.get(d, 0.0) + w * own[t]
+        want += [(q, d, round(s, 6)) for d, s in sorted(scores_.items(), key=lambda r: (-round(r[1], 6), r[0] is not None, r[0] or 0))[:4]]
+    got = search.sparse_topk(spark.createDataFrame(asked, "query_id int, term string, weight double"), spark.createDataFrame(postings, "doc_id int, term string, weight double").repartition(5), 4)
+    assert [(r.query_id, r.doc_id, r.score) for r in got.sort("query_id", "rank").collect()] == want
+    assert search.sparse_topk(spark.createDataFrame([], "query_id int, term string, weight double"), spark.createDataFrame(postings, "doc_id int, term string, weight double"), 4).collect() == []
