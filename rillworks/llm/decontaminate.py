@@ -14,15 +14,13 @@ from ._send import received, sent
 from ._text import LOWER, Chunk, Words, chunks
 
 #: Hashed terms, latent dimensions, dimensions beyond that the random start has, rounds of power iteration.
-TERMS, DIMENSIONS, EXTRA, ROUNDS = 1 << 16, 96, 16, 2
+TERMS, DIMENSIONS, EXTRA, ROUNDS = 1 << 16, 256, 16, 2
 #: Words of a step and steps of a passage, short and long.
 STEP, SHORT, LONG = 8, 3, 7
 #: Words of a long item's parts, which begin half of that apart; bytes of items that one index holds; entries that are held against passages at once.
 PART, BYTES, BLOCK = 56, 1 << 26, 2048
 #: The least cosine of a candidate; the least share of an item's words in order; the least share with nearly all of the answer.
 COSINE, COMMON, PARAPHRASE, ANSWER = 0.3, 0.65, 0.5, 0.8
-#: The share of its norm that an item must keep in latent space to be sought there only.
-KEPT = 1 - 1e-4
 #: Letters and digits count; other ASCII characters part words.
 _FOLD = np.where(np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(128, 256)]), np.arange(256), 32).astype(np.uint8)[LOWER]
 _MASK = np.uint64(TERMS - 1)
@@ -35,56 +33,22 @@ def _words(c: Chunk) -> Words:
 
 @dataclass
 class Index:
-    """Benchmark items in latent space: terms' weights and vectors; a unit vector and hashed words of each entry, which is an item or, of a long one, a part; the items' whole words."""
+    """Benchmark items in latent space: terms' weights and vectors; a vector of each entry, which is an item or, of a long one, a part; the items' whole words."""
 
     idf: np.ndarray
     basis: np.ndarray
     row: np.ndarray  # of each term in basis; the last row of basis is zero, for terms that no item has
-    vectors: np.ndarray  # of entries
+    vectors: np.ndarray  # of entries; the product with a passage's, over the passage's whole norm, estimates their cosine
     of: np.ndarray  # the item of each entry
     items: list[int]
     words: list[np.ndarray]  # of items
     word: np.ndarray  # all items' distinct words
     spelt: list[np.ndarray]  # of items, as numbers in word
-    rare: "Rare"
 
 
-@dataclass
-class Rare:
-    """Exact search for the entries that latent space doesn't hold whole: their rarest words, by hash, with the entries of each, and all their terms' weights.
-
-    A passage that shares `need` = PARAPHRASE of an entry's n words, in order, has all but n - need of them, hence `hits` of any n - need + hits.
-    """
-
-    seen: np.ndarray  # of each hashed term: a rare word may have it
-    word: np.ndarray
-    first: np.ndarray  # of each word in entry; one more at the end
-    entry: np.ndarray
-    hits: np.ndarray  # of each entry of the index
-    size: np.ndarray  # words of each entry
-    key: np.ndarray  # entry * TERMS + term, in order
-    weight: np.ndarray  # of each key, of a unit vector
-
-
-def _rare(words: list[np.ndarray], idf: np.ndarray, sought: np.ndarray) -> Rare:
-    size = np.array([len(h) for h in words], np.int64)
-    hits = np.maximum(1, np.ceil(PARAPHRASE * size).astype(np.int64) // 3)
-    pairs, key, weight = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-    for j in sought.tolist():
-        h = words[j]
-        some = h[np.argsort(-idf[(h & _MASK).astype(np.int64)], kind="stable")][: len(h) - int(np.ceil(PARAPHRASE * len(h))) + int(hits[j])]
-        some = np.unique(some)
-        pairs.append(np.stack([some, np.full(len(some), j, np.uint64)], axis=1))
-        term, tf = np.unique((h & _MASK).astype(np.int64), return_counts=True)
-        x = tf * idf[term]
-        key.append(j * TERMS + term)
-        weight.append((x / np.sqrt((x**2).sum())).astype(np.float32))
-    pairs = np.concatenate(pairs)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    word, first = np.unique(pairs[:, 0], return_index=True)
-    seen = np.zeros(TERMS, bool)
-    seen[(word & _MASK).astype(np.int64)] = True
-    return Rare(seen, word, np.append(first, len(pairs)), pairs[:, 1].astype(np.int32), hits, size, np.concatenate(key), np.concatenate(weight))
+def _parts(n: int) -> list[int]:
+    """Where an item of n words begins its parts of PART words."""
+    return [0] if n <= PART else [*range(0, n - PART, PART // 2), n - PART]
 
 
 def _term_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -110,7 +74,7 @@ def _term_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _gram(items: DataFrame, idf: np.ndarray, row: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A times basis, for the TF-IDF rows A of all items and a basis with a row for each term that they have: each partition's part, summed by block of terms."""
+    """A'A times basis, for the TF-IDF rows A of all entries and a basis with a row for each term that they have: each partition's part, summed by block of terms."""
     model = items.sparkSession.sparkContext.broadcast((idf, row, basis))
     size = 1024
 
@@ -120,11 +84,12 @@ def _gram(items: DataFrame, idf: np.ndarray, row: np.ndarray, basis: np.ndarray)
         for batch in batches:
             for c in chunks(batch["text"]):
                 w = _words(c)
-                for lo, hi in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-                    term, tf = np.unique((w.h[lo:hi] & _MASK).astype(np.int64), return_counts=True)
-                    x = (tf * idf[term]).astype(np.float32)
-                    x /= max(1e-9, float(np.sqrt((x**2).sum())))
-                    out[row[term]] += x[:, None] * (x @ basis[row[term]])
+                for first, last in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+                    for lo in _parts(last - first):
+                        term, tf = np.unique((w.h[first + lo : min(last, first + lo + PART)] & _MASK).astype(np.int64), return_counts=True)
+                        x = (tf * idf[term]).astype(np.float32)
+                        x /= max(1e-9, float(np.sqrt((x**2).sum())))
+                        out[row[term]] += x[:, None] * (x @ basis[row[term]])
         for k in range(0, len(basis), size):
             if out[k : k + size].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // size], pa.int32()), pa.array([out[k : k + size].tobytes()], pa.binary())], names=["block", "data"])
@@ -143,8 +108,9 @@ def _gram(items: DataFrame, idf: np.ndarray, row: np.ndarray, basis: np.ndarray)
 def build_index(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = BYTES) -> list[Index]:
     """TF-IDF over hashed terms, idf from all documents; a randomised SVD of the entries' rows: a random start, power iterations on A'A, each a Spark job that sums partitions' products.
 
-    An entry is an item or, of one with more than PART words, a part; the SVD has half as many dimensions as there are items at most. Entries
-    that don't keep KEPT of their norm in it are sought by their rarest words besides. Null and empty items are left out; an item_id that repeats stands for all
+    An entry is an item or, of one with more than PART words, a part; the SVD has as many dimensions as there are entries, DIMENSIONS at most. Up to
+    that an entry's product with a passage is their cosine; beyond, both are projected, and the product, divided by the share of the entry's norm that
+    is left, estimates the cosine with an error of about 1 / sqrt(DIMENSIONS). Null and empty items are left out; an item_id that repeats stands for all
     its texts. An index is sent to all tasks and holds the words of its items, so a benchmark of more than `limit` bytes gives several, each for
     a part of the items by hash; none is left for a benchmark without words.
     """
@@ -169,13 +135,13 @@ def _index(items: DataFrame, idf: np.ndarray) -> Index | None:
                 words.append(w.h)
     if not ids:
         return None
-    parts = [(j, h[k : k + PART]) for j, h in enumerate(words) for k in ([0] if len(h) <= PART else [*range(0, len(h) - PART, PART // 2), len(h) - PART])]
+    parts = [(j, h[k : k + PART]) for j, h in enumerate(words) for k in _parts(len(h))]
     entries = [h for _, h in parts]
     used = np.unique(np.concatenate(words) & _MASK).astype(np.int64)
     row = np.full(TERMS, len(used), np.int32)
     row[used] = np.arange(len(used))
-    keep = min(DIMENSIONS, max(1, len(ids) // 2))
-    k = min(keep + EXTRA, len(ids), len(used))
+    keep = min(DIMENSIONS, len(entries), len(used))
+    k = min(keep + EXTRA, len(entries), len(used))
     basis = np.random.default_rng(11).standard_normal((len(used), k)).astype(np.float32)
     for _ in range(ROUNDS):
         basis = np.linalg.qr(_gram(items, idf, row, basis))[0].astype(np.float32)
@@ -184,11 +150,10 @@ def _index(items: DataFrame, idf: np.ndarray) -> Index | None:
     basis = basis @ turn[:, ::-1][:, :keep].astype(np.float32)
     small = np.vstack([basis * idf[used, None], np.zeros((1, basis.shape[1]), np.float32)])
     vectors = np.stack([small[row[(h & _MASK).astype(np.int64)]].sum(axis=0) for h in entries])
-    norm = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
-    vectors /= np.maximum(1e-9, norm)
-    whole = np.array([np.sqrt(((n * idf[t]) ** 2).sum()) for t, n in (np.unique((h & _MASK).astype(np.int64), return_counts=True) for h in entries)])
+    whole = np.array([np.sqrt(((n * idf[t]) ** 2).sum()) for t, n in (np.unique((h & _MASK).astype(np.int64), return_counts=True) for h in entries)], np.float32)
+    vectors *= (whole / np.maximum(1e-9, (vectors**2).sum(axis=1)))[:, None]
     word = np.unique(np.concatenate(words))
-    return Index(idf, small, row, vectors, np.array([j for j, _ in parts]), ids, words, word, [np.searchsorted(word, h) for h in words], _rare(entries, idf, np.flatnonzero(norm[:, 0] < KEPT * whole)))
+    return Index(idf, small, row, vectors, np.array([j for j, _ in parts]), ids, words, word, [np.searchsorted(word, h) for h in words])
 
 
 def common(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -209,7 +174,7 @@ def find_leaks(docs: DataFrame, index: Sequence[Index], id_col: str = "doc_id",
     """doc_id, item_id, cosine, common (share of the item's words in order), answer (share of its last quarter's words present, three at least) for each document and benchmark item that it holds.
 
     Words are runs of letters and digits in lower case. Every text is cut into overlapping passages of 24 and 56 words, a step of 8 apart, without an end left out. A passage is a candidate for
-    the items with an entry whose cosine with it is at least COSINE in latent space or, for entries that latent space doesn't hold whole, among all terms; a word
+    the items with an entry whose cosine with it, estimated in latent space, is at least COSINE; a word
     that a passage repeats adds to its norm as often as it stands there, which is never too much. The longest common subsequence of an item's words with those of the
     passage and as many around it as the item has must hold COMMON of the item, or PARAPHRASE of it and ANSWER of the answer's words. All candidates are held
     against that, those that overlap together; the figures are those of the place with the most in common that meets it, the cosine that of the whole item there. Null and
@@ -242,7 +207,8 @@ def _searcher(index: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return search
 
 
-def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
+def candidates(ix: Index, w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of n texts: the rows and first words of all passages; the passages and entries whose cosine in latent space is at least COSINE."""
     term = (w.h & _MASK).astype(np.int64)
     steps = -(-w.count // STEP)
     first = np.append(0, np.cumsum(steps))
@@ -256,20 +222,22 @@ def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
         begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         vec[owner[begin]] = np.add.reduceat(ix.basis[ix.row[term[known]]], begin, axis=0)
     near: list[tuple[np.ndarray, np.ndarray]] = []  # of each width: steps and entries
-    norms = {}
     for wide in (SHORT, LONG):
         v, norm = vec.copy(), weight.copy()
         for k in range(1, wide):
             same = np.flatnonzero(row[k:] == row[:-k])
             v[same] += vec[same + k]
             norm[same] += weight[same + k]
-        norms[wide] = np.sqrt(np.maximum(norm, 1e-9))
-        v /= norms[wide][:, None]
+        v /= np.sqrt(np.maximum(norm, 1e-9))[:, None]
         for lo in range(0, len(ix.vectors), BLOCK):
             i, j = np.nonzero(v @ ix.vectors[lo : lo + BLOCK].T >= COSINE)
             near.append((i, j + lo))
-    near += _exact(ix, w, term, row, first, at, norms)
     step, entry = (np.concatenate(x) for x in zip(*near))
+    return row, at, step, entry
+
+
+def _search(ix: Index, w: Words, n: int) -> Iterator[tuple[int, tuple]]:
+    row, at, step, entry = candidates(ix, w, n)
     if not len(step):
         return
     # the places around candidates, those of one row and item put together where they overlap
@@ -319,44 +287,3 @@ def _cosine(ix: Index, item: np.ndarray, place: np.ndarray) -> float:
 
     own = weights(item)
     return max(sum(x * own.get(t, 0.0) for t, x in weights(place[k : k + len(item)]).items()) for k in range(0, max(1, len(place) - len(item) + STEP), STEP))
-
-
-def _exact(ix: Index, w: Words, term: np.ndarray, row: np.ndarray, first: np.ndarray, at: np.ndarray, norms: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Steps and entries of the passages with enough of an entry's rarest words around them and a cosine of COSINE among all terms."""
-    rare = ix.rare
-    pos = np.flatnonzero(rare.seen[term])
-    if not len(pos):
-        return
-    k = np.minimum(np.searchsorted(rare.word, w.h[pos]), len(rare.word) - 1)
-    ok = rare.word[k] == w.h[pos]
-    pos, k = pos[ok], k[ok]
-    n = rare.first[k + 1] - rare.first[k]
-    item = rare.entry[np.repeat(rare.first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
-    pos = np.repeat(pos, n)
-    order = np.argsort(item, kind="stable")
-    item, pos = item[order].astype(np.int64), pos[order]
-    # the last of as many hits of an item as it needs, if there are so many
-    own = np.searchsorted(w.first, pos, side="right") - 1
-    last = np.arange(len(item)) + rare.hits[item] - 1
-    ok = np.flatnonzero(last < len(item))
-    end = last[ok]
-    ok = ok[(item[end] == item[ok]) & (own[end] == own[ok]) & (pos[end] - pos[ok] < LONG * STEP + 2 * rare.size[item[ok]])]
-    j, r, lo, hi = item[ok], own[ok], pos[ok], pos[last[ok]]
-    # all steps whose passage, with the item's length around it, holds those hits
-    low = np.maximum(0, -(-(hi - LONG * STEP - rare.size[j] + 1 - w.first[r]) // STEP))
-    high = np.minimum(first[r + 1] - first[r] - 1, (lo + rare.size[j] - w.first[r]) // STEP)
-    n = np.maximum(0, high - low + 1)
-    step = np.repeat(first[r] + low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-    pair = np.unique(np.repeat(j, n) * len(at) + step)
-    for some in np.split(pair, np.arange(4096, len(pair), 4096)):
-        j, step = some // len(at), some % len(at)
-        there = at[step][:, None] + np.arange(LONG * STEP)
-        inside = there < w.first[row[step] + 1][:, None]
-        t = term[np.minimum(there, len(term) - 1)]
-        inside &= ix.row[t] < len(ix.basis) - 1
-        x = np.zeros(t.shape, np.float32)
-        key, t = (j[:, None] * TERMS + t)[inside], t[inside]
-        k = np.minimum(np.searchsorted(rare.key, key), len(rare.key) - 1)
-        x[inside] = np.where(rare.key[k] == key, rare.weight[k] * ix.idf[t], 0)
-        ok = np.maximum(x[:, : SHORT * STEP].sum(axis=1) / norms[SHORT][step], x.sum(axis=1) / norms[LONG][step]) >= COSINE
-        yield step[ok], j[ok]

@@ -1,8 +1,11 @@
 """Leaks among thousands of benchmark items, and in documents with more than one passage like an item."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from rillworks.llm import decontaminate
+from rillworks.llm._text import chunks
 
 
 def test_thousands_of_items(spark):
@@ -71,3 +74,28 @@ def test_long_items_decoys_and_plain_search(spark):
         assert len(want - found) <= 0.02 * len(want) and {(10 * i, i) for i in items} | {(10 * i + 1, i) for i in items} <= found
         assert not {(r.doc_id, r.item_id) for r in out if r.doc_id % 10 > 2} and all(r.cosine <= 1.0001 for r in out)
         assert all(r.common == 1 and abs(r.cosine - 1) < 1e-4 for r in out if r.doc_id == 10 * r.item_id)
+
+
+@pytest.mark.parametrize("n", [40, 5000])
+def test_candidates_in_latent_space(spark, n):
+    rng = np.random.default_rng(4)
+    vocab = np.array([f"v{i}" for i in range(8000)])
+    share = 1 / np.arange(3, 8003)
+    share /= share.sum()
+    draw = lambda n: list(rng.choice(vocab, n, p=share))
+    items = [draw(int(rng.integers(8, 45))) for _ in range(n)]
+    others = spark.createDataFrame([(-1 - i, " ".join(draw(200))) for i in range(300)], "doc_id long, text string")
+    (index,) = decontaminate.build_index(others, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    leaks = {
+        "verbatim": lambda w: w,
+        "replaced": lambda w: [x if rng.random() > 0.3 else draw(1)[0] for x in w],
+        "inserted": lambda w: [y for x in w for y in (x, *(draw(1) if rng.random() < 0.3 else ()))],
+    }
+    for leak in leaks.values():
+        found, pairs, some = 0, 0, items[:200]
+        for c in chunks(pa.array([" ".join([*draw(40), *leak(w), *draw(40)]) for w in some])):
+            row, _, step, entry = decontaminate.candidates(index, decontaminate._words(c), c.n)
+            got = set(zip((c.lo + row[step]).tolist(), index.of[entry].tolist()))
+            found += sum((c.lo + k, c.lo + k) in got for k in range(c.n))
+            pairs += len(got)
+        assert found >= 0.9 * len(some) and pairs <= 0.02 * n * len(some) + 2 * len(some)
