@@ -215,22 +215,40 @@ def candidates(ix: Index, w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.
     row = np.repeat(np.arange(n), steps)
     at = w.first[row] + STEP * (np.arange(first[-1]) - first[row])
     weight = np.add.reduceat(ix.idf[term] ** 2, at)
-    known = np.flatnonzero(ix.row[term] < len(ix.basis) - 1)
+    place = ix.row[term]
+    known = np.flatnonzero(place < len(ix.basis) - 1)
     vec = np.zeros((len(at), ix.basis.shape[1]), np.float32)
     if len(known):
         owner = np.searchsorted(at, known, side="right") - 1
-        begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        vec[owner[begin]] = np.add.reduceat(ix.basis[ix.row[term[known]]], begin, axis=0)
+        nth = known - at[owner]
+        for k in range(STEP):  # the steps' first words, then their second ones
+            own = nth == k
+            vec[owner[own]] += ix.basis[place[known[own]]]
     near: list[tuple[np.ndarray, np.ndarray]] = []  # of each width: steps and entries
-    for wide in (SHORT, LONG):
-        v, norm = vec.copy(), weight.copy()
-        for k in range(1, wide):
-            same = np.flatnonzero(row[k:] == row[:-k])
-            v[same] += vec[same + k]
-            norm[same] += weight[same + k]
-        v /= np.sqrt(np.maximum(norm, 1e-9))[:, None]
+
+    def onto(x: np.ndarray, y: np.ndarray, k: int) -> None:
+        """Adds to each step of x what y has k steps on in the same text."""
+        if k < len(x):
+            same = (row[k:] == row[:-k]).astype(np.float32)
+            x[:-k] += y[k:] * (same[:, None] if y.ndim > 1 else same)
+
+    def wider(x: np.ndarray) -> Iterator[np.ndarray]:
+        """Sums of SHORT, then of LONG consecutive steps, the latter from the former."""
+        short = x.copy()
+        for k in range(1, SHORT):
+            onto(short, x, k)
+        yield short
+        long = short.copy()
+        for k in range(SHORT, LONG - SHORT + 1, SHORT):
+            onto(long, short, k)
+        for k in range(LONG - LONG % SHORT, LONG):
+            onto(long, x, k)
+        yield long
+
+    for v, norm in zip(wider(vec), wider(weight.astype(np.float32))):
+        least = COSINE * np.sqrt(np.maximum(norm, 1e-9))[:, None]
         for lo in range(0, len(ix.vectors), BLOCK):
-            i, j = np.nonzero(v @ ix.vectors[lo : lo + BLOCK].T >= COSINE)
+            i, j = np.nonzero(v @ ix.vectors[lo : lo + BLOCK].T >= least)
             near.append((i, j + lo))
     step, entry = (np.concatenate(x) for x in zip(*near))
     return row, at, step, entry
