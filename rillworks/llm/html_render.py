@@ -2,12 +2,15 @@
 
 import re
 from collections.abc import Iterable, Iterator
-from html import unescape
+from html import escape, unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .html_styles import Sheet
+
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -38,14 +41,15 @@ PLAIN = re.compile(OTHER + r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>", re.S)
 BEGUN, CUT = re.compile(r"</?[a-zA-Z]"), re.compile(r"<[a-zA-Z/][^<]*\Z")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BLANK = re.compile(r"[ \t\n\r\f]+")
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items")
+    """`gone`: not drawn, with all in it; `unseen`: without text or a mark of its own."""
+
+    __slots__ = ("tag", "attrs", "items", "gone", "unseen")
 
     def __init__(self, tag: str, attrs: str) -> None:
-        self.tag, self.attrs, self.items = tag, attrs, []
+        self.tag, self.attrs, self.items, self.gone, self.unseen = tag, attrs, [], False, False
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -145,7 +149,8 @@ def parse(html: str) -> Node:
             stack.top().items.append(node)
             if tag in RAW and not (drawn and ended):
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if tag != "plaintext" else None
-                node.items.append(html[at : stop.start() if stop else end])
+                raw = html[at : stop.start() if stop else end]
+                node.items.append(escape(raw, quote=False) if tag in ("xmp", "plaintext") else raw)
                 at = stop.end() if stop else end
         else:
             stack.push(node)
@@ -153,15 +158,41 @@ def parse(html: str) -> Node:
 
 
 def hidden(node: Node) -> bool:
-    if node.tag in HIDDEN:
-        return True
-    if not node.attrs or node.attrs.isspace():
-        return False
-    low = node.attrs.lower()
-    if "hidden" not in low and "display" not in low and "visibility" not in low and node.tag not in ("input", "dialog", "details"):
-        return False
-    a = _attributes(node.attrs)
-    return "hidden" in a or bool(INVISIBLE.search(a.get("style", ""))) or node.tag == "dialog" and "open" not in a
+    return node.gone or node.tag in HIDDEN
+
+
+def settle(root: Node) -> None:
+    """Marks what isn't drawn: display none, hidden unless a display is declared, closed dialogs, what a closed <details> has besides its summary. Visibility is inherited: the text of
+    an invisible element goes, a visible one inside stays."""
+    sheets, work = [], [root]
+    while work:
+        x = work.pop()
+        if x.tag == "style":
+            sheets.append("".join(c for c in x.items if isinstance(c, str)))
+        work += [c for c in reversed(x.items) if isinstance(c, Node)]
+    sheet = Sheet(sheets)
+    below = [(root, True)]
+    while below:
+        x, seen = below.pop()
+        a = _attributes(x.attrs) if x.attrs and not x.attrs.isspace() else {}
+        own = sheet.of(x.tag, a) if a or sheet.by else {}
+        display = own["display"][0] if "display" in own else ""
+        x.gone = display == "none" or not display and ("hidden" in a or x.tag == "dialog" and "open" not in a)
+        if x.gone or x.tag in HIDDEN:
+            continue
+        shown = own["visibility"][0] if "visibility" in own else ""
+        seen = shown == "visible" or shown == "initial" or seen and shown not in ("hidden", "collapse")
+        if not seen:
+            x.unseen, x.gone = True, x.tag in VOID and x.tag not in ("br", "hr")
+            x.items = [c for c in x.items if isinstance(c, Node)]
+        if x.tag == "details" and "open" not in a:
+            x.items = [c for c in x.items if isinstance(c, Node) and c.tag == "summary"][:1]
+        below += [(c, seen) for c in x.items if isinstance(c, Node)]
+
+
+def _wide(s: str) -> int:
+    """The columns that a text takes: two for wide characters, none for combining ones."""
+    return len(s) if s.isascii() else sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in s)
 
 
 class Page:
@@ -169,10 +200,10 @@ class Page:
 
     def __init__(self) -> None:
         self.out: list[str] = []
-        self.gap, self.space, self.indent = 0, False, ""
+        self.gap, self.space, self.indent, self.ends = 0, False, "", 0  # line ends since the last text in <pre>
 
     def want(self, n: int) -> None:
-        self.gap, self.space = max(self.gap, n), False
+        self.gap, self.space, self.ends = max(self.gap, n), False, 0
 
     def text(self, s: str) -> None:
         """Inline text; runs of white space are one space, none at a line's ends."""
@@ -191,7 +222,7 @@ class Page:
             self.out.append(("\n" * self.gap if self.out else "") + self.indent)
             self.gap = 0
         self.out.append(s)
-        self.space = False
+        self.space, self.ends = False, 0
 
     def lines(self, lines: list[str]) -> None:
         for x in lines:
@@ -293,7 +324,7 @@ def _lines(node: Node, tables: dict[int, list[str]]) -> list[str]:
             while down.get(at, 0):
                 at += 1
             row.append((at, text))
-            width[at] = max(width.get(at, 0), len(text) if wide == 1 else 0)
+            width[at] = max(width.get(at, 0), _wide(text) if wide == 1 else 0)
             if deep > 1:
                 taken.update(dict.fromkeys(range(at, at + wide), deep))
             at += wide
@@ -308,15 +339,21 @@ def _lines(node: Node, tables: dict[int, list[str]]) -> list[str]:
         if isinstance(row, str):
             lines.append(row)
             continue
-        line = ""
+        line, used = [], 0
         for k, text in row:
             if text:
-                line = line.ljust(max(start[k], len(line) + 2 if line else 0)) + text
+                at = max(start[k], used + 2 if line else 0)
+                line += [" " * (at - used), text]
+                used = at + _wide(text)
         if line:
-            lines.append(line)
+            lines.append("".join(line))
     return lines
 
 
+def _number(text: str | None, other: int) -> int:
+    return int(text) if text and re.fullmatch(r"\s*[-+]?[0-9]{1,9}\s*", text) else other
+
+
 def _walk(node: Node, page: Page, tables: dict[int, list[str]], pre: bool = False) -> None:
     """Writes what is visible in a node; tables inside are known by their lines."""
     work: list[tuple] = [("items", node, pre)]
@@ -324,11 +361,18 @@ def _walk(node: Node, page: Page, tables: dict[int, list[str]], pre: bool = Fals
         step, x, pre = work.pop()
         if step == "items":
             if x.tag in ("ol", "ul", "menu", "dir"):
-                number = int(v) if x.tag == "ol" and (v := _attributes(x.attrs).get("start", "1")).isdecimal() and len(v) < 10 else 1
+                a = _attributes(x.attrs) if x.tag == "ol" else {}
+                way = -1 if "reversed" in a else 1
+                number = _number(a.get("start"), sum(isinstance(c, Node) and c.tag == "li" and not hidden(c) for c in x.items) if way < 0 else 1)
                 kids = []
                 for c in x.items:
-                    kids.append(("item", (c, f"{number}. " if x.tag == "ol" else "- "), pre) if isinstance(c, Node) and c.tag == "li" else ("one", c, pre))
-                    number += isinstance(c, Node) and c.tag == "li"
+                    if isinstance(c, Node) and c.tag == "li":
+                        if x.tag == "ol" and "value" in c.attrs.lower():
+                            number = _number(_attributes(c.attrs).get("value"), number)
+                        kids.append(("item", (c, f"{number}. " if x.tag == "ol" else "- "), pre))
+                        number += 0 if hidden(c) else way
+                    else:
+                        kids.append(("one", c, pre))
                 work += reversed(kids)
             else:
                 work += [("one", c, pre) for c in reversed(x.items)]
@@ -342,7 +386,8 @@ def _walk(node: Node, page: Page, tables: dict[int, list[str]], pre: bool = Fals
                 continue
             page.want(1)
             before, page.indent = page.indent, page.indent
-            page.put(mark)
+            if not c.unseen:
+                page.put(mark)
             page.indent = before + " " * len(mark)
             page.marked = len(page.out)
             work += [("end", 1, pre), ("indent", before, pre), ("items", c, pre)]
@@ -350,10 +395,8 @@ def _walk(node: Node, page: Page, tables: dict[int, list[str]], pre: bool = Fals
             if pre:
                 for k, line in enumerate(unescape(x).replace("\r\n", "\n").split("\n")):
                     if k:
-                        if page.gap == 0:
-                            page.gap = 1
-                        else:
-                            page.gap = min(page.gap + 1, 2) if page.out else 0
+                        page.ends += 1
+                        page.gap = max(page.gap, page.ends)
                     if line.strip():
                         page.put(line.rstrip())
             else:
@@ -394,6 +437,7 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    settle(root)
     found, work = [], [root]
     while work:
         x = work.pop()
@@ -412,8 +456,8 @@ def render_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """page_id, text for each row: what a reader sees of its whole html, in order.
 
     Blocks stand on lines of their own, paragraphs and the like behind a blank one; items have a dash or a number and are indented by
-    depth; table cells are aligned in columns; white space is one space but in <pre>. Scripts, styles, the head, hidden and invisible
-    elements and comments are left out; the head ends at the first text or tag that can't stand in it. What a table holds outside of cells
+    depth; table cells are aligned in columns; white space is one space but in <pre>. Scripts, styles, the head, comments and elements that are hidden or invisible,
+    by their own attributes or by rules of <style> for tags, classes and ids, are left out, as is the body of a closed <details>; the head ends at the first text or tag that can't stand in it. What a table holds outside of cells
     stands before it. Broken html never fails: open tags end with the page. Null gives an empty text. Repeated rows
     stay; other columns are ignored.
     """
