@@ -39,14 +39,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row's size is its number of words, 0 for null and empty texts. Its source's whole epochs take all of it each time; what is left of the
     target goes to rows by the key -ln(u) / weight, u from a hash of the id, the least first, and the row that crosses the end gives the words
-    still wanted. So a source's taken words are its target, rounded. A null source is a source; null ids share one u. Rows that repeat
+    still wanted. So a source's taken words are its target, rounded. A null source is a source; rows without an id have u from their text. Rows that repeat
     an id count one by one; reruns agree. A column that tells rows apart (row_col, as `row`) is handed through; others are ignored.
 
     A source's rows are never sorted in one task: sums over RANGES ranges in each octave of the key, of which none holds more than about 0.2 % of the rows at
     any scale of weights, find the range that holds the end, sums over FINER ranges in it the finer one, and only that is sorted. The sources' own table has one row each
     and is ordered in one task: thousands of sources, not one for each document.
     """
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.coalesce(F.sha2(F.col(text_col), 256), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(seed), name).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1) / float((1 << 52) + 2)
     key = -F.log(u) / (quality(F.col(text_col)) if weight is None else F.greatest(weight, F.lit(1e-6)))
     own = [] if row_col is None else [F.col(row_col).alias("row")]

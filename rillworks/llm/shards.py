@@ -104,7 +104,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     A group's rows are dealt into parts, whatever their ids are; parts are counted and placed, and only a part's rows are ordered in one task.
     """
     text = F.col(text_col)
-    name = F.coalesce(F.md5(text.cast("binary")), F.md5(F.lit("null text").cast("binary")))
+    name = F.coalesce(F.md5(text.cast("binary")), F.lit("null"))  # no MD5 reads so
     part = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(salts(docs.count()))).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), name.alias("name"))
     rows = stored(rows.withColumn("part", part), "rows")
@@ -117,7 +117,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     sums = groups.groupBy(block.alias("block")).agg(F.sum("bytes").alias("b"), F.sum("n").alias("k"))
     sums = sums.select("block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("b", "k")))
     inside = W.partitionBy("block").orderBy("name").rowsBetween(W.unboundedPreceding, 0)
-    groups = groups.withColumn("block", block).join(F.broadcast(sums), "block")  # at most 16 ** DIGITS rows
+    groups = groups.withColumn("block", block).join(F.broadcast(sums), "block")  # at most 16 ** DIGITS + 1 rows
     groups = groups.withColumn("upto", F.col("b") + F.sum("bytes").over(inside)).withColumn("rank", F.col("k") + F.sum("n").over(inside) - F.col("n"))
     number = sum((F.when(F.col("upto") > c, 1).otherwise(0) for c in cuts[:-1]), F.lit(0))
     groups = stored(groups.select("name", "rank", number.cast("int").alias("shard")), "places")

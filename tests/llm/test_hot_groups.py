@@ -80,3 +80,20 @@ def test_large_blocks_join_near_copies_first(spark, monkeypatch, seed):
     out = jaccard_join.jaccard_components(df).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute.components(rows)
     assert len(calls) == 2
+
+
+def test_null_texts_are_no_text_that_reads_so(spark):
+    rows = [(i, None) for i in range(5)] + [(9, "null text"), (10, "null"), (11, "")] + [(20 + i, f"t{i}") for i in range(4)]
+    out = {r.doc_id: r.shard for r in shards.shard(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()}
+    assert len({out[i] for i in range(5)}) == 1 and out[0] not in (out[9], out[10], out[11])
+
+
+def test_rows_without_ids_spread_over_the_mix(spark):
+    rows = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w w w x"), "id").alias("text"), F.when(F.col("id") < 600, "a").otherwise("b").alias("source"))
+    out = mix_sources.mix_sources(rows).collect()
+    for source in "ab":
+        own = [r for r in out if r.source == source]
+        assert sum(r.taken for r in own) == round(own[0].target)
+        assert sum(0 < r.taken - r.epochs * r["size"] < r["size"] for r in own) <= 1
+    again = sorted((r.source, r["size"], r.taken) for r in mix_sources.mix_sources(rows.repartition(3)).collect())
+    assert again == sorted((r.source, r["size"], r.taken) for r in out)

@@ -139,7 +139,7 @@ def test_shards(spark):
     groups = {}
     for i, r in out.items():
         groups[text[i]] = groups.get(text[i], 0) + r["size"]
-    name = lambda t: hashlib.md5((t if t is not None else "null text").encode()).hexdigest()
+    name = lambda t: hashlib.md5(t.encode()).hexdigest() if t is not None else "null"
     sizes = [n for _, n in sorted((name(t), n) for t, n in groups.items())]
     largest = max(sum(r["size"] for r in out.values() if r.shard == s) for s in by_shard)
     assert largest == least_capacity(sizes, 8)
