@@ -23,6 +23,12 @@ def _d(name: str) -> Column:
     return _c(name).cast("double")
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places, halves away from zero, as SQL engines round doubles: the scaled double decides what is a half, not x in decimal digits, so 0.85 * 9 (7.6499999999999995) to one place is 7.7."""
+    scale = float(10**places)
+    return F.round(x * scale, 0) / scale
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """top / bottom; null where bottom isn't positive."""
     return F.when(bottom > 0, top / bottom)
@@ -31,7 +37,7 @@ def ratio(top: Column, bottom: Column) -> Column:
 def _guarded(bad: Column, message: str, value: Column, verdict: Column, otherwise: str | None = None) -> Column:
     """value to four places, verdict from the value before rounding, error."""
     return F.struct(
-        F.when(~bad, F.round(value, 4)).alias("value"), F.when(bad, F.lit(otherwise)).otherwise(verdict).alias("verdict"), F.when(bad, F.lit(message)).alias("error")
+        F.when(~bad, rounded(value, 4)).alias("value"), F.when(bad, F.lit(otherwise)).otherwise(verdict).alias("verdict"), F.when(bad, F.lit(message)).alias("error")
     )
 
 
@@ -41,7 +47,7 @@ def altman_z(wc="working_capital", ta="total_assets", re="retained_earnings", eb
     x = [ratio(_d(wc), a), ratio(_d(re), a), ratio(_d(ebit), a), F.coalesce(ratio(_d(mc), _d(tl)), F.lit(0.0)), ratio(_d(revenue), a)]
     z = sum((F.lit(w) * t for w, t in zip((1.2, 1.4, 3.3, 0.6, 1.0), x)), F.lit(0.0))
     band = F.when(z > Z_SAFE, "SAFE").when(z >= Z_GREY, "GREY").when(z.isNotNull(), "DISTRESS")
-    return _guarded(~F.coalesce(a > 0, F.lit(False)), "total assets must be positive", z, band).withField("terms", F.struct(*(F.round(t, 4).alias(f"x{i}") for i, t in enumerate(x, 1))))
+    return _guarded(~F.coalesce(a > 0, F.lit(False)), "total assets must be positive", z, band).withField("terms", F.struct(*(rounded(t, 4).alias(f"x{i}") for i, t in enumerate(x, 1))))
 
 
 def _coverage(v: Column) -> Column:
@@ -64,7 +70,7 @@ def pro_forma_dscr(cfo="cfo", existing="annual_debt_service", amount="loan_amoun
     error = error.when(~F.coalesce(_d(rate) > 0, F.lit(False)), "rate must be positive").when(~F.coalesce(_d(amount) > 0, F.lit(False)), "amount must be positive")
     ok = error.isNull()
     verdict = F.when(~F.coalesce(_d(cfo) > 0, F.lit(False)), "REJECT").when(ok, _coverage(v))
-    return F.struct(F.when(ok, F.round(v, 4)).alias("value"), verdict.alias("verdict"), error.alias("error"), F.when(ok, F.round(12 * payment, 2)).alias("annual_payment"), F.when(ok, F.round(service, 2)).alias("total_service"))
+    return F.struct(F.when(ok, rounded(v, 4)).alias("value"), verdict.alias("verdict"), error.alias("error"), F.when(ok, rounded(12 * payment, 2)).alias("annual_payment"), F.when(ok, rounded(service, 2)).alias("total_service"))
 
 
 def debt_to_equity(debt="total_debt", equity="total_equity") -> Column:
@@ -73,7 +79,7 @@ def debt_to_equity(debt="total_debt", equity="total_equity") -> Column:
     band = F.lit(None).cast("string")
     for most, name in reversed(DEBT_BANDS):
         band = F.when(v <= most, name).otherwise(F.lit("CRITICAL") if name == "HIGH" else band)
-    return F.struct(F.round(v, 4).alias("value"), F.when(v.isNull(), "CRITICAL").otherwise(band).alias("verdict"), F.lit(None).cast("string").alias("error"))
+    return F.struct(rounded(v, 4).alias("value"), F.when(v.isNull(), "CRITICAL").otherwise(band).alias("verdict"), F.lit(None).cast("string").alias("error"))
 
 
 def quick_ratio(cash="cash_and_equivalents", invested="short_term_investments", receivable="accounts_receivable", owed="current_liabilities") -> Column:
@@ -90,11 +96,11 @@ def ltv(amount="loan_amount", value="collateral_value", kind="collateral_type")
     v = ratio(_d(amount), _d(value))
     bad = ~F.coalesce((_d(amount) > 0) & (_d(value) > 0), F.lit(False))
     verdict = F.when(bad, "ERROR").when(v <= ceiling, "SAFE").when(v <= ceiling * MARGIN, "MARGINAL").otherwise("BREACH")
-    return F.struct(F.when(~bad, F.round(v, 4)).alias("value"), verdict.alias("verdict"), F.when(bad, "amount and collateral must be positive").alias("error"), F.when(~bad, F.round(_d(value) * ceiling, 2)).alias("max_safe_loan"))
+    return F.struct(F.when(~bad, rounded(v, 4)).alias("value"), verdict.alias("verdict"), F.when(bad, "amount and collateral must be positive").alias("error"), F.when(~bad, rounded(_d(value) * ceiling, 2)).alias("max_safe_loan"))
 
 
 def _simple(top: Callable[[], Column], bottom: Callable[[], Column]) -> Callable[[], Column]:
-    return lambda: F.round(ratio(top(), bottom()), 4)
+    return lambda: rounded(ratio(top(), bottom()), 4)
 
 
 #: Name to a column of the ratio, to four places; null where the denominator isn't positive.
@@ -102,7 +108,7 @@ FORMULAS: dict[str, Callable[..., Column]] = {
     "altman_z": altman_z, "dscr": dscr, "pro_forma_dscr": pro_forma_dscr, "debt_to_equity": debt_to_equity, "quick_ratio": quick_ratio, "ltv": ltv,
     "current_ratio": _simple(lambda: _d("current_assets"), lambda: _d("current_liabilities")),
     "cash_ratio": _simple(lambda: _d("cash_and_equivalents"), lambda: _d("current_liabilities")),
-    "net_working_capital": lambda: F.round(_d("current_assets") - _d("current_liabilities"), 2),
+    "net_working_capital": lambda: rounded(_d("current_assets") - _d("current_liabilities"), 2),
     "debt_to_assets": _simple(lambda: _d("total_debt"), lambda: _d("total_assets")),
     "liabilities_to_assets": _simple(lambda: _d("total_liabilities"), lambda: _d("total_assets")),
     "net_debt_to_ebitda": _simple(lambda: _d("total_debt") - _d("cash_and_equivalents"), lambda: _d("ebitda")),
@@ -115,11 +121,11 @@ FORMULAS: dict[str, Callable[..., Column]] = {
     "days_sales": _simple(lambda: _d("accounts_receivable") * DAYS, lambda: _d("revenue")),
     "days_inventory": _simple(lambda: _d("inventory") * DAYS, lambda: _d("cost_of_sales")),
     "days_payable": _simple(lambda: _d("accounts_payable") * DAYS, lambda: _d("cost_of_sales")),
-    "cash_cycle": lambda: F.round(ratio(_d("accounts_receivable") * DAYS, _d("revenue")) + ratio(_d("inventory") * DAYS, _d("cost_of_sales")) - ratio(_d("accounts_payable") * DAYS, _d("cost_of_sales")), 4),
+    "cash_cycle": lambda: rounded(ratio(_d("accounts_receivable") * DAYS, _d("revenue")) + ratio(_d("inventory") * DAYS, _d("cost_of_sales")) - ratio(_d("accounts_payable") * DAYS, _d("cost_of_sales")), 4),
     "asset_turnover": _simple(lambda: _d("revenue"), lambda: _d("total_assets")),
     "interest_coverage": _simple(lambda: _d("ebit"), lambda: _d("interest_expense")),
-    "debt_capacity": lambda: F.round(_d("cfo") / COVERED, 2),
-    "debt_surplus": lambda: F.round(_d("cfo") - _d("annual_debt_service"), 2),
+    "debt_capacity": lambda: rounded(_d("cfo") / COVERED, 2),
+    "debt_surplus": lambda: rounded(_d("cfo") - _d("annual_debt_service"), 2),
     "collateral_coverage": _simple(lambda: _d("collateral_value"), lambda: _d("loan_amount")),
     "haircut_coverage": _simple(lambda: _d("collateral_value") * (1 - _d("haircut")), lambda: _d("loan_amount")),
 }
@@ -147,7 +153,7 @@ def rule_score(z="altman_z_score", cover="dscr", pro="pro_forma_dscr", debt="deb
 
 def final_score(rule: Column, qualitative: Column) -> Column:
     """Qualitative points count up to 20, the sum up to 100."""
-    return F.round(F.least(rule + F.least(F.coalesce(qualitative, F.lit(0.0)), F.lit(20.0)), F.lit(100.0)), 2)
+    return rounded(F.least(rule + F.least(F.coalesce(qualitative, F.lit(0.0)), F.lit(20.0)), F.lit(100.0)), 2)
 
 
 def route_authority(score: Column, loan: Column) -> Column:
@@ -163,7 +169,7 @@ def risk_level(score: Column) -> Column:
 def covenants(cover: Column, pro: Column, debt: Column, quick: Column, authority: Column) -> Column:
     """A coverage of 0 counts as missing here, and the pro-forma one stands in."""
     used = F.coalesce(F.nullif(cover, F.lit(0.0)), pro)
-    limit = F.greatest(F.round(debt * 0.85, 1), F.lit(2.0))
+    limit = F.greatest(rounded(debt * 0.85, 1), F.lit(2.0))
     more = F.coalesce(authority.isin("STANDARD_AUDIT", "CREDIT_COMMITTEE", "DECLINE_RECOMMENDED"), F.lit(False))
     return F.array_compact(F.array(
         F.when(used < 1.5, "Keep DSCR at 1.20 or more, tested yearly on audited accounts"),
@@ -184,4 +190,4 @@ def convert_currency(amount: Column, source: Column, target: Column) -> Column:
     """By way of the dollar, to two places; an unknown code is an error."""
     rate = F.create_map(*(F.lit(x) for kv in RATES.items() for x in kv))
     a, b = (F.try_element_at(rate, F.coalesce(x, F.lit(""))) for x in (source, target))
-    return F.struct(F.round(amount / a * b, 2).alias("amount"), F.when(a.isNull() | b.isNull(), "unknown currency").alias("error"))
+    return F.struct(rounded(amount / a * b, 2).alias("amount"), F.when(a.isNull() | b.isNull(), "unknown currency").alias("error"))
