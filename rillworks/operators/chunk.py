@@ -5,7 +5,10 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -185,23 +188,31 @@ def fixed_splitter(separator: str = "\n\n", most: int = 1000) -> Splitter:
     return run
 
 
-def split_text(rows: DataFrame, splitter: Splitter, text: str = "text", into: str = "chunk") -> DataFrame:
-    """A row for each chunk: the row's other columns, chunk_no from 0, and the chunk."""
-    keep = [f for f in rows.schema.fields if f.name != text]
-    schema = T.StructType([*keep, T.StructField("chunk_no", T.IntegerType()), T.StructField(into, T.StringType())])
+#: Bytes of texts that are cut at once.
+TEXTS = 1 << 20
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parts = [splitter(x) if isinstance(x, str) else [] for x in frame[text]]
+def split_batches(batches: Iterator[pa.RecordBatch], splitter: Splitter, text: str, into: str) -> Iterator[pa.RecordBatch]:
+    """The chunks of Arrow batches of rows, some rows at a time, so that a task holds the batch and the chunks of `TEXTS` bytes of it, or of one longer text."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        keep = [n for n in b.schema.names if n != text]
+        begins = np.flatnonzero(np.r_[True, np.diff(np.cumsum(size) // TEXTS) > 0]) if len(b) else []
+        for lo, hi in zip(begins, [*begins[1:], len(b)]):
+            rows = b.slice(lo, hi - lo)
+            parts = [splitter(x) if isinstance(x, str) else [] for x in rows.column(text).to_pylist()]
             if not any(parts):
                 continue
-            rest = frame.drop(columns=[text])
-            out = rest.loc[rest.index.repeat([len(p) for p in parts])].reset_index(drop=True)
-            out["chunk_no"] = [i for p in parts for i in range(len(p))]
-            out[into] = [x for p in parts for x in p]
-            yield out[[f.name for f in schema.fields]]
+            at = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+            number = pa.array([i for p in parts for i in range(len(p))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(rows.column(n).take(at) for n in keep), number, pa.array([x for p in parts for x in p], pa.string())], names=[*keep, "chunk_no", into])
 
-    return rows.mapInPandas(run, schema)
+
+def split_text(rows: DataFrame, splitter: Splitter, text: str = "text", into: str = "chunk") -> DataFrame:
+    """A row for each chunk: the row's other columns, chunk_no from 0, and the chunk."""
+    keep = [f for f in rows.schema.fields if f.name != text]
+    schema = T.StructType([*keep, T.StructField("chunk_no", T.IntegerType()), T.StructField(into, T.StringType())])
+    return rows.mapInArrow(lambda batches: split_batches(batches, splitter, text, into), schema)
 
 
 def table_blocks(rows: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
