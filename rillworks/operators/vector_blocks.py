@@ -18,6 +18,8 @@ QUERIES = 4096
 SCORES = 1 << 22
 #: Rows of a tile of a similarity matrix.
 TILE = 2048
+#: Rows of a strip of tiles at most, and strips at least: a task holds two strips, and each tile goes to one task for each strip.
+STRIP, STRIPS = 1 << 14, 16
 
 
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -309,8 +311,8 @@ def similarity_matrix(points: DataFrame, least: float, tile: int = TILE, sample:
 
     Points are ordered by the nearest of some directions, learned from a sample of at most about `sample` rows, and cut into tiles of some `tile`
     rows; any order gives the same pairs, a good one makes tiles narrow. A tile has a centre and the widest angle to it, so a pair of tiles whose
-    centres are too far apart for `least` is never formed. The rest are dealt to tasks pair by pair, each a product of two matrices; equal ids pair
-    with no one. A direction with a third of all points is cut into as many tiles as it needs.
+    centres are too far apart for `least` is never formed. The rest are dealt to tasks by pairs of strips of tiles, each pair of tiles a product of two
+    matrices; equal ids pair with no one. A direction with a third of all points is cut into as many tiles as it needs.
     """
     if not -1 <= least <= 1:
         raise ValueError("a cosine lies between -1 and 1")
@@ -347,29 +349,46 @@ def similarity_matrix(points: DataFrame, least: float, tile: int = TILE, sample:
     # tiles are read for pairs and for each side
     packed = cut(placed.withColumn("tile", number).groupBy("tile").applyInArrow(pack, f"tile long, ids array<{kind}>, x binary, centre array<double>, wide double"), "tiles")
     close = close_tiles(packed.select("tile", "centre", "wide"), tiles, least)
-    for side in ("i", "j"):
-        close = close.join(packed.select(F.col("tile").alias(side), F.col("ids").alias(f"ids_{side}"), F.col("x").alias(f"x_{side}")), side)
+    strip = max(1, min(STRIP // tile, math.ceil(tiles / STRIPS)))
+    dealt = dealt_tiles(packed, cut(close, "close"), strip)
+
+    def product(left: tuple[pa.Array, np.ndarray], right: tuple[pa.Array, np.ndarray], same: bool) -> Iterator[pa.RecordBatch]:
+        (a, x), (b, y) = left, right
+        for s in slices(len(x), len(y)) if x.shape[1] == y.shape[1] else ():
+            got = np.round(x[s] @ y.T, 6)
+            p, q = np.nonzero(got >= least)
+            if same:
+                p, q = p[q > p + s.start], q[q > p + s.start]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([a.take(pa.array(p + s.start)), b.take(pa.array(q)), pa.array(got[p, q])], names=["a", "b", "cosine"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
         for b in batches:
             for r in range(len(b)):
-                ids = [b.column(f"ids_{s}").slice(r, 1).flatten() for s in "ij"]
-                x, y = (np.frombuffer(b.column(f"x_{s}")[r].as_py(), np.float64).reshape(len(v), -1) for s, v in zip("ij", ids))
-                if x.shape[1] != y.shape[1]:
-                    continue
-                same = b.column("i")[r].as_py() == b.column("j")[r].as_py()
-                for s in slices(len(x), len(y)):
-                    got = np.round(x[s] @ y.T, 6)
-                    p, q = np.nonzero(got >= least)
-                    if same:
-                        p, q = p[q > p + s.start], q[q > p + s.start]
-                    left, right = ids[0].take(pa.array(p + s.start)), ids[1].take(pa.array(q))
-                    yield pa.RecordBatch.from_arrays([left, right, pa.array(got[p, q])], names=["a", "b", "cosine"])
-
-    found = close.select("i", "j", "ids_i", "x_i", "ids_j", "x_j").mapInArrow(multiply, f"a {kind}, b {kind}, cosine double").where("a != b")
+                here, i, others = (b.column("si")[r].as_py(), b.column("sj")[r].as_py()), b.column("tile")[r].as_py(), b.column("others")[r].as_py()
+                if here != cell:
+                    cell, held = here, {}
+                if others is None:
+                    ids = b.column("ids").slice(r, 1).flatten()
+                    held[i] = ids, np.frombuffer(b.column("x")[r].as_py(), np.float64).reshape(len(ids), -1)
+                for j in others or ():
+                    yield from product(held[i], held[j], i == j)
+
+    cells = math.ceil(tiles / strip) * (math.ceil(tiles / strip) + 1) // 2
+    dealt = dealt.repartition(max(1, min(cells, 1 << 15)), "si", "sj").sortWithinPartitions("si", "sj", F.col("others").isNotNull(), "tile")
+    found = dealt.mapInArrow(multiply, f"a {kind}, b {kind}, cosine double").where("a != b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
 
 
+def dealt_tiles(packed: DataFrame, close: DataFrame, strip: int) -> DataFrame:
+    """si, sj, tile, others, ids, x: for each two strips of `strip` tiles that have close tiles (i, j), each of these once, then for each first tile the others that it meets; so a tile is copied once for each strip, not for each tile near it."""
+    at = [F.floor(F.col(c) / strip).alias(f"s{c}") for c in "ij"]
+    pairs = close.groupBy(*at, F.col("i").alias("tile")).agg(F.collect_list("j").alias("others"))  # at most a strip's tiles
+    wanted = close.select(*at, F.explode(F.array("i", "j")).alias("tile")).distinct()
+    return wanted.join(packed.select("tile", "ids", "x"), "tile").select("si", "sj", "tile", F.lit(None).cast("array<bigint>").alias("others"), "ids", "x").unionByName(pairs, allowMissingColumns=True)
+
+
 def close_tiles(heads: DataFrame, n: int, least: float) -> DataFrame:
     """i, j: the pairs of n tiles (tile, centre, wide), i <= j, whose vectors may have a cosine of `least`: the angle of their centres less the widest angles to them isn't beyond it."""
     pairs = heads.select(F.col("tile").alias("i"), F.explode(F.sequence("tile", F.lit(max(0, n - 1)).cast("long"))).alias("j"))
