@@ -30,7 +30,7 @@ def assess(rows: DataFrame, qualitative: str | Column | None = None) -> DataFram
 
 def map_concepts(facts: DataFrame, ontology: DataFrame, label: str = "label") -> DataFrame:
     """concept of each fact by its label, regardless of case and outer space; null where the ontology (alias, concept) has none."""
-    names = ontology.select(F.lower(F.trim("alias")).alias("_alias"), "concept").dropDuplicates(["_alias"])
+    names = small(ontology.select(F.lower(F.trim("alias")).alias("_alias"), "concept").dropDuplicates(["_alias"]))
     return facts.join(names, F.lower(F.trim(F.col(label))) == F.col("_alias"), "left").drop("_alias")
 
 
@@ -42,7 +42,7 @@ def facts_to_wide(facts: DataFrame, concepts: Sequence[str]) -> DataFrame:
 
 def provenance(inputs: DataFrame, facts: DataFrame) -> DataFrame:
     """For each company, period and metric of inputs (metric, concept): the facts that it was computed from, ordered by concept."""
-    joined = facts.join(inputs, "concept")
+    joined = facts.join(small(inputs), "concept")
     items = F.array_sort(F.collect_list(F.struct("concept", "fact_id", "page", "value")))
     return joined.groupBy("company", "period", "metric").agg(items.alias("inputs"))
 
