@@ -144,6 +144,87 @@ def nearest(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return top_ranked(union(parts, kinds, points), k)
 
 
+#: Pairs of a task, about, and of a batch that it returns.
+TASK_PAIRS, BATCH_PAIRS = 1 << 22, 1 << 17
+
+
+def plain(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each width the vectors of a list column in double precision, as they are, and the numbers of their rows. Null vectors and those with nulls are left out."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n, flat = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), column.flatten()
+    whole = column.is_valid().to_numpy(zero_copy_only=False).copy()
+    whole[np.repeat(np.arange(len(n)), n)[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+    values, begins, out = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False), np.cumsum(n) - n, {}
+    for width in np.unique(n[whole]).tolist():
+        rows = np.flatnonzero(whole & (n == width))
+        out[width] = values[begins[rows][:, None] + np.arange(width)], rows
+    return out
+
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as SQL rounds doubles: the scaled double to the nearest integer, halves away from zero; as it is where scaling overflows."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scaled = x * 10.0**digits
+        whole = np.rint(scaled)
+        half = np.abs(scaled - whole) == 0.5
+        if half.any():
+            whole[half] = np.trunc(scaled[half]) + np.copysign(1.0, scaled[half])
+        whole /= 10.0**digits
+        return np.where(np.isfinite(whole), whole, x) + 0.0  # no negative zero
+
+
+def _distances(x: np.ndarray, y: np.ndarray, dots: np.ndarray) -> np.ndarray:
+    """From the products where the vectors are far apart for their lengths, else from their differences, as digits would cancel out."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        sums = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)
+        squares = sums - 2 * dots
+        i, j = np.nonzero(~((squares > 1e-3 * sums) & (sums < np.inf)))
+        step = max(1, (1 << 20) // max(1, x.shape[1]))
+        for s in range(0, len(i), step):
+            at = i[s : s + step], j[s : s + step]
+            squares[at] = ((x[at[0]] - y[at[1]]) ** 2).sum(axis=1)
+        return np.sqrt(squares)
+
+
+def similarities(queries: DataFrame, points: DataFrame, digits: int = 5) -> DataFrame:
+    """a, b, cosine, dot, euclid of each query (query_id: a, vector) and each point (doc_id: b, vector) of another id.
+
+    A block of queries goes to all tasks as one matrix; points are dealt so that a task has some four million pairs, however few files hold them, and
+    returns them in batches of bounded size. The cosine of a zero vector is null, as is all of null vectors, of those with nulls and of two widths.
+    """
+    kinds = f"a {queries.schema['query_id'].dataType.simpleString()}, b {points.schema['doc_id'].dataType.simpleString()}, cosine double, dot double, euclid double"
+    rows, n, parts = points.select("doc_id", "vector"), points.count(), []
+    for block in query_blocks(queries.select("query_id", "vector")):
+        names, sides = block["query_id"].combine_chunks(), plain(block["vector"])
+
+        def run(batches: Iterator[pa.RecordBatch], names: pa.Array = names, sides: dict = sides) -> Iterator[pa.RecordBatch]:
+            m = len(names)
+            step = max(1, BATCH_PAIRS // max(1, m))
+            for b in batches:
+                for lo in range(0, len(b), step):
+                    part = b.slice(lo, step)
+                    got, known = np.full((3, len(part), m), np.nan), np.zeros((2, len(part), m), bool)
+                    for width, (x, own) in plain(part.column("vector")).items():
+                        if width in sides:
+                            y, at = sides[width]
+                            with np.errstate(over="ignore", invalid="ignore"):
+                                dots = x @ y.T
+                                norms = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1))
+                                cosines = dots / np.where(norms == 0, np.nan, norms)
+                            cells = np.ix_(own, at)
+                            known[0][cells], known[1][cells] = norms != 0, True
+                            for i, x_ in enumerate((cosines, dots, _distances(x, y, dots))):
+                                got[i][cells] = rounded(x_, digits)
+                    point, query = pa.array(np.repeat(np.arange(len(part)), m)), pa.array(np.tile(np.arange(m), len(part)))
+                    values = [pa.array(x.ravel(), mask=~known[min(i, 1)].ravel()) for i, x in enumerate(got)]
+                    yield pa.RecordBatch.from_arrays([names.take(query), part.column("doc_id").take(point), *values], names=["a", "b", "cosine", "dot", "euclid"])
+
+        if len(names):
+            parts.append(rows.repartition(max(1, min(1 << 15, math.ceil(n * len(names) / TASK_PAIRS)))).mapInArrow(run, kinds))
+    return union(parts, kinds, points).where("a != b")
+
+
 #: Query postings of one pass, about, and numbers of a block's matrix of terms and queries.
 POSTINGS, CELLS = 1 << 14, 1 << 22
 

@@ -159,10 +159,7 @@ def v2_norms(spark: SparkSession, d: str) -> DataFrame:
 
 def v3_v4_similarities(spark: SparkSession, d: str) -> DataFrame:
     """Cosine, dot product and distance of every hundredth vector to all others."""
-    a = points(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("a"), F.col("vector").alias("x"))
-    b = points(spark, d).select(F.col("doc_id").alias("b"), F.col("vector").alias("y"))
-    pairs = b.join(s.small(a), F.col("a") != F.col("b"))
-    return pairs.select("a", "b", F.round(v.cosine(F.col("x"), F.col("y")), 5).alias("cosine"), F.round(v.dot(F.col("x"), F.col("y")), 5).alias("dot"), F.round(v.euclid(F.col("x"), F.col("y")), 5).alias("euclid"))
+    return vb.similarities(dense_queries(spark, d), points(spark, d))
 
 
 def v4_similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
