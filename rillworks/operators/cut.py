@@ -22,3 +22,8 @@ def cut(rows: DataFrame, name: str = "rows") -> DataFrame:
     path = scratch(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that grow with the graph: a join with them is by shuffles. Files of little size may hold many rows, so the planner would send them whole through the driver, in each round again."""
+    return rows.hint("merge")

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, spread
 
 
 def build_graph(triples: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     both = both.unionByName(both.groupBy("src").agg((F.sum("weight") / 2).alias("weight")).select("src", F.col("src").alias("dst"), "weight"))
     labels = both.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct()
     for _ in range(rounds):
-        votes = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("v"))
+        votes = both.join(spread(labels.select(F.col("id").alias("dst"), "community")), "dst").groupBy("src", "community").agg(F.sum("weight").alias("v"))
         best = F.row_number().over(W.partitionBy("src").orderBy(F.desc("v"), "community"))
         labels = cut(votes.withColumn("k", best).where("k = 1").select(F.col("src").alias("id"), "community"))
     return labels
@@ -54,12 +54,12 @@ def community_levels(edges: DataFrame, levels: int = 3, rounds: int = 5) -> Data
     labels = cut(communities(edges, rounds), "level")
     out = labels.select("id", F.lit(0).alias("level"), "community")
     for level in range(1, levels):
-        ends = edges.join(labels.select(F.col("id").alias("src"), F.col("community").alias("_a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("_b")), "dst")
+        ends = edges.join(spread(labels.select(F.col("id").alias("src"), F.col("community").alias("_a"))), "src").join(spread(labels.select(F.col("id").alias("dst"), F.col("community").alias("_b"))), "dst")
         between = cut(ends.where("_a != _b").groupBy("_a", "_b").agg(F.sum("weight").alias("weight")).select(F.col("_a").alias("src"), F.col("_b").alias("dst"), "weight"), "between")
         if between.isEmpty():
             break
         above = communities(between, rounds).select(F.col("id").alias("community"), F.col("community").alias("_up"))
-        labels = cut(labels.join(above, "community", "left").select("id", F.coalesce("_up", "community").alias("community")), "level")
+        labels = cut(labels.join(spread(above), "community", "left").select("id", F.coalesce("_up", "community").alias("community")), "level")
         out = out.unionByName(labels.select("id", F.lit(level).alias("level"), "community"))
     up = out.select("id", (F.col("level") - 1).alias("level"), F.col("community").alias("parent"))
     return out.join(up, ["id", "level"], "left").select("id", "level", "community", "parent")
@@ -67,7 +67,7 @@ def community_levels(edges: DataFrame, levels: int = 3, rounds: int = 5) -> Data
 
 def community_report(labels: DataFrame, edges: DataFrame, top: int = 3) -> DataFrame:
     """community, nodes, inner edges, and its members of highest degree."""
-    ends = edges.join(labels.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
+    ends = edges.join(spread(labels.select(F.col("id").alias("src"), F.col("community").alias("a"))), "src").join(spread(labels.select(F.col("id").alias("dst"), F.col("community").alias("b"))), "dst")
     inner = ends.where("a = b").groupBy(F.col("a").alias("community")).agg(F.count("*").alias("n_edges"))
     degree = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     # the limit stands apart from the count, so that tasks pass on the first few of a community only
