@@ -52,8 +52,9 @@ class Best:
     """The k best (query, id, score) of each query so far; ties go to the lower id, a null id first."""
 
     def __init__(self, k: int, n_queries: int) -> None:
-        self.k, self.most = k, 8 * k * max(1, n_queries)
+        self.k, self.most = k, 3 * k * max(1, n_queries)
         self.query, self.score, self.ids, self.size = [], [], [], 0
+        self.least = np.full(n_queries, -np.inf)  # the k-th best as of the last cut
 
     def add(self, ids: pa.Array, scores: np.ndarray, queries: np.ndarray | None = None) -> None:
         """scores: a row for each id, a column for each query, or each of `queries`. What lies below a query's k-th best of these is passed over; of equal ones at the k-th place only the lowest ids go on."""
@@ -61,7 +62,8 @@ class Best:
             return
         k = min(self.k, len(ids))
         kth = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k]
-        row, query = np.nonzero((scores >= kth) & (scores > -np.inf))
+        least = self.least if queries is None else self.least[queries]
+        row, query = np.nonzero((scores >= np.maximum(kth, least)) & (scores > -np.inf))
         if len(row) > 2 * k * scores.shape[1]:
             rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
             row, query = _first(k, query, scores[row, query], rank[row], row)
@@ -77,6 +79,9 @@ class Best:
         rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
         at, query = _first(self.k, query, score, rank, np.arange(len(query)))
         self.query, self.score, self.ids, self.size = [query], [score[at]], [ids.take(pa.array(at))], len(at)
+        last = np.flatnonzero(np.append(query[1:] != query[:-1], True)) if len(query) else np.zeros(0, np.int64)
+        full = np.diff(last, prepend=-1) == self.k  # in order of query and falling score
+        self.least[query[last[full]]] = score[at][last[full]]
 
     def batch(self, query_ids: pa.Array) -> pa.RecordBatch | None:
         if not self.size:

@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vector_blocks import Best, matrix, query_blocks, sampled, slices, spherical_kmeans, top_ranked, union
+from .vector_blocks import QUERIES, Best, matrix, query_blocks, sampled, slices, spherical_kmeans, top_ranked, union
 
 #: Vectors, about, that the quantisers learn from, and that calibration asks with. Both are bounds for any number of points.
 SAMPLE, ASKED = 1 << 16, 256
 CELLS = 4096
 #: Candidates of a block of queries up to which they are sent to all tasks.
 FEW = 1 << 20
+#: Candidates that a task keeps for a block of queries, so a block has the fewer queries the more each keeps.
+KEPT = 1 << 18
 _MODEL = "width int, centres binary, edges array<int>, books array<binary>, probes int"
 
 
@@ -138,33 +140,32 @@ def search_index(queries: DataFrame, at: str, k: int, probes: int | None = None,
 
     A query visits the lists of its `probes` nearest cells, by default as many as calibration found; only those folders are read, and of them the
     codes. Table look-ups give each code's product with the query, and the rerank * k best are scored again by their vectors. A block of queries
-    is one pass over its lists; tasks return rerank * k rows a query at most. Reading vectors takes a second pass over the same lists.
+    is one pass over its lists; tasks return rerank * k rows a query at most, and a block has as many queries as give 2^18 of those, so what a task
+    holds doesn't grow with queries or points. Reading vectors takes a second pass over the same lists.
     """
     spark, most = queries.sparkSession, rerank * k
     q, query_kind = load(spark, at), queries.schema["query_id"].dataType.simpleString()
     kinds, parts = f"query_id {query_kind}, doc_id {id_type}, score double", []
     probes = min(probes or q.probes, len(q.centres))
-    for block in query_blocks(queries.select("query_id", "vector")):
+    for block in query_blocks(queries.select("query_id", "vector"), max(1, min(QUERIES, KEPT // most))):
         x, own = matrix(block["vector"])
         if not len(x) or not probes or x.shape[1] != q.centres.shape[1]:
             continue
         names, cells = block["query_id"].combine_chunks().take(pa.array(own)), q.near_cells(x, probes)
-        asked: dict[int, list[int]] = {}
-        for i, row in enumerate(cells.tolist()):
-            for c in row:
-                asked.setdefault(c, []).append(i)
+        order, visits = np.argsort(cells.ravel(), kind="stable"), np.bincount(cells.ravel(), minlength=len(q.centres))
+        asked, ends = (order // probes).astype(np.int16), np.append(0, np.cumsum(visits))  # the queries of cell c: from ends[c] to ends[c + 1]
         lists = _lists(spark, at, id_type)
-        lists = lists if len(asked) == len(q.centres) else lists.where(F.col("cell").isin(list(asked)))
+        lists = lists if visits.all() else lists.where(F.col("cell").isin(np.flatnonzero(visits).tolist()))
         tables, base = [np.ascontiguousarray(t, np.float32) for t in q.tables(x)], (x @ q.centres.T).astype(np.float32)
         number = pa.array(np.arange(len(x)))
 
-        def look(batches: Iterator[pa.RecordBatch], asked: dict = asked, tables: list = tables, base: np.ndarray = base, number: pa.Array = number) -> Iterator[pa.RecordBatch]:
+        def look(batches: Iterator[pa.RecordBatch], asked: np.ndarray = asked, ends: np.ndarray = ends, tables: list = tables, base: np.ndarray = base, number: pa.Array = number) -> Iterator[pa.RecordBatch]:
             best = Best(most, len(number))
             for b in batches:
                 cell, ids = b.column("cell").to_numpy(zero_copy_only=False), b.column("doc_id")
                 codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(cell), len(tables))
                 for c in np.unique(cell):
-                    who, rows = np.array(asked[int(c)]), np.flatnonzero(cell == c)
+                    who, rows = asked[ends[c] : ends[c + 1]], np.flatnonzero(cell == c)
                     mine = [t[:, who] for t in tables]
                     for s in slices(len(rows), len(who)):
                         at_ = rows[s]

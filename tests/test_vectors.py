@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,28 @@ def test_sparse_products(spark, monkeypatch, cells, scores):
     got = search.sparse_topk(spark.createDataFrame(asked, "query_id int, term string, weight double"), spark.createDataFrame(postings, "doc_id int, term string, weight double").repartition(5), 4)
     assert [(r.query_id, r.doc_id, r.score) for r in got.sort("query_id", "rank").collect()] == want
     assert search.sparse_topk(spark.createDataFrame([], "query_id int, term string, weight double"), spark.createDataFrame(postings, "doc_id int, term string, weight double"), 4).collect() == []
+
+
+def test_what_a_search_keeps_is_bounded(spark, tmp_path, monkeypatch):
+    """A block has the fewer queries the more candidates each keeps, and rows below a query's k-th best so far aren't held."""
+    sizes, blocks = [], vector_index.query_blocks
+
+    def counted(queries, *most):
+        for block in blocks(queries, *most):
+            sizes.append(len(block))
+            yield block
+
+    monkeypatch.setattr(vector_index, "query_blocks", counted)
+    monkeypatch.setattr(vector_index, "KEPT", 1 << 10)
+    points = spark.createDataFrame([(i, v) for i, v in enumerate(mixture(300, 8, 5, 0.2))], KIND)
+    vector_index.build_index(points, f"{tmp_path}/i")
+    asked = points.where("doc_id < 100").withColumnRenamed("doc_id", "query_id")
+    assert recall(vector_index.search_index(asked, f"{tmp_path}/i", 2), search.dense_topk(asked, points, 2)) >= 0.9
+    assert sum(sizes) == 100 and max(sizes) < 60  # before: one block of 100
+    best = vector_blocks.Best(2, 1)
+    best.add(pa.array(range(100)), np.arange(100.0)[:, None])
+    best._cut()
+    best.add(pa.array(range(100, 150)), np.arange(50.0)[:, None])
+    assert best.size == 2  # before: 4
+    best.add(pa.array([7, 200]), np.array([[98.0], [98.0]]))
+    assert best.batch(pa.array([5])).column("doc_id").to_pylist() == [99, 7]
