@@ -118,19 +118,17 @@ def target_encoding(rows: DataFrame, category: str, label: str, fold: str = "fol
 def smote(rows: DataFrame, minority: Column, copies: int = 1, k: int = 5, seed: int = 0, index: str | None = None) -> DataFrame:
     """id, other, copy, share, vector: for each row (id, vector) of the minority `copies` synthetic vectors, each at a share of the way to one of its k nearest rows of the minority by cosine. Shares and neighbours come from a hash of id, copy and seed, so reruns agree.
 
-    Neighbours are exact for up to some thousand minority rows; beyond, those of an index at `index`, or of scratch. A row without a neighbour has no copies.
+    Neighbours are exact, by blocks of the minority against all of it, unless a folder for an index is given: that finds about the nearest, where the minority has more than some thousand rows. A row without a neighbour has no copies.
     """
     from . import vector_index
-    from .cut import scratch
 
     own = rows.where(minority).select(F.col("id").alias("doc_id"), "vector")
-    asked, n = own.select(F.col("doc_id").alias("query_id"), "vector"), own.count()
-    if n <= QUERIES:
+    asked = own.select(F.col("doc_id").alias("query_id"), "vector")
+    if index is None or own.count() <= QUERIES:
         near = nearest(asked, own, k + 1)
     else:
-        at = index or scratch(rows.sparkSession, "index")
-        vector_index.build_index(own, at)
-        near = vector_index.search_index(asked, at, k + 1, id_type=own.schema["doc_id"].dataType.simpleString())
+        vector_index.build_index(own, index)
+        near = vector_index.search_index(asked, index, k + 1, id_type=own.schema["doc_id"].dataType.simpleString())
     lists = near.where("doc_id <> query_id").groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]), 1, k).alias("near"))  # k + 1 a row at most
     drawn = lists.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).select("query_id", "copy", F.get("near", F.floor(uniform(F.lit(seed), "query_id", "copy", F.lit("near")) * F.size("near")).cast("int")).alias("other"), uniform(F.lit(seed), "query_id", "copy", F.lit("share")).alias("share"))
     a, b = own.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("a")), own.select(F.col("doc_id").alias("other"), F.col("vector").alias("b"))

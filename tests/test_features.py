@@ -127,6 +127,14 @@ def test_many_minority_rows_use_the_index(spark, monkeypatch, tmp_path):
     assert hits >= 0.9 * 400
 
 
+def test_neighbours_are_exact_beyond_a_block_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(features, "QUERIES", 50)
+    own = dict(enumerate(vectors(200, 12, 40)))
+    got = features.smote(spark.createDataFrame(list(own.items()), "id long, vector array<double>"), F.lit(True), 1, 1).collect()
+    near = {a: min((-cosine(v, w), b) for b, w in own.items() if b != a)[1] for a, v in own.items()}
+    assert {r.id: r.other for r in got} == near  # before: those of an index, about
+
+
 def solved(x, rounds):
     """Rounds of least squares of each column on the others as the round before has filled them."""
     gone, out = np.isnan(x), np.where(np.isnan(x), np.nanmean(x, axis=0), x)
