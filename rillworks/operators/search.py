@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.vector import let
 from .cut import cut
 from .vector_blocks import late_interaction, matrix, nearest, sparse_nearest, spherical_kmeans
 
@@ -80,6 +81,28 @@ def idf_weights(postings: DataFrame, id: str = "doc_id") -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
+def document_idf(rows: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """term, idf over documents, as `idf_weights` of their postings, in one pass over the texts: each text's distinct tokens are counted where it is read, so only counts of terms are shuffled.
+
+    Rows of one id and number of tokens are one document, as in postings; rows whose id repeats are told by their ids first and made distinct. A null id counts in no number of documents.
+    """
+    tokens = lambda x: x.select("id", t.tokens(F.lower("text")).alias("t"))
+    own, known = rows.select(F.col(id).alias("id"), F.col(text).alias("text")), F.col("id").isNotNull()
+    again = small(rows.groupBy(F.col(id).alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"))
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    # an empty term stands for a document with tokens; an outer explode, as the planner filters by the other's argument and so tells the tokens twice
+    marked = let(F.array_distinct("t"), lambda x: F.when(F.size(x) > 0, F.concat(x, F.when(known, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))))
+    repeats = not again.isEmpty()
+    counts = tokens(own.join(again, same, "left_anti") if repeats else own).select(F.explode_outer(marked).alias("term")).where("term IS NOT NULL")
+    if repeats:
+        many = tokens(own.join(again, same, "left_semi")).where(F.size("t") > 0)
+        counts = counts.unionByName(many.select("id", F.size("t").alias("n"), F.explode("t").alias("term")).distinct().select("term"))
+        counts = counts.unionByName(many.where(known).select("id").distinct().select(F.lit("").alias("term")))
+    counts = cut(counts.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    n = (r := counts.where("term = ''").first()) and r.df or 0
+    return counts.where("term <> ''").select("term", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+
+
 def sparse_topk(queries: DataFrame, postings: DataFrame, k: int, idf: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, rank by the product of weights over shared terms of queries (query_id, term, weight) and postings (doc_id, term, weight)."""
     q = queries.select("query_id", "term", F.col("weight").alias("_w"))

@@ -172,7 +172,7 @@ def v5_encode_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v6_idf_weight(spark: SparkSession, d: str) -> DataFrame:
-    return s.idf_weights(_postings(spark, d)).select("term", F.round("idf", 6).alias("idf"))
+    return s.document_idf(table(spark, d, "documents")).select("term", F.round("idf", 6).alias("idf"))
 
 
 QUERIES = {q.__name__: q for q in (
