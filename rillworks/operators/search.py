@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,16 +64,67 @@ def embed_dense(rows: DataFrame, text: str = "text", into: str = "vector", fn: C
     return rows.withColumn(into, run(text))
 
 
-def encode_sparse(rows: DataFrame, id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, mean: float | None = None, terms: DataFrame | None = None) -> DataFrame:
-    """id, term, weight: each token's count saturated by length, as in BM25. `mean` is the mean length; by default that of these rows. With `terms` (term) only postings of those: other tokens go before anything is shuffled."""
-    own = rows.select(id, t.tokens(F.lower(F.col(text))).alias("t")).withColumn("n", F.size("t"))
-    if mean is None:
-        mean = rows.agg(F.avg(t.count_tokens(F.col(text)))).first()[0] or 1.0
-    own = own.select(id, "n", F.explode("t").alias("term"))
+def term_counts(rows: DataFrame, id: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """id, n, terms, counts: a row for each text with its number of tokens (null for null) and each token's count, from one pass over the texts; written out, so what follows reads counts. With `terms` (term) only those, unless they are more than are sent to all tasks."""
+    asked = None
     if terms is not None:
-        own = own.join(small(terms.select("term").distinct(), 100 * QUERIES), "term", "left_semi")
-    terms = own.groupBy(id, "n", "term").agg(F.count("*").alias("tf"))
-    return terms.select(id, "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(float(mean))))).alias("weight"))
+        most = 100 * QUERIES
+        asked = terms.select(F.col("term").cast("string").alias("term")).where("term IS NOT NULL").distinct().limit(most + 1).toArrow()["term"].combine_chunks()
+        asked = asked if len(asked) <= most else None
+
+    def count(batches: Iterator[pa.RecordBatch], asked: pa.Array | None = asked) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, known = b.column("t"), b.column("known").to_numpy(zero_copy_only=False)
+            n, flat = pc.list_value_length(tokens).to_numpy(zero_copy_only=False), tokens.flatten()
+            if asked is None:
+                coded = flat.dictionary_encode()
+                codes, names, at = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, slice(None)
+            else:
+                codes, names = pc.index_in(flat, asked), asked
+                at = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False))
+                codes = codes.drop_null().to_numpy(zero_copy_only=False)
+            width = max(1, len(names))
+            keys, counts = np.unique(np.repeat(np.arange(len(n)), n)[at] * width + codes, return_counts=True)
+            begins = pa.array(np.searchsorted(keys, np.arange(len(n) + 1) * width).astype(np.int32))
+            lists = pa.ListArray.from_arrays(begins, names.take(pa.array(keys % width))), pa.ListArray.from_arrays(begins, pa.array(counts))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n.astype(np.int32), mask=~known), *lists], names=["id", "n", "terms", "counts"])
+
+    told = rows.select(F.col(id).alias("id"), F.col(text).isNotNull().alias("known"), t.tokens(F.lower(F.col(text))).alias("t"))
+    kind = told.schema["id"].dataType.simpleString()
+    return cut(told.mapInArrow(count, f"id {kind}, n int, terms array<string>, counts array<bigint>"), "terms")
+
+
+def _weighted(counts: DataFrame, k1: float, b: float, mean: float | None) -> tuple[DataFrame, DataFrame | None]:
+    """id, terms, weights: a row for each text whose id doesn't repeat; and id, term, weight of the others, if there are any: texts of one id and number of tokens are one document."""
+    mean = F.lit(float(mean if mean is not None else counts.agg(F.avg("n")).first()[0] or 1.0))
+    weight = lambda tf: tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / mean))
+    again = small(counts.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id"))
+    repeats, same = not again.isEmpty(), F.col("id").eqNullSafe(F.col("_id"))
+    own = counts.join(again, same, "left_anti") if repeats else counts
+    own = own.select("id", "terms", F.transform("counts", weight).alias("weights"))
+    if not repeats:
+        return own, None
+    many = counts.join(again, same, "left_semi").select("id", "n", F.explode(F.arrays_zip("terms", "counts")).alias("p"))
+    return own, many.groupBy("id", "n", F.col("p.terms").alias("term")).agg(F.sum("p.counts").alias("tf")).select("id", "term", weight(F.col("tf")).alias("weight"))
+
+
+def encode_sparse(rows: DataFrame, id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, mean: float | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """id, term, weight: each token's count saturated by length, as in BM25. `mean` is the mean length; by default that of these rows, null texts aside. With `terms` (term) only postings of those: other tokens go where the texts are read."""
+    own, many = _weighted(term_counts(rows, id, text, terms), k1, b, mean)
+    out = own.select("id", F.explode(F.arrays_zip("terms", "weights")).alias("p")).select("id", F.col("p.terms").alias("term"), F.col("p.weights").alias("weight"))
+    out = out.unionByName(many) if many is not None else out
+    if terms is not None:  # also where they are too many to be sent
+        out = out.join(small(terms.select("term").distinct(), 100 * QUERIES), "term", "left_semi")
+    return out.select(F.col("id").alias(id), "term", "weight")
+
+
+def encode_documents(rows: DataFrame, id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, mean: float | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """id, terms, weights: the postings of `encode_sparse` as one row a document, for `sparse_topk`; those of an id with several texts are summed by term."""
+    own, many = _weighted(term_counts(rows, id, text, terms), k1, b, mean)
+    if many is not None:
+        sums = many.groupBy("id", "term").agg(F.sum("weight").alias("weight")).groupBy("id").agg(F.collect_list(F.struct("term", "weight")).alias("p"))
+        own = own.unionByName(sums.select("id", F.col("p.term").alias("terms"), F.col("p.weight").alias("weights")))
+    return own.withColumnRenamed("id", id)
 
 
 def idf_weights(postings: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -104,7 +156,7 @@ def document_idf(rows: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
 
 def sparse_topk(queries: DataFrame, postings: DataFrame, k: int, idf: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, score, rank by the product of weights over shared terms of queries (query_id, term, weight) and postings (doc_id, term, weight)."""
+    """query_id, doc_id, score, rank by the product of weights over shared terms of queries (query_id, term, weight) and postings (doc_id, term, weight), or one row a document (doc_id, terms, weights)."""
     q = queries.select("query_id", "term", F.col("weight").alias("_w"))
     if idf is not None:
         q = q.join(idf, "term").withColumn("_w", F.col("_w") * F.col("idf"))

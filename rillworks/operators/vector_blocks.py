@@ -261,7 +261,8 @@ def sparse_nearest(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame
     """query_id, doc_id, score, rank: the k documents of postings (doc_id, term, weight) with the largest product with each query (query_id, term, weight); documents without a shared term are absent.
 
     Postings of terms that no query of the pass has go first; the rest are dealt by document, whose rows a task multiplies with the pass's
-    matrix of terms and queries, keeping k a query. No row is made for a pair of query and document.
+    matrix of terms and queries, keeping k a query. No row is made for a pair of query and document. Postings that come as one row a
+    document (doc_id, terms, weights) are multiplied where they lie.
     """
     doc_kind = postings.schema["doc_id"].dataType.simpleString()
     kinds, parts = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {doc_kind}, score double", []
@@ -269,6 +270,10 @@ def sparse_nearest(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame
         if not len(block):
             continue
         matrices = _term_matrices(block)
+        if "terms" in postings.columns:
+            whole = postings.select("doc_id", "terms", F.col("weights").cast("array<double>").alias("weights")).where("terms IS NOT NULL AND weights IS NOT NULL")
+            parts.append(whole.mapInArrow(lambda batches, matrices=matrices: _whole_documents(batches, matrices, k), kinds))
+            continue
 
         def run(batches: Iterator[pa.RecordBatch], matrices: list = matrices) -> Iterator[pa.RecordBatch]:
             best, held = [Best(k, len(x[0])) for x in matrices], None
@@ -312,6 +317,29 @@ def sparse_nearest(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame
     return top_ranked(union(parts, kinds, postings), k)
 
 
+def _whole_documents(batches: Iterator[pa.RecordBatch], matrices: list, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best (query_id, doc_id, score) of a task's rows of doc_id, terms, weights, as products of slices of documents and terms with each matrix of terms and queries."""
+    best = [Best(k, len(x[0])) for x in matrices]
+    for b in batches:
+        lists, weights = b.column("terms"), b.column("weights").flatten().to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(b)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        for x, (_, terms, m, there) in zip(best, matrices):
+            at = pc.index_in(lists.flatten(), terms)
+            known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            own, weight, at = doc[known], weights[known], at.drop_null().to_numpy(zero_copy_only=False)
+            positive = (m[there] > 0).all() and (weight > 0).all()
+            step = max(1, SCORES // max(1, *m.shape))
+            for lo in range(0, len(b), step):
+                s, n = slice(*np.searchsorted(own, [lo, lo + step])), min(step, len(b) - lo)
+                cells = (own[s] - lo) * len(m) + at[s]
+                got = np.bincount(cells, weight[s], n * len(m)).reshape(n, -1) @ m
+                hit = got > 0 if positive else np.bincount(cells, minlength=n * len(m)).reshape(n, -1).astype(float) @ there > 0
+                x.add(b.column("doc_id").slice(lo, n), np.where(hit, np.round(got, 6), -np.inf))
+    for x, (names, *_) in zip(best, matrices):
+        if (out := x.batch(names)) is not None:
+            yield out
+
+
 def _add_sums(best: Best, ids: pa.Array, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
     """Scores of documents, whose sums may lie in parts of which only neighbours share one."""
     for n, (own, got, hit) in enumerate(parts):

@@ -8,7 +8,7 @@ from ..functions import vector as v
 from ..operators import search as s
 from ..operators import vector_blocks as vb
 from ..operators import vector_index as vi
-from ..operators.cut import scratch
+from ..operators.cut import cut, scratch
 from .finance import companies, table
 from .finance import _BASE
 
@@ -25,8 +25,9 @@ def _dense(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     return s.dense_topk(dense_queries(spark, d), points(spark, d), k)
 
 
-def _postings(spark: SparkSession, d: str, terms: DataFrame | None = None) -> DataFrame:
-    return s.encode_sparse(table(spark, d, "documents").select("doc_id", "text"), terms=terms)
+def _documents(spark: SparkSession, d: str, terms: DataFrame) -> DataFrame:
+    """Postings of the queries' terms, a row for each document."""
+    return s.encode_documents(table(spark, d, "documents").select("doc_id", "text"), terms=terms)
 
 
 def _sparse_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +37,7 @@ def _sparse_queries(spark: SparkSession, d: str) -> DataFrame:
 
 def _sparse(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     asked = _sparse_queries(spark, d)
-    return s.sparse_topk(asked, _postings(spark, d, asked), k)
+    return s.sparse_topk(asked, _documents(spark, d, asked), k)
 
 
 def q1_dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +54,7 @@ def q3_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 def q4_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     allowed = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
-    return s.hybrid_search(dense_queries(spark, d), points(spark, d), (asked := _sparse_queries(spark, d)), _postings(spark, d, asked), 10, allowed).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return s.hybrid_search(dense_queries(spark, d), points(spark, d), (asked := _sparse_queries(spark, d)), _documents(spark, d, asked), 10, allowed).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -72,9 +73,15 @@ def q6_dedupe_parent(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q7_search_and_rerank(spark: SparkSession, d: str) -> DataFrame:
-    hits = s.hybrid_search(dense_queries(spark, d), points(spark, d), (asked := _sparse_queries(spark, d)), _postings(spark, d, asked), 20, table(spark, d, "documents").select("doc_id"))
+    """Only queries with a text can be reranked, so vectors without one aren't searched for."""
+    docs = table(spark, d, "documents")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    full = hits.drop("score", "rank").join(queries, "query_id").join(table(spark, d, "documents").select("doc_id", F.col("text").alias("child_text"), F.col("source").alias("parent_text")), "doc_id")
+    dense = dense_queries(spark, d).join(s.small(queries.select("query_id")), "query_id", "left_semi")
+    # all documents are allowed: their own postings are, but for those without an id
+    allowed = points(spark, d).join(docs.select("doc_id"), "doc_id", "left_semi")
+    hits = s.hybrid_search(dense, allowed, (asked := _sparse_queries(spark, d)), _documents(spark, d, asked).where("doc_id IS NOT NULL"), 20)
+    hits = s.small(cut(hits.select("query_id", "doc_id"), "hits").join(queries, "query_id"))
+    full = docs.select("doc_id", F.col("text").alias("child_text"), F.col("source").alias("parent_text")).join(hits, "doc_id")
     return s.rerank(full, 4, 0.1, parent="parent_text").select("query_id", "doc_id", "score", "rank")
 
 
@@ -168,7 +175,7 @@ def v4_similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v5_encode_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return _postings(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 4).alias("weight"))
+    return s.encode_sparse(table(spark, d, "documents").select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 def v6_idf_weight(spark: SparkSession, d: str) -> DataFrame:
